@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, language, mixing, secrets, token_store, toxicity
+from . import bpe, exact_dedup, fingerprints, language, mixing, near_dedup, secrets, token_store, toxicity
 from .common import shared_dir, table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_novel")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language.samples(docs, ~language.held_out(F.col("doc_id")))
@@ -56,6 +60,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_near_dedup": op2_near_dedup,
     "op3_language": op3_language,
     "op4_fingerprint": op4_fingerprint,
     "op5_byte_bpe": op5_byte_bpe,
