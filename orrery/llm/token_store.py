@@ -38,6 +38,7 @@ BLOCK_BYTES = 1 << 20
 TRAIN_DOCS, TRAIN_CHARS, DICT_BYTES = 1000, 20_000, 32_768
 LEVEL = 3
 MOST_CACHED = 400_000
+MARK, AT_ONCE = "\x01", 256
 
 INDEX = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "offset", "length", "n_tokens", "start")]))
 INDEX_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_id", "offset", "length", "n_tokens", "start")]))
@@ -57,23 +58,38 @@ class Words:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.kind = np.dtype(kind)
+        (self.mark,) = self.own.encode(MARK, add_special_tokens=False).ids
+        # Two generations: what was used since the last change is kept at the next one.
         self.known: dict[str, bytes] = {"": b""}
-
-    def serialised(self, text: str, end: int) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        if new := {w for w in words if w not in known}:
-            if len(known) + len(new) > MOST_CACHED:
-                known.clear()
-                known[""] = b""
-                new = set(words) - {""}
-            listed = list(new)
-            for w, e in zip(listed, self.own.encode_batch(listed, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        out = b"".join(map(known.__getitem__, words)) + np.array([end], self.kind).tobytes()
+        self.before: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes words, many in one call: a control character of its own stands between them."""
+        plain = [w for w in new if MARK not in w]
+        for at in range(0, len(plain), AT_ONCE):
+            part = plain[at : at + AT_ONCE]
+            ids = np.array(self.own.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(ids == self.mark)
+            for w, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
+                self.known[w] = ids[a:b].tobytes()
+        for w in new:
+            if MARK in w:
+                self.known[w] = np.array(self.own.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def serialised(self, texts: list[str], end: int) -> list[bytes]:
+        """Each text's ids and the end id, as little-endian bytes."""
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        known, before, final = self.known, self.before, np.array([end], self.kind).tobytes()
+        new = set().union(*cut) - known.keys()
+        for w in new & before.keys():
+            known[w] = before[w]
+        self.learn(sorted(new - before.keys()))
+        out = [b"".join(map(known.__getitem__, ws)) + final for ws in cut]
         for w in new:
             if len(w) > 64:
-                known.pop(w, None)
+                del known[w]
+        if len(known) > MOST_CACHED:
+            self.before, self.known = known, {"": b""}
         return out
 
 
@@ -93,11 +109,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, kind: str) -> by
     """A zstandard dictionary, or no bytes if there is too little to train on."""
     import zstandard
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    picked = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("h")).filter(F.length("text").between(1, TRAIN_CHARS))
-    texts = [r["text"] for r in picked.orderBy("h", "text").limit(TRAIN_DOCS).collect()]
-    own = Words(tokenizer, kind)
-    samples = [own.serialised(t, end) for t in texts]
+    short = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).filter(F.length("text").between(1, TRAIN_CHARS))
+    # Hashes first: what is sorted and sent carries no texts.
+    picked = short.select("h").distinct().orderBy("h").limit(TRAIN_DOCS)
+    texts = sorted(r["text"] for r in short.join(F.broadcast(picked), "h").select("text").distinct().collect())
+    samples = Words(tokenizer, kind).serialised(texts, end)
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -127,8 +143,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> str:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([digest]), pa.array([bytes(payload)], pa.binary()), pa.array([index], INDEX_ARROW)], names=["shard", "block", "dict_sha256", "payload", "index"])
 
         for batch in source:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = own.serialised(text or "", end)
+            texts = own.serialised([t or "" for t in batch["text"].to_pylist()], end)
+            for doc, ids in zip(batch["doc_id"].to_pylist(), texts, strict=True):
                 frame, n = press.compress(ids), len(ids) // own.kind.itemsize
                 index.append({"doc_id": doc, "offset": len(payload), "length": len(frame), "n_tokens": n, "start": start})
                 payload += frame
