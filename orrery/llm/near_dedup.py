@@ -118,7 +118,7 @@ def node_of(keys: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node, bands: node is null for a text without a word, bands empty if no link is possible."""
+    """doc_id, text_key, node, bands: node is null for a text without a word, bands empty if no link is possible."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler()
@@ -131,9 +131,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 for i, row in zip(wide, made, strict=True):
                     bands[i] = row
             nodes = [node_of(k) if len(k) else None for k, _ in sets]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id (smallest doc_id of the class), class_size, kept (the class_id's row)."""
+    """doc_id, text_key (hash of the text), class_id (smallest doc_id of the class), class_size, kept (the class_id's row)."""
     prepare(docs.sparkSession)
     rows = durable(signed(docs))
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
@@ -237,11 +237,11 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = nodes.drop("bands").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = nodes.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
     nodes = nodes.join(whole, "label").select("node", "class_id", "class_size")
-    out = rows.select("doc_id", "node").join(nodes, "node", "left")
+    out = rows.select("doc_id", "text_key", "node").join(nodes, "node", "left")
     alone = F.col("node").isNull()
     return out.select(
         "doc_id",
-        "node",
+        "text_key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
@@ -249,6 +249,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each class."""
-    gone = durable(classes(docs).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs that stay, with all their columns: one of each class, and what repeats it."""
+    gone = classes(docs).filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(durable(gone), same, "left_anti")

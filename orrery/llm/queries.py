@@ -21,7 +21,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("node")
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
