@@ -59,8 +59,10 @@ def digests(text: str) -> list[int]:
     out = []
     for p in paragraphs(text):
         n = seen[p] = seen.get(p, -1) + 1
-        out.append(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), n))
-    return out
+        d = xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"))
+        out.append(d if not n else check(d ^ n) << 32 | check(d + n * 0x9E3779B97F4A7C15 & MASK))
+    # Two of one kind would cancel in their cells and never peel.
+    return list(dict.fromkeys(out))
 
 
 def check(digest: int) -> int:

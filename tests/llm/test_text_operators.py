@@ -156,3 +156,9 @@ def test_toxicity_of_odd_texts(spark, odd, empty):
     assert toxicity.score(odd, model).count() == odd.count()
     none = toxicity.fit(toxicity.sample(empty, labels, F.lit(True)))
     assert [r["score"] < 0.01 for r in toxicity.score(odd, none).collect()] == [True] * odd.count()
+
+
+def test_many_occurrences_of_short_lines_have_digests_of_their_own():
+    for line in ("a", "ab", "abc", "abcd", "x y z."):
+        text = "\n".join([line, "b", "c", "ac", "é"] * 3000)
+        assert len(fingerprints.digests(text)) == len(set(fingerprints.digests(text))) == 15_000
