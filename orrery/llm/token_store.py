@@ -37,8 +37,10 @@ BLOCK_BYTES = 1 << 20
 #: characters each.
 TRAIN_DOCS, TRAIN_CHARS, DICT_BYTES = 1000, 20_000, 32_768
 LEVEL = 3
-MOST_CACHED = 400_000
-MARK, AT_ONCE = "\x01", 256
+MOST_CACHED = 600_000
+#: Letters below are letters to every library, in either case.
+LATIN = "\u0100"
+MARK, BETWEEN, AT_ONCE = "\x01", " \x01 ", 256
 
 INDEX = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "offset", "length", "n_tokens", "start")]))
 INDEX_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_id", "offset", "length", "n_tokens", "start")]))
@@ -58,39 +60,71 @@ class Words:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.kind = np.dtype(kind)
+        self.marks = {m: np.array(self.own.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in ".,;:!?)"}
         (self.mark,) = self.own.encode(MARK, add_special_tokens=False).ids
         # Two generations: what was used since the last change is kept at the next one.
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
-        """Encodes words, many in one call: a control character of its own stands between them."""
-        plain = [w for w in new if MARK not in w]
-        for at in range(0, len(plain), AT_ONCE):
-            part = plain[at : at + AT_ONCE]
-            ids = np.array(self.own.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, self.kind)
-            ends = np.flatnonzero(ids == self.mark)
-            for w, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
-                self.known[w] = ids[a:b].tobytes()
+        """Adds words to the known ones. A mark behind a letter is a token of its own, and case is
+        dropped: a word's ids are those of its stem in lower case, and the mark's."""
+        known, marks = self.known, self.marks
+        stems, rest = [], {}
         for w in new:
-            if MARK in w:
-                self.known[w] = np.array(self.own.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+            if w[-1] in marks and w[-2:-1] < LATIN and w[-2:-1].isalpha():
+                stem, mark = w[:-1], marks[w[-1]]
+            else:
+                stem, mark = w, b""
+            if stem[0] <= "Z" and stem.isascii():
+                stem = stem.lower()
+            if stem not in known:
+                rest[stem] = None
+            if stem is not w:
+                stems.append((w, stem, mark))
+        plain = [w for w in rest if MARK not in w]
+        # Many words in one text: a control character of its own stands between them.
+        parts = [plain[at : at + AT_ONCE] for at in range(0, len(plain), AT_ONCE)]
+        size = self.kind.itemsize
+        for part, coded in zip(parts, self.own.encode_batch_fast([BETWEEN.join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, self.kind)
+            raw, ends = ids.tobytes(), np.flatnonzero(ids == self.mark) * size
+            known.update(zip(part, map(raw.__getitem__, map(slice, [0, *(ends + size).tolist()], [*ends.tolist(), len(raw)])), strict=True))
+        if len(plain) < len(rest):
+            for w in rest.keys() - set(plain):
+                known[w] = np.array(self.own.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        for w, stem, mark in stems:
+            known[w] = known[stem] + mark
 
     def serialised(self, texts: list[str], end: int) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
         known, before, final = self.known, self.before, np.array([end], self.kind).tobytes()
-        new = set().union(*cut) - known.keys()
-        for w in new & before.keys():
-            known[w] = before[w]
-        self.learn(sorted(new - before.keys()))
-        out = [b"".join(map(known.__getitem__, ws)) + final for ws in cut]
+        rows, holes, new = [], [], {}
+        for text in texts:
+            words_of = text.replace("\n", " ").split(" ")
+            row = list(map(known.get, words_of))
+            if None in row:
+                at = [i for i, x in enumerate(row) if x is None]
+                own = [words_of[i] for i in at]
+                new.update(dict.fromkeys(own))
+                holes.append((row, at, own))
+            rows.append(row)
+        unknown = []
         for w in new:
+            if (x := before.get(w)) is None:
+                unknown.append(w)
+            else:
+                known[w] = x
+        self.learn(unknown)
+        for row, at, own in holes:
+            for i, w in zip(at, own, strict=True):
+                row[i] = known[w]
+        for w in unknown:
             if len(w) > 64:
-                del known[w]
+                known.pop(w, None)
         if len(known) > MOST_CACHED:
             self.before, self.known = known, {"": b""}
-        return out
+        return [b"".join(row) + final for row in rows]
 
 
 @lru_cache(2)

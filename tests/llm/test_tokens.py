@@ -65,3 +65,15 @@ def test_store_equals_library(spark, odd, empty):
     other = shared_dir(spark)
     token_store.write(empty, other, VOCABULARY)
     assert token_store.read(spark, other).count() == 0
+
+
+def test_words_by_stem_equal_library():
+    own, words = Tokenizer.from_file(VOCABULARY), token_store.Words(VOCABULARY, "<u2")
+    own.encode_special_tokens = True
+    random.seed(5)
+    bits = ["Hello", "world", "WORLD", "Éa", "éa", ".", ",", "!?", "'s", "\"", "\x01", "\n", " ", "  ", "\t", "a\u0301", "I\u0307", "Σ", "<|endoftext|>", "x" * 70, "1", "٣", "\u3000", "\x85", "ß", "İ", "K", ")", ":"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randrange(0, 40))) for _ in range(4000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for t, raw in zip(part, words.serialised(part, 1), strict=True):
+            assert np.frombuffer(raw, "<u2").tolist() == own.encode(t, add_special_tokens=False).ids + [1], t
