@@ -69,7 +69,7 @@ class Shingler:
         known = self.known
         if len(known) > MOST_CACHED:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(hashes) - WORDS + 1)
@@ -92,6 +92,7 @@ def signatures(keys: list[np.ndarray], rates: list[np.ndarray], registers: int =
     # Arrival time as float32 bits, which sort like the times, above the shingle's hash.
     found = np.full(len(keys) * registers, unset)
     low, time, turn = key & np.uint64(0xFFFFFFFF), np.zeros(len(key)), 0
+    table, latest = found.reshape(-1, registers), np.full(len(keys), unset)
     while len(key):
         turn += 1
         h = mixed(key + np.uint64(turn * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF))
@@ -99,7 +100,8 @@ def signatures(keys: list[np.ndarray], rates: list[np.ndarray], registers: int =
         register = (mixed(h ^ GOLDEN) % np.uint64(registers)).astype(np.int64)
         packed = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | low
         np.minimum.at(found, owner * registers + register, packed)
-        latest = found.reshape(-1, registers).max(1)
+        running = np.flatnonzero(np.bincount(owner, minlength=len(keys)))
+        latest[running] = table[running].max(1)
         go = (latest[owner] == unset) | (packed < latest[owner])
         key, rate, owner, low, time = key[go], rate[go], owner[go], low[go], time[go]
     return (found & np.uint64(0xFFFFFFFF)).astype(np.uint32).reshape(-1, registers)
