@@ -45,6 +45,8 @@ BATCH_BYTES = 16 << 20
 #: through one array together, no fewer than GROUP.
 SENT, GROUP = 8, 64
 BLOCK = 256
+#: Windows after which a task hands on what it has settled.
+HELD = 400_000
 HALF = (WINDOW - GRAM) // 2
 PARTS = 256
 LAST = (1 << 63) - 1
@@ -72,8 +74,7 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def packed(rows: np.ndarray) -> bytes:
-    """Rows column by column, places in order and as differences, compressed."""
-    rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"]))]
+    """Rows column by column, documents as differences, compressed."""
     columns = [np.diff(rows["doc"], prepend=0) if n == "doc" else rows[n] for n in rows.dtype.names]
     return zstandard.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
 
@@ -150,13 +151,20 @@ def spans_of(texts: list[tuple[int, int, bytes]]) -> Iterator[np.ndarray]:
         yield made()
 
 
-def first_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in the order of key, bytes and place; which begin a key; which begin a kind; which rows
-    share their key with another kind or with a sign of many."""
-    rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"], rows["bytes"], rows["key"]))]
+def sharing(rows: np.ndarray) -> np.ndarray:
+    """Indices of the rows whose key others have too, by key, bytes and place."""
+    order = np.argsort(rows["key"])
+    same = rows["key"][order][1:] == rows["key"][order][:-1]
+    at = order[np.append(same, False) | np.append(False, same)]
+    own = rows[at]
+    return at[np.lexsort((own["start"], own["text"], own["doc"], own["bytes"], own["key"]))]
+
+
+def firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows: which begin a key, which begin a kind, and the number of their key."""
     new_key = np.append(True, rows["key"][1:] != rows["key"][:-1])
     new_kind = new_key | np.append(True, rows["bytes"][1:] != rows["bytes"][:-1])
-    return rows, new_key, new_kind, np.cumsum(new_key) - 1
+    return new_key, new_kind, np.cumsum(new_key) - 1
 
 
 def read_spans(buckets: int):
@@ -166,26 +174,28 @@ def read_spans(buckets: int):
         rows = np.concatenate([*spans_of(texts)])
         if not len(rows):
             return
-        rows, new_key, new_kind, group = first_of(rows)
-        kinds = np.bincount(group[new_kind])
-        out = []
-        if (again := ~new_kind).any():
-            own = rows[again]
-            out += by_document(own["doc"], own["text"], whole_spans(own), GOES, buckets)
-        many = kinds[group] > SENT
-        if (hot := new_kind & many).any():
-            own = rows[hot]
-            out += by_document(own["doc"], own["text"], opened(own, 1), ISOPEN, buckets)
-        sign = rows[new_key & many]
-        sign["many"] = 1
-        sent = np.concatenate([rows[new_kind & ~many], sign])
+        out: list[tuple] = []
+        send = np.ones(len(rows), bool)
+        at = sharing(rows)
+        if len(at):
+            own = rows[at]
+            new_key, new_kind, group = firsts(own)
+            if (again := ~new_kind).any():
+                out += by_document(own["doc"][again], own["text"][again], whole_spans(own[again]), GOES, buckets)
+            many = np.bincount(group[new_kind])[group] > SENT
+            if (hot := new_kind & many).any():
+                out += by_document(own["doc"][hot], own["text"][hot], opened(own[hot], 1), ISOPEN, buckets)
+            # Of an anchor with many kinds only its first row goes on, as a sign.
+            send[at] = new_kind & (~many | new_key)
+            rows["many"][at[many & new_key]] = 1
+        sent = rows[send]
         bucket = (sent["key"] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         sent, bucket = sent[order], bucket[order]
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         out += [(int(bucket[a]), None, None, SPANS, packed(sent[a:b])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(sent)], strict=True)]
-        for at in range(0, len(out), 4096):
-            yield facts(out[at : at + 4096])
+        for k in range(0, len(out), 4096):
+            yield facts(out[k : k + 4096])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], bytes] = {}
@@ -216,7 +226,11 @@ def judge_spans(buckets: int):
                 yield batch.filter(pa.array(~dealt))
         if not got:
             return
-        rows, new_key, new_kind, group = first_of(np.concatenate(got))
+        rows = np.concatenate(got)
+        rows = rows[sharing(rows)]
+        if not len(rows):
+            return
+        _, new_kind, group = firsts(rows)
         sign = rows["many"] == 1
         size, out = np.bincount(group[new_kind]), []
         several = (size > 1) | (np.bincount(group, sign) > 0)
@@ -290,50 +304,65 @@ def repeats(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
             last, lowest = window, p
 
 
-def settle(buckets: int):
-    """Step 2 on open spans, sorted by key, part and place."""
+class Settled:
+    """What goes, and the first windows of hot spans, gathered over the blocks of a task."""
 
-    def settled(block: list[tuple]) -> list[tuple]:
-        _, _, docs, texts, starts, places, hots, bodies = zip(*block, strict=True)
-        hot = hots[0]
-        pick = range(len(block)) if hot else promising(bodies, places)
-        gone: dict[int, set[int]] = {}
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
+        self.gone: list[tuple[int, int, int, int]] = []
+        self.first: list[tuple[bytes, int, int, int]] = []
+
+    def block(self, rows: list[tuple]) -> None:
+        _, _, docs, texts, starts, places, hots, bodies = zip(*rows, strict=True)
+        pick = range(len(rows)) if hots[0] else promising(bodies, places)
+        again: set[tuple[int, int]] = set()
         if len(pick) > 1:
             for span, offset in repeats([bodies[k] for k in pick]):
-                gone.setdefault(pick[span], set()).add(offset)
-        out = []
-        for k, offsets in gone.items():
-            at = np.array(sorted(offsets)) + starts[k]
-            out.append(((docs[k] ^ texts[k] & 0x7FFFFFFF) % buckets, docs[k], texts[k], GOES, runs(at, at + WINDOW).tobytes()))
-        if hot:
-            firsts: dict[int, list] = {}
+                k = pick[span]
+                again.add((k, offset))
+                self.gone.append((docs[k], texts[k], starts[k] + offset, starts[k] + offset + WINDOW))
+        if hots[0]:
             for k, body in enumerate(bodies):
-                own = gone.get(k, ())
+                text = texts[k] & 0xFFFFFFFFFFFFFFFF
                 for offset in range(len(body) - WINDOW + 1):
-                    if offset not in own:
-                        digest = hashlib.blake2b(body[offset : offset + WINDOW], digest_size=16).digest()
-                        firsts.setdefault(int.from_bytes(digest[:6], "little") % buckets, []).append((digest, docs[k], texts[k] & 0xFFFFFFFFFFFFFFFF, starts[k] + offset))
-            out += [(bucket, None, None, SPANS, packed(np.array(rows, FIRST))) for bucket, rows in firsts.items()]
-        return out
+                    if (k, offset) not in again:
+                        self.first.append((hashlib.blake2b(body[offset : offset + WINDOW], digest_size=16).digest(), docs[k], text, starts[k] + offset))
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
+    def rows(self) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        if self.gone:
+            doc, text, start, end = np.array(self.gone, np.int64).T
+            out += by_document(doc, text.view(np.uint64), np.stack([start, end], 1), GOES, self.buckets)
+        if self.first:
+            first = np.array(self.first, FIRST)
+            bucket = np.frombuffer(first["digest"].tobytes(), "<u4")[::4] % self.buckets
+            order = np.argsort(bucket, kind="stable")
+            first, bucket = first[order], bucket[order]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            out += [(int(bucket[a]), None, None, SPANS, packed(first[a:b])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(first)], strict=True)]
+        self.gone, self.first = [], []
+        for at in range(0, len(out), 4096):
+            yield facts(out[at : at + 4096])
+
+
+def settle(buckets: int):
+    """Step 2 on open spans, sorted by key, part and place."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = Settled(buckets), []
         for batch in source:
             for row in zip(*(batch[c].to_pylist() for c in OPEN_NAMES), strict=True):
                 if block and row[:5] == block[-1][:5]:
                     continue  # of a row that repeats
                 if block and (row[:2] != block[0][:2] or len(block) >= BLOCK):
-                    out += settled(block)
+                    held.block(block)
                     block = []
                 block.append(row)
-            if len(out) > 2048:
-                yield facts(out)
-                out = []
+            if len(held.gone) + len(held.first) >= HELD:
+                yield from held.rows()
         if block:
-            out += settled(block)
-        if out:
-            yield facts(out)
+            held.block(block)
+        yield from held.rows()
 
     return run
 
