@@ -13,13 +13,14 @@ Texts with equal shingle sets are one node. Within a bucket nodes aren't paired
     member of a bucket is compared with every pivot that occurs in it.
 3.  Let D and M be what a member has beyond its pivot P, and what it misses of P. If y isn't linked
     to P, then y and z can only be linked if they share an element of D, or if both are so much
-    shorter than P that |M_z| - |D_z| >= slack(y), where slack(y) = (|M_y| + 0.8 |D_y| - 0.2 |P|) / 0.8 > 0,
-    and share an element of M: without a shared D,
+    shorter than P that |M_z| - |D_z| >= cost(y) and |M_y| - |D_y| >= cost(z), where
+    cost(x) = (|M_x| + 0.8 |D_x| - 0.2 |P|) / 0.8, and share an element of M: without a shared D,
 
         J(y, z) >= 0.8  <=>  |M_y| + |M_z| - 1.8 |M_y & M_z| + 0.8 (|D_y| + |D_z|) <= 0.2 |P|.
 
-    Members that share such an element form groups, which are compared in full while they have at
-    most PAIRS members, and else become buckets of their own and go through 1 to 3 again.
+    Members of different classes that share such an element, and whose sizes and likenesses to P
+    allow a link, are compared. A pair is looked at among those compared with the pivot of one of the
+    two; step 2 has compared the other with it, and 1 - J is a metric.
 
 So a large cloud of near copies costs a comparison or two for each member, and no link among members
 of a bucket is lost. Shingles are compared by 32-bit hashes.
@@ -46,7 +47,8 @@ BANDS, ROWS = 64, 8
 REGISTERS = BANDS * ROWS
 #: Sets of fewer shingles are linked only to equal ones: 3 of 4 is less than 0.8.
 LEAST = 4
-PAIRS = 24
+#: What rounding may take from a bound that is met exactly.
+SLIGHT = 1e-9
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MOST_CACHED = 500_000
 
@@ -158,8 +160,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("like", shared / (F.col("size_a") + F.size("more")))
 
 
-def close_buckets(buckets: DataFrame, copies: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) among the members of buckets (bucket, node), and buckets still to be compared."""
+def close_buckets(buckets: DataFrame, copies: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among the members of buckets (bucket, node)."""
     many = buckets.join(copies, "node")
     leaders = many.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "node")).alias("top")).filter("n > 1")
     buckets = durable(buckets.join(leaders.select("bucket", F.col("top.node").alias("leader")), "bucket"))
@@ -177,24 +179,39 @@ def close_buckets(buckets: DataFrame, copies: DataFrame, sets: DataFrame) -> tup
     more = more.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().join(edges.select("a", "b"), ["a", "b"], "left_anti")
     edges = edges.unionByName(durable(verified(more, sets)))
 
-    links = edges.filter(F.col("like") >= LIKE).select("a", "b")
-    # What may be linked to a member that isn't linked to its pivot.
-    star = edges.filter(F.col("like") >= CLOSE - (1 - LIKE)).withColumn("cost", F.size("less") + LIKE * F.size("more") - (1 - LIKE) * F.col("size_a"))
-    star = star.select("a", "b", "more", "less", (F.size("less") - F.size("more")).alias("gap"), F.when(F.col("like") < LIKE, F.col("cost") / LIKE).alias("slack"))
+    links = durable(edges.filter(F.col("like") >= LIKE).select("a", "b").distinct())
+    labels = components(links)
+    # What may be linked to a member where one of the two isn't linked to the pivot. A pair is looked
+    # at among those compared with the pivot of one of the two, to which the other has been compared.
+    star = edges.filter(F.col("like") >= CLOSE - (1 - LIKE))
+    more_n, less_n, size = F.size("more"), F.size("less"), F.col("size_a")
+    cost = (less_n + LIKE * more_n - (1 - LIKE) * size) / LIKE - SLIGHT
+    star = star.withColumns({"more_n": more_n, "less_n": less_n, "cost": cost, "slack": F.when(F.col("like") < LIKE, cost)})
     least = star.groupBy("a").agg(F.min("slack").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND least IS NOT NULL").drop("n")
-    star = star.join(least, "a")
-    by_more = star.select("a", "b", "slack", F.explode("more").alias("s")).withColumn("kind", F.lit(0))
-    shorter = star.filter(F.col("gap") >= F.col("least"))
-    by_less = shorter.select("a", "b", "slack", F.explode("less").alias("s")).withColumn("kind", F.lit(1))
+    own = pivots.select(F.col("node").alias("b"), F.col("pivot").alias("own"))
+    star = star.join(least, "a").join(own, "b", "left").withColumn("own", F.coalesce(F.col("own") == F.col("a"), F.lit(False))).join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    # A text that is alike shares so many of the elements of `more` at least: it is enough to look at
+    # the first ones, in one order for all, that leave fewer than that.
+    needed = F.greatest(F.lit(1), F.ceil(LIKE * (size - less_n + more_n) - (size - less_n) - SLIGHT).cast("int"))
+    prefix = F.slice(F.array_sort("more"), F.lit(1), F.greatest(F.lit(0), more_n - needed + 1))
+    place = ["a", "b", "own", "least", "label", "slack", "cost", "size_a", "more_n", "less_n", "like"]
+    by_more = star.select(*place, F.explode(prefix).alias("s")).withColumn("kind", F.lit(0))
+    short = less_n - more_n >= F.col("least")
+    by_less = star.filter(short | F.col("slack").isNotNull()).select(*place, F.explode("less").alias("s")).withColumn("kind", F.lit(1))
     shared = by_more.unionByName(by_less)
-    groups = shared.groupBy("a", "kind", "s").agg(F.count(F.lit(1)).alias("n"), F.count("slack").alias("open")).filter("n > 1 AND open > 0")
-    members = durable(shared.join(groups, ["a", "kind", "s"]).select("a", "kind", "s", "n", F.col("b").alias("node"), F.col("slack").isNotNull().alias("open")))
-    small = members.filter(F.col("n") <= PAIRS)
-    mine, other = small.filter("open").select("a", "kind", "s", F.col("node").alias("y")), small.select("a", "kind", "s", F.col("node").alias("z"))
-    pairs = mine.join(other, ["a", "kind", "s"]).filter("y <> z").select(F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b")).distinct()
-    links = links.unionByName(verified(pairs, sets).filter(F.col("like") >= LIKE).select("a", "b"))
-    large = members.filter(F.col("n") > PAIRS).select(F.xxhash64("a", "kind", "s").alias("bucket"), "node")
-    return durable(links.distinct()), durable(large)
+    groups = shared.groupBy("a", "kind", "s").agg(F.count(F.lit(1)).alias("n"), F.count("slack").alias("open"), F.bool_or("own").alias("own"), F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or((F.col("kind") == 0) | (F.col("less_n") - F.col("more_n") >= F.col("least"))).alias("fit"))
+    members = durable(shared.join(groups.filter("own AND fit AND open > 0 AND low <> high").select("a", "kind", "s"), ["a", "kind", "s"]))
+    mine = members.filter("own").select("a", "kind", "s", *(F.col(c).alias(f"y_{c}") for c in place[1:]))
+    other = members.select("a", "kind", "s", *(F.col(c).alias(f"z_{c}") for c in place[1:]))
+    most = F.col("y_size_a") - F.greatest("y_less_n", "z_less_n") + F.least("y_more_n", "z_more_n")
+    whole = 2 * F.col("y_size_a") - F.col("y_less_n") - F.col("z_less_n") + F.col("y_more_n") + F.col("z_more_n")
+    can = (F.col("y_label") != F.col("z_label")) & (F.col("y_slack").isNotNull() | F.col("z_slack").isNotNull()) & (F.abs(F.col("y_like") - F.col("z_like")) <= 1 - LIKE + SLIGHT) & (most >= LIKE / (1 + LIKE) * whole - SLIGHT)
+    # Without a shared element of `more`, both have to be that much shorter than the pivot.
+    can = can & ((F.col("kind") == 0) | ((F.col("z_less_n") - F.col("z_more_n") >= F.col("y_cost")) & (F.col("y_less_n") - F.col("y_more_n") >= F.col("z_cost"))))
+    pairs = mine.join(other, ["a", "kind", "s"]).filter(can)
+    pairs = durable(pairs.select(F.least("y_b", "z_b").alias("a"), F.greatest("y_b", "z_b").alias("b")).distinct())
+    found = verified(pairs, sets).filter(F.col("like") >= LIKE).select("a", "b")
+    return durable(links.unionByName(found).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,15 +243,7 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = buckets.select("node").distinct().join(nodes.select("node", "low"), "node").select(F.col("low").alias("__low")).distinct()
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__low")), "left_semi")
     sets = durable(shingle_sets(chosen).dropDuplicates(["node"]))
-    found = []
-    while not buckets.isEmpty():
-        links, left = close_buckets(buckets, copies, sets)
-        found.append(links)
-        # Each turn settles one more shingle that all members of a group have, or miss: this ends.
-        buckets = left
-    links = found[0] if found else docs.sparkSession.createDataFrame([], "a long, b long")
-    for more in found[1:]:
-        links = links.unionByName(more)
+    links = close_buckets(buckets, copies, sets)
     labels = components(links)
     nodes = nodes.drop("bands").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = nodes.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))

@@ -34,11 +34,11 @@ def brute(rows):
     return {doc: min(low[root(i)]) for i, (doc, _) in enumerate(rows)}
 
 
-def cloud(n, base, rng, cut=False):
+def cloud(n, base, rng, cut=False, most=7):
     out = []
     for _ in range(n):
         own = list(base)
-        for _ in range(rng.randrange(0, 7)):
+        for _ in range(rng.randrange(0, most)):
             own[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
         if cut and rng.random() < 0.5:
             own = own[: rng.randrange(60, len(own))]
@@ -46,13 +46,13 @@ def cloud(n, base, rng, cut=False):
     return out
 
 
-@pytest.mark.parametrize("cut", [False, True])
-def test_classes_equal_brute_force(spark, cut):
-    rng = random.Random(8)
+@pytest.mark.parametrize(("cut", "most", "seed"), [(False, 7, 8), (True, 7, 9), (True, 12, 10), (False, 4, 11)])
+def test_classes_equal_brute_force(spark, cut, most, seed):
+    rng = random.Random(seed)
     texts = []
     for _ in range(3):
-        base = [f"v{rng.randrange(500)}" for _ in range(150)]
-        texts += cloud(60, base, rng, cut) + [" ".join(base)] * 3
+        base = [f"v{rng.randrange(500)}" for _ in range(rng.choice([70, 150]))]
+        texts += cloud(90, base, rng, cut, most) + [" ".join(base)] * 3
     texts += [" ".join(f"v{rng.randrange(500)}" for _ in range(80)) for _ in range(30)]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
