@@ -1,10 +1,512 @@
-"""Queries by name, and the SQL that each should agree with."""
+"""Queries by name, and the SQL that each should agree with.
+
+Numbers are rounded to six places, and a zero is added to them so that none is negative zero.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import noise, text
+from .functions import timeline as tl
+from .operators import catalog, determinism, envelopes, intervals, outcome, tree
+from .sources import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r6(x: Column) -> Column:
+    return F.round(x, 6) + 0.0
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with frame, a frame number 0 to 120 in halves, derived from their id."""
+    return tables.read(spark, sf_dir, "events").withColumn("frame", (F.col("event_id") * 7 % 241) / 2.0)
+
+
+#: The same in SQL.
+FRAMES = "(SELECT *, (event_id * 7 % 241) / 2.0::DOUBLE AS frame FROM events)"
+KIND_SQL = """CASE event_type
+  WHEN 'view' THEN 'compile.succeeded' WHEN 'click' THEN 'render.succeeded' WHEN 'signup' THEN 'neutral'
+  WHEN 'error' THEN ['revision.corrected','revision.deleted','revision.reverted','render.failed','compile.failed'][(event_id % 5 + 1)::INT]
+  ELSE ['workspace.exported','workspace.published','workspace.reused','workspace.next-task-unchanged'][(event_id % 4 + 1)::INT] END"""
+NEGATIVE_SQL = ", ".join(f"'{x}'" for x in outcome.NEGATIVE)
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    kind = (
+        F.when(F.col("event_type") == "view", outcome.COMPILED)
+        .when(F.col("event_type") == "click", outcome.RENDERED)
+        .when(F.col("event_type") == "signup", "neutral")
+        .when(F.col("event_type") == "error", pick([outcome.NEGATIVE[i] for i in (0, 1, 4, 5, 6)]))
+        .otherwise(pick(outcome.SUCCESS))
+    )
+    return tables.read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("day"), "ts", "event_id", kind.alias("type"))
+
+
+@query(f"""
+    WITH e AS (SELECT user_id, ts::DATE AS day, ts, event_id, {KIND_SQL} AS type FROM events),
+    g AS (SELECT user_id, day, arg_min(type, (ts, event_id)) FILTER (type IN ({NEGATIVE_SQL})) AS neg,
+                 bool_or(type = 'compile.succeeded') AS compiled, bool_or(type = 'render.succeeded') AS rendered,
+                 CASE WHEN bool_or(type = 'workspace.exported') THEN 'workspace.exported'
+                      WHEN bool_or(type = 'workspace.published') THEN 'workspace.published'
+                      WHEN bool_or(type = 'workspace.reused') THEN 'workspace.reused'
+                      WHEN bool_or(type = 'workspace.next-task-unchanged') THEN 'workspace.next-task-unchanged' END AS success
+          FROM e GROUP BY ALL)
+    SELECT user_id, day::VARCHAR AS day,
+           CASE WHEN neg IS NOT NULL THEN 'discard' WHEN compiled AND rendered AND success IS NOT NULL THEN 'save' ELSE 'wait' END AS action,
+           CASE WHEN neg IS NOT NULL THEN neg WHEN success IS NULL THEN 'no-success-signal'
+                WHEN compiled AND rendered THEN success ELSE 'awaiting-compile-and-render' END AS reason
+    FROM g""")
+def revision_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.decide(revisions(spark, sf_dir), ["user_id", "day"], ["ts", "event_id"]).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""SELECT doc_id AS id, lang AS style, source AS type FROM documents
+          WHERE lang = 'en' AND source = 'src7' AND list_contains(string_split(text, ' '), 'the')""")
+def catalog_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents")
+    entries = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("style"), F.col("source").alias("type"), F.split("text", " ", -1).alias("use_when"))
+    return catalog.find(entries, style="en", purpose="the", type="src7").select("id", "style", "type")
+
+
+@query("""SELECT id, rule FROM (
+            SELECT doc_id AS id, 'preserves' AS rule FROM documents WHERE len(string_split(text, ' ')) < 2
+            UNION ALL SELECT doc_id, 'id_repeats' FROM documents GROUP BY doc_id HAVING count(*) > 1
+            UNION ALL SELECT doc_id, 'type' FROM documents WHERE coalesce(lang NOT IN ('en', 'fr'), true))""")
+def catalog_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents")
+    kind = F.when(F.col("lang") == "en", "unit").when(F.col("lang") == "fr", "behaviour")
+    return catalog.problems(docs.select(F.col("doc_id").alias("id"), kind.alias("type"), F.split("text", " ", -1).alias("preserves")))
+
+
+@query("""SELECT c_custkey AS id FROM customer ANTI JOIN orders ON c_custkey = o_custkey""")
+def catalog_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return catalog.unresolved(entries, tables.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("kind")))
+
+
+@query("""SELECT s_nationkey::VARCHAR AS style, string_agg(s_name || ' | ' || s_suppkey, chr(10) ORDER BY s_suppkey) AS text FROM supplier GROUP BY s_nationkey""")
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read(spark, sf_dir, "supplier").withColumn("style", F.col("s_nationkey").cast("string"))
+    return catalog.listing(rows, ["s_suppkey"], F.concat_ws(" | ", "s_name", F.col("s_suppkey").cast("string")))
+
+
+@query(f"""
+    WITH s(shot_id, start, duration, premount) AS (VALUES (1::BIGINT, 0, 30, 0), (2, 20, 30, 10), (3, 60, 40, 15))
+    SELECT event_id, shot_id, frame,
+           CASE WHEN frame >= start AND frame < start + duration THEN 'active' ELSE 'premount' END AS phase,
+           frame - start AS local_frame
+    FROM {FRAMES} JOIN s ON frame >= start - premount AND frame < start + duration""")
+def mount_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shots = tables.shots(spark, ((1, 0, 30, 0), (2, 20, 30, 10), (3, 60, 40, 15)))
+    bounds = shots.withColumn("first", F.col("start") - F.col("premount")).withColumn("last", F.col("start") + F.col("duration"))
+    rows = intervals.range_join(events(spark, sf_dir), bounds, "frame", "first", "last", 16)
+    phase = intervals.mount_phase(F.col("frame"), F.col("start"), F.col("duration"), F.col("premount"))
+    return rows.select("event_id", "shot_id", "frame", phase.alias("phase"), (F.col("frame") - F.col("start")).alias("local_frame"))
+
+
+@query(f"""
+    WITH s(shot_id, start, duration) AS (VALUES (1::BIGINT, 0, 30), (2, 20, 30), (3, 60, 40)),
+    e AS (SELECT event_id, frame, shot_id, frame - start AS x FROM {FRAMES} JOIN s ON frame >= start AND frame < start + duration)
+    SELECT event_id, shot_id, round(x / 10.0, 6) + 0.0 AS opacity, round(x, 6) + 0.0 AS rotate FROM e WHERE x <= 10""")
+def shot_local_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shots = tables.shots(spark, ((1, 0, 30, 0), (2, 20, 30, 0), (3, 60, 40, 0))).withColumn("last", F.col("start") + F.col("duration"))
+    rows = intervals.range_join(events(spark, sf_dir), shots, "frame", "start", "last", 32)
+    local = F.col("frame") - F.col("start")
+    return rows.filter(local <= 10).select("event_id", "shot_id", r6(tl.progress(local, 0, 10)).alias("opacity"), r6(local).alias("rotate"))
+
+
+@query(f"""
+    WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey % 100 AS appear, l_partkey % 100 + l_quantity AS disappear FROM lineitem),
+    f AS (SELECT DISTINCT frame FROM {FRAMES})
+    SELECT frame, count(c.appear) AS n_visible FROM f LEFT JOIN c ON appear <= frame AND frame < disappear GROUP BY frame""")
+def cue_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    appear = F.col("l_partkey") % 100
+    cues = tables.read(spark, sf_dir, "lineitem").select(appear.alias("appear"), (appear + F.col("l_quantity")).alias("disappear"))
+    frames = events(spark, sf_dir).select("frame").distinct()
+    held = intervals.range_join(frames, cues, "frame", "appear", "disappear", 16, "left")
+    return held.groupBy("frame").agg(F.count("appear").alias("n_visible"))
+
+
+@query("""
+    WITH c AS (SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS idx, length(text) % 50 AS appear, 60 + turn * 3 AS disappear FROM conversations)
+    SELECT conv_id, idx, (count(*) OVER (PARTITION BY conv_id, idx // 4))::INT AS group_size, (idx % 4)::INT AS slot,
+           coalesce(appear < lag(appear) OVER o, false) AS ordered,
+           disappear <> first_value(disappear) OVER (PARTITION BY conv_id, idx // 4 ORDER BY idx) AS shared_end,
+           coalesce(idx % 4 = 0 AND lag(disappear) OVER o <> appear, false) AS handed_off
+    FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY idx)""")
+def cue_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.min("turn").over(intervals.Window.partitionBy("conv_id"))
+    cues = tables.read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") - first).alias("idx"), (F.length("text") % 50).alias("appear"), (60 + F.col("turn") * 3).alias("disappear"))
+    return intervals.cue_violations(cues, ["conv_id"], "idx", "appear", "disappear").drop("appear", "disappear")
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS e, coalesce(lag(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice), 0.0) AS s FROM lineitem)
+    SELECT l_orderkey, l_linenumber, floor(s / 1000 * 60 + 0.5)::BIGINT AS from_frame, floor(e / 1000 * 60 + 0.5)::BIGINT AS to_frame,
+           floor(e / 1000 * 60 + 0.5)::BIGINT - floor(s / 1000 * 60 + 0.5)::BIGINT AS frames FROM s""")
+def segment_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return intervals.segments_from_ends(rows, ["l_orderkey"], ["l_linenumber", "l_extendedprice"], "l_extendedprice", 60).drop("l_extendedprice")
+
+
+@query("""SELECT event_id, floor(value / 1000 * 60 + 0.5)::BIGINT AS at_60, floor(value / 1000 * 30 + 0.5)::BIGINT AS at_30, round(30 * 60 / (60 + event_id % 90), 6) + 0.0 AS beat FROM events""")
+def ms_to_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read(spark, sf_dir, "events")
+    at = lambda fps: tl.milliseconds_to_frames(F.col("value"), fps).cast("long")
+    return rows.select("event_id", at(60).alias("at_60"), at(30).alias("at_30"), r6(tl.frames_for_beat(30, 60 + F.col("event_id") % 90)).alias("beat"))
+
+
+@query("""
+    WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS n FROM orders)
+    SELECT o_custkey, o_orderkey, (n + 1)::INT AS rank, (n // 4)::INT AS page, (n % 4)::INT AS slot, (n % 4 * 6)::INT AS start, (72 - n % 4 * 6)::INT AS duration FROM r""")
+def rank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return intervals.pages(rows, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")]).drop("o_totalprice")
+
+
+@query("""
+    WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+    SELECT o_custkey, ceil(n / 4)::BIGINT * 72 AS ranking, ceil(n / 4)::BIGINT * 72 - 20 AS transition, ceil(n / 4)::BIGINT * 72 + 40 AS duration FROM c""")
+def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tables.read(spark, sf_dir, "orders").groupBy("o_custkey").count()
+    return counts.select("o_custkey", intervals.page_totals(F.col("count")).alias("t")).select("o_custkey", "t.*")
+
+
+@query(f"""SELECT floor(frame / 2)::BIGINT AS bucket, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM {FRAMES} GROUP BY 1""")
+def frame_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).groupBy(intervals.bucket(F.col("frame"), 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query(f"""
+    WITH b AS (SELECT event_id, frame, floor(frame / 22.3::DOUBLE)::BIGINT AS beat FROM {FRAMES})
+    SELECT event_id, beat, round(frame - beat * 22.3::DOUBLE, 6) + 0.0 AS inside, beat % 4 AS variant,
+           ['src0', 'src1', 'src2'][(beat % 3 + 1)::INT] AS source FROM b""")
+def beat_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beat = intervals.bucket(F.col("frame"), 22.3)
+    sources = F.array(F.lit("src0"), F.lit("src1"), F.lit("src2"))
+    return events(spark, sf_dir).select("event_id", beat.alias("beat"), r6(F.col("frame") - beat * 22.3).alias("inside"), (beat % 4).alias("variant"), intervals.round_robin(sources, beat).alias("source"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, string_split(p_name, ' ')[((l_orderkey % len(string_split(p_name, ' '))) + 1)::INT] AS picked
+          FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    parts = tables.read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ", -1).alias("names"))
+    return lines.join(parts, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", intervals.round_robin(F.col("names"), F.col("l_orderkey")).alias("picked"))
+
+
+def ladder(edge: str) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = F.col("value") / 10 - 3
+        y = tl.interpolate(x, (0, 10, 20, 30), (0, 100, 50, 50), edge, edge, tl.ease_out_cubic if edge == "clamp" else tl.linear)
+        return tables.read(spark, sf_dir, "events").select("event_id", r6(y).alias("y"))
+
+    f.__name__ = f"interpolate_{edge}"
+    return f
+
+
+def ladder_sql(edge: str) -> str:
+    cubic = "(1 - (1 - least(1, greatest(0, {0}))) * (1 - least(1, greatest(0, {0}))) * (1 - least(1, greatest(0, {0}))))" if edge == "clamp" else "({0})"
+    value = {"extend": "x", "identity": "x", "clamp": "least(greatest(x, {a}), {b})", "wrap": "((((x - {a}) % 10) + 10) % 10 + {a})"}[edge]
+    low, high = value.format(a=0, b=10), value.format(a=20, b=30)
+    first = f"100 * {cubic.format(f'({low}) / 10')}"
+    return f"""
+    WITH v AS (SELECT event_id, value / 10 - 3 AS x FROM events)
+    SELECT event_id, round(CASE WHEN x < 0 THEN {'x' if edge == 'identity' else first}
+                                WHEN x <= 10 THEN 100 * {cubic.format('x / 10')}
+                                WHEN x <= 20 THEN 100 + (50 - 100) * {cubic.format('(x - 10) / 10')}
+                                WHEN x > 30 THEN {'x' if edge == 'identity' else '50'} ELSE 50 END, 6) + 0.0 AS y FROM v"""
+
+
+for _edge in tl.EDGES:
+    query(ladder_sql(_edge))(ladder(_edge))
+
+
+@query("""
+    WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 12 - 0.1 AS x, least(1, greatest(0, l_discount * 12 - 0.1)) AS c FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round(1 - power(1 - c, 3), 6) + 0.0 AS cubic,
+           round(1 + 2.70158 * power(c - 1, 3) + 1.70158 * power(c - 1, 2), 6) + 0.0 AS back,
+           round(c * c * (3 - 2 * c), 6) + 0.0 AS smooth, round(x * x * (2.70158 * x - 1.70158), 6) + 0.0 AS ease_back,
+           round(CASE WHEN x < 0.5 THEN (x * 2) * (x * 2) * (2.70158 * (x * 2) - 1.70158) / 2
+                      ELSE 1 - ((1 - x) * 2) * ((1 - x) * 2) * (2.70158 * ((1 - x) * 2) - 1.70158) / 2 END, 6) + 0.0 AS in_out,
+           round(-4 + (9 - -4) * x, 6) + 0.0 AS mixed FROM v""")
+def easings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("l_discount") * 12 - 0.1
+    outs = {"cubic": tl.ease_out_cubic(x), "back": tl.ease_out_back(x), "smooth": tl.smoothstep(x), "ease_back": tl.easing_back()(x), "in_out": tl.ease_in_out(tl.easing_back())(x), "mixed": tl.lerp(-4, 9, x)}
+    return tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(r6(v).alias(k) for k, v in outs.items()))
+
+
+@query("""
+    WITH v AS (SELECT event_id, event_id % 97 AS f, user_id % 13 AS s FROM events),
+    n AS (SELECT *, sin(f * 78.233 + s * 12.9898) * 43758.5453 AS a, sin(s * 12.9898 + floor(f / 2) * 78.233) * 43758.5453 AS b,
+                 sin(s * 12.9898) * 43758.5453 AS c, sin(f * 127.1 + 311.7) * 43758.5453 AS d FROM v)
+    SELECT event_id, round((a - floor(a)) * 2 - 1, 4) + 0.0 AS noise, round((b - floor(b) - 0.5) * 2 * 3, 4) + 0.0 AS boil,
+           round((c - floor(c) - 0.5) * 2 * 5, 4) + 0.0 AS jitter, round(d - floor(d), 4) + 0.0 AS random FROM n""")
+def noises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, s = F.col("event_id") % 97, F.col("user_id") % 13
+    r4 = lambda x: F.round(x, 4) + 0.0
+    return tables.read(spark, sf_dir, "events").select("event_id", r4(noise.frame_noise(f, s)).alias("noise"), r4(noise.boil(s, f, 3)).alias("boil"), r4(noise.jitter(s, 5)).alias("jitter"), r4(noise.pseudo_random(f)).alias("random"))
+
+
+@query("""
+    WITH v AS (SELECT event_id, ((user_id * 7919 + (event_id % 1000 + 1) * 1831565813) % 4294967296)::HUGEINT AS s FROM events),
+    a AS (SELECT event_id, (xor(s, s >> 15) * (s | 1)) % 4294967296 AS v FROM v),
+    b AS (SELECT event_id, xor((v + (xor(v, v >> 7) * (v | 61)) % 4294967296) % 4294967296, v) AS v FROM a)
+    SELECT event_id, xor(v, v >> 14)::DOUBLE / 4294967296.0 AS sample FROM b""")
+def mulberry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "events").select("event_id", noise.mulberry(F.col("user_id") * 7919, F.col("event_id") % 1000).alias("sample"))
+
+
+@query(f"""
+    WITH p(p) AS (VALUES (0.0::DOUBLE), (310.0), (415.0), (1200.0), (1250.0)),
+    t AS (SELECT event_id, frame / 30 * 1000 - p AS e FROM {FRAMES}, p)
+    SELECT event_id, round(greatest(0, max(CASE WHEN e >= 0 AND e < 80 THEN 0.9 * (1 - e / 80) ELSE 0 END)), 6) + 0.0 AS exposure FROM t GROUP BY event_id""")
+def exposure_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = F.array(*(F.lit(x) for x in (0.0, 310.0, 415.0, 1200.0, 1250.0)))
+    return events(spark, sf_dir).select("event_id", r6(envelopes.exposure(F.col("frame") / 30 * 1000, points)).alias("exposure"))
+
+
+@query(f"""
+    WITH h(i, h) AS (VALUES (0, 0.0::DOUBLE), (1, 150.0), (2, 300.0), (3, 450.0), (4, 600.0)),
+    t AS (SELECT event_id, i, frame - floor(h / 1000 * 60 + 0.5) AS e FROM {FRAMES}, h),
+    d AS (SELECT *, e >= 0 AND e < 6 AS on, 1 - e / 6 AS left FROM t)
+    SELECT event_id, round(sum(CASE WHEN on THEN sin((e + i * 13) * 5.7) * 34 * left ELSE 0 END), 6) + 0.0 AS x,
+           round(sum(CASE WHEN on THEN cos((e + i * 7) * 6.3) * 34 * left ELSE 0 END), 6) + 0.0 AS y,
+           round(sum(CASE WHEN on THEN sin((e + i * 5) * 7.1) * 1.4 * left ELSE 0 END), 6) + 0.0 AS rotate,
+           round(greatest(0, max(CASE WHEN e < 0 THEN 0 WHEN e <= 1 THEN 0.85 + 0.05 * e WHEN e <= 5 THEN 0.9 * (1 - (e - 1) / 4) ELSE 0 END)), 6) + 0.0 AS burst
+    FROM d GROUP BY event_id""".replace(" on,", ' "on",').replace("WHEN on ", 'WHEN "on" ').replace("AS left", 'AS "left"').replace("* left", '* "left"'))
+def shake_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", "frame", envelopes.shake(F.col("frame"), 60).alias("s"))
+    return rows.select("event_id", *(r6(F.col(f"s.{c}")).alias(c) for c in ("x", "y", "rotate")), r6(envelopes.burst(F.col("frame"), 60)).alias("burst"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, text, length(text) AS n, doc_id % 60 - 10 + 1 AS steps FROM documents),
+    c AS (SELECT *, CASE WHEN steps <= 0 THEN 0 ELSE least(n, (steps // 8) * 10 + coalesce(list_sum(list_slice([2, 1, 1, 0, 3, 1, 2, 0], 1, steps % 8)), 0)) END AS typed FROM d)
+    SELECT doc_id, typed::INT AS typed, substr(text, 1, typed::INT) AS shown FROM c""")
+def typing_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, frame = tables.read(spark, sf_dir, "documents"), F.col("doc_id") % 60
+    return docs.select("doc_id", text.typed_count(frame, F.length("text")).alias("typed"), text.typed_text(F.col("text"), frame).alias("shown"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, doc_id % 90 AS f, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents)
+    SELECT doc_id, array_to_string(list_filter(ws, lambda w, i: f >= coalesce([0, 2, 3, 6, 7, 9, 13, 14, 18, 19, 23, 27][i], 27 + (i - 12) * 3)), ' ') AS shown FROM d""")
+def word_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.reveal_words(F.col("text"), F.col("doc_id") % 90).alias("shown"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, floor(100 + l_linenumber + (4 + l_quantity) * (1 - power(1 - least(1, greatest(0, (l_partkey % 40 - 12) / 10.0::DOUBLE)), 3)) + 0.5)::BIGINT::VARCHAR AS score FROM lineitem""")
+def score_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tick = tl.interpolate(F.col("l_partkey") % 40, (12, 22), (0, 1), "clamp", "clamp", tl.ease_out_cubic)
+    return tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.score_text(100 + F.col("l_linenumber"), 4 + F.col("l_quantity"), tick).alias("score"))
+
+
+@query("""
+    WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+    v AS (SELECT l_orderkey, l_linenumber, (l_extendedprice - lo) / (hi - lo) AS v, count(*) OVER (PARTITION BY l_orderkey) AS n,
+                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS i FROM lineitem, b)
+    SELECT l_orderkey, l_linenumber, round(110 + coalesce(i / nullif(n - 1, 0), 0) * 860, 6) + 0.0 AS x, round(420 + (1 - v) * 900, 6) + 0.0 AS y FROM v""")
+def plot_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    ends = lines.agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    w = intervals.Window.partitionBy("l_orderkey")
+    rows = lines.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy("l_linenumber", "l_extendedprice")) - 1)
+    rows = rows.join(F.broadcast(ends))  # one row
+    x = 110 + F.coalesce(F.try_divide(F.col("i"), F.col("n") - 1), F.lit(0.0)) * 860
+    y = 420 + (1 - (F.col("l_extendedprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))) * 900
+    return rows.select("l_orderkey", "l_linenumber", r6(x).alias("x"), r6(y).alias("y"))
+
+
+@query("""SELECT doc_id, least(132, greatest(56, floor(CASE WHEN doc_id % 2 = 0 THEN 980 ELSE 500 END / (greatest(1, n_chars % 23) * 0.6::DOUBLE) + 0.5)))::DOUBLE AS size FROM documents""")
+def font_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = F.greatest(F.lit(1), F.col("n_chars") % 23)
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.fitted_size(length, F.col("doc_id") % 2 == 0).alias("size"))
+
+
+@query("""SELECT l_orderkey, count(l_suppkey) AS n, count(DISTINCT l_suppkey) AS n_distinct FROM lineitem GROUP BY l_orderkey HAVING count(l_suppkey) <> count(DISTINCT l_suppkey)""")
+def uniqueness_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.repeated_values(tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), ["l_orderkey"], "l_suppkey")
+
+
+TREE_SQL = """
+    SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id, r_regionkey AS ord, CASE WHEN r_regionkey % 2 = 0 THEN r_name END AS backend, r_regionkey <> 3 AS shown, r_regionkey * 5 AS start FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name END, n_nationkey % 7 <> 0, n_nationkey % 4 FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey::INT, CASE WHEN c_custkey % 10 = 0 THEN c_name END, c_custkey % 11 <> 0, NULL FROM customer"""
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, their nations and their customers as one tree."""
+    region, nation, customer = (tables.read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    top = region.select(name("r", "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").alias("ord"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).alias("backend"), (F.col("r_regionkey") != 3).alias("shown"), (F.col("r_regionkey") * 5).alias("start"))
+    mid = nation.select(name("n", "n_nationkey"), name("r", "n_regionkey"), F.col("n_nationkey"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")), F.col("n_nationkey") % 7 != 0, F.col("n_nationkey") % 4)
+    low = customer.select(name("c", "c_custkey"), name("n", "c_nationkey"), F.col("c_custkey").cast("int"), F.when(F.col("c_custkey") % 10 == 0, F.col("c_name")), F.col("c_custkey") % 11 != 0, F.lit(None).cast("int"))
+    return top.union(mid).union(low)
+
+
+@query(f"""
+    WITH RECURSIVE n AS ({TREE_SQL}), t AS (
+      SELECT node_id, 0 AS depth, [ord] AS path FROM n WHERE parent_id IS NULL
+      UNION ALL SELECT n.node_id, t.depth + 1, list_append(t.path, n.ord) FROM n JOIN t ON n.parent_id = t.node_id)
+    SELECT node_id, depth, array_to_string(path, '/') AS path FROM t""")
+def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.descend(nodes(spark, sf_dir)).select("node_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+
+
+@query(f"""
+    WITH RECURSIVE n AS ({TREE_SQL}), t AS (
+      SELECT node_id, backend FROM n WHERE parent_id IS NULL
+      UNION ALL SELECT n.node_id, coalesce(n.backend, t.backend) FROM n JOIN t ON n.parent_id = t.node_id)
+    SELECT node_id, backend AS inherited_backend FROM t""")
+def inherit_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.inherit(nodes(spark, sf_dir), ["backend"]).select("node_id", "inherited_backend")
+
+
+@query(f"""
+    WITH RECURSIVE n AS ({TREE_SQL}), t AS (
+      SELECT node_id FROM n WHERE parent_id IS NULL AND shown
+      UNION ALL SELECT n.node_id FROM n JOIN t ON n.parent_id = t.node_id WHERE n.shown)
+    SELECT node_id FROM t""")
+def visibility_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.visible(nodes(spark, sf_dir), F.col("shown")).select("node_id")
+
+
+@query(f"""
+    WITH RECURSIVE n AS ({TREE_SQL}), t AS (
+      SELECT node_id, 40.0::DOUBLE AS local_frame, 40.0::DOUBLE - coalesce(start, 0) AS inside FROM n WHERE parent_id IS NULL
+      UNION ALL SELECT n.node_id, t.inside, t.inside - coalesce(n.start, 0) FROM n JOIN t ON n.parent_id = t.node_id)
+    SELECT node_id, local_frame FROM t""")
+def tree_local_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.local_frames(nodes(spark, sf_dir), F.col("start"), F.lit(40.0)).select("node_id", "local_frame")
+
+
+@query(f"""
+    WITH RECURSIVE n AS ({TREE_SQL}), t AS (
+      SELECT node_id AS top, node_id FROM n UNION ALL SELECT t.top, n.node_id FROM n JOIN t ON n.parent_id = t.node_id)
+    SELECT top AS node_id, count(*) AS size FROM t GROUP BY top""")
+def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.subtree_sizes(nodes(spark, sf_dir))
+
+
+@query(f"""WITH n AS ({TREE_SQL}), m AS (SELECT * FROM n UNION ALL SELECT node_id, parent_id, ord + 1, backend, shown, start FROM n WHERE node_id IN ('n3', 'c5') UNION ALL SELECT 'x', 'y', 0, NULL, true, 0 UNION ALL SELECT 'z', 'z', 0, NULL, true, 0)
+    SELECT node_id, 'duplicate' AS rule FROM m GROUP BY node_id HAVING count(*) > 1
+    UNION ALL SELECT node_id, 'orphan' FROM m WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT node_id FROM m)
+    UNION ALL SELECT node_id, 'self' FROM m WHERE parent_id = node_id
+    UNION ALL SELECT max(node_id), 'shared_place' FROM m GROUP BY parent_id, ord HAVING count(*) > 1""")
+def tree_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = nodes(spark, sf_dir)
+    twice = rows.filter(F.col("node_id").isin("n3", "c5")).withColumn("ord", F.col("ord") + 1)
+    odd = spark.createDataFrame([("x", "y", 0, None, True, 0), ("z", "z", 0, None, True, 0)], rows.schema)
+    return tree.violations(rows.unionByName(twice).unionByName(odd))
+
+
+@query("""SELECT r::INT AS row, c::INT AS col, ((r + c) % 2)::INT AS parity FROM range(10) a(r), range(6) b(c)""")
+def grid_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.grid(spark, 10, 6)
+
+
+@query("""
+    WITH v AS (SELECT event_id, event_id * 1237 AS f, (24 + user_id % 3 * 6) AS fps FROM events)
+    SELECT event_id, lpad((f // fps // 3600)::VARCHAR, greatest(2, length((f // fps // 3600)::VARCHAR))::INT, '0') || ':' || lpad((f // fps // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((f // fps % 60)::VARCHAR, 2, '0') || ':' || lpad((f % fps)::VARCHAR, 2, '0') AS timecode FROM v""")
+def timecode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "events").select("event_id", text.timecode(F.col("event_id") * 1237, (24 + F.col("user_id") % 3 * 6).cast("double")).alias("timecode"))
+
+
+@query("""
+    WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN md5(props) || md5(event_type) WHEN 1 THEN substr(md5(props) || md5(props), 1, 40) WHEN 2 THEN event_type || '-' || user_id
+                                     WHEN 3 THEN event_type || chr(10) ELSE ':' || event_type END AS id FROM events)
+    SELECT event_id, regexp_full_match(id, '[a-zA-Z0-9._-]{1,160}') AS safe, regexp_full_match(id, '[a-f0-9]{64}') AS sha256, regexp_full_match(id, '([a-f0-9]{40}|[a-f0-9]{64})') AS git,
+           regexp_full_match(id, '[A-Za-z0-9][A-Za-z0-9._:-]{0,127}') AS key, length(id) > 0 AND NOT regexp_matches(id, '[\\x00-\\x1f\\x7f]') AS media FROM v""")
+def id_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = lambda c: F.md5(F.col(c).cast("binary"))
+    kind = F.col("event_id") % 5
+    name = (
+        F.when(kind == 0, F.concat(hashed("props"), hashed("event_type")))
+        .when(kind == 1, F.substring(F.concat(hashed("props"), hashed("props")), 1, 40))
+        .when(kind == 2, F.concat_ws("-", "event_type", F.col("user_id").cast("string")))
+        .when(kind == 3, F.concat("event_type", F.lit("\n")))
+        .otherwise(F.concat(F.lit(":"), "event_type"))
+    )
+    checks = {"safe": text.is_safe_id, "sha256": text.is_sha256, "git": text.is_commit, "key": text.is_reconciliation_key, "media": text.is_media_resource}
+    return tables.read(spark, sf_dir, "events").select("event_id", *(f(name).alias(k) for k, f in checks.items()))
+
+
+@query("""
+    WITH RECURSIVE c AS (SELECT 12.0::DOUBLE AS d, 0.8::DOUBLE AS m, 140.0::DOUBLE AS k, 60.0::DOUBLE AS fps),
+    p AS (SELECT d / (2 * sqrt(k * m)) AS z, sqrt(k / m) AS w, sqrt(k / m) * sqrt(1 - power(d / (2 * sqrt(k * m)), 2)) AS wd, fps FROM c),
+    s AS (SELECT 0 AS f, 0.0::DOUBLE AS x, 0.0::DOUBLE AS v
+          UNION ALL
+          SELECT f + 1, 1 - g, z * w * g - e * (cos(wd * dt) * (-v + z * w * (1 - x)) - wd * (1 - x) * sin(wd * dt))
+          FROM (SELECT *, exp(-z * w * dt) AS e, exp(-z * w * dt) * (sin(wd * dt) * ((-v + z * w * (1 - x)) / wd) + (1 - x) * cos(wd * dt)) AS g
+                FROM (SELECT s.*, p.*, 1 / fps AS dt FROM s, p WHERE f < 60)))
+    SELECT event_id, round(x, 6) + 0.0 AS spring FROM events JOIN s ON f = event_id % 61""")
+def spring_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "events").select("event_id", r6(tl.spring(F.col("event_id") % 61, 60, tl.Spring(12, 0.8, 140))).alias("spring"))
+
+
+def bezier_sql(x1: float, y1: float, x2: float, y2: float) -> str:
+    """Bisection to full precision: another way to the same curve."""
+    steps = "SELECT event_id, v, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS k FROM b"
+    at = f"(((1 - 3 * {x2} + 3 * {x1}) * m + (3 * {x2} - 6 * {x1})) * m + 3 * {x1}) * m"
+    y = f"(((1 - 3 * {y2} + 3 * {y1}) * t + (3 * {y2} - 6 * {y1})) * t + 3 * {y1}) * t"
+    return f"""
+    WITH RECURSIVE b AS (SELECT event_id, (event_id * 37 % 101) / 100.0::DOUBLE AS v FROM events),
+    s AS ({steps} UNION ALL SELECT event_id, v, CASE WHEN {at} > v THEN lo ELSE m END, CASE WHEN {at} > v THEN m ELSE hi END, k + 1
+          FROM (SELECT *, (lo + hi) / 2 AS m FROM s WHERE k < 50))
+    SELECT event_id, round({y}, 4) + 0.0 AS y FROM (SELECT event_id, (lo + hi) / 2 AS t FROM s WHERE k = 50)"""
+
+
+@query(bezier_sql(0.42, 0.0, 0.58, 1.0))
+def bezier_ease(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = (F.col("event_id") * 37 % 101) / 100.0
+    return tables.read(spark, sf_dir, "events").select("event_id", (F.round(tl.cubic_bezier(0.42, 0.0, 0.58, 1.0)(v), 4) + 0.0).alias("y"))
+
+
+@query("""SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type HAVING count(DISTINCT value::INT % 3) > 1""")
+def determinism_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read(spark, sf_dir, "events").withColumn("out", F.rint("value").cast("int") % 3)
+    return determinism.drift(rows, ["user_id", "event_type"], ["out"])
+
+
+@query()
+def token_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read(spark, sf_dir, "events")
+    return rows.select("event_id", noise.token_hash(F.array("event_type", F.col("user_id").cast("string"), "props")).alias("digest"))
+
+
+@query("""
+    WITH s AS (SELECT o_custkey, o_orderdate::DATE AS at, min(o_totalprice) AS price FROM orders GROUP BY ALL),
+    p AS (SELECT event_id, user_id, ts::DATE AS at FROM events)
+    SELECT event_id, price FROM p ASOF LEFT JOIN s ON p.user_id = s.o_custkey AND p.at >= s.at""")
+def as_of_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = tables.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("date").alias("day")).agg(F.min("o_totalprice").alias("price"))
+    points = tables.read(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("date").alias("at"))
+    return intervals.as_of(points, steps, ["user_id"], "at", "day", "price").select("event_id", "price")
+
+
+@query("""
+    WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity AS w FROM lineitem)
+    SELECT l_orderkey, l_linenumber, coalesce(sum(w + 18) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS x FROM g""")
+def running_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return intervals.running_offsets(rows, ["l_orderkey"], ["l_linenumber", "l_quantity"], "l_quantity").drop("l_quantity")

@@ -72,10 +72,10 @@ def cue_violations(cues: DataFrame, keys: Sequence[str], index: str = "idx", app
     )
 
 
-def segments_from_ends(rows: DataFrame, keys: Sequence[str], index: str, end_ms: str, fps: float) -> DataFrame:
+def segments_from_ends(rows: DataFrame, keys: Sequence[str], index: Sequence[str], end_ms: str, fps: float) -> DataFrame:
     """rows with from_frame, to_frame and frames: a segment starts where the one before it ends, and
     both bounds are rounded on their own."""
-    order = Window.partitionBy(*keys).orderBy(index)
+    order = Window.partitionBy(*keys).orderBy(*index)
     start = F.coalesce(F.lag(end_ms).over(order), F.lit(0.0))
     first, last = milliseconds_to_frames(start, fps), milliseconds_to_frames(F.col(end_ms), fps)
     return rows.select(*rows.columns, first.cast("long").alias("from_frame"), last.cast("long").alias("to_frame"), (last - first).cast("long").alias("frames"))
