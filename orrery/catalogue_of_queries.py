@@ -14,6 +14,8 @@ from .functions import noise, text
 from .functions import timeline as tl
 from .operators import catalog, determinism, envelopes, intervals, outcome, tree
 from .sources import tables
+from .streaming import lease
+from .streaming import outcome as streaming_outcome
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -510,3 +512,39 @@ def as_of_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return intervals.running_offsets(rows, ["l_orderkey"], ["l_linenumber", "l_quantity"], "l_quantity").drop("l_quantity")
+
+
+def lease_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for leases from events: a revision is a user's half of a month."""
+    rows = revisions(spark, sf_dir)
+    ask = F.when(F.col("type") == "neutral", F.element_at(F.array(*map(F.lit, ("acquire", "heartbeat", "checkpoint", "commit", "release"))), (F.col("event_id") % 5 + 1).cast("int"))).otherwise("event")
+    return rows.select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("day", "yyyyMM"), F.floor(F.dayofmonth("day") / 5).cast("string")).alias("revision_id"),
+        F.col("event_id").alias("seq"),
+        ask.alias("request"),
+        (F.col("event_id") * 1000).alias("at"),
+        "type",
+        F.lit(None).cast("string").alias("token"),
+        F.lit(None).cast("long").alias("fence"),
+        F.concat(F.lit("commit-"), F.col("event_id").cast("string")).alias("commit"),
+    )
+
+
+@query()
+def lease_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lease.run_batch(lease_requests(spark, sf_dir))
+
+
+@query(ORACLE_SQL["revision_outcome"])
+def revision_outcome_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last decision of each revision after all events have come in as a stream, file by file."""
+    schema = revisions(spark, sf_dir).schema
+    folder = tables.scratch(spark)
+    revisions(spark, sf_dir).repartition(4, "user_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    live = streaming_outcome.decisions(stream, ["user_id", "day"], ["ts", "event_id"])
+    write = lambda rows: rows.write.mode("append").parquet(f"{folder}/out")
+    streaming_outcome.upsert(live, ["user_id", "day"], write, f"{folder}/progress").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    last = rows.groupBy("user_id", "day").agg(F.max_by(F.struct("action", "reason"), "batch").alias("last"))
+    return last.select("user_id", F.col("day").cast("string").alias("day"), "last.action", "last.reason")

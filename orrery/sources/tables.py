@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,3 +19,10 @@ def shots(spark: SparkSession, rows: Sequence[tuple[int, int, int, int]]) -> Dat
         if duration <= 0 or premount < 0 or max(abs(start - premount), abs(start + duration)) > (1 << 53) - 1:
             raise ValueError("a shot lasts, mounts ahead by zero or more, and stays within safe frames")
     return spark.createDataFrame(list(rows), "shot_id long, start long, duration long, premount long")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path for files between steps: in the shared folder that spark.checkpoint.dir names, and
+    in a local one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{(named or tempfile.mkdtemp(prefix='orrery-')).rstrip('/')}/{uuid.uuid4().hex}"
