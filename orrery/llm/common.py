@@ -50,9 +50,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared checkpoint folder: a lost executor loses none of them."""
+    """The rows, computed once and kept in the shared checkpoint folder: a lost executor loses none of them.
+
+    What was shuffled on the way is of no more use. Spark removes it when the driver's collector finds
+    it unreferenced, which may take long while the heap is large, so the collector is asked to run.
+    """
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return kept
 
 
 def partitions(spark: SparkSession) -> int:

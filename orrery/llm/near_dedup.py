@@ -183,13 +183,15 @@ def close_buckets(buckets: DataFrame, copies: DataFrame, sets: DataFrame) -> Dat
     labels = components(links)
     # What may be linked to a member where one of the two isn't linked to the pivot. A pair is looked
     # at among those compared with the pivot of one of the two, to which the other has been compared.
-    star = edges.filter(F.col("like") >= CLOSE - (1 - LIKE))
     more_n, less_n, size = F.size("more"), F.size("less"), F.col("size_a")
-    cost = (less_n + LIKE * more_n - (1 - LIKE) * size) / LIKE - SLIGHT
-    star = star.withColumns({"more_n": more_n, "less_n": less_n, "cost": cost, "slack": F.when(F.col("like") < LIKE, cost)})
-    least = star.groupBy("a").agg(F.min("slack").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND least IS NOT NULL").drop("n")
+    narrow = edges.filter(F.col("like") >= CLOSE - (1 - LIKE)).select("a", "b", "like", "size_a", more_n.alias("more_n"), less_n.alias("less_n"))
+    cost = (F.col("less_n") + LIKE * F.col("more_n") - (1 - LIKE) * size) / LIKE - SLIGHT
+    narrow = narrow.withColumns({"cost": cost, "slack": F.when(F.col("like") < LIKE, cost)})
     own = pivots.select(F.col("node").alias("b"), F.col("pivot").alias("own"))
-    star = star.join(least, "a").join(own, "b", "left").withColumn("own", F.coalesce(F.col("own") == F.col("a"), F.lit(False))).join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    narrow = narrow.join(own, "b", "left").withColumn("own", F.coalesce(F.col("own") == F.col("a"), F.lit(False))).join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    least = narrow.groupBy("a").agg(F.min("slack").alias("least"), F.count(F.lit(1)).alias("n"), F.bool_or("own").alias("any_own")).filter("n > 1 AND any_own AND least IS NOT NULL").select("a", "least")
+    star = narrow.join(least, "a").join(edges.select("a", "b", "more", "less"), ["a", "b"])
+    more_n, less_n = F.col("more_n"), F.col("less_n")
     # A text that is alike shares so many of the elements of `more` at least: it is enough to look at
     # the first ones, in one order for all, that leave fewer than that.
     needed = F.greatest(F.lit(1), F.ceil(LIKE * (size - less_n + more_n) - (size - less_n) - SLIGHT).cast("int"))
