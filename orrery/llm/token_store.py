@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ BLOCK_BYTES = 1 << 20
 #: characters each.
 TRAIN_DOCS, TRAIN_CHARS, DICT_BYTES = 1000, 20_000, 32_768
 LEVEL = 3
-MOST_CACHED = 600_000
+MOST_CACHED = 750_000
 #: Letters below are letters to every library, in either case.
 LATIN = "\u0100"
 MARK, BETWEEN, AT_ONCE = "\x01", " \x01 ", 256
@@ -62,6 +62,8 @@ class Words:
         self.kind = np.dtype(kind)
         self.marks = {m: np.array(self.own.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in ".,;:!?)"}
         (self.mark,) = self.own.encode(MARK, add_special_tokens=False).ids
+        suffix = "</w>"
+        self.ends = np.array([(self.own.id_to_token(i) or "").endswith(suffix) for i in range(self.own.get_vocab_size())])
         # Two generations: what was used since the last change is kept at the next one.
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
@@ -82,20 +84,28 @@ class Words:
                 rest[stem] = None
             if stem is not w:
                 stems.append((w, stem, mark))
-        plain = [w for w in rest if MARK not in w]
-        # Many words in one text: a control character of its own stands between them.
-        parts = [plain[at : at + AT_ONCE] for at in range(0, len(plain), AT_ONCE)]
-        size = self.kind.itemsize
-        for part, coded in zip(parts, self.own.encode_batch_fast([BETWEEN.join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, self.kind)
-            raw, ends = ids.tobytes(), np.flatnonzero(ids == self.mark) * size
-            known.update(zip(part, map(raw.__getitem__, map(slice, [0, *(ends + size).tolist()], [*ends.tolist(), len(raw)])), strict=True))
-        if len(plain) < len(rest):
-            for w in rest.keys() - set(plain):
+        # A word of plain letters is one pre-token, which ends with the first token that ends a word.
+        letters, other = [], []
+        for w in rest:
+            (letters if w.isalpha() and (w.isascii() or max(w) < LATIN) else other).append(w)
+        self.add(letters, " ", lambda ids: np.flatnonzero(self.ends[ids]) + 1, 0)
+        # Others have a control character of its own between them.
+        self.add([w for w in other if MARK not in w], BETWEEN, lambda ids: np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
+        for w in other:
+            if MARK in w:
                 known[w] = np.array(self.own.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
         for w, stem, mark in stems:
             known[w] = known[stem] + mark
 
+    def add(self, new: list[str], between: str, ends: Callable[[np.ndarray], np.ndarray], gap: int) -> None:
+        """Encodes words, many in one text; ends: where each word's ids end, `gap` ids before the next's."""
+        parts = [new[at : at + AT_ONCE] for at in range(0, len(new), AT_ONCE)]
+        size = self.kind.itemsize
+        for part, coded in zip(parts, self.own.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, self.kind)
+            raw, at = ids.tobytes(), ends(ids) * size
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *(at[:-1] + gap * size).tolist()], at.tolist())), strict=True))
+
     def serialised(self, texts: list[str], end: int) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes."""
         known, before, final = self.known, self.before, np.array([end], self.kind).tobytes()
@@ -103,8 +113,10 @@ class Words:
         for text in texts:
             words_of = text.replace("\n", " ").split(" ")
             row = list(map(known.get, words_of))
-            if None in row:
-                at = [i for i, x in enumerate(row) if x is None]
+            if gaps := row.count(None):
+                at, i = [], -1
+                for _ in range(gaps):
+                    at.append(i := row.index(None, i + 1))
                 own = [words_of[i] for i in at]
                 new.update(dict.fromkeys(own))
                 holes.append((row, at, own))
@@ -143,10 +155,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, kind: str) -> by
     """A zstandard dictionary, or no bytes if there is too little to train on."""
     import zstandard
 
-    short = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).filter(F.length("text").between(1, TRAIN_CHARS))
-    # Hashes first: what is sorted and sent carries no texts.
-    picked = short.select("h").distinct().orderBy("h").limit(TRAIN_DOCS)
-    texts = sorted(r["text"] for r in short.join(F.broadcast(picked), "h").select("text").distinct().collect())
+    # By hashes of ids, which alone are sorted and sent; then the few texts.
+    picked = docs.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(TRAIN_DOCS)
+    found = docs.select("text", F.xxhash64("doc_id").alias("h")).join(F.broadcast(picked), "h").filter(F.length("text").between(1, TRAIN_CHARS))
+    texts = sorted(r["text"] for r in found.select("text").distinct().collect())[:TRAIN_DOCS]
     samples = Words(tokenizer, kind).serialised(texts, end)
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -154,6 +166,21 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, kind: str) -> by
         return b""
 
 
+def shard_of(docs: DataFrame, shards: int) -> Column:
+    """Which range of doc_id a row is in. The bounds are quantiles of doc_id, so that texts aren't read
+    for them; they are searched in two steps, of their root's number each."""
+    bounds = sorted({int(x) for x in docs.filter("doc_id IS NOT NULL").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.25 / shards)})
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("doc_id")))
+    numbers = lambda xs: F.from_json(F.lit(str(xs)), "array<bigint>")
+    table = F.from_json(F.lit(str(groups)), "array<array<bigint>>")
+    group = below(numbers([g[-1] for g in groups]))
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(group * width + F.coalesce(below(F.get(table, group)), F.lit(0)))
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> str:
     """Writes docs' ids to a new store at path; returns the dictionary's sha256."""
     import zstandard
@@ -166,9 +193,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> str:
     spark.createDataFrame([(digest, bytearray(body))], "sha256 string, body binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard, block, start = TaskContext.get().partitionId(), 0, 0
+        shard, block, start = None, 0, 0
         own = words(tokenizer, kind)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(body) if body else None)
         payload, index = bytearray(), []
@@ -178,7 +203,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> str:
 
         for batch in source:
             texts = own.serialised([t or "" for t in batch["text"].to_pylist()], end)
-            for doc, ids in zip(batch["doc_id"].to_pylist(), texts, strict=True):
+            for doc, of, ids in zip(batch["doc_id"].to_pylist(), batch["shard"].to_pylist(), texts, strict=True):
+                if of != shard:
+                    if index:
+                        yield made()
+                    shard, block, start, payload, index = of, 0, 0, bytearray(), []
                 frame, n = press.compress(ids), len(ids) // own.kind.itemsize
                 index.append({"doc_id": doc, "offset": len(payload), "length": len(frame), "n_tokens": n, "start": start})
                 payload += frame
@@ -190,8 +219,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> str:
             yield made()
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = text.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ranged.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    shards = text.select("doc_id", "text", shard_of(text, 4 * partitions(spark)).alias("shard"))
+    sorted_in = shards.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    sorted_in.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
     return digest
 
 
@@ -214,7 +244,7 @@ def read(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     last = F.element_at("index", -1)
     sizes = blocks.select("shard", (last["start"] + last["n_tokens"]).alias("upto"))
     bases, total = {}, 0
-    # A row for each shard, of which there are as many as shuffle partitions at most.
+    # A row for each shard, of which there are four times the writer's shuffle partitions at most.
     for r in sorted(sizes.groupBy("shard").agg(F.max("upto").alias("n")).collect(), key=lambda r: r["shard"]):
         bases[r["shard"]] = total
         total += r["n"]
