@@ -15,19 +15,18 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import only, prepare
 
 STEP, OVERLAP = 1 << 16, 512
 #: Characters before a chunk's end whose boundaries may depend on what follows: the longest
 #: alternative of the pattern with a fixed length has three characters.
 GUARD = 4
-MOST_CACHED = 400_000
+MOST_CACHED = 250_000
 
 
 class Encoder:
@@ -111,9 +110,8 @@ class Encoder:
         return b"".join(map(self.raw.__getitem__, ids))
 
 
-@lru_cache(2)
 def encoder(ranks_path: str, pattern: str) -> Encoder:
-    return Encoder(ranks_path, pattern)
+    return only(("bpe", ranks_path, pattern), lambda: Encoder(ranks_path, pattern))
 
 
 def per_text(docs: DataFrame, ranks_path: str, pattern: str, outputs: dict[str, str], of: Callable[[Encoder, str], tuple]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -81,8 +82,17 @@ def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
     return run
 
 
-def schema_of(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+HELD: dict = {}
+
+
+def only(key: tuple, make: Callable[[], object]):
+    """make(), kept for later tasks of the same Python worker, in place of what was kept before: workers
+    live on from stage to stage, and their models and look-ups shouldn't add up."""
+    if key not in HELD:
+        HELD.clear()
+        gc.collect()
+        HELD[key] = make()
+    return HELD[key]
 
 
 def record(names: list[str], columns: list, types: list[pa.DataType]) -> pa.RecordBatch:

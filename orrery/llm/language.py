@@ -22,14 +22,13 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, prepare
+from .common import bucket_of, only, prepare
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 64, 20_000, 1 << 16
 #: Letters with a symbol of their own, the commonest of the samples; the others share one.
@@ -157,9 +156,8 @@ class Parser:
         return out
 
 
-@lru_cache(2)
 def parser(learned: Samples) -> Parser:
-    return Parser(learned)
+    return only(("language", learned), lambda: Parser(learned))
 
 
 def identify(docs: DataFrame, learned: Samples) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, prepare
+from .common import only, partitions, prepare
 
 #: Bytes of frames after which a block is written.
 BLOCK_BYTES = 1 << 20
@@ -139,9 +139,8 @@ class Words:
         return [b"".join(row) + final for row in rows]
 
 
-@lru_cache(2)
 def words(path: str, kind: str) -> Words:
-    return Words(path, kind)
+    return only(("words", path, kind), lambda: Words(path, kind))
 
 
 @lru_cache(2)
