@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import noise, text
 from .functions import timeline as tl
 from .laws import catalogue as laws
+from .laws import panels  # noqa: F401  its laws join the catalogue
 from .operators import catalog, determinism, envelopes, intervals, outcome, tree
 from .sources import tables
 from .streaming import lease

@@ -112,10 +112,10 @@ def power(x: T, n: int) -> T:
     return out
 
 
-def cubic_out(x) -> T: return call(tl.ease_out_cubic, "(1 - power(1 - least(1.0, greatest(0.0, {0})), 3))", x)
+def cubic_out(x) -> T: return call(tl.ease_out_cubic, "(1 - (1 - least(1.0, greatest(0.0, {0}))) * (1 - least(1.0, greatest(0.0, {0}))) * (1 - least(1.0, greatest(0.0, {0}))))", x)
 def back_out(x, overshoot: float = 1.70158) -> T:
     c = "(least(1.0, greatest(0.0, {0})) - 1)"
-    return call(lambda v: tl.ease_out_back(v, overshoot), f"(1 + {overshoot + 1!r} * power({c}, 3) + {overshoot!r} * power({c}, 2))", x)
+    return call(lambda v: tl.ease_out_back(v, overshoot), f"(1 + {overshoot + 1!r} * ({c} * {c} * {c}) + {overshoot!r} * ({c} * {c}))", x)
 def smooth(x) -> T:
     c = "least(1.0, greatest(0.0, {0}))"
     return call(tl.smoothstep, f"({c} * {c} * (3 - 2 * {c}))", x)
