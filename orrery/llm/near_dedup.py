@@ -189,6 +189,7 @@ def close_buckets(buckets: DataFrame, copies: DataFrame, sets: DataFrame) -> Dat
     narrow = narrow.withColumns({"cost": cost, "slack": F.when(F.col("like") < LIKE, cost)})
     own = pivots.select(F.col("node").alias("b"), F.col("pivot").alias("own"))
     narrow = narrow.join(own, "b", "left").withColumn("own", F.coalesce(F.col("own") == F.col("a"), F.lit(False))).join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    narrow = durable(narrow)
     least = narrow.groupBy("a").agg(F.min("slack").alias("least"), F.count(F.lit(1)).alias("n"), F.bool_or("own").alias("any_own")).filter("n > 1 AND any_own AND least IS NOT NULL").select("a", "least")
     star = narrow.join(least, "a").join(edges.select("a", "b", "more", "less"), ["a", "b"])
     more_n, less_n = F.col("more_n"), F.col("less_n")
