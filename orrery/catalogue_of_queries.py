@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import noise, text
 from .functions import timeline as tl
 from .laws import catalogue as laws
-from .laws import panels  # noqa: F401  its laws join the catalogue
+from .laws import impact, panels  # noqa: F401  their laws join the catalogue
 from .operators import catalog, determinism, envelopes, intervals, outcome, tree
 from .sources import tables
 from .streaming import lease
@@ -552,19 +552,23 @@ def revision_outcome_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", F.col("day").cast("string").alias("day"), "last.action", "last.reason")
 
 
+CURVED = {"crt-glitch", "fight-zine", "impact", "media-montage", "neon-heart-pop", "rapid-photo", "turbulent-emulsion"}
+
+
 def law_query(name: str) -> None:
     """All laws of a family at the frames of events, one column for each channel."""
     channels = {f"{kind.split('.', 1)[1]}.{c}".replace("-", "_").replace("/", "_").replace(".", "__"): t for kind, f in laws.family(name).items() for c, t in f().items()}
     text_like = {k for k, t in channels.items() if k.endswith(("__shadow", "__phase"))}
-    r4 = lambda x: F.round(x, 4) + 0.0
+    # Curves are solved to about 1e-5.
+    scale = 1e4 if name in CURVED else 1e6
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = events(spark, sf_dir).select("event_id", "frame", F.lit(30.0).alias("fps"), F.lit(90.0).alias("duration"))
-        return rows.select("event_id", *((t.col if k in text_like else r4(t.col)).alias(k) for k, t in channels.items()))
+        return rows.select("event_id", *((t.col if k in text_like else F.floor(t.col * scale + 0.5) / scale).alias(k) for k, t in channels.items()))
 
     f.__name__ = f"laws_{name.replace('-', '_')}"
     known = all(t.sql is not None for t in channels.values())
-    outs = ", ".join(f"{t.sql} AS {k}" if k in text_like else f"round({t.sql}, 4) + 0.0 AS {k}" for k, t in channels.items()) if known else ""
+    outs = ", ".join(f"{t.sql} AS {k}" if k in text_like else f"floor({t.sql} * {scale!r}::DOUBLE + 0.5) / {scale!r}::DOUBLE AS {k}" for k, t in channels.items()) if known else ""
     query(f"SELECT event_id, {outs} FROM (SELECT event_id, frame, 30.0 AS fps, 90.0 AS duration FROM {FRAMES})" if known else None)(f)
 
 
