@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import noise, text
+from .functions import noise, style, text
 from .functions import timeline as tl
 from .laws import catalogue as laws
-from .laws import impact, panels  # noqa: F401  their laws join the catalogue
-from .operators import catalog, determinism, envelopes, intervals, outcome, tree
+from .laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
+from .operators import catalog, determinism, envelopes, intervals, outcome, schema, tree
 from .sources import tables
 from .streaming import lease
 from .streaming import outcome as streaming_outcome
@@ -574,3 +574,33 @@ def law_query(name: str) -> None:
 
 for _family in sorted({k.split(".")[0] for k in laws.LAWS}):
     law_query(_family)
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity - 5 AS grow, l_partkey * 0.5::DOUBLE AS o FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, 'grow' AS field FROM l WHERE grow < 0
+    UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'order' FROM l WHERE o <> floor(o)""")
+def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = ["l_orderkey", "l_linenumber", "l_partkey"]
+    rows = tables.read(spark, sf_dir, "lineitem").select(*key, (F.col("l_quantity") - 5).alias("grow"), F.col("l_discount").alias("shrink"), (F.col("l_partkey") * 0.5).alias("order"))
+    return schema.violations(rows, "layout_item", key)
+
+
+@query("""
+    SELECT event_id, nullif(concat_ws(' ', CASE WHEN event_id % 5 <> 0 THEN 'translate3d(' || event_id % 5 || 'px, 0px, 0)' END, CASE WHEN user_id % 7 <> 3 THEN 'rotate(' || (user_id % 7 - 3) || 'deg)' END,
+                      CASE WHEN event_id % 2 = 1 THEN 'scale(1, 2)' END, CASE WHEN event_id % 3 = 0 THEN 'translateX(-50%)' END), '') AS transform FROM events""")
+def style_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = lambda x: x.cast("double")
+    dim = "struct<num: double, txt: string>"
+    null = lambda kind: F.lit(None).cast(kind)
+    shift = F.struct(F.lit("translate-x").alias("kind"), null(dim).alias("x"), null(dim).alias("y"), F.struct(null("double").alias("num"), F.lit("-50%").alias("txt")).alias("value"), *(null("double").alias(c) for c in ("dx", "dy", "dz", "degrees")))
+    pose = F.struct(
+        number(F.col("event_id") % 5).alias("x"), F.lit(0.0).alias("y"), number(F.col("user_id") % 7 - 3).alias("rotate"), F.lit(0.0).alias("skew_x"), F.lit(1.0).alias("scale_x"), number(1 + F.col("event_id") % 2).alias("scale_y"),
+        F.when(F.col("event_id") % 3 == 0, F.array(shift)).otherwise(F.slice(F.array(shift), 1, 0)).alias("operations"),
+    )
+    return tables.read(spark, sf_dir, "events").select("event_id", style.transform(pose).alias("transform"))
+
+
+@query()
+def law_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.find(catalog.of_laws(spark), type="behaviour")

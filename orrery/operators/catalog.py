@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,3 +45,18 @@ def listing(catalog: DataFrame, order: Sequence[Column | str], row: Column | Non
     line = row if row is not None else F.concat_ws(" | ", "id", F.array_join("use_when", ", "), F.array_join("preserves", ", "))
     entries = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
     return catalog.groupBy("style").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("text"))
+
+
+def of_laws(spark: SparkSession) -> DataFrame:
+    """The laws of this library as a catalogue: one entry for each, with its roles as what it is for and
+    its channels as what it keeps."""
+    from ..laws import catalogue as laws
+
+    found: dict[str, tuple[set[str], set[str]]] = {}
+    for name, channels in laws.LAWS.items():
+        kind, _, role = name.partition("/")
+        roles, kept = found.setdefault(kind, (set(), set()))
+        roles |= {role} - {""}
+        kept |= set(channels())
+    rows = [(f"behaviour.{k}", "behaviour", k.split(".")[0], f"orrery.laws/{k}", sorted(roles), sorted(kept)) for k, (roles, kept) in sorted(found.items())]
+    return spark.createDataFrame(rows, SCHEMA)
