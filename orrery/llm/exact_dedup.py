@@ -106,7 +106,7 @@ def hot_groups(docs: DataFrame, most: int = 5000) -> dict[bytes, tuple[int, int
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_points, fp, other, sha: equal normalised texts are those with equal (fp, other).
+    """doc_id, n_points, fp, other, part, sha: equal normalised texts are those with equal (fp, other).
 
     Texts go to the task of their fingerprint, hot fingerprints to several tasks with a copy of the
     text that stands for them, and stream past that text in sorted order. `other` is empty for a
@@ -137,13 +137,13 @@ def classes(docs: DataFrame) -> DataFrame:
                 if (fp, part) != key:
                     key, reference = (fp, part), body
                 if role:
-                    out.append((doc, points, fp, "" if equal_by_chunks(body, reference) else sha, sha))
+                    out.append((doc, points, fp, "" if equal_by_chunks(body, reference) else sha, part, sha))
             if out:
-                yield record(["doc_id", "n_points", "fp", "other", "sha"], list(zip(*out, strict=True)), [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()])
+                yield record(["doc_id", "n_points", "fp", "other", "part", "sha"], list(zip(*out, strict=True)), [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.string()])
 
     placed = docs.mapInArrow(batches(dealt), "fp binary, part int, role int, doc_id long, n_points long, sha string, body binary")
     placed = placed.repartition(partitions(docs.sparkSession), "fp", "part").sortWithinPartitions("fp", "part", "role", "doc_id")
-    return placed.mapInArrow(compared, "doc_id long, n_points long, fp binary, other string, sha string")
+    return placed.mapInArrow(compared, "doc_id long, n_points long, fp binary, other string, part int, sha string")
 
 
 def mark_duplicates(docs: DataFrame) -> DataFrame:
@@ -154,10 +154,13 @@ def mark_duplicates(docs: DataFrame) -> DataFrame:
     rows = durable(classes(docs))
     last = F.lit(-(1 << 63)).cast("long")
     rank = F.struct("n_points", F.coalesce(-F.col("doc_id"), last).alias("minus_id"))
-    groups = rows.groupBy("fp", "other").agg(F.count(F.lit(1)).alias("group_size"), F.max(rank).alias("best"))
+    # Rows meet their group by the part that they were dealt to, so that a hot group stays spread out.
+    parts = rows.groupBy("fp", "other", "part").agg(F.count(F.lit(1)).alias("n"), F.max(rank).alias("top"))
+    groups = parts.groupBy("fp", "other").agg(F.sum("n").alias("group_size"), F.max("top").alias("best"))
+    groups = parts.select("fp", "other", "part").join(groups, ["fp", "other"])
     groups = groups.withColumn("keep_id", F.when(F.col("best.minus_id") > last, -F.col("best.minus_id")))
     kept = (F.col("n_points") == F.col("best.n_points")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return rows.join(groups, ["fp", "other"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), "n_points")
+    return rows.join(groups, ["fp", "other", "part"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), "n_points")
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
