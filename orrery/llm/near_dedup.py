@@ -8,7 +8,7 @@ the Jaccard likeness of the shingle sets decides: a link is 0.8 or more.
 
 Texts with equal shingle sets are one node. Within a bucket nodes aren't paired with one another:
 
-1.  Every member is compared with the bucket's leader (the node with most copies).
+1.  Every member is compared with the bucket's leader (the node that meets most others).
 2.  Every node gets a pivot, the busiest leader at a likeness of CLOSE or more (else itself). Every
     member of a bucket is compared with every pivot that occurs in it.
 3.  Let D and M be what a member has beyond its pivot P, and what it misses of P. If y isn't linked
@@ -162,8 +162,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def close_buckets(buckets: DataFrame, copies: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) among the members of buckets (bucket, node)."""
-    many = buckets.join(copies, "node")
-    leaders = many.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "node")).alias("top")).filter("n > 1")
+    # The original of a family has most in common with the others, so it leads wherever it occurs.
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    met = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met")).join(copies, "node")
+    leaders = buckets.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "copies", "node")).alias("top"))
     buckets = durable(buckets.join(leaders.select("bucket", F.col("top.node").alias("leader")), "bucket"))
     first = buckets.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     edges = durable(verified(first, sets))
