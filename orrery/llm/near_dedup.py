@@ -50,7 +50,7 @@ LEAST = 4
 #: What rounding may take from a bound that is met exactly.
 SLIGHT = 1e-9
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-MOST_CACHED = 500_000
+MOST_CACHED = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -121,12 +121,20 @@ def node_of(keys: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(keys.tobytes())).view(np.int64))
 
 
+def parts(source: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut down to about `most` bytes of text: signatures take some hundred bytes a word at once."""
+    for batch in source:
+        rows = max(1, min(batch.num_rows, batch.num_rows * most // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, node, bands: node is null for a text without a word, bands empty if no link is possible."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler()
-        for batch in source:
+        for batch in parts(source):
             sets = [shingled(t) for t in batch["text"].to_pylist()]
             wide = [i for i, (k, _) in enumerate(sets) if len(k) >= LEAST]
             bands: list = [[]] * len(sets)
@@ -141,8 +149,9 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
+    shingled = Shingler()
+
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shingled = Shingler()
         sets = [shingled(t)[0] for t in batch["text"].to_pylist()]
         short = [np.unique((k >> np.uint64(32)).astype(np.uint32)).view(np.int32) for k in sets]
         return pa.RecordBatch.from_arrays([pa.array([node_of(k) if len(k) else None for k in sets], pa.int64()), pa.array(short, pa.list_(pa.int32()))], names=["node", "shingles"])
