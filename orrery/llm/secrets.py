@@ -3,8 +3,8 @@
 Base spans are the matches of three patterns. The method adds to them: a candidate near a word such
 as `password` or `token` is compressed with zstandard after its own surroundings, primed with a
 dictionary of identifiers and of the surroundings; the bytes that it adds are what neither the code
-around it nor common names explain. Candidates that stay almost incompressible are reported as
-`novel`.
+around it nor common names explain. Copies of the candidate are no part of its surroundings.
+Candidates that stay almost incompressible are reported as `novel`.
 
 Defined results: a null text counts as empty and has no spans; repeated rows and null ids are rows
 like others; extra columns are kept by `scan`, and those named like its own outputs are replaced.
@@ -34,6 +34,9 @@ REACH = 48
 CANDIDATE, REST = re.compile(r"[A-Za-z0-9+/_=-]{12,}"), re.compile(r"[A-Za-z0-9+/_=-]*")
 #: Characters on either side that count as surroundings.
 AROUND = 512
+#: A copy that the text itself calls an id, as no sensitive word does before it.
+CALLED_ID = re.compile(r"""(?<![\w.-])(?<!client.)id["']?[\x20\t]*[:=]?[\x20\t]*["']?\Z""", re.I | re.A)
+JOINTS = "+/_=-"
 #: Added bytes for each character, and altogether, from which a candidate is incompressible.
 NOVEL_RATE, NOVEL_BYTES = 0.6, 10
 #: The identifier dictionary. Fixed value.
@@ -80,6 +83,46 @@ def mixed(candidate: str) -> bool:
     return 2 <= digits < len(candidate) or turns >= 3
 
 
+def copies(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Other occurrences of text[start:end] that reach into its surroundings: of the string without
+    joints at its ends, of what stands between its equals signs, and of strings that are a part of it."""
+    candidate = text[start:end]
+    core = candidate.strip(JOINTS) or candidate
+    parts = {core} | {p for p in candidate.split("=") if len(p) >= 12}
+    found = []
+    for low, high, edge, far in ((max(0, start - AROUND - len(candidate) + 1), start, start - AROUND, start), (end, end + AROUND + len(candidate) - 1, end, end + AROUND)):
+        for part in parts:
+            at = text.find(part, low, high)
+            while at >= 0:
+                found.append((at, at + len(part)))
+                at = text.find(part, at + len(part), high)
+        for m in CANDIDATE.finditer(text, max(0, edge), far):
+            inner = m[0].strip(JOINTS)
+            if len(inner) >= 12 and inner in candidate:
+                found.append(m.span())
+    return [(a, b) for a, b in found if b > start - AROUND and a < end + AROUND]
+
+
+def called_id(text: str, start: int) -> bool:
+    before = text[max(0, start - REACH - 16) : start]
+    return bool(CALLED_ID.search(before[-16:])) and not SENSITIVE.search(before)
+
+
+def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """Before and after, with copies of the string blanked out: a secret must not explain itself.
+    A string that is called an id where it or a copy stands is explained by its copies."""
+    low, high = max(0, start - AROUND), end + AROUND
+    others = copies(text, start, end)
+    if not others or any(called_id(text, a) for a in {start, *(a for a, _ in others)}):
+        return text[low:start], text[end:high]
+    before, after = list(text[low:start]), list(text[end:high])
+    for a, b in others:
+        for side, first in ((before, low), (after, end)):
+            for k in range(max(0, a - first), min(len(side), b - first)):
+                side[k] = " "
+    return "".join(before), "".join(after)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
@@ -102,7 +145,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             seen.add((start, end))
             candidate = text[start:end]
             if mixed(candidate):
-                added = novelty.added(text[max(0, start - AROUND) : start], candidate, text[end : end + AROUND])
+                before, after = surroundings(text, start, end)
+                added = novelty.added(before, candidate, after)
                 if added >= max(NOVEL_BYTES, NOVEL_RATE * len(candidate)):
                     out.append((start, 3, end))
     return out
