@@ -2,7 +2,7 @@
 
 Base spans are the matches of three patterns. The method adds to them: a candidate near a word such
 as `password` or `token` is compressed with zstandard after its own surroundings, primed with a
-dictionary of identifiers and of the surroundings; the bytes that it adds are what neither the code
+dictionary of long words, of identifiers and of the surroundings; the bytes that it adds are what neither the code
 around it nor common names explain. Copies of the candidate are no part of its surroundings.
 Candidates that stay almost incompressible are reported as `novel`.
 
@@ -47,6 +47,29 @@ IDENTIFIERS = (
     "buffer stream reader writer encode decode parse format print log error warning debug info exception handler callback async await promise result data payload message query select insert update delete where join "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 000000000000 111111111111 xxxxxxxxxxxx XXXXXXXXXXXX ------------ ============ ____________ "
 ).encode()
+#: Long words and their parts, so that words of a language cost little. Fixed value.
+WORDS = (
+    "authentication authorization authenticated authenticate authorisation unauthorized certificates certification cryptography cryptographic confidential confidentiality verification identification "
+    "documentation documented implementation implementations implementing configuration configurations configurable administration administrator administrative infrastructure initialization functionality "
+    "communication communications organization organisation organizations international internationalisation internationalization nationalisation representation representative representing distribution distributed "
+    "compatibility incompatible responsibility responsibilities availability accessibility possibilities probabilities straightforward straightforwardly automatically specifically particularly approximately "
+    "independently unfortunately significantly additionally respectively consequently subsequently simultaneously alternatively immediately successfully unsuccessful appropriately individually unconditionally "
+    "requirements dependencies specification specifications classification notification modification registration transformation combinations applications recommendation consideration considerations "
+    "understanding relationship relationships characteristic characteristics circumstances environment environments environmental development developments government governments manufacturing engineering "
+    "introduction construction reconstruction instructions restrictions substitution contribution contributions subscription description descriptions prescription transmission acknowledgment correspondence "
+    "professional professionals traditional conventional experimental mathematical philosophical psychological technological technologies architecture agricultural intellectual constitutional unprecedented "
+    "extraordinary revolutionary comprehensive sophisticated corresponding distinguished neighbourhood approximation interpretation investigation investigations participation participants presentation "
+    "concentration demonstration determination discrimination examination explanation generalization normalization optimization serialization synchronization asynchronous visualization localization "
+    "entertainment establishment advertisement announcement improvements disappointment accomplishment intermediate preliminary deterministic heterogeneous multiprocessing preprocessing troubleshooting "
+    "effectiveness consciousness nevertheless independence intelligence significance interference circumference measurements temperatures transactions transportation translations university "
+    "Authentifizierung Verschluesselung Verschlüsselung Benutzername Zugangsdaten Verantwortung Gesellschaft gesellschaftlich Wissenschaft wissenschaftlich Wirtschaft wirtschaftlich Entwicklung Geschwindigkeit "
+    "Möglichkeit Möglichkeiten Schwierigkeiten Zusammenarbeit Zusammenhang Unternehmen Unterstützung Veranstaltung Veröffentlichung Verwaltung Bundesrepublik Deutschland Regierung Vereinigten Staaten beziehungsweise "
+    "selbstverständlich ausschließlich unterschiedlich wahrscheinlich verschiedene entsprechend grundsätzlich Voraussetzung Auseinandersetzung Grundstück Versicherung Arbeitgeber Arbeitnehmer Krankenhaus Öffentlichkeit "
+    "authentification identifiant développement gouvernement environnement fonctionnement établissement enseignement renseignements administration particulièrement généralement immédiatement malheureusement "
+    "automatiquement actuellement essentiellement représentation connaissance connaissances caractéristiques responsabilité compréhension internationale professionnelle économique scientifique politique République "
+    "autenticación identificación contraseña administración desarrollo conocimiento funcionamiento establecimiento acontecimientos responsabilidad posibilidad características particularmente generalmente "
+    "inmediatamente desafortunadamente especialmente aproximadamente representación comunicación organización investigación internacional profesionales universidad naturaleza sin embargo "
+).encode()
 
 
 class Novelty:
@@ -58,7 +81,7 @@ class Novelty:
     def added(self, before: str, candidate: str, after: str) -> int:
         """Bytes that the candidate adds to its surroundings, compressed with the dictionaries."""
         around = f"{before}\n{after}\n".encode("utf-8", "surrogatepass")
-        primed = self.zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=self.zstandard.DICT_TYPE_RAWCONTENT)
+        primed = self.zstandard.ZstdCompressionDict(WORDS + IDENTIFIERS + around, dict_type=self.zstandard.DICT_TYPE_RAWCONTENT)
         press = self.zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_dict_id=False)
         context = before[-REACH:].encode("utf-8", "surrogatepass")
         return len(press.compress(context + candidate.encode())) - len(press.compress(context))
@@ -76,13 +99,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def mixed(candidate: str) -> bool:
-    """Letters with digits, or both cases in alternation: words of a language have neither."""
-    digits = sum(c.isdigit() for c in candidate)
-    turns = sum(a.islower() and b.isupper() for a, b in zip(candidate, candidate[1:], strict=False))
-    return 2 <= digits < len(candidate) or turns >= 3
-
-
 def copies(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Other occurrences of text[start:end] that reach into its surroundings: of the string without
     joints at its ends, of what stands between its equals signs, and of strings that are a part of it."""
@@ -144,11 +160,10 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
                 continue
             seen.add((start, end))
             candidate = text[start:end]
-            if mixed(candidate):
-                before, after = surroundings(text, start, end)
-                added = novelty.added(before, candidate, after)
-                if added >= max(NOVEL_BYTES, NOVEL_RATE * len(candidate)):
-                    out.append((start, 3, end))
+            before, after = surroundings(text, start, end)
+            added = novelty.added(before, candidate, after)
+            if added >= max(NOVEL_BYTES, NOVEL_RATE * len(candidate)):
+                out.append((start, 3, end))
     return out
 
 

@@ -54,6 +54,17 @@ def test_copies_of_a_secret_do_not_explain_it():
         assert novel(f"{key} {'lorem ' * 100}"[: n - 8] + f" bearer {key}") == [key], n
 
 
+def test_candidates_of_any_alphabet_are_measured():
+    assert novel("Bearer QZJXKVBWPFHGMTYD") == ["QZJXKVBWPFHGMTYD"]
+    assert novel("credential qzjxkvbwpfhgmtyd") == ["qzjxkvbwpfhgmtyd"]
+    assert novel("login 837465019283746") == ["837465019283746"]
+    rng = random.Random(8)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n in (12, 16, 20, 40):
+            key = "".join(rng.choices(letters, k=n))
+            assert novel(f"the bearer is {key}.") == [key]
+
+
 def test_scan(odd, empty):
     got = secrets.scan(odd)
     assert got.columns == [*odd.columns, "n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"]
