@@ -3,7 +3,9 @@
 Base spans are the matches of three patterns. The method adds to them: a candidate near a word such
 as `password` or `token` is compressed with zstandard after its own surroundings, primed with a
 dictionary of long words, of identifiers and of the surroundings; the bytes that it adds are what neither the code
-around it nor common names explain. Copies of the candidate are no part of its surroundings.
+around it nor common names explain. A word
+counts on either side, and for all candidates of a block that only blanks and marks divide.
+Copies of the candidate are no part of its surroundings.
 Candidates that stay almost incompressible are reported as `novel`.
 
 Defined results: a null text counts as empty and has no spans; repeated rows and null ids are rows
@@ -27,11 +29,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Words that make a context sensitive, and how many characters before a candidate they count.
+#: Words that make a context sensitive, and how many characters before or after a candidate they count.
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|credential|auth|bearer|private.?key|access.?key|signature|client.?id|login", re.I | re.A)
 SENSITIVE_WORDS = ("passw", "passphrase", "secret", "token", "key", "credential", "auth", "bearer", "signature", "client", "login")
 REACH = 48
-CANDIDATE, REST = re.compile(r"[A-Za-z0-9+/_=-]{12,}"), re.compile(r"[A-Za-z0-9+/_=-]*")
+CANDIDATE, LEAST = re.compile(r"[A-Za-z0-9+/_=-]{12,}"), 12
+#: What may stand between candidates of one block, such as the lines of a key: no letter, no digit.
+GAP = re.compile(r"(?:\\[rnt]|[\W_])*")
 #: Characters on either side that count as surroundings.
 AROUND = 512
 #: A copy that the text itself calls an id, as no sensitive word does before it.
@@ -104,7 +108,7 @@ def copies(text: str, start: int, end: int) -> list[tuple[int, int]]:
     joints at its ends, of what stands between its equals signs, and of strings that are a part of it."""
     candidate = text[start:end]
     core = candidate.strip(JOINTS) or candidate
-    parts = {core} | {p for p in candidate.split("=") if len(p) >= 12}
+    parts = {core} | {p for p in candidate.split("=") if len(p) >= LEAST}
     found = []
     for low, high, edge, far in ((max(0, start - AROUND - len(candidate) + 1), start, start - AROUND, start), (end, end + AROUND + len(candidate) - 1, end, end + AROUND)):
         for part in parts:
@@ -114,7 +118,7 @@ def copies(text: str, start: int, end: int) -> list[tuple[int, int]]:
                 at = text.find(part, at + len(part), high)
         for m in CANDIDATE.finditer(text, max(0, edge), far):
             inner = m[0].strip(JOINTS)
-            if len(inner) >= 12 and inner in candidate:
+            if len(inner) >= LEAST and inner in candidate:
                 found.append(m.span())
     return [(a, b) for a, b in found if b > start - AROUND and a < end + AROUND]
 
@@ -139,31 +143,61 @@ def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
     return "".join(before), "".join(after)
 
 
+def candidates(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Strings of candidates' characters, cut at the sensitive words that stand apart in them."""
+    k = 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while k < len(words) and words[k][1] <= start:
+            k += 1
+        while k < len(words) and words[k][1] <= end:
+            low, high = words[k]
+            apart = low <= start or text[low - 1] in JOINTS or high == end or text[high] in JOINTS
+            if apart:
+                if low - start >= LEAST:
+                    yield start, low
+                start = high
+            k += 1
+        if end - start >= LEAST:
+            yield start, end
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    out, seen = [], set()
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    out, block, near = [], [], False
     starts, furthest = [s for s, _, _ in base], list(accumulate((e for *_, e in base), max))
 
     def overlaps(start: int, end: int) -> bool:
         before = bisect_left(starts, end)  # base spans that start before the end
         return before > 0 and furthest[before - 1] > start
 
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 512)):
-            start, end = m.span()
-            if start > word.end() + REACH:
-                break
-            end = REST.match(text, end).end()
-            if (start, end) in seen or overlaps(start, end):
-                continue
-            seen.add((start, end))
-            candidate = text[start:end]
-            before, after = surroundings(text, start, end)
-            added = novelty.added(before, candidate, after)
-            if added >= max(NOVEL_BYTES, NOVEL_RATE * len(candidate)):
-                out.append((start, 3, end))
+    def measure() -> None:
+        for start, end in block:
+            # As a whole, or what follows a word grown into it.
+            for at in (start, *(m.end() for m in SENSITIVE.finditer(text, start, end) if end - m.end() >= LEAST)):
+                if not overlaps(at, end):
+                    before, after = surroundings(text, at, end)
+                    if novelty.added(before, text[at:end], after) >= max(NOVEL_BYTES, NOVEL_RATE * (end - at)):
+                        out.append((at, 3, end))
+                        break
+
+    first = 0
+    for start, end in candidates(text, words):
+        if block and not GAP.fullmatch(text, block[-1][1], start):
+            if near:
+                measure()
+            block, near = [], False
+        block.append((start, end))
+        while first < len(words) and words[first][1] < start - REACH:
+            first += 1
+        near = near or first < len(words) and words[first][0] <= end + REACH
+    if near:
+        measure()
     return out
 
 
