@@ -5,11 +5,13 @@ greedily into the longest phrases that occur in the sample; with c phrases over
 sample of N symbols, c * log2(N) / n estimates the bits a symbol costs in that language, and the
 language with the fewest wins.
 
-Automata are dense transition tables, and many stretches of text walk them in step, one numpy call
+Every letter of the samples has a symbol of its own. Automata are transition tables, dense for the
+commonest letters of a language and sorted for its others, and many stretches of text walk them in step, one numpy call
 for a symbol of all of them. Every text is read whole, in stretches of STRETCH symbols.
 
 The sample is bounded: for each language, the first SAMPLE_DOCS labelled texts in a hashed order that
-have at most SAMPLE_CHARS characters, until SAMPLE_SYMBOLS are reached.
+have at most SAMPLE_CHARS characters, until SAMPLE_SYMBOLS are reached. Where a language has none so
+short, the first SAMPLE_CHARS characters of its longer texts, from their first letter on.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is any text when
 nothing could be learned. Rows with a null lang aren't learned from. Repeated rows and null ids are
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import bucket_of, only, prepare
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 64, 20_000, 1 << 16
-#: Letters with a symbol of their own, the commonest of the samples; the others share one.
+#: Symbols of a language with a column of their own in its dense table, the commonest of its sample.
 LETTERS = 61
 STRETCH = 512
 BLANK, OTHER = 0, 1
@@ -43,13 +44,15 @@ Samples = tuple[tuple[str, str], ...]
 def samples(docs: DataFrame, learn: Column) -> Samples:
     """(lang, text) of the bounded sample, in the order of lang."""
     prepare(docs.sparkSession)
-    rows = docs.filter(learn & F.col("lang").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"\p{L}")).filter(F.length("text") <= SAMPLE_CHARS)
+    rows = docs.filter(learn & F.col("lang").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"\p{L}")).withColumn("long", F.length("text") > SAMPLE_CHARS)
     order = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
     # Ids first, so that the sort carries no texts; then the texts of the few picked.
-    ids = rows.select("lang", "doc_id", order[0].alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("n") <= SAMPLE_DOCS)
-    picked = {(r["lang"], r["h"]): r["n"] for r in ids.collect()}
+    ids = rows.select("lang", "doc_id", "long", order[0].alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id"))).filter(F.col("n") <= SAMPLE_DOCS)
+    first = ids.collect()
+    short = {r["lang"] for r in first if not r["long"]}
+    picked = {(r["lang"], r["h"]): r["n"] for r in first if not r["long"] or r["lang"] not in short}
     hashes = docs.sparkSession.createDataFrame([(h,) for h in {h for _, h in picked}], "h long")
-    found = rows.select("lang", "text", order[0].alias("h")).join(F.broadcast(hashes), "h").dropDuplicates(["lang", "h"]).collect()
+    found = rows.select("lang", F.when(F.col("long"), F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, SAMPLE_CHARS)).otherwise(F.col("text")).alias("text"), order[0].alias("h")).join(F.broadcast(hashes), "h").dropDuplicates(["lang", "h"]).collect()
     found.sort(key=lambda r: (r["lang"], picked.get((r["lang"], r["h"]), math.inf)))
     out: dict[str, str] = {}
     for r in found:
@@ -58,17 +61,17 @@ def samples(docs: DataFrame, learn: Column) -> Samples:
     return tuple(sorted(out.items()))
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of all substrings: row 1 is the start, 0 means none."""
-    after, link, length = [[0] * width, [0] * width], [0, 0], [0, 0]
+def transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """Of the automaton of all substrings, by state: 1 is the start, 0 isn't used."""
+    after, link, length = [{}, {}], [0, 0], [0, 0]
     last = 1
     for c in symbols:
         state = len(after)
-        after.append([0] * width)
+        after.append({})
         length.append(length[last] + 1)
         link.append(1)
         p = last
-        while p and not after[p][c]:
+        while p and c not in after[p]:
             after[p][c] = state
             p = link[p]
         if p:
@@ -81,32 +84,78 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                 length.append(length[p] + 1)
                 link.append(link[q])
                 link[q] = link[state] = twin
-                while p and after[p][c] == q:
+                while p and after[p].get(c) == q:
                     after[p][c] = twin
                     p = link[p]
         last = state
-    return np.array(after, np.int32)
+    return after
+
+
+def triples(after: list[dict[int, int]]) -> np.ndarray:
+    """(state, symbol, next state), a column each."""
+    return np.array([(i, c, to) for i, own in enumerate(after) for c, to in own.items()], np.int64).reshape(-1, 3).T
+
+
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """Transitions of all substrings: row 1 is the start, 0 means none."""
+    after = transitions(symbols)
+    table = np.zeros((len(after), width), np.int32)
+    state, c, to = triples(after)
+    table[state, c] = to
+    return table
+
+
+class Automaton:
+    """Transitions of one sample. A state is its number times the width of the dense table; column 0
+    of that table is for symbols that the sample doesn't have."""
+
+    def __init__(self, symbols: np.ndarray, n_symbols: int) -> None:
+        found, counts = np.unique(symbols, return_counts=True)
+        found = found[np.lexsort((found, -counts))]
+        self.column = np.zeros(n_symbols, np.int32)
+        self.column[found] = np.arange(1, len(found) + 1)
+        self.width, self.every = min(len(found), LETTERS + 2) + 1, len(found) + 1
+        after = transitions(self.column[symbols].tolist())
+        state, c, to = triples(after)
+        to *= self.width
+        dense = c < self.width
+        self.table = np.zeros(len(after) * self.width, np.int32)
+        self.table[state[dense] * self.width + c[dense]] = to[dense]
+        self.start = np.full(self.every, self.width, np.int32)
+        self.start[c[state == 1]] = to[state == 1]
+        keys = state[~dense] * self.every + c[~dense]
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to[~dense][order].astype(np.int32)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase ended."""
+        c = self.column.take(symbols)
+        if len(self.keys):
+            far = np.flatnonzero(c >= self.width)
+            near = state + c
+            near[far] = 0
+            to = self.table.take(near)
+            wanted = state[far].astype(np.int64) // self.width * self.every + c[far]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            to[far] = np.where(self.keys[at] == wanted, self.to[at], 0)
+        else:
+            to = self.table.take(state + c)
+        none = to == 0
+        return np.where(none, self.start.take(c), to), none
 
 
 class Parser:
     def __init__(self, learned: Samples) -> None:
         self.langs = [lang for lang, _ in learned]
-        counts = Counter(c for _, text in learned for c in text.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.width = len(letters) + 2
-        self.symbol = np.zeros(0x110000, np.uint8)
+        letters = sorted({c for _, text in learned for c in text.lower() if c.isalpha()})
+        self.symbol = np.zeros(0x110000, np.uint16 if len(letters) + 2 < 1 << 16 else np.int32)
         self.symbol[[i for i in range(0x110000) if unicodedata.category(chr(i))[0] == "L"]] = OTHER
         for k, c in enumerate(letters):
             self.symbol[ord(c)] = k + 2
-        self.tables, self.starts, self.cost = [], [], []
+        self.automata, self.cost = [], []
         for _, text in learned:
             own = self.read(text)[:SAMPLE_SYMBOLS]
-            # Transitions hold offsets into the flat table.
-            table = suffix_automaton(own.tolist(), self.width) * self.width
-            start = table[1].copy()
-            start[start == 0] = self.width
-            self.tables.append(table.ravel())
-            self.starts.append(start)
+            self.automata.append(Automaton(own, len(letters) + 2))
             self.cost.append(math.log2(len(own) + 2))
 
     def read(self, text: str) -> np.ndarray:
@@ -124,19 +173,16 @@ class Parser:
         if lanes:
             lanes.sort(key=lambda x: -len(x[1]))
             sizes = np.array([len(r) for _, r in lanes])
-            steps = np.zeros((sizes[0], len(lanes)), np.uint8)
+            steps = np.zeros((sizes[0], len(lanes)), self.symbol.dtype)
             for k, (_, r) in enumerate(lanes):
                 steps[: len(r), k] = r
             open_at = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
             owner = np.array([i for i, _ in lanes])
-            for j, (table, start) in enumerate(zip(self.tables, self.starts, strict=True)):
-                state, missed = np.full(len(lanes), self.width, np.int32), np.zeros(len(lanes), np.int32)
+            for j, automaton in enumerate(self.automata):
+                state, missed = np.full(len(lanes), automaton.width, np.int32), np.zeros(len(lanes), np.int32)
                 for step, n in zip(steps, open_at, strict=True):
-                    c = step[:n]
-                    to = table.take(state[:n] + c)
-                    none = to == 0
+                    state[:n], none = automaton.step(state[:n], step[:n])
                     missed[:n] += none
-                    state[:n] = np.where(none, start.take(c), to)
                 np.add.at(phrases[:, j], owner, missed)
         n = np.maximum(1, np.array([len(r) for r in read]))[:, None]
         return phrases * np.array(self.cost) / n, letters

@@ -123,6 +123,26 @@ def test_phrases_equal_greedy_parsing():
         assert abs(bits[0][k] - phrases * own.cost[k] / len(read)) < 1e-9
 
 
+def test_every_letter_has_a_symbol_of_its_own():
+    rng = random.Random(10)
+    # Two languages with the same letters in other orders, beside others that hold the commonest letters.
+    script = [chr(0x4E00 + i) for i in range(800)]
+    one, two = ([rng.sample(script, 3) for _ in range(400)] for _ in range(2))
+    write = lambda words, n: " ".join("".join(rng.choice(words)) for _ in range(n))
+    latin = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=40_000))
+    greek = "".join(rng.choices("".join(chr(c) for c in range(0x3B1, 0x3CA)) + "".join(chr(c) for c in range(0x430, 0x450)) + " ", k=40_000))
+    own = language.Parser((("en", latin), ("ja", write(one, 3000)), ("ru", greek), ("zh", write(two, 3000))))
+    texts = [write(w, 8) for w in (one, two) for _ in range(50)]
+    assert [lang for lang, _ in own.predict(texts)] == ["ja"] * 50 + ["zh"] * 50
+
+
+def test_languages_with_long_texts_only_are_learned(spark):
+    rows = [(1, " 12 " * 9000 + "le chat est sur la table et le chien court " * 600, "fr"), (2, "the cat sat on the mat and the dog ran", "en"), (3, "the dog " * 9000, "en")]
+    learned = dict(language.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)))
+    assert set(learned) == {"en", "fr"} and learned["en"].strip() == rows[1][1]
+    assert learned["fr"].strip().startswith("le chat") and len(learned["fr"]) <= language.SAMPLE_CHARS + 1
+
+
 def test_language_of_odd_texts(odd, empty):
     learned = language.samples(odd, F.lit(True))
     got = {r["text"]: r["lang_pred"] for r in language.identify(odd, learned).collect()}
