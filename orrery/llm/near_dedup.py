@@ -3,7 +3,8 @@
 Shingles of five words carry weights. Each shingle is a Poisson process whose rate is its weight:
 arrivals in increasing time fall on random registers, a register keeps its earliest arrival, and a
 shingle stops as soon as its next arrival comes after the latest register. Two signatures agree in a
-register with the probability Jaccard likeness of the weighted sets. Bands of registers nominate;
+register with the probability Jaccard likeness of the weighted sets. Bands of registers nominate,
+for a text with repeated shingles those of equal weights as well;
 the Jaccard likeness of the shingle sets decides: a link is 0.8 or more.
 
 Texts with equal shingle sets are one node. Within a bucket nodes aren't paired with one another:
@@ -142,6 +143,11 @@ def signed(docs: DataFrame) -> DataFrame:
                 made = band_keys(signatures([sets[i][0] for i in wide], [weights(sets[i][1]) for i in wide]))
                 for i, row in zip(wide, made, strict=True):
                     bands[i] = row
+            # By equal weights too, as verification sees them; where nothing is repeated they are the same.
+            if repeated := [i for i in wide if sets[i][1].max() > 1]:
+                made = band_keys(signatures([sets[i][0] for i in repeated], [np.ones(len(sets[i][0])) for i in repeated]))
+                for i, row in zip(repeated, made, strict=True):
+                    bands[i] = np.union1d(bands[i], row)
             nodes = [node_of(k) if len(k) else None for k, _ in sets]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "bands"])
 

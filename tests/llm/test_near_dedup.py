@@ -91,3 +91,20 @@ def test_odd_texts(odd, empty):
     kept = near.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == 7
     assert near.classes(empty).count() == 0
+
+
+def test_repetition_does_not_hide_near_copies(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for k in range(60):
+        # What differs is a passage that each copy repeats a thousand times and more.
+        shared = [word() for _ in range(80)]
+        for j in (0, 1):
+            rows.append((2 * k + j, " ".join(shared + [word() for _ in range(3)] * 1500)))
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2))
+    bands = {r["doc_id"]: set(r["bands"]) for r in near.signed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    plain = {i: set(near.band_keys(near.signatures([near.Shingler()(t)[0]], [np.ones(len(sets[i]))]))[0].tolist()) for i, t in rows}
+    assert all(bands[i] >= plain[i] for i, _ in rows)
+    assert all(bands[i] & bands[i + 1] for i in range(0, len(rows), 2))
