@@ -552,6 +552,8 @@ def revision_outcome_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", F.col("day").cast("string").alias("day"), "last.action", "last.reason")
 
 
+#: Frames a second at which the laws are evaluated.
+RATES = (24.0, 30.0, 60.0)
 CURVED = {"crt-glitch", "fight-zine", "impact", "media-montage", "neon-heart-pop", "rapid-photo", "turbulent-emulsion"}
 
 
@@ -563,13 +565,15 @@ def law_query(name: str) -> None:
     scale = 1e4 if name in CURVED else 1e6
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = events(spark, sf_dir).select("event_id", "frame", F.lit(30.0).alias("fps"), F.lit(90.0).alias("duration"))
+        rate = F.element_at(F.array(*map(F.lit, RATES)), (F.col("event_id") % len(RATES) + 1).cast("int"))
+        rows = events(spark, sf_dir).select("event_id", "frame", rate.alias("fps"), (60.0 + F.col("event_id") % 5 * 60).alias("duration"))
         return rows.select("event_id", *((t.col if k in text_like else F.floor(t.col * scale + 0.5) / scale).alias(k) for k, t in channels.items()))
 
     f.__name__ = f"laws_{name.replace('-', '_')}"
     known = all(t.sql is not None for t in channels.values())
     outs = ", ".join(f"{t.sql} AS {k}" if k in text_like else f"floor({t.sql} * {scale!r}::DOUBLE + 0.5) / {scale!r}::DOUBLE AS {k}" for k, t in channels.items()) if known else ""
-    query(f"SELECT event_id, {outs} FROM (SELECT event_id, frame, 30.0 AS fps, 90.0 AS duration FROM {FRAMES})" if known else None)(f)
+    rates = ", ".join(f"{r!r}::DOUBLE" for r in RATES)
+    query(f"SELECT event_id, {outs} FROM (SELECT event_id, frame, [{rates}][event_id % {len(RATES)} + 1] AS fps, (60.0 + event_id % 5 * 60)::DOUBLE AS duration FROM {FRAMES})" if known else None)(f)
 
 
 for _family in sorted({k.split(".")[0] for k in laws.LAWS}):

@@ -13,8 +13,6 @@ from .terms import PI, T, absolute, back_out, bezier, clamp, cos, cubic_out, dur
 
 Channels = dict[str, T]
 LAWS: dict[str, Callable[[], Channels]] = {}
-#: The rate at which springs are stepped in these declarations; `at_rate` gives others.
-RATE = 30.0
 
 
 def law(kind: str) -> Callable[[Callable[[], Channels]], Callable[[], Channels]]:
@@ -150,7 +148,7 @@ MOTIONS: dict[str, Callable[[], T]] = {
     "hard": lambda: when(frame.equals(0), 0, 1),
     "in": lambda: bezier(0.42, 0, 1, 1)(progress(frame, 0, CUT)),
     "out": lambda: bezier(0, 0, 0.58, 1)(progress(frame, 0, CUT)),
-    "bounce": lambda: clamp(spring(frame, RATE, Spring(10, 0.6, 200))),
+    "bounce": lambda: clamp(spring(frame, Spring(10, 0.6, 200))),
 }
 for _mode, _amount in MOTIONS.items():
     law(f"media-montage.flash-cut-motion/{_mode}")(lambda a=_amount: {"scale": lerp(1.2, 1, a())})
@@ -269,18 +267,18 @@ def _() -> Channels:
 
 @law("neon-heart-pop.orbit-heart-burst")
 def _() -> Channels:
-    return {"rotate_y": frame / fps * 360, "scale": spring(frame, RATE, HEART, frames=12)}
+    return {"rotate_y": frame / fps * 360, "scale": spring(frame, HEART, frames=12)}
 
 
 @law("neon-heart-pop.orbit-particle-cadence")
 def _() -> Channels:
     angle = frame / fps * 4 * PI + PI / 2
-    return {"x": cos(angle) * 140, "y": sin(angle) * 140, "opacity": spring(frame, RATE, HEART, frames=12)}
+    return {"x": cos(angle) * 140, "y": sin(angle) * 140, "opacity": spring(frame, HEART, frames=12)}
 
 
 @law("neon-heart-pop.spinning-heart-burst")
 def _() -> Channels:
-    return {"rotate_y": frame / fps * 360, "scale": spring(frame, RATE, HEART, frames=9)}
+    return {"rotate_y": frame / fps * 360, "scale": spring(frame, HEART, frames=9)}
 
 
 soft_out = ease_out(bezier(0.42, 0, 1, 1))
@@ -314,7 +312,7 @@ in_beat = frame - beat * BEAT
 
 @law("photo-glitch.beat-photo-cadence")
 def _() -> Channels:
-    kind, snap = beat % 4, spring(in_beat, RATE, Spring(14, 0.7, 200), halves=False)
+    kind, snap = beat % 4, spring(in_beat, Spring(14, 0.7, 200))
     rest = lerp(1.08, 1, progress(in_beat, 0, 8))
     side = when((beat % 8).equals(1), -1, 1)
     scale = when(kind.equals(0), lerp(1.5, 1, ease_out(lambda v: power(v, 3))(progress(in_beat, 0, 6))), when(kind.equals(2), lerp(1.4, 1, snap), rest))
@@ -332,7 +330,7 @@ for _k, _e in enumerate(ENTRANCES):
     @law(f"photo-glitch.masked-panel-reveal/{_k}")
     def _(e=_e) -> Channels:
         delay, x, y, damping, stiffness = e
-        amount = spring(frame - delay, RATE, Spring(damping, 1, stiffness))
+        amount = spring(frame - delay, Spring(damping, 1, stiffness))
         return {"x": lerp(x, 0, amount), "y": lerp(y, 0, amount), "opacity": progress(frame - delay, 0, 4)}
 
 
@@ -351,7 +349,7 @@ for _k, _d in enumerate(DROPS):
     @law(f"photo-glitch.perspective-card-drop/{_k}")
     def _(d=_d) -> Channels:
         delay, x, y, turn, turn_x, turn_y, scale = d
-        drop, settle = spring(frame - delay, RATE, Spring(16, 1.1, 90)), spring(frame - delay, RATE, Spring(11, 0.8, 120))
+        drop, settle = spring(frame - delay, Spring(16, 1.1, 90)), spring(frame - delay, Spring(11, 0.8, 120))
         return {"x": lerp(x * 0.3, x, settle), "y": lerp(-1300, y, drop), "z": lerp(600, 0, drop), "rotate_x": lerp(turn_x * 3, 0, drop), "rotate_y": lerp(turn_y * 2.5, 0, settle), "rotate": lerp(turn * 4, turn, settle), "scale": lerp(0.4, scale, drop), "opacity": progress(frame - delay, 0, 6)}
 
 
@@ -450,7 +448,7 @@ for _side, _strength in (("back", 0.6), ("front", 1.0)):
 
     @law(f"kinetic-intertitles.impact-letter-cadence/spring-{_side}-letter")
     def _(side=_side) -> Channels:
-        amount = spring(frame - INDEX * 4, RATE, Spring(8, 1, 120))
+        amount = spring(frame - INDEX * 4, Spring(8, 1, 120))
         return {"opacity": amount, "scale": greatest(0.01, amount) if side == "front" else amount}
 
 
@@ -487,7 +485,7 @@ def _() -> Channels:
 @law("kinetic-intertitles.split-word-cadence/plain")
 def _() -> Channels:
     own = frame - INDEX * rounded(fps * 0.6) / COUNT
-    return {"opacity": progress(own, 0, rounded(fps * 0.12)) * (1 - closing()), "scale": 0.7 + spring(own, RATE, Spring(15, 0.55, 85)) * 0.3}
+    return {"opacity": progress(own, 0, rounded(fps * 0.12)) * (1 - closing()), "scale": 0.7 + spring(own, Spring(15, 0.55, 85)) * 0.3}
 
 
 # sculptural-3d
@@ -495,7 +493,7 @@ for _variant, _bpm in (("slow-pulse", 117.5), ("fast-pulse", 161.5)):
 
     @law(f"sculptural-3d.heart-pulse-orbit/{_variant}")
     def _(bpm=_bpm) -> Channels:
-        punch = 1 - spring(frame % (fps * 60 / bpm), RATE, Spring(7, 0.22, 210), halves=False)
+        punch = 1 - spring(frame % (fps * 60 / bpm), Spring(7, 0.22, 210))
         return {"inner_opacity": 0.11 + 0.3 * punch, "outer_opacity": 0.04 + 0.22 * punch, "intensity": 3 + 5 * punch, "y": sin(frame * 0.034) * 15, "turn": frame * 0.0065, "scale": 1.1 + 0.28 * punch}
 
 
@@ -506,7 +504,7 @@ def _() -> Channels:
 
 @law("sculptural-3d.scissor-snap-flight/impact")
 def _() -> Channels:
-    flight = spring(frame, RATE, Spring(18, 0.9, 90))
+    flight = spring(frame, Spring(18, 0.9, 90))
     gone, whole = power(progress(frame, rounded(fps * 2.5), rounded(fps * 0.5)), 3), fps * 0.35
     snap = through(frame - rounded(fps * 0.65), (0, whole * 0.5, whole), (1, 0.02, 0.08), cubic_out)
     return {"blade": 0.22 + snap * 0.45, "x": 8 - 8 * flight, "y": sin(frame * 0.025) * 0.12, "turn_x": sin(frame * 0.018) * 0.04, "scale": flight * (1 - gone)}
@@ -515,7 +513,7 @@ def _() -> Channels:
 @law("sculptural-3d.scissor-snap-flight/minimal")
 def _() -> Channels:
     fade = rounded(fps * 0.5)
-    return {"entrance": spring(frame - 10, RATE, Spring(18, 1.4, 50)), "open": spring(frame, RATE, Spring(20, 1.2, 60)) * 0.32, "opacity": through(frame, (0, fade, duration - fade, duration), (0, 1, 1, 0)), "y": sin(frame * 0.035) * 0.06, "turn_y": sin(frame * 0.018) * 0.18}
+    return {"entrance": spring(frame - 10, Spring(18, 1.4, 50)), "open": spring(frame, Spring(20, 1.2, 60)) * 0.32, "opacity": through(frame, (0, fade, duration - fade, duration), (0, 1, 1, 0)), "y": sin(frame * 0.035) * 0.06, "turn_y": sin(frame * 0.018) * 0.18}
 
 
 def stage_exit() -> T:
@@ -538,7 +536,7 @@ def _() -> Channels:
 
 @law("sculptural-3d.scissors-stage-cadence/minimal-copy-group")
 def _() -> Channels:
-    enter = spring(frame, RATE, Spring(22, 1, 55))
+    enter = spring(frame, Spring(22, 1, 55))
     return {"y": lerp(60, 0, enter), "scale": lerp(0.75, 1, enter)}
 
 
@@ -563,7 +561,7 @@ def _() -> Channels:
 
 @law("sculptural-3d.scissors-stage-cadence/impact-copy-group")
 def _() -> Channels:
-    return {"opacity": stage_in() * stage_exit(), "scale": spring(frame - 5, RATE, Spring(20, 0.8, 85)) * stage_exit(), "y": sin(frame * 0.033) * 3}
+    return {"opacity": stage_in() * stage_exit(), "scale": spring(frame - 5, Spring(20, 0.8, 85)) * stage_exit(), "y": sin(frame * 0.033) * 3}
 
 
 # fight-zine

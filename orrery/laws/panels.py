@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.timeline import Spring
-from .catalogue import RATE, Channels, law
+from .catalogue import Channels, law
 from .terms import T, absolute, back_out, bezier, clamp, cos, cubic_out, duration, floor, fps, frame, greatest, joined, least, lerp, noise, power, progress, rounded, sin, spring, term, through, when
 
 #: Characters of the message that terminal laws are declared for.
@@ -87,7 +87,7 @@ def _() -> Channels:
 
 @law("blue-terminal.panel-transit/pixel-crt")
 def _() -> Channels:
-    enter, last = spring(frame, RATE, Spring(20, 1, 120)), rounded(fps * 0.4)
+    enter, last = spring(frame, Spring(20, 1, 120)), rounded(fps * 0.4)
     return {"opacity": enter * (1 - progress(frame, 154 - last, last)), "scale": lerp(0.85, 1, enter)}
 
 
@@ -209,7 +209,7 @@ for _k, _word in enumerate(TITLE_WORDS):
 
     @law(f"fight-zine.title-cadence/word-{_k}")
     def _(k=_k, word=_word) -> Channels:
-        amount = spring(frame - word[0], RATE, Spring(13, 0.8, 150))
+        amount = spring(frame - word[0], Spring(13, 0.8, 150))
         held = clamp(amount)
         return {"opacity": amount, "scale": lerp(0.4, 1, held), "y": lerp(70, 0, held), "rotate": word[1] + held_noise(20 + k * 5, 1.4), "shadow_x": 2 + held_noise(30 + k, 1), "shadow_y": 2 + held_noise(31 + k, 1)}
 
@@ -222,7 +222,7 @@ law("fight-zine.chart-cadence/subtitle")(lambda: {"opacity": through(frame, (8,
 
 @law("fight-zine.chart-cadence/title")
 def _() -> Channels:
-    amount = spring(frame - 4, RATE, Spring(16, 1, 110))
+    amount = spring(frame - 4, Spring(16, 1, 110))
     return {"opacity": amount, "rotate": still_noise(99, 1.5), "y": lerp(-40, 0, clamp(amount))}
 
 
@@ -235,11 +235,11 @@ for _side, (_first, _delay, _turn, _seed) in SIDES.items():
 
     @law(f"fight-zine.chart-cadence/{_side}-callout")
     def _(delay=_delay, turn=_turn, seed=_seed) -> Channels:
-        amount = spring(frame - delay, RATE, Spring(12, 0.7, 140))
+        amount = spring(frame - delay, Spring(12, 0.7, 140))
         return {"opacity": amount, "scale": amount, "rotate": turn + still_noise(seed, 2)}
 
 
-law("fight-zine.chart-cadence/doodle")(lambda: {"opacity": spring(frame - 74, RATE, Spring(12, 0.7, 140))})
+law("fight-zine.chart-cadence/doodle")(lambda: {"opacity": spring(frame - 74, Spring(12, 0.7, 140))})
 law("fight-zine.marker-scrawl-trace/chart-axis")(lambda: {"trace": through(frame, (0, 16), (0, 1))})
 law("fight-zine.marker-scrawl-trace/title-border")(lambda: {"trace": through(frame, (2, 28), (0, 1)), "bucket": floor(frame / 2)})
 law("fight-zine.marker-scrawl-trace/title-underline")(lambda: {"trace": through(frame, (30, 48), (0, 1)), "bucket": floor(frame / 2)})
@@ -259,7 +259,7 @@ for _k, _at in enumerate(TICKS):
 
     @law(f"fight-zine.ranking-table-cadence/row-{_k}")
     def _(k=_k) -> Channels:
-        amount = spring(frame - (4 + k * 3), RATE, Spring(18, 1, 130))
+        amount = spring(frame - (4 + k * 3), Spring(18, 1, 130))
         return {"opacity": amount, "x": lerp(-120, 0, amount)}
 
     law(f"fight-zine.ranking-table-cadence/row-rank-{_k}")(lambda k=_k: {"rotate": held_noise(80 + k, 2)})
@@ -271,7 +271,7 @@ for _k, _at in enumerate(TICKS):
 
     @law(f"fight-zine.ranking-table-cadence/badge-{_k}")
     def _(k=_k, at=_at) -> Channels:
-        amount = spring(frame - at, RATE, Spring(10, 0.7, 170))
+        amount = spring(frame - at, Spring(10, 0.7, 170))
         return {"opacity": amount, "scale": amount, "rotate": -8 + held_noise(90 + k, 2)}
 
 
@@ -309,19 +309,19 @@ for _recipe in PLATES:
     @law(f"fight-zine.media-rank-cadence/{_recipe}-rank")
     def _(recipe=_recipe) -> Channels:
         delay, _, _, own, large, turn = RANKS[recipe]
-        amount = spring(frame - delay, RATE, own)
+        amount = spring(frame - delay, own)
         if turn is None:
             return {"stage_opacity": amount, "scale": lerp(large, 1, amount), "glow": lerp(20, 55, (sin(frame * 0.08) + 1) / 2)}
         return {"opacity": amount, "scale": lerp(large, 1, amount), "rotate": lerp(turn, -6, amount)}
 
     @law(f"fight-zine.media-rank-cadence/{_recipe}-label")
     def _(recipe=_recipe) -> Channels:
-        amount = spring(frame - RANKS[recipe][1], RATE, Spring(18, 1, 120))
+        amount = spring(frame - RANKS[recipe][1], Spring(18, 1, 120))
         return {"opacity": amount, "x": lerp(-500, 0, amount), "rule_scale": amount}
 
     @law(f"fight-zine.media-rank-cadence/{_recipe}-nameplate")
     def _(recipe=_recipe) -> Channels:
-        amount = spring(frame - RANKS[recipe][2], RATE, Spring(20, 1, 110))
+        amount = spring(frame - RANKS[recipe][2], Spring(20, 1, 110))
         return {"opacity": amount, "y": lerp(80, 0, amount)}
 
 
@@ -332,7 +332,7 @@ law("fight-zine.media-rank-cadence/gold-glow")(lambda: {"opacity": fade_in(30)})
 
 @law("fight-zine.media-rank-cadence/crown")
 def _() -> Channels:
-    amount = spring(frame - 30, RATE, Spring(14, 1, 120))
+    amount = spring(frame - 30, Spring(14, 1, 120))
     return {"opacity": amount, "offset_y": lerp(-260, 0, amount)}
 
 

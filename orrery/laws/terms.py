@@ -1,7 +1,7 @@
 """Terms of frame laws: a Spark column, and the SQL that says the same.
 
 A law is declared once, as channels over terms. Spark evaluates the columns; the SQL, built by rules
-of its own (look-ups of stepped springs, plain Newton iteration for curves), is there to compare with.
+of its own (springs as an amplitude and a phase, plain Newton iteration for curves), is there to compare with.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import timeline as tl
 
-#: Frames up to which the SQL of a spring has values, in halves.
-FAR = 130
-
 
 class T:
     """A term. Its column is made when it is first asked for, since that needs a running session."""
@@ -149,22 +146,27 @@ def through(x, inputs: Sequence, outputs: Sequence[float], easing: Callable[[T],
     return found
 
 
-def spring(at, rate: float, config: tl.Spring = tl.Spring(), frames: float | None = None, halves: bool = True) -> T:
-    """Of a time in frames at a known rate; halves: whether times are whole or half frames, so that
-    SQL can look values up."""
-    at = term(at)
-    natural = config.natural_frames(rate) if frames is not None else 0
-
-    def value(k: int) -> float:
-        f = k / 2
-        if frames is not None:
-            return 1.0 if f > frames else config.value(f / (frames / natural), rate)
-        return config.value(f, rate)
-
-    make = lambda: tl.spring(at.col, rate, config, frames=frames)
-    if at.sql is None or not halves:
+def spring(at, config: tl.Spring = tl.Spring(), frames: float | None = None, rate=fps) -> T:
+    """Of a time in frames, at a rate in frames a second."""
+    at, rate = term(at), term(rate)
+    make = lambda: tl.spring(at.col, rate.col, config, frames=frames)
+    if at.sql is None or rate.sql is None:
         return T(make, None)
-    return T(make, f"([{', '.join(f'{value(k)!r}' for k in range(2 * FAR + 1))}]::DOUBLE[])[(greatest(0, least({2 * FAR}, round({at.sql} * 2))) + 1)::INT]")
+    now = f"greatest(0.0, {at.sql})"
+    if frames is not None:
+        settled = ", ".join(str(config.natural_frames(float(k))) for k in range(1, tl.RATES + 1))
+        now = f"({now} / ({float(frames)!r}::DOUBLE / ([{settled}]::DOUBLE[])[({rate.sql})::INT]))"
+    whole = f"greatest(0.0, floor({now}) - 1)"
+    seconds = f"({whole} * least(1.0 / {rate.sql}, 0.064) + least(({now} - {whole}) / {rate.sql}, 0.064))"
+    w, z = config.frequency, config.ratio
+    if z >= 1:
+        left = f"list_transform([{seconds}], lambda u: exp({-w!r} * u) * (1.0 + {w!r} * u))[1]"
+    else:
+        # As an amplitude and a phase.
+        turn = w * math.sqrt(1 - z * z)
+        left = f"list_transform([{seconds}], lambda u: exp({-z * w!r} * u) * {w / turn!r} * cos({turn!r} * u - {math.asin(z)!r}))[1]"
+    late = f"CASE WHEN {at.sql} > {float(frames)!r}::DOUBLE THEN 1.0 ELSE" if frames is not None else ""
+    return T(make, f"({late} 1.0 - {left}{' END' if late else ''})")
 
 
 def joined(*parts) -> T:

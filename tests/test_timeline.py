@@ -151,3 +151,47 @@ def test_paths(spark):
     seg = "struct<command: string, x: double, y: double, x1: double, y1: double, x2: double, y2: double>"
     rows = spark.createDataFrame([([("M", 1.0, 2.0, None, None, None, None), ("Q", 5.0, 6.0, 3.0, 4.0, None, None), ("Z", None, None, None, None, None, None)],)], f"p array<{seg}>")
     assert rows.select(text.path_text(F.col("p")).alias("v")).first()["v"] == "M 1.0 2.0 Q 3.0 4.0 5.0 6.0 Z"
+
+
+def integrated(config, fps, frame, parts=400):
+    """Position by Runge-Kutta over the steps that a spring makes, none longer than 64 ms."""
+    damping = config.damping if config.ratio < 1 else 2 * math.sqrt(config.stiffness * config.mass)
+    slope = lambda x, v: (v, (config.stiffness * (1 - x) - damping * v) / config.mass)
+    whole = int(frame)
+    ends = [*range(1, whole), frame] if whole else [frame]
+    x = v = last = 0.0
+    for end in ends:
+        h = min((end - last) / fps, 0.064) / parts
+        last = end
+        for _ in range(parts):
+            a = slope(x, v)
+            b = slope(x + h / 2 * a[0], v + h / 2 * a[1])
+            c = slope(x + h / 2 * b[0], v + h / 2 * b[1])
+            d = slope(x + h * c[0], v + h * c[1])
+            x, v = x + h / 6 * (a[0] + 2 * b[0] + 2 * c[0] + d[0]), v + h / 6 * (a[1] + 2 * b[1] + 2 * c[1] + d[1])
+    return x
+
+
+@pytest.mark.parametrize("config", [tl.Spring(), tl.Spring(7, 0.22, 210), tl.Spring(30, 1, 100), tl.Spring(20, 1, 100)])
+def test_springs_follow_the_oscillator_at_any_rate(spark, config):
+    points = [(f, fps) for fps in (10.0, 24.0, 30.0, 60.0) for f in (0.0, 0.5, 1.0, 2.75, 9.0, 17.5)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, f double, fps double")
+    got = [r["v"] for r in rows.select("i", tl.spring(F.col("f"), F.col("fps"), config).alias("v")).orderBy("i").collect()]
+    for (f, fps), v in zip(points, got, strict=True):
+        assert v == pytest.approx(integrated(config, fps, f), abs=1e-8)
+
+
+@pytest.mark.parametrize("config", [tl.Spring(), tl.Spring(3, 1, 100), tl.Spring(0.4, 1, 1), tl.Spring(40, 1, 100)])
+def test_settling_times(spark, config):
+    def counted(fps, threshold=0.005):
+        away = lambda f: abs(config.value(f, fps) - 1) >= threshold
+        at = next(f for f in range(10**6) if not away(f))
+        rest = 20
+        while (f := next((f for f in range(at, at + rest + (rest == 20)) if away(f)), None)) is not None:
+            at, rest = f + 1, 19
+        return at
+
+    rates = [12.5, 24.0, 29.97, 60.0]
+    assert [config.natural_frames(r) for r in rates] == [counted(r) for r in rates]
+    rows = spark.createDataFrame([(r,) for r in rates], "fps double")
+    assert [r["v"] for r in rows.select("fps", tl._natural(config, F.col("fps"), 0.005).alias("v")).orderBy("fps").collect()] == [counted(r) for r in rates]
