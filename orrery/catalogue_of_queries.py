@@ -14,7 +14,7 @@ from .functions import noise, style, text
 from .functions import timeline as tl
 from .laws import catalogue as laws
 from .laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
-from .operators import catalog, determinism, envelopes, intervals, outcome, schema, tree
+from .operators import catalog, determinism, envelopes, intervals, outcome, protocol, schema, tree
 from .sources import tables
 from .streaming import lease
 from .streaming import outcome as streaming_outcome
@@ -517,17 +517,20 @@ def running_x(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lease_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests for leases from events: a revision is a user's half of a month."""
+    """Requests for leases from events: a revision is some days of a user. Workers hold the token of one of
+    a revision's first leases, so that some are stale."""
     rows = revisions(spark, sf_dir)
     ask = F.when(F.col("type") == "neutral", F.element_at(F.array(*map(F.lit, ("acquire", "heartbeat", "checkpoint", "commit", "release"))), (F.col("event_id") % 5 + 1).cast("int"))).otherwise("event")
+    revision = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("day", "yyyyMM"), F.floor(F.dayofmonth("day") / 5).cast("string"))
+    fence = F.col("event_id") % 3 + 1
     return rows.select(
-        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("day", "yyyyMM"), F.floor(F.dayofmonth("day") / 5).cast("string")).alias("revision_id"),
+        revision.alias("revision_id"),
         F.col("event_id").alias("seq"),
         ask.alias("request"),
         (F.col("event_id") * 1000).alias("at"),
         "type",
-        F.lit(None).cast("string").alias("token"),
-        F.lit(None).cast("long").alias("fence"),
+        F.concat(F.lit("lease-"), revision, F.lit("-"), fence.cast("string")).alias("token"),
+        fence.cast("long").alias("fence"),
         F.concat(F.lit("commit-"), F.col("event_id").cast("string")).alias("commit"),
     )
 
@@ -537,6 +540,56 @@ def lease_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lease.run_batch(lease_requests(spark, sf_dir))
 
 
+@query("""
+    WITH b AS (SELECT event_id, user_id, event_id % 3 AS fence, event_id * 100 AS t, CASE WHEN event_id % 101 <> 0 THEN event_id * 100 + event_id % 97 * 120 END AS answered_at FROM events),
+    g AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY user_id, fence ORDER BY t), t - 1000) AS last FROM b),
+    s AS (SELECT *, CASE WHEN t - last >= 60000 THEN 'expired' WHEN answered_at IS NULL OR answered_at - t > 10000 THEN 'timeout' ELSE 'extended' END AS own FROM g)
+    SELECT event_id, CASE WHEN coalesce(bool_or(own <> 'extended') OVER (PARTITION BY user_id, fence ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'lost' ELSE own END AS status FROM s""")
+def lease_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("event_id") * 100
+    beats = tables.read(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("revision_id"), (F.col("event_id") % 3).alias("fence"), at.alias("at"),
+        F.when(F.col("event_id") % 101 != 0, at + F.col("event_id") % 97 * 120).alias("answered_at"),
+    )
+    first = beats.groupBy("revision_id", "fence").agg((F.min("at") - 1000).alias("granted_at"))
+    return lease.watched(beats.join(first, ["revision_id", "fence"])).select("event_id", "status")
+
+
+@query("""
+    WITH e AS (SELECT event_id AS i FROM events),
+    f AS (SELECT i, CASE WHEN i % 11 = 0 THEN 'source.immutable' WHEN i % 7 = 0 THEN 'lease.fence' WHEN i % 23 = 0 THEN 'sealed.candidate_id' WHEN i % 9 = 0 THEN 'review.render'
+                         WHEN i % 8 = 0 THEN 'commit.committed' WHEN i % 10 = 0 THEN 'commit.applied' END AS unmet FROM e)
+    SELECT i AS event_id,
+           CASE WHEN i % 17 = 0 OR i % 13 = 1 OR (i % 13 <> 0 AND i % 19 = 0) THEN 'invalid' WHEN i % 13 = 0 THEN 'skipped' WHEN unmet LIKE 'commit.%' AND i % 16 = 0 THEN 'canceled'
+                WHEN unmet IS NOT NULL THEN 'failed' ELSE 'committed' END AS outcome,
+           CASE WHEN i % 17 = 0 THEN 'revision.revision_id' WHEN i % 13 = 1 THEN 'acquisition.status' WHEN i % 13 <> 0 AND i % 19 = 0 THEN 'acquisition.lease_without_save' WHEN i % 13 = 0 THEN 'busy'
+                WHEN unmet LIKE 'commit.%' AND i % 16 = 0 THEN 'revision.deleted' WHEN unmet IS NOT NULL THEN unmet ELSE left(sha256('p' || i), 40) END AS detail
+    FROM f""")
+def publication_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts to publish, with one thing or another wrong, and how far each came."""
+    i = F.col("event_id")
+    text_of = lambda prefix: F.concat(F.lit(prefix), i.cast("string"))
+    sha = lambda prefix: F.sha2(text_of(prefix), 256)
+    source, digest, commit = F.sha2(F.lit("source"), 256), sha("d"), F.substring(sha("k"), 1, 40)
+    same = (digest.alias("digest"), commit.alias("commit"))
+    evidence = lambda name: F.struct(F.lit(True).alias("passed"), text_of("e").alias("evidence_id"), F.when((i % 9 == 0) & (F.lit(name) == "render"), " ").otherwise("seen").alias("summary"), *same)
+    receipt = F.struct((i % 10 != 0).alias("applied"), *same, F.upper(F.substring(sha("p"), 1, 40)).alias("persisted_commit"))
+    attempts = tables.read(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(i % 17 == 0, "not safe").otherwise(text_of("r-")).alias("revision_id"),
+        F.upper(source).alias("sha256"),
+        F.when(i % 13 == 0, "busy").when(i % 13 == 1, "odd").otherwise("acquired").alias("status"),
+        F.struct(F.when(i % 19 == 0, "wait").otherwise("save").alias("action"), F.lit("workspace.exported").alias("reason")).alias("decision"),
+        F.struct((i % 11 != 0).alias("immutable"), source.alias("sha256"), text_of("c").alias("checkout_id")).alias("source"),
+        F.struct(text_of("t").alias("token"), (i % 7).alias("fence"), (i + 1000).alias("expires_at")).alias("lease"),
+        F.struct(F.lit("isolated-candidate").alias("isolation"), source.alias("base_sha256"), text_of("x").alias("candidate_id"), F.lit("w").alias("workspace")).alias("candidate"),
+        F.struct(F.when(i % 23 == 0, "other").otherwise(text_of("x")).alias("candidate_id"), source.alias("base_sha256"), *same, F.lit("a").alias("artifact")).alias("sealed"),
+        F.struct(F.lit(True).alias("accepted"), text_of("v").alias("review_id"), source.alias("sha256"), *same, F.create_map(*(x for n in protocol.CHECKS for x in (F.lit(n), evidence(n)))).alias("checks")).alias("review"),
+        F.struct((i % 8 != 0).alias("committed"), *same, receipt.alias("receipt"), F.struct(F.when(i % 16 == 0, "discard").otherwise("save").alias("action")).alias("decision"), F.lit("revision.deleted").alias("reason")).alias("result"),
+    )
+    return protocol.handled(attempts).select("event_id", "outcome", "detail")
+
+
 @query(ORACLE_SQL["revision_outcome"])
 def revision_outcome_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last decision of each revision after all events have come in as a stream, file by file."""

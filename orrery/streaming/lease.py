@@ -11,7 +11,8 @@ from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.outcome import COMPILED, NEGATIVE, RENDERED, SUCCESS
@@ -55,7 +56,8 @@ def check_timing(lease: int = LEASE, heartbeat: int = HEARTBEAT, timeout: int =
 def apply(record: Record, key: str, request: dict, lease: int = LEASE) -> dict:
     """Changes the record and says what became of the request: {status, reason, token, fence}.
 
-    A request for a lease names its kind and time, and where it holds one its token and fence.
+    A request for a lease names its kind and time, and where it holds one its token and fence. Without
+    the current token and fence a heartbeat, checkpoint or commit is stale, and a release has no effect.
     """
     kind, now = request["request"], int(request["at"])
     answer = lambda status, reason="": {"status": status, "reason": reason, "token": record.token if status == "acquired" else None, "fence": record.fence}
@@ -113,9 +115,6 @@ def answered(record: Record, key: str, rows: pd.DataFrame, lease: int) -> list[t
     out = []
     for r in rows.sort_values("seq").to_dict("records"):
         request = {k: None if isinstance(v, float) and v != v else v for k, v in r.items()}
-        # Whoever asks without a token holds the current lease.
-        if request["request"] not in ("event", "acquire") and not request.get("token"):
-            request |= {"token": record.token, "fence": record.fence}
         a = apply(record, key, request, lease)
         out.append((key, int(r["seq"]), r["request"], a["status"], a["reason"], a["token"], a["fence"]))
     return out
@@ -131,15 +130,44 @@ def run_batch(requests: DataFrame, lease: int = LEASE) -> DataFrame:
     return requests.groupBy("revision_id").applyInPandas(group, ANSWERS)
 
 
-def run_stream(requests: DataFrame, lease: int = LEASE) -> DataFrame:
+def run_stream(requests: DataFrame, lease: int = LEASE, forget: int | None = None) -> DataFrame:
     """The same over a stream, in append mode, with the record as state. Within a micro-batch the order
-    is that of seq, and micro-batches follow one another."""
+    is that of seq, and micro-batches follow one another.
+
+    forget: milliseconds of silence after which a revision's record is dropped. Choose them longer than any
+    late event or retry may take: a dropped record starts anew, fence included. None keeps records for good.
+    """
 
     def group(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         record = Record(**json.loads(state.get[0])) if state.exists else Record()
         rows = pd.concat(list(parts))
         out = answered(record, key[0], rows, lease)
         state.update((json.dumps(asdict(record)),))
+        if forget is not None:
+            state.setTimeoutDuration(forget)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")])
 
-    return requests.groupBy("revision_id").applyInPandasWithState(group, ANSWERS, "record string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
+    return requests.groupBy("revision_id").applyInPandasWithState(group, ANSWERS, "record string", "append", timeout)
+
+
+def watched(beats: DataFrame, lease: int = LEASE, timeout: int = HEARTBEAT_TIMEOUT) -> DataFrame:
+    """What became of a lease's heartbeats (revision_id, fence, granted_at, at, answered_at): `extended`,
+    `timeout` if the answer took longer than the timeout or never came, `expired` if the heartbeat
+    came when the lease had run out, and `lost` after either of these. Times are milliseconds."""
+    own = Window.partitionBy("revision_id", "fence").orderBy("at", F.col("answered_at").asc_nulls_last())
+    until = F.coalesce(F.lag("at").over(own), F.col("granted_at")) + lease
+    late = F.coalesce(F.col("answered_at") - F.col("at") > timeout, F.lit(True))
+    rows = beats.withColumn("status", F.when(F.col("at") >= until, "expired").when(late, "timeout").otherwise("extended"))
+    lost = F.max((F.col("status") != "extended").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)) == 1
+    return rows.withColumn("status", F.when(lost, "lost").otherwise(F.col("status")))
+
+
+def in_time(started: Column, finished: Column, allowed: Column | int = OPERATION, deadline: Column | None = None) -> Column:
+    """Whether an operation finished by what it is allowed after its start, and by an absolute deadline;
+    one that never finished didn't."""
+    by = started + allowed if deadline is None else F.least(started + allowed, deadline)
+    return F.coalesce(finished <= by, F.lit(False))

@@ -170,3 +170,16 @@ def test_leases_in_a_stream_equal_batch(spark, tmp_path):
     out = lease.run_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
     out.awaitTermination()
     assert determinism.same_rows(spark.read.parquet(f"{tmp_path}/out"), lease.run_batch(requests))
+
+
+def test_requests_without_a_token_hold_no_lease(spark):
+    rows = [(1, "event", 0, "compile.succeeded"), (2, "event", 0, "render.succeeded"), (3, "event", 0, "workspace.exported"), (4, "acquire", 1, None), (5, "commit", 2, None), (6, "heartbeat", 3, None), (7, "checkpoint", 4, None), (8, "release", 5, None)]
+    requests = spark.createDataFrame([("r", *r, None, None, "c") for r in rows], "revision_id string, seq long, request string, at long, type string, token string, fence long, commit string")
+    got = {r["seq"]: r["status"] for r in lease.run_batch(requests).collect()}
+    assert [got[k] for k in (4, 5, 6, 7, 8)] == ["acquired", "stale", "stale", "stale", "ignored"]
+
+
+def test_deadlines(spark):
+    rows = spark.createDataFrame([(0, 5, None), (0, 11, None), (0, None, None), (0, 9, 8)], "a long, b long, c long")
+    got = [r["v"] for r in rows.select(lease.in_time(F.col("a"), F.col("b"), 10, F.coalesce("c", F.lit(10**6))).alias("v")).collect()]
+    assert got == [True, False, False, False]
