@@ -9,22 +9,24 @@ the Jaccard likeness of the shingle sets decides: a link is 0.8 or more.
 
 Texts with equal shingle sets are one node. Within a bucket nodes aren't paired with one another:
 
-1.  Every member is compared with the bucket's leader (the node that meets most others).
-2.  Every node gets a pivot, the busiest leader at a likeness of CLOSE or more (else itself). Every
-    member of a bucket is compared with every pivot that occurs in it.
-3.  Let D and M be what a member has beyond its pivot P, and what it misses of P. If y isn't linked
-    to P, then y and z can only be linked if they share an element of D, or if both are so much
-    shorter than P that |M_z| - |D_z| >= cost(y) and |M_y| - |D_y| >= cost(z), where
-    cost(x) = (|M_x| + 0.8 |D_x| - 0.2 |P|) / 0.8, and share an element of M: without a shared D,
+1.  The leader of a bucket is the node that meets most others, and a node's pivot the busiest leader of
+    its buckets. Every node is compared with its pivot; links make classes. A bucket whose members are
+    all of one class is done.
+2.  In what is left, members that have several pivots are compared with the bucket's leader, and
+    members that aren't linked to their pivot with the busiest of that kind. Links join classes, and
+    buckets of one class are done.
+3.  Two members of a bucket now have a pivot or leader P in common. Let D and M be what a member has
+    beyond P and what it misses of P, and X both together. Then, with
+    cost(x) = |M| + 0.8 |D| - 0.1 |P|,
 
-        J(y, z) >= 0.8  <=>  |M_y| + |M_z| - 1.8 |M_y & M_z| + 0.8 (|D_y| + |D_z|) <= 0.2 |P|.
+        J(y, z) >= 0.8  <=>  1.8 |X_y & X_z| >= cost(y) + cost(z),
 
-    Members of different classes that share such an element, and whose sizes and likenesses to P
-    allow a link, are compared. A pair is looked at among those compared with the pivot of one of the
-    two; step 2 has compared the other with it, and 1 - J is a metric.
+    and a text isn't linked to P if its cost is over 0.1 |P|. So a pair of which one isn't linked to P
+    shares elements of X. With the rarest elements of a star first, it shares one among the first
+    |X| + 1 - needed of both, and pairs of different classes that do are compared.
 
-So a large cloud of near copies costs a comparison or two for each member, and no link among members
-of a bucket is lost. Shingles are compared by 32-bit hashes.
+So a large cloud of near copies costs a comparison or two for each member, and no link between classes
+is lost among members of a bucket. Shingles are compared by 32-bit hashes.
 
 Defined results: a text with no word is never linked, and one with fewer than five words has a single
 shingle, all its words; a null text counts as empty; a null doc_id sorts last; repeated rows are
@@ -38,12 +40,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, durable, prepare
 
-WORDS, LIKE, CLOSE = 5, 0.8, 0.5
+WORDS, LIKE = 5, 0.8
 BANDS, ROWS = 64, 8
 REGISTERS = BANDS * ROWS
 #: Sets of fewer shingles are linked only to equal ones: 3 of 4 is less than 0.8.
@@ -165,89 +167,141 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(batches(read), "node long, shingles array<int>").filter("node IS NOT NULL")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with like, size_a, and what b has beyond a (more) and misses of it (less)."""
+def verified(pairs: DataFrame, sets: DataFrame, spread: bool = False) -> DataFrame:
+    """pairs (a, b) with size_a, size_b, shared and like; spread adds what b has beyond a (more) and misses of it (less)."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    both = both.select("a", "b", F.size("sa").alias("size_a"), F.array_except("sb", "sa").alias("more"), F.array_except("sa", "sb").alias("less"))
-    shared = F.col("size_a") - F.size("less")
-    return both.withColumn("like", shared / (F.col("size_a") + F.size("more")))
+    kept = ["a", "b", F.size("sa").alias("size_a"), F.size("sb").alias("size_b")]
+    if spread:
+        both = both.select(*kept, F.array_except("sb", "sa").alias("more"), F.array_except("sa", "sb").alias("less"))
+        both = both.withColumn("shared", F.col("size_b") - F.size("more"))
+    else:
+        both = both.select(*kept, F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return both.withColumn("like", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")))
 
 
-def close_buckets(buckets: DataFrame, copies: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) among the members of buckets (bucket, node)."""
+def labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """buckets with the label of each node: its own number if it has no link yet."""
+    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are of more than one class so far, with their labels."""
+    rows = labelled(buckets, labels)
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    return rows.join(mixed, "bucket")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links (a, b)."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left")
+    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
+    top = components(ends).select(F.col("node").alias("label"), F.col("label").alias("upper"))
+    # A node without a link so far may be in `ends` under its own number.
+    known = labels.join(top, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
+    fresh = top.select(F.col("label").alias("node"), F.col("upper").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return durable(known.unionByName(fresh))
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.col("like") >= LIKE).select("a", "b")
+
+
+def families(buckets: DataFrame, copies: DataFrame, sets: DataFrame) -> DataFrame:
+    """Labels (node, label) of the nodes of buckets (bucket, node, n) that are linked to another."""
     # The original of a family has most in common with the others, so it leads wherever it occurs.
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    met = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met")).join(copies, "node")
-    leaders = buckets.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "copies", "node")).alias("top"))
-    buckets = durable(buckets.join(leaders.select("bucket", F.col("top.node").alias("leader")), "bucket"))
-    first = buckets.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    edges = durable(verified(first, sets))
-
-    near = edges.filter(F.col("like") >= CLOSE).select("a", "b")
-    busy = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    choice = near.unionByName(buckets.select(F.col("leader").alias("a"), F.col("leader").alias("b")).distinct()).join(busy, "a", "left")
-    pivots = choice.groupBy(F.col("b").alias("node")).agg(F.max(F.struct(F.coalesce("n", F.lit(0)), "a"))["a"].alias("pivot"))
-    placed = buckets.select("bucket", "node").join(pivots, "node", "left").withColumn("pivot", F.coalesce("pivot", "node"))
-    found = placed.select("bucket", "pivot").distinct()
-    several = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    more = placed.select("bucket", "node").join(found.join(several, "bucket"), "bucket").filter("pivot <> node")
-    more = more.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().join(edges.select("a", "b"), ["a", "b"], "left_anti")
-    edges = edges.unionByName(durable(verified(more, sets)))
-
-    links = durable(edges.filter(F.col("like") >= LIKE).select("a", "b").distinct())
-    labels = components(links)
-    # What may be linked to a member where one of the two isn't linked to the pivot. A pair is looked
-    # at among those compared with the pivot of one of the two, to which the other has been compared.
-    more_n, less_n, size = F.size("more"), F.size("less"), F.col("size_a")
-    narrow = edges.filter(F.col("like") >= CLOSE - (1 - LIKE)).select("a", "b", "like", "size_a", more_n.alias("more_n"), less_n.alias("less_n"))
-    cost = (F.col("less_n") + LIKE * F.col("more_n") - (1 - LIKE) * size) / LIKE - SLIGHT
-    narrow = narrow.withColumns({"cost": cost, "slack": F.when(F.col("like") < LIKE, cost)})
-    own = pivots.select(F.col("node").alias("b"), F.col("pivot").alias("own"))
-    narrow = narrow.join(own, "b", "left").withColumn("own", F.coalesce(F.col("own") == F.col("a"), F.lit(False))).join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    narrow = durable(narrow)
-    least = narrow.groupBy("a").agg(F.min("slack").alias("least"), F.count(F.lit(1)).alias("n"), F.bool_or("own").alias("any_own")).filter("n > 1 AND any_own AND least IS NOT NULL").select("a", "least")
-    star = narrow.join(least, "a").join(edges.select("a", "b", "more", "less"), ["a", "b"])
-    more_n, less_n = F.col("more_n"), F.col("less_n")
-    # A text that is alike shares so many of the elements of `more` at least: it is enough to look at
-    # the first ones, in one order for all, that leave fewer than that.
-    needed = F.greatest(F.lit(1), F.ceil(LIKE * (size - less_n + more_n) - (size - less_n) - SLIGHT).cast("int"))
-    prefix = F.slice(F.array_sort("more"), F.lit(1), F.greatest(F.lit(0), more_n - needed + 1))
-    place = ["a", "b", "own", "least", "label", "slack", "cost", "size_a", "more_n", "less_n", "like"]
-    by_more = star.select(*place, F.explode(prefix).alias("s")).withColumn("kind", F.lit(0))
-    short = less_n - more_n >= F.col("least")
-    by_less = star.filter(short | F.col("slack").isNotNull()).select(*place, F.explode("less").alias("s")).withColumn("kind", F.lit(1))
-    shared = by_more.unionByName(by_less)
-    groups = shared.groupBy("a", "kind", "s").agg(F.count(F.lit(1)).alias("n"), F.count("slack").alias("open"), F.bool_or("own").alias("own"), F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or((F.col("kind") == 0) | (F.col("less_n") - F.col("more_n") >= F.col("least"))).alias("fit"))
-    members = durable(shared.join(groups.filter("own AND fit AND open > 0 AND low <> high").select("a", "kind", "s"), ["a", "kind", "s"]))
-    mine = members.filter("own").select("a", "kind", "s", *(F.col(c).alias(f"y_{c}") for c in place[1:]))
-    other = members.select("a", "kind", "s", *(F.col(c).alias(f"z_{c}") for c in place[1:]))
-    most = F.col("y_size_a") - F.greatest("y_less_n", "z_less_n") + F.least("y_more_n", "z_more_n")
-    whole = 2 * F.col("y_size_a") - F.col("y_less_n") - F.col("z_less_n") + F.col("y_more_n") + F.col("z_more_n")
-    can = (F.col("y_label") != F.col("z_label")) & (F.col("y_slack").isNotNull() | F.col("z_slack").isNotNull()) & (F.abs(F.col("y_like") - F.col("z_like")) <= 1 - LIKE + SLIGHT) & (most >= LIKE / (1 + LIKE) * whole - SLIGHT)
-    # Without a shared element of `more`, both have to be that much shorter than the pivot.
-    can = can & ((F.col("kind") == 0) | ((F.col("z_less_n") - F.col("z_more_n") >= F.col("y_cost")) & (F.col("y_less_n") - F.col("y_more_n") >= F.col("z_cost"))))
-    pairs = mine.join(other, ["a", "kind", "s"]).filter(can)
-    pairs = durable(pairs.select(F.least("y_b", "z_b").alias("a"), F.greatest("y_b", "z_b").alias("b")).distinct())
-    found = verified(pairs, sets).filter(F.col("like") >= LIKE).select("a", "b")
-    return durable(links.unionByName(found).distinct())
+    met = buckets.groupBy("node").agg(F.sum("n").alias("met")).join(copies, "node")
+    tops = buckets.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "copies", "node")).alias("top"))
+    led = durable(buckets.select("bucket", "node").join(tops, "bucket"))
+    pivots = durable(led.groupBy("node").agg(F.max("top")["node"].alias("pivot")))
+    led = led.select("bucket", "node", F.col("top.node").alias("leader"))
+
+    pairs = pivots.filter("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    first = durable(verified(pairs, sets))
+    labels = merged(pivots.limit(0).select("node", F.col("node").alias("label")), linked(first))
+
+    # Within buckets of several classes: members of several pivots meet their leader, and those that
+    # aren't linked to their pivot meet the one among them that meets most.
+    rest = durable(still_open(led.join(pivots, "node"), labels))
+    several = rest.groupBy("bucket").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q")).filter("p <> q").select("bucket")
+    to_leader = rest.join(several, "bucket").filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    loose = rest.filter("node <> pivot").join(first.filter(F.col("like") < LIKE).select(F.col("b").alias("node")), "node")
+    met = loose.join(loose.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").groupBy("node").agg(F.sum("n").alias("met"))
+    tops = loose.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("top"))
+    second = loose.select("bucket", "node").join(tops, "bucket").groupBy("node").agg(F.max("top")["node"].alias("a")).filter("a <> node").select("a", F.col("node").alias("b"))
+    asked = to_leader.withColumn("star", F.lit(True)).unionByName(second.withColumn("star", F.lit(False)))
+    asked = durable(asked.groupBy("a", "b").agg(F.bool_or("star").alias("star")).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    tried = durable(verified(asked, sets))
+    labels = merged(labels, linked(tried))
+
+    # Pairs of different classes in one bucket have both met a pivot or leader of theirs.
+    rest = durable(still_open(rest.drop("label"), labels).select("node", "label").distinct())
+    stars = first.select("a", "b", "size_a", "size_b", "shared", "like").unionByName(tried.join(asked.filter("star"), ["a", "b"]).drop("star"))
+    found = across(stars.join(rest.withColumnRenamed("node", "b"), "b"), sets)
+    return merged(labels, linked(verified(found, sets)))
+
+
+def across(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels that may be linked though one of the two isn't linked to their pivot.
+
+    stars: a (the pivot), b, size_a, size_b, shared, like (of b and its pivot), label (of b)."""
+    more, less, size = F.col("size_b") - F.col("shared"), F.col("size_a") - F.col("shared"), F.col("size_a")
+    stars = stars.select("a", "b", "label", (F.col("like") < LIKE).alias("open"), (more + less).alias("size"), (less + LIKE * more - (1 - LIKE) / 2 * size).alias("cost"))
+    by_pivot = stars.groupBy("a").agg(F.min(F.when(F.col("open"), F.col("cost"))).alias("least_open"), F.min("cost").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"))
+    by_pivot = durable(by_pivot.filter("least_open IS NOT NULL AND low <> high").drop("low", "high"))
+    needed = needs(F.col("cost"), F.when(F.col("open"), F.col("least")).otherwise(F.col("least_open")))
+    stars = stars.join(by_pivot, "a").withColumn("reach", F.col("size") + 1 - needed).filter("reach > 0")
+    place = ["label", "open", "size", "cost", "reach"]
+    stars = durable(stars.select("a", "b", *place))
+    beyond = verified(stars, sets, spread=True).select("a", "b", F.concat("more", "less").alias("beyond"))
+    elements = durable(stars.join(beyond, ["a", "b"]).select("a", "b", *place, F.explode("beyond").alias("s")))
+    groups = elements.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("any_open"), F.min("label").alias("low"), F.max("label").alias("high"))
+    # Rare elements come first: a pair that shares enough of them shares one near the beginning of both.
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "s"))
+    ranked = elements.join(groups, ["a", "s"]).withColumn("rank", rank).filter("rank <= reach AND any_open AND low <> high")
+    ranked = durable(ranked.select("a", "s", "b", *place, "rank"))
+    one = ranked.filter("open").select("a", "s", *(F.col(c).alias(f"y_{c}") for c in ["b", *place, "rank"]))
+    other = ranked.select("a", "s", *(F.col(c).alias(f"z_{c}") for c in ["b", *place, "rank"]))
+    enough = needs(F.col("y_cost"), F.col("z_cost"))
+    can = (F.col("y_label") != F.col("z_label")) & (F.col("y_rank") <= F.col("y_size") + 1 - enough) & (F.col("z_rank") <= F.col("z_size") + 1 - enough)
+    # Two that are both open meet once.
+    can = can & (~F.col("z_open") | (F.col("y_b") < F.col("z_b")))
+    pairs = one.join(other, ["a", "s"]).filter(can)
+    return durable(pairs.select(F.least("y_b", "z_b").alias("a"), F.greatest("y_b", "z_b").alias("b")).distinct())
+
+
+def needs(cost: Column, other: Column) -> Column:
+    """How many elements two texts must share of those in which they differ from their pivot."""
+    return F.ceil((cost + other) / (1 + LIKE) - SLIGHT)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label for the nodes of links (a, b): label is the smallest node of the component.
-
-    Labels spread along links and jump to their label's label, until none changes."""
-    edges = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        around = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        spread = labels.join(around, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        after = durable(spread.join(above, "label", "left").select("node", "was", F.least("label", F.coalesce("upper", "label")).alias("label")))
-        labels = after.select("node", "label")
-        if after.filter("label <> was").isEmpty():
-            return labels
+    """node, label for the nodes of links (a, b): label is the same for all nodes of a component, and one of them.
+
+    In each round a node goes to the smallest of itself and its neighbours, and on to where that one goes;
+    what goes to one place is one node from then on, so that links become fewer quickly. Numbers of nodes
+    are hashes: chains in ascending order are short."""
+    edges = durable(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    steps: list[DataFrame] = []
+    while not edges.isEmpty():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        goes = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+        upper = goes.select(F.col("node").alias("label"), F.col("label").alias("upper"))
+        goes = durable(goes.join(upper, "label").select("node", F.col("upper").alias("label")))
+        steps.append(goes)
+        for end in ("a", "b"):
+            edges = edges.join(goes.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
+        edges = durable(edges.filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = steps[0]
+    for goes in steps[1:]:
+        upper = goes.select(F.col("node").alias("label"), F.col("label").alias("upper"))
+        labels = labels.join(upper, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
+    return durable(labels) if len(steps) > 1 else labels
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -258,13 +312,12 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = durable(nodes)
     copies = nodes.select("node", "copies")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    buckets = durable(buckets.join(shared, "bucket").select("bucket", "node"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = durable(buckets.join(shared, "bucket").select("bucket", "node", "n"))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "low"), "node").select(F.col("low").alias("__low")).distinct()
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__low")), "left_semi")
     sets = durable(shingle_sets(chosen).dropDuplicates(["node"]))
-    links = close_buckets(buckets, copies, sets)
-    labels = components(links)
+    labels = families(buckets, copies, sets)
     nodes = nodes.drop("bands").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = nodes.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
     nodes = nodes.join(whole, "label").select("node", "class_id", "class_size")

@@ -108,3 +108,65 @@ def test_repetition_does_not_hide_near_copies(spark):
     plain = {i: set(near.band_keys(near.signatures([near.Shingler()(t)[0]], [np.ones(len(sets[i]))]))[0].tolist()) for i, t in rows}
     assert all(bands[i] >= plain[i] for i, _ in rows)
     assert all(bands[i] & bands[i + 1] for i in range(0, len(rows), 2))
+
+
+def classes_of(rows):
+    """As `brute`, over sets held as bits, for thousands of texts."""
+    place = {}
+    bits = []
+    for _, t in rows:
+        own = 0
+        for s in shingles(t):
+            own |= 1 << place.setdefault(s, len(place))
+        bits.append(own)
+    sizes, label = [b.bit_count() for b in bits], list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]):
+                shared = (bits[i] & bits[j]).bit_count()
+                if sizes[i] and shared >= 0.8 * (sizes[i] + sizes[j] - shared):
+                    label[root(i)] = root(j)
+    low = {}
+    for i, (doc, _) in enumerate(rows):
+        low[root(i)] = min(doc, low.get(root(i), doc))
+    return {doc: low[root(i)] for i, (doc, _) in enumerate(rows)}
+
+
+def test_a_family_of_thousands_costs_a_few_comparisons_each(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [f"v{rng.randrange(500)}" for _ in range(90)]
+    # A second family beside the first: alike enough to share buckets with it, not to be linked.
+    other = base[:76] + [f"u{rng.randrange(500)}" for _ in range(14)]
+    texts = cloud(1500, base, rng, most=9) + cloud(900, other, rng, most=5) + cloud(300, base, rng, cut=True) + [" ".join(base)] * 300
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    compared, plain = [], near.verified
+
+    def counted(pairs, sets, spread=False):
+        if not spread:
+            compared.append(pairs.count())
+        return plain(pairs, sets, spread)
+
+    monkeypatch.setattr(near, "verified", counted)
+    got = {r["doc_id"]: r["class_id"] for r in near.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == classes_of(rows)
+    assert sum(compared) <= 8 * len(rows)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    names = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(400)]
+    chain, star = names[:200], names[200:300]
+    links = [*zip(chain, chain[1:], strict=False), *((star[0], x) for x in star[1:]), (names[300], names[301])]
+    got = {r["node"]: r["label"] for r in near.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(got) == set(names[:302])
+    for part in (chain, star, names[300:302]):
+        assert len({got[x] for x in part}) == 1 and got[part[0]] in part
+    assert near.components(spark.createDataFrame([], "a long, b long")).count() == 0
