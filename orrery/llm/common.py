@@ -37,29 +37,39 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster names in spark.checkpoint.dir; a local one only where none is named."""
+    """A fresh path in the folder that the cluster names in spark.checkpoint.dir."""
     return f"{checkpoint_root(spark)}/orrery-{uuid.uuid4().hex}"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder; one of the machine's own only where all of Spark is one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not named and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-"))
         own = spark.sparkContext.getCheckpointDir()
     return (named or own).rstrip("/")
 
 
+#: Spark's setting to remove what a finished execution has shuffled.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared checkpoint folder: a lost executor loses none of them.
 
-    What was shuffled on the way is of no more use. Spark removes it when the driver's collector finds
-    it unreferenced, which may take long while the heap is large, so the collector is asked to run.
+    What was shuffled on the way is of no more use, and Spark removes it as soon as the rows are kept.
     """
-    checkpoint_root(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return kept
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    was = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(TIDY) if was is None else spark.conf.set(TIDY, was)
 
 
 def partitions(spark: SparkSession) -> int:
