@@ -145,8 +145,7 @@ def cue_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     appear = F.col("l_partkey") % 100
     cues = tables.read(spark, sf_dir, "lineitem").select(appear.alias("appear"), (appear + F.col("l_quantity")).alias("disappear"))
     frames = events(spark, sf_dir).select("frame").distinct()
-    held = intervals.range_join(frames, cues, "frame", "appear", "disappear", 16, "left")
-    return held.groupBy("frame").agg(F.count("appear").alias("n_visible"))
+    return intervals.presence(frames, cues, "frame", "appear", "disappear", 16).withColumnRenamed("n_present", "n_visible")
 
 
 @query("""

@@ -44,6 +44,30 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end
     return keyed.join(binned, inside, how).drop("__at", "__bin")
 
 
+def presence(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
+    """points with n_present: how many of the intervals [start, end) hold each, without pairing them.
+
+    An interval is +1 where it starts and -1 where it ends, summed by place before anything is shuffled;
+    running sums are taken within bins of the given width, on top of the sums of the bins before. Empty
+    and null intervals hold nothing. The places in one bin, not the intervals, bound a task; one row for
+    each bin meets in one.
+    """
+    bin_of = lambda x: F.floor(x / float(width)).cast("long")
+    proper = intervals.filter(F.col(end) > F.col(start))
+    steps = proper.select(F.explode(F.array(F.struct(F.col(start).cast("double").alias("x"), F.lit(1).alias("d")), F.struct(F.col(end).cast("double").alias("x"), F.lit(-1).alias("d")))).alias("s"))
+    steps = steps.groupBy(F.col("s.x").alias("__x")).agg(F.sum("s.d").alias("__d")).withColumn("__bin", bin_of(F.col("__x")))
+    bins = steps.groupBy("__bin").agg(F.sum("__d").alias("__sum"))
+    there = points.select(*points.columns, F.col(at).cast("double").alias("__x"), F.lit(0).cast("long").alias("__d"), bin_of(F.col(at)).alias("__bin"), F.lit(1).alias("__side"))
+    steps = steps.select(*(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns), "__x", "__d", "__bin", F.lit(0).alias("__side"))
+    inside = Window.partitionBy("__bin").orderBy("__x", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = steps.unionByName(there).withColumn("__inside", F.sum("__d").over(inside)).filter("__side = 1")
+    wanted = there.select("__bin", F.lit(0).cast("long").alias("__sum")).distinct()
+    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bases = bins.unionByName(wanted).groupBy("__bin").agg(F.sum("__sum").alias("__sum")).select("__bin", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    found = both.join(bases, "__bin", "left")
+    return found.select(*points.columns, (F.coalesce("__inside", F.lit(0)) + F.coalesce("__base", F.lit(0))).alias("n_present"))
+
+
 def as_of(points: DataFrame, steps: DataFrame, keys: Sequence[str], at: str, step_at: str, value: str) -> DataFrame:
     """points with the value of the latest step at or before them within their keys: one sort of the
     union of both by key and time, instead of a range join."""

@@ -1,7 +1,7 @@
 """Ordered trees held as rows (node_id, parent_id, ord, ...).
 
-Levels are joined one after another: depth, not size, sets the number of steps, and every step is an
-equi-join on the parent.
+Levels are joined one after another: depth, not size, sets the number of steps, every step is an
+equi-join of the level above on the parent, and a level is kept before the next one is made from it.
 """
 
 from __future__ import annotations
@@ -11,27 +11,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import tables
 
-def descend(nodes: DataFrame, carry: dict[str, tuple[Column, Column]] | None = None, most: int = 64) -> DataFrame:
+
+def descend(nodes: DataFrame, carry: dict[str, tuple[Column, Column]] | None = None, most: int = 10_000) -> DataFrame:
     """nodes with depth and path (the ord of every ancestor and its own: ascending paths are
     pre-order), and whatever else is carried down.
 
     carry: for each name, the value at a root, and the value at a child, where `parent` is the name of
     the carried value of its parent, as a column `parent_<name>`.
-    Raises RuntimeError beyond `most` levels: a cycle, or a deeper tree.
+    Nodes that no root leads to, such as those of a cycle, are left out: see `unreached`. Raises
+    RuntimeError beyond `most` levels.
     """
     carry = carry or {}
     roots = nodes.filter("parent_id IS NULL")
-    level = roots.select(*nodes.columns, F.lit(0).alias("depth"), F.array("ord").alias("path"), *(at_root.alias(n) for n, (at_root, _) in carry.items()))
+    level = tables.kept(roots.select(*nodes.columns, F.lit(0).alias("depth"), F.array("ord").alias("path"), *(at_root.alias(n) for n, (at_root, _) in carry.items())))
     out = level
     for _ in range(most):
         above = level.select(F.col("node_id").alias("__parent"), F.col("depth").alias("__depth"), F.col("path").alias("__path"), *(F.col(n).alias(f"parent_{n}") for n in carry))
         below = nodes.join(above, F.col("parent_id") == F.col("__parent"))
-        level = below.select(*nodes.columns, (F.col("__depth") + 1).alias("depth"), F.concat("__path", F.array("ord")).alias("path"), *(at_child.alias(n) for n, (_, at_child) in carry.items()))
+        level = tables.kept(below.select(*nodes.columns, (F.col("__depth") + 1).alias("depth"), F.concat("__path", F.array("ord")).alias("path"), *(at_child.alias(n) for n, (_, at_child) in carry.items())))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    raise RuntimeError(f"the tree has more than {most} levels, or a cycle")
+    raise RuntimeError(f"the tree has more than {most} levels")
+
+
+def unreached(nodes: DataFrame) -> DataFrame:
+    """node_id of the nodes that hang on a cycle or on no root at all."""
+    return nodes.select("node_id").join(descend(nodes.select("node_id", "parent_id", "ord")).select("node_id"), "node_id", "left_anti")
 
 
 def inherit(nodes: DataFrame, columns: Sequence[str], **options) -> DataFrame:

@@ -21,8 +21,25 @@ def shots(spark: SparkSession, rows: Sequence[tuple[int, int, int, int]]) -> Dat
     return spark.createDataFrame(list(rows), "shot_id long, start long, duration long, premount long")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path for files between steps: in the shared folder that spark.checkpoint.dir names, and
-    in a local one only where none is named."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of the machine's own only where all of Spark is
+    one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(named or tempfile.mkdtemp(prefix='orrery-')).rstrip('/')}/{uuid.uuid4().hex}"
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="orrery-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path for files between steps, in the shared folder."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder, so that steps after them don't repeat them."""
+    shared_root(rows.sparkSession)
+    return rows.checkpoint(eager=True)

@@ -95,8 +95,23 @@ def test_tree(spark):
 
 def test_cycles_are_found(spark):
     nodes = spark.createDataFrame([(1, None, 0), (2, 1, 0), (2, 2, 1)], "node_id long, parent_id long, ord int")
-    with pytest.raises(RuntimeError, match="cycle"):
+    with pytest.raises(RuntimeError, match="levels"):
         tree.descend(nodes, most=5)
+    ring = spark.createDataFrame([(1, None, 0), (2, 1, 0), (3, 4, 0), (4, 3, 0)], "node_id long, parent_id long, ord int")
+    assert {r["node_id"] for r in tree.unreached(ring).collect()} == {3, 4}
+
+
+def test_deep_trees(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 0) for i in range(80)], "node_id long, parent_id long, ord int")
+    assert tree.descend(nodes).agg(F.max("depth")).first()[0] == 79
+
+
+def test_presence_counts(spark):
+    spans = [(0.0, 5.0), (2.0, 2.0), (3.0, 40.0), (None, 4.0), (-7.5, 0.5), (100.0, 101.0)]
+    points = [-9.0, -7.5, 0.0, 0.5, 3.0, 5.0, 39.9, 40.0, 250.0]
+    held = intervals.presence(spark.createDataFrame([(p,) for p in points], "at double"), spark.createDataFrame(spans, "s double, e double"), "at", "s", "e", 8)
+    want = {p: sum(s is not None and s <= p < e for s, e in spans) for p in points}
+    assert {r["at"]: r["n_present"] for r in held.collect()} == want
 
 
 def test_drift(spark):
