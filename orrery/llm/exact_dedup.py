@@ -18,7 +18,8 @@ kept as they are by `drop_duplicates`.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,42 +93,58 @@ def fingerprint_chunks(chunks: DataFrame) -> DataFrame:
     return grouped.mapInArrow(batches(combined), "doc_id long, fingerprint binary")
 
 
-def hot_groups(docs: DataFrame, most: int = 5000) -> dict[bytes, tuple[int, int | None]]:
-    """Fingerprints that hold over 1/most of all rows (and over 1000): the number of parts to deal
+def hot_groups(docs: DataFrame, most: int = 5000, least: int = 1000, of: Callable[[bytes], bytes] = fingerprint) -> dict[bytes, tuple[int, int | None]]:
+    """Fingerprints that hold over 1/most of all rows (and over `least`): the number of parts to deal
     them to, and the doc_id whose text stands for them. At most `most` entries, however many rows.
     """
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([fingerprint(normalised(t)) for t in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([of(normalised(t)) for t in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "fp"])
 
-    floor = max(1000, docs.count() // most)
+    floor = max(least, docs.count() // most)
     groups = docs.mapInArrow(batches(hashed), "doc_id long, fp binary").groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     return {bytes(r["fp"]): (-(-r["n"] // floor) * 4, r["first"]) for r in groups.filter(F.col("n") > floor).collect()}
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def spread(x: int) -> int:
+    """32 bits that depend on all of x's lower 64."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    return (x ^ (x >> 27)) * 0x94D049BB133111EB >> 32 & 0xFFFFFFFF
+
+
+def classes(docs: DataFrame, least: int = 1000, of: Callable[[bytes], bytes] = fingerprint) -> DataFrame:
     """doc_id, n_points, fp, other, part, sha: equal normalised texts are those with equal (fp, other).
 
     Texts go to the task of their fingerprint, hot fingerprints to several tasks with a copy of the
-    text that stands for them, and stream past that text in sorted order. `other` is empty for a
-    text that equals it, else the text's own digest.
+    text that stands for them, and stream past that text in sorted order. A hot group's rows are dealt by
+    doc_id and by how often a task has met it, so that rows of one id, or without one, are spread too. `other` is empty for a
+    text that equals it, else the text's own digest. `of` is the fingerprint.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hot = hot_groups(docs)
+    hot = hot_groups(docs, least=least, of=of)
     names = ["fp", "part", "role", "doc_id", "n_points", "sha", "body"]
     kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
-    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            body = normalised(text)
-            fp, sha = fingerprint(body), hashlib.sha256(body).hexdigest()
-            parts, first = hot.get(fp, (1, None))
-            if parts > 1 and doc == first:
-                rows += [(fp, p, 0, doc, 0, sha, body) for p in range(parts)]
-            rows.append((fp, hash(doc) * 0x9E3779B1 % (1 << 32) * parts >> 32, 1, doc, len(text or ""), sha, body))
-        return record(names, list(zip(*rows, strict=True)), kinds)
+    def dealt(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of hot groups: what this task has sent as a reference, and how often it has met an id.
+        sent: set[bytes] = set()
+        met: Counter = Counter()
+        for batch in source:
+            rows = []
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                body = normalised(text)
+                fp, sha, part = of(body), hashlib.sha256(body).hexdigest(), 0
+                if fp in hot:
+                    parts, first = hot[fp]
+                    if doc == first and fp not in sent:
+                        sent.add(fp)
+                        rows += [(fp, p, 0, doc, 0, sha, body) for p in range(parts)]
+                    met[fp, doc] += 1
+                    part = spread((doc or 0) * 0x9E3779B1 + met[fp, doc]) * parts >> 32
+                rows.append((fp, part, 1, doc, len(text or ""), sha, body))
+            if rows:
+                yield record(names, list(zip(*rows, strict=True)), kinds)
 
     def compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, reference = None, b""
@@ -141,7 +158,7 @@ def classes(docs: DataFrame) -> DataFrame:
             if out:
                 yield record(["doc_id", "n_points", "fp", "other", "part", "sha"], list(zip(*out, strict=True)), [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.string()])
 
-    placed = docs.mapInArrow(batches(dealt), "fp binary, part int, role int, doc_id long, n_points long, sha string, body binary")
+    placed = docs.mapInArrow(dealt, "fp binary, part int, role int, doc_id long, n_points long, sha string, body binary")
     placed = placed.repartition(partitions(docs.sparkSession), "fp", "part").sortWithinPartitions("fp", "part", "role", "doc_id")
     return placed.mapInArrow(compared, "doc_id long, n_points long, fp binary, other string, part int, sha string")
 
