@@ -33,8 +33,8 @@ from .common import only, partitions, prepare
 
 #: Bytes of frames after which a block is written.
 BLOCK_BYTES = 1 << 20
-#: The dictionary is fitted on so many documents, those first in a hashed order with at most so many
-#: characters each.
+#: The dictionary is fitted on so many documents with text, those first in a hashed order, and on at most
+#: so many characters of each.
 TRAIN_DOCS, TRAIN_CHARS, DICT_BYTES = 1000, 20_000, 32_768
 LEVEL = 3
 MOST_CACHED = 750_000
@@ -151,18 +151,20 @@ def vocabulary_kind(path: str) -> str:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int, kind: str) -> bytes:
-    """A zstandard dictionary, or no bytes if there is too little to train on."""
+    """A zstandard dictionary; what the sample's ids are where zstandard finds too little to train on,
+    and no bytes only where no text has a character."""
     import zstandard
 
-    # By hashes of ids, which alone are sorted and sent; then the few texts.
-    picked = docs.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(TRAIN_DOCS)
-    found = docs.select("text", F.xxhash64("doc_id").alias("h")).join(F.broadcast(picked), "h").filter(F.length("text").between(1, TRAIN_CHARS))
-    texts = sorted(r["text"] for r in found.select("text").distinct().collect())[:TRAIN_DOCS]
-    samples = Words(tokenizer, kind).serialised(texts, end)
+    # By hashes of ids, which alone are sorted and sent; then different texts of theirs, as few.
+    rows = docs.filter(F.length("text") > 0)
+    picked = rows.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(TRAIN_DOCS)
+    found = rows.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(picked), "h")
+    found = found.groupBy("h", "t").agg(F.first("text").alias("text")).orderBy("h", "t").limit(TRAIN_DOCS)
+    samples = Words(tokenizer, kind).serialised(sorted({r["text"] for r in found.collect()}), end)
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:DICT_BYTES]
 
 
 def shard_of(docs: DataFrame, shards: int) -> Column:
