@@ -117,7 +117,13 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[str,
     for label in (0, 1):
         own = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
         ids = own if ids is None else ids.unionByName(own)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(F.broadcast(ids), "doc_id")
+    # An id that many rows share counts with its different texts, and within the same bound.
+    found = found.groupBy("doc_id", "toxic", "t").agg(F.first("text").alias("text"))
+    rows = None
+    for label in (0, 1):
+        own = found.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(FIT_ROWS)
+        rows = own if rows is None else rows.unionByName(own)
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"].cast(pa.int32()), pa.array([" ".join(sorted(tokens(t))) for t in batch["text"].to_pylist()], pa.string())], names=["doc_id", "toxic", "words"])
