@@ -7,7 +7,7 @@ language with the fewest wins.
 
 Every letter of the samples has a symbol of its own. Automata are transition tables, dense for the
 commonest letters of a language and sorted for its others, and many stretches of text walk them in step, one numpy call
-for a symbol of all of them. Every text is read whole, in stretches of STRETCH symbols.
+for a symbol of all of them. Every text is read whole, in stretches of STRETCH symbols, at whose ends a phrase ends too.
 
 The sample is bounded: for each language, the first SAMPLE_DOCS labelled texts in a hashed order that
 have at most SAMPLE_CHARS characters, until SAMPLE_SYMBOLS are reached. Where a language has none so
@@ -169,7 +169,8 @@ class Parser:
         read = [self.read(t) for t in texts]
         letters = np.array([int(np.count_nonzero(r)) for r in read], np.int64)
         lanes = [(i, r[at : at + STRETCH]) for i, r in enumerate(read) for at in range(0, len(r), STRETCH)]
-        phrases = np.ones((len(texts), len(self.langs)))
+        # A phrase ends where a stretch does: each stretch opens one of its own.
+        phrases = np.zeros((len(texts), len(self.langs)))
         if lanes:
             lanes.sort(key=lambda x: -len(x[1]))
             sizes = np.array([len(r) for _, r in lanes])
@@ -183,7 +184,7 @@ class Parser:
                 for step, n in zip(steps, open_at, strict=True):
                     state[:n], none = automaton.step(state[:n], step[:n])
                     missed[:n] += none
-                np.add.at(phrases[:, j], owner, missed)
+                np.add.at(phrases[:, j], owner, missed + 1)
         n = np.maximum(1, np.array([len(r) for r in read]))[:, None]
         return phrases * np.array(self.cost) / n, letters
 
