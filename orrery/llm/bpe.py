@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import only, prepare
 
-STEP, OVERLAP = 1 << 16, 512
+STEP, OVERLAP = 1 << 12, 256
 #: Characters before a chunk's end whose boundaries may depend on what follows: the longest
 #: alternative of the pattern with a fixed length has three characters.
 GUARD = 4
