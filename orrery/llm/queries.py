@@ -59,7 +59,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.assign(table(spark, sf_dir, "documents"))
+    first, every = F.get("positions", F.lit(0)), F.aggregate("positions", F.lit(0.0), lambda total, at: total + at)
+    # Training times of a document's first word, from 0 to 1; documents that the mix leaves out have none.
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position"), F.round(every, 8).alias("positions_sum"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -100,12 +103,26 @@ ORACLE_SQL: dict[str, str] = {
                     / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
           FROM w),
         g AS (SELECT arg_min(level, cap / weight * 1e3 + r) AS fill FROM f WHERE level * weight <= cap),
-        t AS (SELECT source, source_size, least(cap, coalesce(fill * weight, cap)) AS target FROM f, g),
+        t AS (SELECT source, source_size, r, least(cap, coalesce(fill * weight, cap)) AS target FROM f, g),
         c AS (
-          SELECT d.doc_id, d.size, t.source_size, t.target,
+          SELECT d.doc_id, d.size, t.source_size, t.target, t.r,
                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mixed, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-               (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken
-        FROM c""",
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        u AS (
+          SELECT *, greatest(0, least(size, floor(target) - start)) AS once, greatest(0, least(size, floor(target) - start - source_size)) AS again,
+                 start::DOUBLE / nullif(target, 0) AS x1, (start + source_size)::DOUBLE / nullif(target, 0) AS x2
+          FROM c),
+        v AS (
+          SELECT *,
+                 CASE r % 3 WHEN 0 THEN 1.5::DOUBLE - sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE - 2.0::DOUBLE * x1)) WHEN 1 THEN x1
+                   ELSE CASE WHEN x1 < 0.3125 THEN (sqrt(0.0625::DOUBLE + 3.0::DOUBLE * x1) - 0.25::DOUBLE) / 1.5::DOUBLE
+                             ELSE 0.5::DOUBLE + (sqrt(1.0::DOUBLE + 3.0::DOUBLE * (x1 - 0.3125::DOUBLE)) - 1.0::DOUBLE) / 1.5::DOUBLE END END AS at1,
+                 CASE r % 3 WHEN 0 THEN 1.5::DOUBLE - sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE - 2.0::DOUBLE * x2)) WHEN 1 THEN x2
+                   ELSE CASE WHEN x2 < 0.3125 THEN (sqrt(0.0625::DOUBLE + 3.0::DOUBLE * x2) - 0.25::DOUBLE) / 1.5::DOUBLE
+                             ELSE 0.5::DOUBLE + (sqrt(1.0::DOUBLE + 3.0::DOUBLE * (x2 - 0.3125::DOUBLE)) - 1.0::DOUBLE) / 1.5::DOUBLE END END AS at2
+          FROM u)
+        SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (once + again)::BIGINT AS taken,
+               round(CASE WHEN once > 0 THEN at1 WHEN again > 0 THEN at2 END, 9) AS position,
+               round(CASE WHEN once > 0 THEN at1 ELSE 0.0::DOUBLE END + CASE WHEN again > 0 THEN at2 ELSE 0.0::DOUBLE END, 8) AS positions_sum
+        FROM v""",
 }
