@@ -14,8 +14,8 @@ from .functions import noise, style, text
 from .functions import timeline as tl
 from .laws import catalogue as laws
 from .laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
-from .operators import catalog, determinism, envelopes, intervals, outcome, protocol, schema, tree
-from .sources import tables
+from .operators import catalog, determinism, envelopes, intervals, outcome, projection, protocol, schema, tree
+from .sources import builders, tables
 from .streaming import lease
 from .streaming import outcome as streaming_outcome
 
@@ -660,3 +660,40 @@ def style_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def law_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.find(catalog.of_laws(spark), type="behaviour")
+
+
+@query("""
+    SELECT style, type, n::BIGINT AS n FROM (VALUES ('archival-dossier', 'behaviour', 4), ('archival-dossier', 'unit', 3), ('blue-terminal', 'behaviour', 7), ('blue-terminal', 'unit', 7), ('chalkboard', 'behaviour', 1), ('chalkboard', 'unit', 1), ('conn-check-88bf76acecbb', 'behaviour', 1), ('conn-check-88bf76acecbb', 'unit', 1), ('crt-glitch', 'behaviour', 1), ('crt-glitch', 'unit', 2), ('fight-zine', 'behaviour', 8), ('fight-zine', 'unit', 9), ('flash-photo', 'behaviour', 2), ('flash-photo', 'unit', 6), ('impact', 'behaviour', 1), ('impact', 'unit', 15), ('kinetic-intertitles', 'behaviour', 5), ('kinetic-intertitles', 'unit', 3), ('media-montage', 'behaviour', 6), ('media-montage', 'unit', 10), ('micro-flash', 'behaviour', 1), ('micro-flash', 'unit', 1), ('neon-heart-pop', 'behaviour', 14), ('neon-heart-pop', 'unit', 8), ('outlined-word-card', 'behaviour', 1), ('outlined-word-card', 'unit', 1), ('photo-glitch', 'behaviour', 7), ('photo-glitch', 'unit', 10), ('rapid-photo', 'behaviour', 1), ('rapid-photo', 'unit', 1), ('retro-ritual', 'behaviour', 5), ('retro-ritual', 'unit', 2), ('sculptural-3d', 'behaviour', 4), ('sculptural-3d', 'unit', 4), ('signal-editorial', 'behaviour', 4), ('signal-editorial', 'unit', 3), ('tape-warble', 'behaviour', 1), ('tape-warble', 'unit', 2), ('turbulent-emulsion', 'behaviour', 2), ('turbulent-emulsion', 'unit', 3)) AS v(style, type, n)""")
+def catalogue_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.entries(spark).groupBy("style", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    SELECT id, "import" FROM (VALUES ('unit.archival-dossier.quote-strip', 'units/archival-dossier/DossierQuoteStrip'),
+                                     ('behaviour.archival-dossier.carbon-copy-cadence', 'behaviours/archival-dossier/CarbonCopyCadence')) AS v(id, "import")""")
+def catalogue_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a style has for revealing a quote or transcript."""
+    rows = catalog.entries(spark)
+    purposes = ("podcast quote reveal", "podcast quote", "transcript reveal")
+    found = [catalog.find(rows, style="archival-dossier", purpose=p).select("id", "import") for p in purposes]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+
+
+@query("""SELECT 'unresolved' AS what, 0::BIGINT AS n UNION ALL SELECT 'kinds', 240::BIGINT UNION ALL SELECT 'layers', 49::BIGINT""")
+def catalogue_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, kinds = catalog.entries(spark), catalog.kinds(spark)
+    count = lambda what, found: found.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    return count("unresolved", catalog.unresolved(rows, kinds)).unionByName(count("kinds", kinds)).unionByName(count("layers", catalog.is_a(kinds, "unit.layer")))
+
+
+@query(f"""
+    WITH f AS (SELECT DISTINCT floor(frame)::BIGINT AS frame FROM {FRAMES}),
+    p AS (SELECT frame, least(1.0, greatest(0.0, (frame - 5) / 12.0::DOUBLE)) AS x FROM f)
+    SELECT frame, 4::BIGINT AS nodes, round(1 - (1 - x) * (1 - x) * (1 - x), 6) + 0.0 AS draw_end FROM p""")
+def scene_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A headline's scene at the frames of events: how many nodes are there, and how far its rule is drawn."""
+    nodes, attached = builders.build(spark, "signalHeadlineBand", text="A HEADLINE")
+    scene = projection.evaluate(nodes, attached, 0, 120)
+    frames = events(spark, sf_dir).select(F.floor("frame").alias("frame")).distinct()
+    drawn = F.get_json_object("scene", "$.children[1].draw_end").cast("double")
+    return frames.join(scene, "frame").select("frame", F.regexp_count("scene", F.lit('"kind"')).cast("long").alias("nodes"), r6(drawn).alias("draw_end"))

@@ -596,3 +596,9 @@ def _() -> Channels:
     hit = lambda at, peak: through(frame, (at, term(at) + 2, term(at) + 9), (0, peak, 0))
     flash = greatest(hit(0, 0.95), hit(rounded(third), 0.9), hit(rounded(third * 2), 0.9), hit(rounded(third * 0.5), 0.4), hit(rounded(third * 1.5), 0.4))
     return {"opacity": flash, "present": when(flash > 0, 1, 0), "brightness": 1 + flash * 0.25}
+
+
+@law("conn-check-88bf76acecbb.marker")
+def _() -> Channels:
+    settled = cubic_out(progress(frame, 0, 18))
+    return {"opacity": progress(frame, 0, 8), "scale": lerp(0.72, 1, settled), "y": lerp(40, 0, settled)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,39 @@ def listing(catalog: DataFrame, order: Sequence[Column | str], row: Column | Non
     return catalog.groupBy("style").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("text"))
 
 
+def entries(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """The catalogue of units and behaviours, with `place`, its order; imports are below the prefix."""
+    rows = []
+    for line in lines("catalogue.txt"):
+        name, kind, use, keep = (x.strip() for x in line.split("|"))
+        type_, style, _ = name.split(".", 2)
+        rows.append((len(rows), name, type_, style, "/".join(x for x in (prefix, f"{type_}s", style, kind) if x), use.split("; "), keep.split("; ")))
+    return spark.createDataFrame(rows, T.StructType([T.StructField("place", T.IntegerType()), *SCHEMA.fields]))
+
+
+def lines(name: str) -> list[str]:
+    return [x for x in Path(__file__).with_name(name).read_text().splitlines() if x and not x.startswith("#")]
+
+
+def kinds(spark: SparkSession) -> DataFrame:
+    """kind and base of every unit, and of every law (base `behaviour`)."""
+    from ..laws import catalogue as laws
+    from ..laws import flash, impact, panels  # noqa: F401
+
+    rows = [(f"unit.{kind}", f"unit.{base}" if base != "unit" else base) for base, _, own in (x.partition(": ") for x in lines("kinds.txt")) for kind in own.split(", ")]
+    rows += [(f"behaviour.{k}", "behaviour") for k in sorted({name.partition("/")[0] for name in laws.LAWS})]
+    return spark.createDataFrame(rows, "kind string, base string")
+
+
+def is_a(kinds: DataFrame, base: str) -> DataFrame:
+    """kind of all that derives from a base, whatever stands between; the depth of bases is authored."""
+    found, level = None, kinds.filter(F.col("base") == base).select("kind")
+    while not level.isEmpty():
+        found = level if found is None else found.unionByName(level)
+        level = kinds.join(level.withColumnRenamed("kind", "base"), "base").select("kind")
+    return kinds.select("kind").limit(0) if found is None else found
+
+
 def of_laws(spark: SparkSession) -> DataFrame:
     """The laws of this library as a catalogue: one entry for each, with its roles as what it is for and
     its channels as what it keeps."""
