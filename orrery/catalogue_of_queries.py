@@ -612,7 +612,7 @@ CURVED = {"crt-glitch", "fight-zine", "impact", "media-montage", "neon-heart-pop
 def law_query(name: str) -> None:
     """All laws of a family at the frames of events, one column for each channel."""
     channels = {f"{kind.split('.', 1)[1]}.{c}".replace("-", "_").replace("/", "_").replace(".", "__"): t for kind, f in laws.family(name).items() for c, t in f().items()}
-    text_like = {k for k, t in channels.items() if k.endswith(("__shadow", "__phase"))}
+    text_like = {k for k, t in channels.items() if k.endswith(("__shadow", "__phase", "__fit", "__filters", "__operations"))}
     # Curves are solved to about 1e-5.
     scale = 1e4 if name in CURVED else 1e6
 

@@ -233,7 +233,8 @@ for _k, _card in enumerate(CARDS):
 @law("neon-heart-pop.five-hit-title-slam")
 def _() -> Channels:
     local = frame - ms(750)
-    return {"present": when(local >= 0, 1, 0), "scale": through(local, (0, ms(80)), (3, 1), landing)}
+    there = when(local >= 0, 1, 0)
+    return {"present": there, "opacity": there, "scale": through(local, (0, ms(80)), (3, 1), landing)}
 
 
 @law("neon-heart-pop.five-hit-exposure-burst")
@@ -316,7 +317,7 @@ def _() -> Channels:
     rest = lerp(1.08, 1, progress(in_beat, 0, 8))
     side = when((beat % 8).equals(1), -1, 1)
     scale = when(kind.equals(0), lerp(1.5, 1, ease_out(lambda v: power(v, 3))(progress(in_beat, 0, 6))), when(kind.equals(2), lerp(1.4, 1, snap), rest))
-    return {"variant": kind, "source": beat % 3, "x": when(kind.equals(1), lerp(side * 1080, 0, snap), 0), "y": when(kind.equals(3), lerp(1920, 0, snap), 0), "scale": scale, "rotate": when(kind.equals(2), lerp(15, 0, snap), 0)}
+    return {"variant": kind, "beat": beat, "in_beat": in_beat, "opacity": term(1), "x": when(kind.equals(1), lerp(side * 1080, 0, snap), 0), "y": when(kind.equals(3), lerp(1920, 0, snap), 0), "scale": scale, "rotate": when(kind.equals(2), lerp(15, 0, snap), 0)}
 
 
 @law("photo-glitch.beat-vignette-flicker")
@@ -494,7 +495,7 @@ for _variant, _bpm in (("slow-pulse", 117.5), ("fast-pulse", 161.5)):
     @law(f"sculptural-3d.heart-pulse-orbit/{_variant}")
     def _(bpm=_bpm) -> Channels:
         punch = 1 - spring(frame % (fps * 60 / bpm), Spring(7, 0.22, 210))
-        return {"inner_opacity": 0.11 + 0.3 * punch, "outer_opacity": 0.04 + 0.22 * punch, "intensity": 3 + 5 * punch, "y": sin(frame * 0.034) * 15, "turn": frame * 0.0065, "scale": 1.1 + 0.28 * punch}
+        return {"inner_opacity": 0.11 + 0.3 * punch, "outer_opacity": 0.04 + 0.22 * punch, "intensity": 3 + 5 * punch, "orbit_frame": frame, "y": sin(frame * 0.034) * 15, "turn": frame * 0.0065, "scale": 1.1 + 0.28 * punch}
 
 
 @law("sculptural-3d.ink-tendril-reveal")

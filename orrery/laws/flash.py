@@ -58,6 +58,15 @@ RECIPES: dict[str, Recipe] = {
     "wide-angle-triptych": timed((0, 751, None, {"scale": (1, 1), "y": (-60, 60)}), (751, 1502, None, {"rotate": (-0.1, 0), "scale": (1.2, 1)}), (1502, None, 2253, {"rotate": (0, 0.1), "scale": (1, 1.2), "x": (0, 50)}), exposed=True),
     "scatter-five": timed(*((at, None, at + 100, {"x": (x0, x, "out"), "y": (y0, y, "out"), "rotate": (turn, turn)}) for at, x, y, turn, x0, y0 in ((580, 750, 520, 0.21, 1300, 100), (905, 280, 820, -0.14, -350, 1000), (1138, 580, 1150, 0.09, 580, -600), (1486, 200, 1400, -0.24, -450, 1600), (1741, 820, 1100, 0.05, 1400, 900)))),
 }
+#: Of each recipe with any: contrast, saturation, and filters of its media.
+GRADES = {"graded-triptych": (1.15, 1.2, "none"), "cover-triptych": (1.2, 1.3, "none"), "vignette-triptych": (1, 1, "saturate(1.5) contrast(1.1)")}
+#: The order in which a recipe's moves become transform operations; others go into the pose.
+ORDERS = {
+    "vignette-push": "scale", "long-push": "scale", "vertical-reveal": "translate-y", "lateral-drift": "translate-x scale", "paired-snap": "translate scale", "blue-triptych": "translate rotate scale",
+    "balanced-triptych": "scale rotate translate", "cover-triptych": "scale rotate", "four-beat-fade": "rotate scale translate",
+}
+#: x, width and height of the frame that covers a composition, whose middle is the origin.
+COVER, MIDDLE = (-180, 1440, 1920), (540, 960)
 time = frame / fps * 1000
 
 
@@ -73,7 +82,7 @@ for _name, _recipe in RECIPES.items():
     for _k, _slot in enumerate(_recipe.slots):
 
         @law(f"flash-photo.shutter-flash-reframe/{_name}-{_k}")
-        def _(recipe=_recipe, slot=_slot) -> Channels:
+        def _(name=_name, recipe=_recipe, slot=_slot) -> Channels:
             at = time if recipe.basis == "time" else frame
             amount = clamp((at - slot.start) / (slot.till - slot.start))
             seen = when(at >= slot.start, 1 if slot.end is None else when(at < slot.end, 1, 0), 0)
@@ -82,7 +91,16 @@ for _name, _recipe in RECIPES.items():
             out = {c: lerp(m[0], m[1], CURVES[m[2] if len(m) > 2 else ""](amount)) for c, m in slot.moves.items()}
             if "rotate" in out:
                 out["rotate"] = out["rotate"] * (180 / PI)
-            return {"opacity": seen} | out
+            contrast, saturate, filters = GRADES.get(name, (1, 1, "none"))
+            scattered = name == "scatter-five"
+            if scattered:
+                out |= {"frame_x": out.pop("x"), "frame_y": out.pop("y"), "frame_width": term(620)}
+            elif name == "cover-triptych":
+                x, y = term(COVER[0]) + out.get("x", 0), term(0) + out.get("y", 0)
+                out |= {"frame_x": x, "frame_y": y, "frame_width": term(COVER[1]), "frame_height": term(COVER[2]), "origin_x": MIDDLE[0] - x, "origin_y": MIDDLE[1] - y}
+            still_there = term(1) if recipe.basis == "frames" else when(seen > 0, 1, 0)
+            media = {"contrast": term(contrast), "saturate": term(saturate), "filters": term(filters), "fit": term("contain" if scattered else "cover"), "shadow": term("6px 8px 25px rgba(0,0,0,0.6)" if scattered else "none")}
+            return {"opacity": seen, "present": still_there, "operations": term(ORDERS.get(name, "none"))} | media | out
 
     if _recipe.exposed:
         law(f"flash-photo.shutter-flash-reframe/{_name}-exposure")(lambda r=_recipe: {"exposure": flash(tuple(s.start for s in r.slots))})
