@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import noise, style, text
+from .functions import geometry, noise, sheet, style, text
 from .functions import timeline as tl
 from .laws import catalogue as laws
 from .laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
@@ -697,3 +697,33 @@ def scene_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = events(spark, sf_dir).select(F.floor("frame").alias("frame")).distinct()
     drawn = F.get_json_object("scene", "$.children[1].draw_end").cast("double")
     return frames.join(scene, "frame").select("frame", F.regexp_count("scene", F.lit('"kind"')).cast("long").alias("nodes"), r6(drawn).alias("draw_end"))
+
+
+@query("""
+    WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE * 10 AS w, (l_partkey % 500 + 1)::DOUBLE AS h FROM lineitem),
+    s AS (SELECT *, greatest(1080 / w, 1920 / h) AS scale, ((l_partkey % 360) - 90) * (pi() / 180) AS turn FROM p)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(scale, 6) + 0.0 AS scale, round(w * scale, 6) + 0.0 AS width, round(540 + cos(turn) * 100, 6) + 0.0 AS x, round(540 + sin(turn) * 100, 6) + 0.0 AS y FROM s""")
+def cover_and_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    fit = geometry.cover_fit(F.col("l_quantity").cast("double") * 10, (F.col("l_partkey") % 500 + 1).cast("double"), 1080, 1920)
+    at = geometry.polar((F.col("l_partkey") % 360).cast("double"), 100, 540)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", r6(fit["scale"]).alias("scale"), r6(fit["width"]).alias("width"), r6(at["x"]).alias("x"), r6(at["y"]).alias("y"))
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_id % 2 = 0 AS flex, ['start', 'center', 'end'][event_id % 3 + 1] AS a, event_id % 5 AS gap FROM events)
+    SELECT event_id, 'align-items: ' || CASE WHEN flex AND a <> 'center' THEN 'flex-' || a ELSE a END || '; column-gap: ' || gap || 'px; display: ' || CASE WHEN flex THEN 'flex; flex-direction: row; flex-wrap: wrap; justify-content: flex-start'
+             ELSE 'grid; grid-template-columns: 1fr ' || gap || 'px; justify-content: start' END || '; padding-left: 10%; row-gap: 4px' AS sheet FROM e""")
+def style_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    number = lambda x: F.struct(x.cast("double").alias("num"), F.lit(None).cast("string").alias("txt"))
+    null = F.lit(None).cast("struct<num: double, txt: string>")
+    track = lambda kind, value, share_of: F.struct(F.lit(kind).alias("kind"), value.alias("value"), share_of.alias("share"), *(F.lit(None).cast("string").alias(c) for c in ("size", "min", "max")))
+    columns = F.array(track("fraction", null, F.lit(1.0)), track("fixed", number(i % 5), F.lit(None).cast("double")))
+    box = F.struct(
+        F.when(i % 2 == 0, "flex").otherwise("grid").alias("mode"), F.lit("row").alias("direction"), F.lit("wrap").alias("wrap"), F.element_at(F.array(*map(F.lit, ("start", "center", "end"))), (i % 3 + 1).cast("int")).alias("align"),
+        F.lit(None).cast("string").alias("justify"), columns.alias("columns"), F.slice(columns, 1, 0).alias("rows"),
+        F.struct(null.alias("top"), null.alias("right"), null.alias("bottom"), F.struct(F.lit(None).cast("double").alias("num"), F.lit("10%").alias("txt")).alias("left")).alias("padding"),
+        F.struct(number(F.lit(4)).alias("row"), number(i % 5).alias("column")).alias("gap"),
+    )
+    return tables.read(spark, sf_dir, "events").select("event_id", sheet.sheet_text(sheet.layout(box)).alias("sheet"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .timeline import col
 
@@ -88,3 +89,34 @@ def number_key(x: Column) -> Column:
     plain = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(x.cast("string"))
     zero = F.when(x.cast("string") == "-0.0", "-0").otherwise("0")
     return F.when(F.isnan(x), "NaN").when(x == float("inf"), "+Infinity").when(x == float("-inf"), "-Infinity").when(x == 0, zero).otherwise(plain)
+
+
+def record_tokens(value: Column, kind: T.DataType) -> Column:
+    """The tokens that a plain value feeds into the hash, each type under its own tag: array<string>.
+
+    Arrays give their length and items, records their number of fields and then name and value of each, in
+    the order of names; what is null is `null`."""
+    tokens = lambda *xs: F.array(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    if isinstance(kind, T.BooleanType):
+        own = F.array(F.when(value, "boolean:true").otherwise("boolean:false"))
+    elif isinstance(kind, T.StringType):
+        own = F.array(F.lit("string"), value)
+    elif isinstance(kind, T.NumericType):
+        own = F.array(F.lit("number"), number_key(value.cast("double")))
+    elif isinstance(kind, T.ArrayType):
+        items = F.flatten(F.transform(value, lambda x: F.concat(F.array(F.lit("item")), record_tokens(x, kind.elementType))))
+        own = F.concat(tokens("array", F.size(value)), items)
+    elif isinstance(kind, T.StructType):
+        parts = [tokens("object", F.lit(len(kind.fields)))]
+        for f in sorted(kind.fields, key=lambda f: f.name):
+            parts += [F.array(F.lit(f.name)), record_tokens(value[f.name], f.dataType)]
+        own = F.concat(*parts)
+    else:
+        raise TypeError(f"{kind.simpleString()} is no plain data")
+    return F.when(value.isNull(), F.array(F.lit("null"))).otherwise(own)
+
+
+def record_hash(rows: DataFrame, *columns: str) -> Column:
+    """32 hexadecimal digits for the record of these columns of rows."""
+    kind = T.StructType([rows.schema[c] for c in columns])
+    return token_hash(record_tokens(F.struct(*columns), kind))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .noise import number_key
 from .timeline import clamp, round_half_up
 
 #: Identifier patterns, whole strings only. Fixed values.
@@ -109,7 +110,7 @@ def path_text(segments: Column) -> Column:
     """SVG path data of array<struct<command, x, y, x1, y1, x2, y2>>."""
 
     def one(s: Column) -> Column:
-        pair = lambda a, b: F.concat(s[a].cast("string"), F.lit(" "), s[b].cast("string"))
+        pair = lambda a, b: F.concat_ws(" ", number_key(s[a] + 0.0), number_key(s[b] + 0.0))
         return (
             F.when(s["command"].isin("M", "L"), F.concat_ws(" ", s["command"], pair("x", "y")))
             .when(s["command"] == "C", F.concat_ws(" ", s["command"], pair("x1", "y1"), pair("x2", "y2"), pair("x", "y")))
@@ -122,8 +123,18 @@ def path_text(segments: Column) -> Column:
 
 def points_text(points: Column) -> Column:
     """`x,y x,y` of array<struct<x, y>>."""
-    return F.array_join(F.transform(points, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    return F.array_join(F.transform(points, lambda p: F.concat_ws(",", number_key(p["x"] + 0.0), number_key(p["y"] + 0.0))), " ")
 
 
 def css_string(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def characters(text: Column) -> Column:
+    """The UTF-16 units of a text, each as text of its own; halves of a pair stay together with the next."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def to_fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits after the point, as text, halves away from zero on its decimal value."""
+    return F.format_string(f"%.{digits}f", F.round(x.cast("decimal(38,18)"), digits).cast("double"))

@@ -150,3 +150,26 @@ def grid(spark, rows: int, columns: int) -> DataFrame:
     cells = spark.range(rows * columns)
     r, c = F.floor(F.col("id") / columns).cast("int"), (F.col("id") % columns).cast("int")
     return cells.select(r.alias("row"), c.alias("col"), ((r + c) % 2).alias("parity"))
+
+
+def thirds(frame: Column, duration: Column) -> Column:
+    """struct(segment 0..2, local) of a frame among three equal parts of a duration; the last takes the rest."""
+    part = duration / 3
+    segment = F.least(F.lit(2), F.greatest(F.lit(0), F.floor(F.try_divide(frame, part)))).cast("int")
+    return F.struct(segment.alias("segment"), (frame - segment * part).alias("local"))
+
+
+def tail(values: Column, skip: int = 1) -> Column:
+    """An array without its first elements."""
+    return F.slice(values, skip + 1, F.greatest(F.lit(0), F.size(values) - skip))
+
+
+def premount_style(frame: Column, start: Column, duration: Column, premount: Column) -> Column:
+    """How a shot is there: `active`, `premounted` (hidden and held at its first frame) or `absent`."""
+    return F.when((frame >= start) & (frame < start + duration), "active").when((frame >= start - premount) & (frame < start), "premounted").otherwise("absent")
+
+
+def targets(rows: DataFrame, key: Sequence[str], *lists: str) -> DataFrame:
+    """key, place and target: the elements of several lists of targets, one list after the other."""
+    whole = F.flatten(F.array(*(F.coalesce(c, F.array()) for c in lists))) if len(lists) > 1 else F.col(lists[0])
+    return rows.select(*key, F.posexplode(whole).alias("place", "target"))
