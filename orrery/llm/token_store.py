@@ -19,6 +19,7 @@ an empty store that reads back as no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,11 +34,11 @@ from .common import only, partitions, prepare
 
 #: Bytes of frames after which a block is written.
 BLOCK_BYTES = 1 << 20
-#: The dictionary is fitted on so many documents with text, those first in a hashed order, and on at most
-#: so many characters of each.
+#: The dictionary is fitted on so many documents, those first in a hashed order, and on at most so many
+#: characters of each.
 TRAIN_DOCS, TRAIN_CHARS, DICT_BYTES = 1000, 20_000, 32_768
 LEVEL = 3
-MOST_CACHED = 750_000
+MOST_CACHED = 700_000
 #: Letters below are letters to every library, in either case.
 LATIN = "\u0100"
 MARK, BETWEEN, AT_ONCE = "\x01", " \x01 ", 256
@@ -55,6 +56,8 @@ class Words:
     """
 
     def __init__(self, path: str, kind: str) -> None:
+        # Tasks are parallel already, and threads of the library's own would each hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
@@ -155,12 +158,17 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, kind: str) -> by
     and no bytes only where no text has a character."""
     import zstandard
 
-    # By hashes of ids, which alone are sorted and sent; then different texts of theirs, as few.
-    rows = docs.filter(F.length("text") > 0)
-    picked = rows.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(TRAIN_DOCS)
-    found = rows.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(picked), "h")
-    found = found.groupBy("h", "t").agg(F.first("text").alias("text")).orderBy("h", "t").limit(TRAIN_DOCS)
-    samples = Words(tokenizer, kind).serialised(sorted({r["text"] for r in found.collect()}), end)
+    with_text = docs.select("doc_id", "text").filter(F.length("text") > 0)
+    texts: set[str] = set()
+    # Ids are picked by their hashes alone, without a look at texts, and once more if none of them has any.
+    for ids in (docs, with_text):
+        picked = ids.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(TRAIN_DOCS)
+        found = with_text.select(F.xxhash64("doc_id").alias("h"), "text").join(F.broadcast(picked), "h")
+        found = found.groupBy("h", F.xxhash64("text").alias("t")).agg(F.first(F.substring("text", 1, TRAIN_CHARS)).alias("text"))
+        texts = {r["text"] for r in found.orderBy("h", "t").limit(TRAIN_DOCS).collect()}
+        if texts:
+            break
+    samples = Words(tokenizer, kind).serialised(sorted(texts), end)
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
