@@ -113,9 +113,11 @@ def assign(docs: DataFrame, schedules: Sequence = SCHEDULES, seed: str = "mix")
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with all their columns, once for each time they come up,
     range-sorted by training position."""
-    plan = assign(docs, **options).filter("taken > 0").select(F.col("row_key").alias("__key"), F.col("doc_id").alias("__id"), F.explode("positions").alias("__at"))
+    # Neither key is null, so that the join finds the texts where the aggregate has left them.
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    plan = assign(docs, **options).filter("taken > 0").select(F.col("row_key").alias("__key"), known.alias("__id"), F.explode("positions").alias("__at"))
     # A text per key, so that rows that repeat come up as often as the plan has them.
-    keyed = docs.withColumn("__own", F.xxhash64("doc_id", "source", "text"))
-    one = keyed.groupBy("__own", F.col("doc_id").alias("__doc")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
-    out = one.join(plan, (F.col("__own") == F.col("__key")) & F.col("__doc").eqNullSafe(F.col("__id")))
-    return out.repartitionByRange(partitions(docs.sparkSession), "__at", "__own").sortWithinPartitions("__at", "__own").select("__row.*")
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text")).withColumn("__id", known)
+    one = keyed.groupBy("__key", "__id").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    out = one.join(plan, ["__key", "__id"])
+    return out.repartitionByRange(partitions(docs.sparkSession), "__at", "__key").sortWithinPartitions("__at", "__key").select("__row.*")
