@@ -39,8 +39,9 @@ from .anchors import GRAM, WINDOW
 from .common import durable, partitions, prepare
 from .suffix_array import suffix_array
 
-#: Bytes of text that one batch of spans comes from.
-BATCH_BYTES = 16 << 20
+#: Bytes of text that one batch of spans comes from, and buckets that they are dealt to; with more
+#: buckets, batches grow alike, so that a bucket's share of a batch stays worth a row.
+BATCH_BYTES, BUCKETS, MOST_BUCKETS = 16 << 20, 4096, 1 << 16
 #: Kinds of spans of one anchor that a batch sends on, and that one suffix array takes; spans that go
 #: through one array together, no fewer than GROUP.
 SENT, GROUP = 8, 64
@@ -199,13 +200,13 @@ def read_spans(buckets: int):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], bytes] = {}
-        size = 0
+        size, most = 0, BATCH_BYTES * max(1, buckets // BUCKETS)
         for batch in source:
             for doc, key, text in zip(*(batch[c].to_pylist() for c in ("doc", "text_key", "text")), strict=True):
                 if (doc, key) not in held and len(text) * 4 >= WINDOW:
                     held[doc, key] = body = text.encode("utf-8", "surrogatepass")
                     size += len(body)
-            if size >= BATCH_BYTES:
+            if size >= most:
                 yield from judged([(*k, v) for k, v in held.items()])
                 held, size = {}, 0
         if held:
@@ -416,7 +417,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     n = partitions(spark)
-    buckets = min(n, 4096)
+    buckets = min(n, MOST_BUCKETS)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     # Texts are told apart by their hashes only where doc_ids don't do.
     alone = docs.groupBy(doc).count().filter("count > 1").isEmpty()
