@@ -77,3 +77,21 @@ def test_words_by_stem_equal_library():
         part = texts[at : at + 500]
         for t, raw in zip(part, words.serialised(part, 1), strict=True):
             assert np.frombuffer(raw, "<u2").tolist() == own.encode(t, add_special_tokens=False).ids + [1], t
+
+
+def test_chunks_in_rows_equal_library(spark):
+    random.seed(9)
+    parts = ["the ", "'ll", "'s", "\n", "  ", "a", "é", "漢", "👍", "1", "23", " ", "!?", "\t", "'re", "o" * 140, " " * 90]
+    mixed = ["".join(random.choice(parts) for _ in range(random.randrange(1, 900))) for _ in range(40)]
+    # Runs that go across overlaps, and rows that share an id and a text.
+    texts = [*mixed, "x" * 5000, " " * 3000 + "y", "ab " * 2000, "ab " * 2000]
+    rows = [(i if i < 42 else 42, t) for i, t in enumerate(texts)] + [(None, "z " * 400), (100, None), (101, "")]
+    own = reference()
+    want = []
+    for i, t in rows:
+        ids = own.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for huge, step, overlap in ((200, 100, 30), (150, 64, 16), (50, 300, 60)):
+        got = sorted(map(tuple, bpe.round_trip(docs, RANKS, P.PATTERN, huge, step, overlap).collect()), key=str)
+        assert got == sorted(want, key=str)
