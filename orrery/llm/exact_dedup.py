@@ -5,7 +5,7 @@ modulo a large safe prime. Fingerprints compose: for a text A followed by B,
 
     H(A B) = H(A) * 256**len(B) + H(B)   (mod p)
 
-so chunks are hashed independently, in one task or in many, and combined afterwards. Equal
+so chunks are hashed independently, those of huge texts in tasks of their own, and combined afterwards. Equal
 fingerprints only nominate: the texts themselves are then compared chunk by chunk, and texts that
 share a fingerprint without being equal are told apart.
 
@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from .common import batches, durable, partitions, prepare, record
 #: that half, so no two positions of a text share a weight.
 MODULUS = (1 << 126) + 823
 CHUNK = 1 << 16
+#: Characters from which on a text is hashed in chunks that are rows of their own.
+HUGE = 1 << 16
 WHITE = b" \t\n\v\f\r"
 
 
@@ -93,13 +96,44 @@ def fingerprint_chunks(chunks: DataFrame) -> DataFrame:
     return grouped.mapInArrow(batches(combined), "doc_id long, fingerprint binary")
 
 
+def with_fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
+    """doc_id, text, given: the fingerprint of texts of more than `huge` characters, from chunks that are
+    rows of their own and hashed in parallel; null for the others, which are hashed where they are read."""
+    prepare(docs.sparkSession)
+    long = F.coalesce(F.length("text"), F.lit(0)) > huge
+    rows, short = docs.filter(long), docs.filter(~long).withColumn("given", F.lit(None).cast("binary"))
+    if rows.isEmpty():
+        return short
+
+    def numbered(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in source:
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + batch.num_rows), pa.int64()), batch["doc_id"], batch["text"]], names=["row", "doc_id", "text"])
+            row += batch.num_rows
+
+    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                body = normalised(text)
+                starts = range(0, max(1, len(body)), CHUNK)
+                for first in range(0, len(starts), 64):
+                    part = starts[first : first + 64]
+                    yield record(["doc_id", "chunk_no", "chunk"], [[row] * len(part), range(first, first + len(part)), [body[at : at + CHUNK] for at in part]], [pa.int64(), pa.int64(), pa.binary()])
+
+    rows = durable(rows.mapInArrow(numbered, "row long, doc_id long, text string"))
+    chunks = rows.select("row", "text").mapInArrow(cut, "doc_id long, chunk_no long, chunk binary").repartition(partitions(docs.sparkSession), "doc_id", "chunk_no")
+    found = fingerprint_chunks(chunks).select(F.col("doc_id").alias("row"), F.col("fingerprint").alias("given"))
+    return short.unionByName(durable(rows.join(found, "row").drop("row")))
+
+
 def hot_groups(docs: DataFrame, most: int = 5000, least: int = 1000, of: Callable[[bytes], bytes] = fingerprint) -> dict[bytes, tuple[int, int | None]]:
     """Fingerprints that hold over 1/most of all rows (and over `least`): the number of parts to deal
     them to, and the doc_id whose text stands for them. At most `most` entries, however many rows.
     """
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([of(normalised(t)) for t in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "fp"])
+        given = batch["given"].to_pylist()
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([g or of(normalised(t)) for t, g in zip(batch["text"].to_pylist(), given, strict=True)], pa.binary())], names=["doc_id", "fp"])
 
     floor = max(least, docs.count() // most)
     groups = docs.mapInArrow(batches(hashed), "doc_id long, fp binary").groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
@@ -112,7 +146,7 @@ def spread(x: int) -> int:
     return (x ^ (x >> 27)) * 0x94D049BB133111EB >> 32 & 0xFFFFFFFF
 
 
-def classes(docs: DataFrame, least: int = 1000, of: Callable[[bytes], bytes] = fingerprint) -> DataFrame:
+def classes(docs: DataFrame, least: int = 1000, of: Callable[[bytes], bytes] = fingerprint, huge: int = HUGE) -> DataFrame:
     """doc_id, n_points, fp, other, part, sha: equal normalised texts are those with equal (fp, other).
 
     Texts go to the task of their fingerprint, hot fingerprints to several tasks with a copy of the
@@ -121,7 +155,7 @@ def classes(docs: DataFrame, least: int = 1000, of: Callable[[bytes], bytes] = f
     text that equals it, else the text's own digest. `of` is the fingerprint.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), huge)
     hot = hot_groups(docs, least=least, of=of)
     names = ["fp", "part", "role", "doc_id", "n_points", "sha", "body"]
     kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -132,9 +166,9 @@ def classes(docs: DataFrame, least: int = 1000, of: Callable[[bytes], bytes] = f
         met: Counter = Counter()
         for batch in source:
             rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc, text, given in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "given")), strict=True):
                 body = normalised(text)
-                fp, sha, part = of(body), hashlib.sha256(body).hexdigest(), 0
+                fp, sha, part = given or of(body), hashlib.sha256(body).hexdigest(), 0
                 if fp in hot:
                     parts, first = hot[fp]
                     if doc == first and fp not in sent:

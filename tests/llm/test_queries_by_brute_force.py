@@ -175,6 +175,19 @@ def test_one_id_for_a_whole_hot_group(spark, ids):
     assert sorted(map(tuple, got), key=str) == exact_classes(docs.collect())
 
 
+def test_huge_texts_are_hashed_by_chunks_in_rows(spark):
+    rng = random.Random(4)
+    body = "".join(rng.choice("abé漢 \n") for _ in range(200_000))
+    rows = [(1, body), (2, body + " "), (3, body + "x"), (3, body + "x"), (None, body), (4, "x" + body), (5, "short"), (6, "sh ort")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    given = exact_dedup.with_fingerprints(docs, 1000).collect()
+    assert len(given) == len(rows)
+    for r in given:
+        assert (r["given"] is None) if len(r["text"]) <= 1000 else bytes(r["given"]) == exact_dedup.fingerprint(exact_dedup.normalised(r["text"]))
+    got = exact_dedup.mark_duplicates(docs).drop("n_points").collect()
+    assert sorted(map(tuple, got), key=str) == exact_classes(docs.collect())
+
+
 @pytest.mark.parametrize("least", [1000, 20])
 def test_texts_that_share_a_fingerprint_are_told_apart(spark, least):
     rows = [(i, f"text {i % 7}") for i in range(300)]
