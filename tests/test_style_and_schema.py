@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import style
@@ -46,3 +47,26 @@ def test_gradient_stops(spark):
     rows = [(1, [(0.0, None), (1.0, None)]), (2, [(0.5, None)]), (3, [(0.5, None), (0.2, None)]), (4, [(0.0, None), (9.0, "px")]), (5, [(0.0, None), (2.0, None)])]
     got = {(r["id"], r["rule"]) for r in schema.stop_violations(spark.createDataFrame(rows, kind), ["id"]).collect()}
     assert got == {(2, "few"), (3, "order"), (4, "units"), (5, "range")}
+
+
+def test_nested_fields_and_rules_across(spark):
+    layout = spark.createDataFrame([(1, "grid", "middle", [("fraction", 0.0), ("auto", None)]), (2, "flex", None, [("fraction", 1.0)]), (3, "row", "end", None)], "id int, mode string, align string, columns array<struct<kind: string, share: double>>")
+    tracks = F.transform("columns", lambda c: F.struct(c["kind"].alias("kind"), F.lit(None).cast("struct<num: double, txt: string>").alias("value"), c["share"].alias("share"), *(F.lit(None).cast("string").alias(n) for n in ("size", "min", "max"))))
+    assert {tuple(r) for r in schema.violations(layout.withColumn("columns", tracks), "layout", ["id"]).collect()} == {(1, "align"), (1, "columns"), (3, "mode")}
+    videos = spark.createDataFrame([(1, "a", 5.0, 5.0, "auto", True), (2, "b", 5.0, 6.0, "video", True), (3, "c", 0.0, None, None, None)], "id int, source string, start_from double, end_at double, backend string, transparent boolean")
+    assert {tuple(r) for r in schema.across_violations(videos, "video", ["id"]).collect()} == {(1, "end_at"), (2, "transparent")}
+    dim = "struct<num: double, txt: string>"
+    frames = spark.createDataFrame([(1, None, None, None), (2, None, (4.0, None), None), (3, (1.0, None), (4.0, None), None), (4, None, None, (7.0, "x"))], f"id int, x {dim}, right {dim}, width {dim}")
+    got = {r["id"]: (r["x"], r["width"]) for r in schema.frame_defaults(frames).collect()}
+    assert got == {1: ((0.0, None), (None, "100%")), 2: (None, (None, "100%")), 3: ((1.0, None), None), 4: ((0.0, None), (7.0, "x"))}
+    assert {tuple(r) for r in schema.violations(frames, "frame", ["id"]).collect()} == {(4, "width")}
+    shots = spark.createDataFrame([(1, 2.0**53, 1.0, "ok-1"), (2, 0.0, 3.0, "-no")], "id int, `from` double, duration double, reconciliation_key string")
+    assert {tuple(r) for r in schema.violations(shots, "shot", ["id"]).collect()} == {(1, "from"), (2, "reconciliation_key")}
+    assert {tuple(r) for r in schema.across_violations(shots, "shot", ["id"]).collect()} == {(1, "mount_range")}
+
+
+@pytest.mark.parametrize("name", sorted(schema.SCHEMAS))
+def test_defaults_keep_their_rules(spark, name):
+    rows = schema.with_defaults(spark.range(1).withColumn("source", F.lit("a")), name)
+    assert schema.violations(rows, name, ["id"]).isEmpty()
+    assert schema.struct_type(name).fieldNames() == [f.name for f in schema.SCHEMAS[name]]
