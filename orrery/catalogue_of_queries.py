@@ -727,3 +727,35 @@ def style_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(number(F.lit(4)).alias("row"), number(i % 5).alias("column")).alias("gap"),
     )
     return tables.read(spark, sf_dir, "events").select("event_id", sheet.sheet_text(sheet.layout(box)).alias("sheet"))
+
+
+#: Laws whose SQL is written out by hand, apart from the terms that the laws are made of.
+BY_HAND = {
+    "retro-ritual.bone-idle-hop": {
+        "add_y": "floor(greatest(0, sin((floor(frame / 2) % 12) / 12 * pi())) * -12 + 0.5)", "add_rotate": "floor(sin((floor(frame / 2) % 12) / 12 * pi() * 2) * 1.5 + 0.5)",
+        "times_scale_x": "CASE WHEN floor(frame / 2) % 12 = 0 THEN 1.025 ELSE 1 END", "times_scale_y": "CASE WHEN floor(frame / 2) % 12 = 0 THEN 0.975 ELSE 1 END",
+    },
+    "conn-check-88bf76acecbb.marker": {"opacity": "least(1, frame / 8)", "scale": "1 - 0.28 * power(1 - least(1, frame / 18), 3)", "y": "40 * power(1 - least(1, frame / 18), 3)"},
+    "signal-editorial.ink-rule-strike": {"draw_end": "1 - power(1 - least(1, greatest(0, (frame - 5) / 12)), 3)"},
+    "archival-dossier.scene-reveal": {
+        "opacity": "least(1, greatest(0, (frame - 13) / 7)) ** 2 * (3 - 2 * least(1, greatest(0, (frame - 13) / 7)))", "y": "18 * (1 - least(1, greatest(0, (frame - 13) / 7)) ** 2 * (3 - 2 * least(1, greatest(0, (frame - 13) / 7))))",
+    },
+    "media-montage.cut-flash-envelope": {"opacity": "0.35 * (1 - least(1, frame / 3))"},
+    "neon-heart-pop.five-hit-title-slam": {"present": "CASE WHEN frame >= floor(0.75 * fps + 0.5) THEN 1 ELSE 0 END"},
+    "photo-glitch.beat-vignette-flicker": {"opacity": "0.6 + sin(frame * 0.9) * 0.04", "beat": "floor(frame / 22.3)", "in_beat": "frame - floor(frame / 22.3) * 22.3"},
+    "sculptural-3d.ink-tendril-reveal": {"progress": "(1 - cos(least(1, frame / (duration - 1)) * pi())) / 2", "time": "frame / 10"},
+    "flash-photo.shutter-flash-reframe/long-push-0": {"opacity": "least(1, frame / greatest(1, floor(0.08 * fps + 0.5)))", "scale": "1 + 0.06 * least(1, frame / 158)"},
+    "flash-photo.shutter-flash-reframe/cover-triptych-1": {
+        "opacity": "CASE WHEN frame / fps * 1000 >= 743 AND frame / fps * 1000 < 1486 THEN 1 ELSE 0 END", "frame_x": "-180 + (-60 + 120 * least(1, greatest(0, (frame / fps * 1000 - 743) / 743)))", "contrast": "1.2", "saturate": "1.3",
+    },
+}
+_hand = {f"{law}.{channel}".replace("-", "_").replace("/", "_").replace(".", "__"): (law, channel, sql) for law, channels in BY_HAND.items() for channel, sql in channels.items()}
+
+
+@query(f"""
+    SELECT event_id, {", ".join(f"floor(({sql}) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS {name}" for name, (_, _, sql) in _hand.items())}
+    FROM (SELECT event_id, frame, [{", ".join(f"{r!r}::DOUBLE" for r in RATES)}][event_id % {len(RATES)} + 1] AS fps, (60.0 + event_id % 5 * 60)::DOUBLE AS duration FROM {FRAMES})""")
+def laws_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = F.element_at(F.array(*map(F.lit, RATES)), (F.col("event_id") % len(RATES) + 1).cast("int"))
+    rows = events(spark, sf_dir).select("event_id", "frame", rate.alias("fps"), (60.0 + F.col("event_id") % 5 * 60).alias("duration"))
+    return rows.select("event_id", *((F.floor(laws.LAWS[law]()[channel].col * 1e6 + 0.5) / 1e6).alias(name) for name, (law, channel, _) in _hand.items()))
