@@ -729,8 +729,56 @@ def style_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events").select("event_id", sheet.sheet_text(sheet.layout(box)).alias("sheet"))
 
 
+def _passed(start: float, length: float) -> str:
+    return f"least(1.0, greatest(0.0, (frame - {start}) / {length}))"
+
+
+def _out3(x: str) -> str:
+    return f"(1 - power(1 - {x}, 3))"
+
+
+def _back(x: str, s: float) -> str:
+    return f"(1 + {s + 1} * power({x} - 1, 3) + {s} * power({x} - 1, 2))"
+
+
+def _smooth(x: str) -> str:
+    return f"({x} * {x} * (3 - 2 * {x}))"
+
+
+_fall, _deal, _boot = _back(_passed(0, 15), 1.35), f"(floor({_back(_passed(0, 16), 1.75)} * 12 + 0.5) / 12)", f"(floor({_back(_passed(0, 18), 1.72)} * 16 + 0.5) / 16)"
+_recoil, _enter, _exit = _back(_passed(0, 20), 2.2), _out3(_passed(0, 9)), _smooth(_passed(14, 8))
+_rune, _beat, _settle = f"(floor({_passed(2, 18)} * 10) / 10)", "(frame % 22.3)", _back(_passed(0, 14), 1.45)
 #: Laws whose SQL is written out by hand, apart from the terms that the laws are made of.
 BY_HAND = {
+    "archival-dossier.casefile-shutter-fall": {
+        "opacity": f"least({_passed(0, 2)}, 1 - {_passed(22, 8)})", "rotate": f"-1.8 + 2.15 * {_fall}", "scale_y": f"0.76 + 0.24 * {_fall}", "y": f"(-1260 + 1260 * {_fall}) + 1180 * {_passed(22, 8)}",
+        "blur": f"greatest(0, (16 + -16 * {_fall}) + 8 * {_passed(22, 8)})",
+    },
+    "archival-dossier.pinned-evidence-drop": {
+        "rotate": f"CASE WHEN frame < 10 THEN -8.5 + 10.9 * {_smooth(_passed(0, 10))} WHEN frame < 16 THEN 2.4 - 3.3 * {_smooth(_passed(10, 6))} ELSE -0.9 + 0.65 * {_smooth(_passed(16, 8))} END",
+        "y": f"(-310 + 310 * {_smooth(_passed(0, 10))})", "brightness": f"1.18 - 0.22 * {_smooth(_passed(0, 10))}", "opacity": _passed(0, 3),
+    },
+    "signal-editorial.impact-settle": {"rotate": f"(-5.5 + 5.5 * {_recoil})", "skew_x": f"(-8 + 8 * {_out3(_passed(0, 14))})", "y": f"(92 + -92 * {_recoil})", "contrast": f"1.35 - 0.35 * {_recoil}", "blur": f"(14 + -14 * {_out3(_passed(0, 14))})"},
+    "signal-editorial.razor-cut-sweep": {"x": f"-1320 + 2560 * {_exit} + 1320 * {_enter}", "blur": f"(24 + -24 * {_enter}) + 10 * {_exit}", "opacity": f"least({_passed(0, 2)}, 1 - {_passed(19, 3)})", "rotate": f"-11 + 5 * {_enter}"},
+    "retro-ritual.ritual-card-deal": {
+        "x": f"floor((520 + -520 * {_deal}) + 0.5)", "scale_x": f"floor((0.62 + 0.38 * {_deal}) * 16 + 0.5) / 16", "rotate": f"floor((-9 + 9 * {_deal}) * 2 + 0.5) / 2", "brightness": "CASE WHEN frame % 4 = 0 AND frame < 16 THEN 1.45 ELSE 1 END",
+        "opacity": "CASE WHEN frame < 2 THEN 0 ELSE 1 END",
+    },
+    "retro-ritual.rune-trace": {"draw_end": _rune, "opacity": "CASE WHEN frame < 2 THEN 0 WHEN frame % 4 = 0 THEN 0.72 ELSE 1 END", "stroke_width": "CASE WHEN frame % 4 = 0 THEN 8 ELSE 6 END", "scale_x": f"CASE WHEN {_rune} < 0.5 THEN 0.96 ELSE 1 END"},
+    "micro-flash.pulse/6": {"opacity": f"CASE WHEN {_passed(0, 6)} <= 0.3 THEN {_passed(0, 6)} / 0.3 ELSE (1 - {_passed(0, 6)}) / 0.7 END"},
+    "photo-glitch.rgb-beat-glitch": {"strength": f"CASE WHEN {_beat} < 4 THEN 5 * (1 - {_beat} / 4) ELSE 0 END", "x": f"CASE WHEN {_beat} < 4 THEN sin(frame * 7.3) * 5 * (1 - {_beat} / 4) * 0.8 ELSE 0 END"},
+    "photo-glitch.triptych-exit": {
+        "opacity": "1 - power(least(1, greatest(0, (frame - (duration - floor(fps * 0.4 + 0.5))) / floor(fps * 0.4 + 0.5))), 3)", "present": "CASE WHEN frame < duration THEN 1 ELSE 0 END",
+    },
+    "tape-warble.vhs-tracking-error": {"warp": "least(1, frame / (duration * 0.2))", "roll_y": "1920 * (1 - (frame / duration * 2) % 1)"},
+    "fight-zine.row-stagger": {"x": f"(-120 + 120 * {_settle})", "rotate": f"(-2.8 + 2.8 * {_settle})", "brightness": f"1.18 - 0.18 * {_settle}", "opacity": _passed(0, 4)},
+    "chalkboard.stroke-draw": {
+        "draw_end": _out3(_passed(0, 36)), "content_opacity": _out3(_passed(14, 22)), "eraser_opacity": f"0.48 * {_out3(_passed(52, 12))} * (1 - {_passed(65, 7)})",
+        "stroke_width": "7 + 1.6 * (2 * (sin(frame * 78.233 + 12.9898) * 43758.5453 - floor(sin(frame * 78.233 + 12.9898) * 43758.5453)) - 1)",
+    },
+    "blue-terminal.panel-boot": {
+        "y": f"floor((86 + -86 * {_boot}) + 0.5)", "scale_y": f"0.56 + 0.44 * {_boot}", "brightness": f"1.32 - 0.32 * {_out3(_passed(0, 12))} + CASE WHEN frame < 12 AND floor(frame) % 4 = 0 THEN 0.42 ELSE 0 END", "contrast": f"1.34 - 0.22 * {_out3(_passed(0, 12))}",
+    },
     "retro-ritual.bone-idle-hop": {
         "add_y": "floor(greatest(0, sin((floor(frame / 2) % 12) / 12 * pi())) * -12 + 0.5)", "add_rotate": "floor(sin((floor(frame / 2) % 12) / 12 * pi() * 2) * 1.5 + 0.5)",
         "times_scale_x": "CASE WHEN floor(frame / 2) % 12 = 0 THEN 1.025 ELSE 1 END", "times_scale_y": "CASE WHEN floor(frame / 2) % 12 = 0 THEN 0.975 ELSE 1 END",
