@@ -33,7 +33,7 @@ from .common import batches, durable, partitions, prepare, record
 MODULUS = (1 << 126) + 823
 CHUNK = 1 << 16
 #: Characters from which on a text is hashed in chunks that are rows of their own.
-HUGE = 1 << 16
+HUGE = 1 << 20
 WHITE = b" \t\n\v\f\r"
 
 
@@ -96,14 +96,16 @@ def fingerprint_chunks(chunks: DataFrame) -> DataFrame:
     return grouped.mapInArrow(batches(combined), "doc_id long, fingerprint binary")
 
 
-def with_fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
+def with_fingerprints(docs: DataFrame, huge: int | None = HUGE) -> DataFrame:
     """doc_id, text, given: the fingerprint of texts of more than `huge` characters, from chunks that are
-    rows of their own and hashed in parallel; null for the others, which are hashed where they are read."""
+    rows of their own and hashed in parallel; null for the others, which are hashed where they are read,
+    as all are where `huge` is None."""
     prepare(docs.sparkSession)
+    none = F.lit(None).cast("binary").alias("given")
+    if huge is None:
+        return docs.select("doc_id", "text", none)
     long = F.coalesce(F.length("text"), F.lit(0)) > huge
-    rows, short = docs.filter(long), docs.filter(~long).withColumn("given", F.lit(None).cast("binary"))
-    if rows.isEmpty():
-        return short
+    rows, short = docs.filter(long), docs.filter(~long).select("doc_id", "text", none)
 
     def numbered(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -126,8 +128,8 @@ def with_fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     return short.unionByName(durable(rows.join(found, "row").drop("row")))
 
 
-def hot_groups(docs: DataFrame, most: int = 5000, least: int = 1000, of: Callable[[bytes], bytes] = fingerprint) -> dict[bytes, tuple[int, int | None]]:
-    """Fingerprints that hold over 1/most of all rows (and over `least`): the number of parts to deal
+def hot_groups(docs: DataFrame, n: int, most: int = 5000, least: int = 1000, of: Callable[[bytes], bytes] = fingerprint) -> dict[bytes, tuple[int, int | None]]:
+    """Fingerprints that hold over 1/most of all n rows (and over `least`): the number of parts to deal
     them to, and the doc_id whose text stands for them. At most `most` entries, however many rows.
     """
 
@@ -135,7 +137,7 @@ def hot_groups(docs: DataFrame, most: int = 5000, least: int = 1000, of: Callabl
         given = batch["given"].to_pylist()
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([g or of(normalised(t)) for t, g in zip(batch["text"].to_pylist(), given, strict=True)], pa.binary())], names=["doc_id", "fp"])
 
-    floor = max(least, docs.count() // most)
+    floor = max(least, n // most)
     groups = docs.mapInArrow(batches(hashed), "doc_id long, fp binary").groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     return {bytes(r["fp"]): (-(-r["n"] // floor) * 4, r["first"]) for r in groups.filter(F.col("n") > floor).collect()}
 
@@ -155,8 +157,10 @@ def classes(docs: DataFrame, least: int = 1000, of: Callable[[bytes], bytes] = f
     text that equals it, else the text's own digest. `of` is the fingerprint.
     """
     prepare(docs.sparkSession)
-    docs = with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), huge)
-    hot = hot_groups(docs, least=least, of=of)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    facts = docs.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest")).first()
+    docs = with_fingerprints(docs, huge if (facts["longest"] or 0) > huge else None)
+    hot = hot_groups(docs, facts["n"], least=least, of=of)
     names = ["fp", "part", "role", "doc_id", "n_points", "sha", "body"]
     kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
