@@ -95,3 +95,17 @@ def test_chunks_in_rows_equal_library(spark):
     for huge, step, overlap in ((200, 100, 30), (150, 64, 16), (50, 300, 60)):
         got = sorted(map(tuple, bpe.round_trip(docs, RANKS, P.PATTERN, huge, step, overlap).collect()), key=str)
         assert got == sorted(want, key=str)
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    # Byte-level pieces that keep case and take a blank along: words by themselves would be wrong.
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    own = Tokenizer(models.BPE({c: i for i, c in enumerate([*alphabet, "\u0120a", "ab"])}, [("\u0120", "a"), ("a", "b")]))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.save(str(tmp_path / "other.json"))
+    words = token_store.Words(str(tmp_path / "other.json"), "<u2")
+    assert not words.by_word and token_store.Words(VOCABULARY, "<u2").by_word
+    for text in ("ab ab Ab", "", " a"):
+        assert np.frombuffer(words.serialised([text], 1)[0], "<u2").tolist() == own.encode(text, add_special_tokens=False).ids + [1]
