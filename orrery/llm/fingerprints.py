@@ -111,7 +111,7 @@ class Sketch:
         return None if any(counts) or any(sums) else left
 
     def text(self) -> str:
-        packed = b"".join(struct.pack("<HQI", n & 0xFFFF, x >> 32, x & 0xFFFFFFFF) for n, x in zip(self.counts, self.sums, strict=True))
+        packed = b"".join(struct.pack("<IQI", n & 0xFFFFFFFF, x >> 32, x & 0xFFFFFFFF) for n, x in zip(self.counts, self.sums, strict=True))
         return base64.b64encode(packed).decode()
 
 
