@@ -58,6 +58,22 @@ def entries(spark: SparkSession, prefix: str = "") -> DataFrame:
     return spark.createDataFrame(rows, T.StructType([T.StructField("place", T.IntegerType()), *SCHEMA.fields]))
 
 
+def is_unit(kind: Column) -> Column:
+    return F.coalesce(kind.rlike(r"\Aunit\.[a-z0-9.-]+\z"), F.lit(False))
+
+
+def is_behaviour(kind: Column) -> Column:
+    return F.coalesce(kind.rlike(r"\Abehaviour\.[a-z0-9.-]+\z"), F.lit(False))
+
+
+def prompt(catalog: DataFrame, instructions: str, placeholder: str = "{catalog}") -> DataFrame:
+    """One row, text: instructions with the catalogue in place of the placeholder, an entry a line, in order.
+    A catalogue is authored, so that its listing fits a row."""
+    line = F.concat_ws(" | ", "id", "import", "style", F.concat(F.lit("use: "), F.array_join("use_when", "; ")), F.concat(F.lit("preserves: "), F.array_join("preserves", "; ")))
+    whole = catalog.agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("all"))
+    return whole.select(F.replace(F.lit(instructions), F.lit(placeholder), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("text"))
+
+
 def lines(name: str) -> list[str]:
     return [x for x in Path(__file__).with_name(name).read_text().splitlines() if x and not x.startswith("#")]
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..laws import catalogue as laws
 from ..laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
-from . import tree
+from . import determinism, tree
 
 CHANNELS = "array<struct<channel: string, number: double, text: string>>"
 
@@ -112,6 +112,21 @@ def evaluate(nodes: DataFrame, attached: DataFrame, first: int, last: int, fps:
     return fold(states(placed, channels(placed, attached, fps, duration)))
 
 
+def project_unit(nodes: DataFrame, attached: DataFrame, node_id: int, frame: int, fps: float = 30, duration: float = 90) -> DataFrame:
+    """channel, number and text of one node at one frame; no rows where it, or what it hangs on, isn't there."""
+    for c in ("start", "length", "premount"):
+        if c not in nodes.columns:
+            nodes = nodes.withColumn(c, F.lit(None).cast("long"))
+    own = F.col("node_id") == node_id
+    return channels(at_frames(spans(nodes).filter(own), frame, frame), attached.filter(own), fps, duration).select("channel", "number", "text")
+
+
+def same_traversal(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two trees have the same kinds at the same places."""
+    places = lambda nodes: tree.descend(nodes).select(F.col("path").cast("string").alias("path"), "kind")
+    return determinism.same_rows(places(left), places(right))
+
+
 def signature(nodes: DataFrame) -> DataFrame:
     """root_id, size and signature: a digest of all that makes up a tree, so that equal configurations are
     known by equal digests. nodes: as for tree.descend, with kind and props (a map)."""

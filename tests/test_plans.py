@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from orrery.catalogue_of_queries import QUERIES
 from orrery.plans.inspect import plan
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_DATA", "/root/testdata") + "/sf0.001"
 #: Queries whose whole result is one pass over a scan.
 NARROW = ["catalog_find", "ms_to_frame", "beat_bucket", "easings", "noises", "mulberry", "exposure_max", "shake_sum", "typing_prefix", "word_reveal", "font_fit", "timecode", "id_validation", "spring_curve", "bezier_ease", "style_transform", "laws_neon_heart_pop"]
 

@@ -105,3 +105,22 @@ def test_media_defaults_and_rules(spark):
     pivots = spark.createDataFrame([(0, None, 0, "composition", 5), (1, 0, 0, "layer", 0), (2, 1, 0, "composition-pivot", 3), (3, 0, 1, "layer", 4), (4, 3, 0, "composition-pivot", 0)], "node_id long, parent_id long, ord int, kind string, x int")
     assert [r["node_id"] for r in projection.pivot_violations(pivots, F.col("x") == 0).collect()] == [4]
     assert tree.violations(pivots).isEmpty()
+
+
+def test_one_unit_and_equal_trees(spark):
+    nodes, attached = builders.build(spark, "signalHeadlineBand", text="A")
+    rule = next(r["node_id"] for r in nodes.collect() if r["props"]["role"] == "rule")
+    got = {r["channel"]: r["number"] for r in projection.project_unit(nodes, attached, rule, 17).collect()}
+    assert got["draw_end"] == 1
+    other, _ = builders.build(spark, "signalHeadlineBand", text="B")
+    assert projection.same_traversal(nodes, other)
+    assert projection.signature(nodes).first()["signature"] != projection.signature(other).first()["signature"]
+    assert not projection.same_traversal(nodes, builders.build(spark, "ritualOffer", text="B")[0])
+
+
+def test_prompt_and_kinds_of_names(spark):
+    found = catalog.prompt(catalog.find(catalog.entries(spark, "lib"), style="micro-flash"), "Known:\n{catalog}\nEnd.").first()["text"].split("\n")
+    assert found[0] == "Known:" and found[-1] == "End." and len(found) == 4
+    assert found[1].split(" | ")[1].startswith("lib/") and " | use: " in found[1] and " | preserves: " in found[1]
+    rows = spark.createDataFrame([("unit.box",), ("behaviour.a.b",), ("unit",), (None,)], "k string")
+    assert [tuple(r) for r in rows.select(catalog.is_unit(F.col("k")), catalog.is_behaviour(F.col("k"))).collect()] == [(True, False), (False, True), (False, False), (False, False)]

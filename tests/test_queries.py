@@ -8,7 +8,7 @@ import pytest
 
 from orrery.catalogue_of_queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_DATA", "/root/testdata") + "/sf0.001"
 
 
 @pytest.fixture(scope="module")
