@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import numpy as np
 import pytest
@@ -18,7 +18,7 @@ from orrery.llm import exact_dedup, language, mixing, queries, secrets, token_st
 from .test_exact_dedup_and_mixing import brute as exact_classes
 from .test_text_operators import brute_base
 
-SF = str(Path("/root/testdata/sf0.001"))
+SF = os.environ.get("TEST_DATA", "/root/testdata") + "/sf0.001"
 
 
 @pytest.fixture(scope="module")
