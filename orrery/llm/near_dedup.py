@@ -214,7 +214,7 @@ def families(buckets: DataFrame, copies: DataFrame, sets: DataFrame) -> DataFram
     """Labels (node, label) of the nodes of buckets (bucket, node, n) that are linked to another."""
     # The original of a family has most in common with the others, so it leads wherever it occurs.
     met = buckets.groupBy("node").agg(F.sum("n").alias("met")).join(copies, "node")
-    tops = buckets.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "copies", "node")).alias("top"))
+    tops = durable(buckets.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "copies", "node")).alias("top")))
     led = durable(buckets.select("bucket", "node").join(tops, "bucket"))
     pivots = durable(led.groupBy("node").agg(F.max("top")["node"].alias("pivot")))
     led = led.select("bucket", "node", F.col("top.node").alias("leader"))
@@ -259,9 +259,11 @@ def across(stars: DataFrame, sets: DataFrame) -> DataFrame:
     beyond = verified(stars, sets, spread=True).select("a", "b", F.concat("more", "less").alias("beyond"))
     elements = durable(stars.join(beyond, ["a", "b"]).select("a", "b", *place, F.explode("beyond").alias("s")))
     groups = elements.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("any_open"), F.min("label").alias("low"), F.max("label").alias("high"))
-    # Rare elements come first: a pair that shares enough of them shares one near the beginning of both.
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "s"))
-    ranked = elements.join(groups, ["a", "s"]).withColumn("rank", rank).filter("rank <= reach AND any_open AND low <> high")
+    groups = durable(groups.filter("any_open AND low <> high").select("a", "s", "n"))
+    # What no pair in question shares comes first, then rare elements: a pair that shares enough of them
+    # shares one near the beginning of both.
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("n", F.lit(0)), "s"))
+    ranked = elements.join(groups, ["a", "s"], "left").withColumn("rank", rank).filter("rank <= reach AND n IS NOT NULL")
     ranked = durable(ranked.select("a", "s", "b", *place, "rank"))
     one = ranked.filter("open").select("a", "s", *(F.col(c).alias(f"y_{c}") for c in ["b", *place, "rank"]))
     other = ranked.select("a", "s", *(F.col(c).alias(f"z_{c}") for c in ["b", *place, "rank"]))
@@ -312,7 +314,8 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = durable(nodes)
     copies = nodes.select("node", "copies")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Kept before the join, so that a bucket of many members can be dealt to several tasks there.
+    shared = durable(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     buckets = durable(buckets.join(shared, "bucket").select("bucket", "node", "n"))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "low"), "node").select(F.col("low").alias("__low")).distinct()
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__low")), "left_semi")
