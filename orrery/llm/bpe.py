@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, durable, only, partitions, prepare, record
 
-STEP, OVERLAP = 1 << 12, 256
+STEP, OVERLAP = 1 << 13, 256
 #: Characters before a chunk's end whose boundaries may depend on what follows: the longest
 #: alternative of the pattern with a fixed length has three characters.
 GUARD = 4
