@@ -97,7 +97,8 @@ HELD: dict = {}
 
 def only(key: tuple, make: Callable[[], object]):
     """make(), kept for later tasks of the same Python worker, in place of what was kept before: workers
-    live on from stage to stage, and their models and look-ups shouldn't add up."""
+    live on from stage to stage, and their models and look-ups shouldn't add up. Operators that keep little
+    call it too, so that the models of the stage before go."""
     if key not in HELD:
         HELD.clear()
         gc.collect()

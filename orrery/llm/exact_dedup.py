@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, durable, partitions, prepare, record
+from .common import batches, durable, only, partitions, prepare, record
 
 #: A safe prime of 127 bits, (MODULUS - 1) / 2 being prime too: 256 then has an order of at least
 #: that half, so no two positions of a text share a weight.
@@ -134,6 +134,7 @@ def hot_groups(docs: DataFrame, n: int, most: int = 5000, least: int = 1000, of:
     """
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        only(("texts",), object)
         given = batch["given"].to_pylist()
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([g or of(normalised(t)) for t, g in zip(batch["text"].to_pylist(), given, strict=True)], pa.binary())], names=["doc_id", "fp"])
 
@@ -165,6 +166,7 @@ def classes(docs: DataFrame, least: int = 1000, of: Callable[[bytes], bytes] = f
     kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def dealt(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(("texts",), object)
         # Of hot groups: what this task has sent as a reference, and how often it has met an id.
         sent: set[bytes] = set()
         met: Counter = Counter()

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, durable, prepare
+from .common import batches, durable, only, prepare
 
 WORDS, LIKE = 5, 0.8
 BANDS, ROWS = 64, 8
@@ -136,7 +136,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, node, bands: node is null for a text without a word, bands empty if no link is possible."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingled = Shingler()
+        shingled = only(("shingler",), Shingler)
         for batch in parts(source):
             sets = [shingled(t) for t in batch["text"].to_pylist()]
             wide = [i for i, (k, _) in enumerate(sets) if len(k) >= LEAST]
@@ -157,9 +157,8 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    shingled = Shingler()
-
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shingled = only(("shingler",), Shingler)
         sets = [shingled(t)[0] for t in batch["text"].to_pylist()]
         short = [np.unique((k >> np.uint64(32)).astype(np.uint32)).view(np.int32) for k in sets]
         return pa.RecordBatch.from_arrays([pa.array([node_of(k) if len(k) else None for k in sets], pa.int64()), pa.array(short, pa.list_(pa.int32()))], names=["node", "shingles"])
