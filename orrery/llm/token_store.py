@@ -38,7 +38,7 @@ BLOCK_BYTES = 1 << 20
 #: characters of each.
 TRAIN_DOCS, TRAIN_CHARS, DICT_BYTES = 1000, 20_000, 32_768
 LEVEL = 3
-MOST_CACHED = 700_000
+MOST_CACHED = 1_000_000
 #: Letters below are letters to every library, in either case.
 LATIN = "\u0100"
 #: Texts that words by themselves and the whole have to agree on.
