@@ -72,6 +72,12 @@ def durable(df: DataFrame) -> DataFrame:
         spark.conf.unset(TIDY) if was is None else spark.conf.set(TIDY, was)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what an operator has written at a path of shared_dir() and no longer needs."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

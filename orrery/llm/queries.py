@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, language, mixing, near_dedup, secrets, suffix_dedup, token_store, toxicity
-from .common import shared_dir, table
+from . import bpe, exact_dedup, filter_audit, fingerprints, importance, language, line_dedup, mixing, near_dedup, secrets, suffix_dedup, token_store, toxicity
+from .common import durable, remove, shared_dir, table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -65,6 +65,25 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position"), F.round(every, 8).alias("positions_sum"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_dir(spark)
+    index = line_dedup.LineIndex(spark, path)
+    index.insert(docs)
+    found = durable(index.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
+    remove(spark, path)
+    return found
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit(filter_audit.masks(docs, labels))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance.resample(docs, benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_dedup": op2_near_dedup,
@@ -76,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_source_mix": op10_source_mix,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_importance_resample": op13_importance_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +147,82 @@ ORACLE_SQL: dict[str, str] = {
                round(CASE WHEN once > 0 THEN at1 WHEN again > 0 THEN at2 END, 9) AS position,
                round(CASE WHEN once > 0 THEN at1 ELSE 0.0::DOUBLE END + CASE WHEN again > 0 THEN at2 ELSE 0.0::DOUBLE END, 8) AS positions_sum
         FROM v""",
+    "op11_line_dedup": r"""
+        WITH l AS (
+          SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        u AS (
+          SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_no, len(lines) AS n_lines FROM l),
+        k AS (
+          SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM u),
+        shared AS (
+          SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+        m AS (
+          SELECT k.*, s.key IS NOT NULL AND s.owner <> k.doc_id AS dropped FROM k LEFT JOIN shared s USING (key))
+        SELECT doc_id, any_value(n_lines)::BIGINT AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
+    "op12_filter_audit": r"""
+        WITH t AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        m AS (
+          SELECT doc_id, part,
+                 (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                 + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+                 + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INT AS mask
+          FROM t),
+        g AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        cells AS (
+          SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN g USING (doc_id) GROUP BY part, mask),
+        f AS (SELECT unnest(range(5)) AS f),
+        orders AS (
+          SELECT a.f AS a, b.f AS b, c.f AS c, d.f AS d, e.f AS e FROM f a, f b, f c, f d, f e
+          WHERE a.f <> b.f AND a.f <> c.f AND a.f <> d.f AND a.f <> e.f AND b.f <> c.f AND b.f <> d.f AND b.f <> e.f AND c.f <> d.f AND c.f <> e.f AND d.f <> e.f),
+        steps AS (
+          SELECT array_to_string([substr('ABCDE', x::INT + 1, 1) for x in [a, b, c, d, e]], '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step,
+                 unnest([a, b, c, d, e]) AS f,
+                 unnest([0, 1 << a, (1 << a) + (1 << b), (1 << a) + (1 << b) + (1 << c), (1 << a) + (1 << b) + (1 << c) + (1 << d)]) AS before
+          FROM orders),
+        r AS (
+          SELECT part, filter_order, step, f,
+                 sum(CASE WHEN mask & (before | (1 << f)) = 0 THEN n ELSE 0 END) AS kept,
+                 sum(CASE WHEN mask & before = 0 AND mask & (1 << f) > 0 THEN n ELSE 0 END) AS removed,
+                 sum(CASE WHEN mask & before > 0 AND mask & (1 << f) > 0 THEN n ELSE 0 END) AS redundant,
+                 sum(CASE WHEN mask = (1 << f) THEN n ELSE 0 END) AS unique_fails,
+                 sum(CASE WHEN mask & before = 0 AND mask & (1 << f) > 0 THEN good ELSE 0 END) AS good_lost,
+                 sum(CASE WHEN mask & before = 0 AND mask & (1 << f) > 0 THEN toxic ELSE 0 END) AS toxic_lost
+          FROM cells, steps GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+               good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+        FROM r""",
+    "op13_importance_resample": r"""
+        WITH RECURSIVE steps(n, c, k) AS (
+          SELECT n, n, 0 FROM (SELECT unnest(range(256)) AS n)
+          UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY n) AS tab FROM steps WHERE k = 8),
+        texts AS (
+          SELECT true AS corpus, doc_id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+        w AS (
+          SELECT corpus, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+        f AS (
+          SELECT corpus, doc_id, unnest(list_concat(words, [words[i] || ' ' || words[i + 1] for i in range(1, len(words))])) AS feature FROM w),
+        g AS (SELECT corpus, doc_id, feature, count(*) AS n FROM f GROUP BY ALL),
+        bytes AS (
+          SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM g)),
+        b AS (
+          SELECT feature, xor(list_reduce(list_prepend(4294967295, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT for i in range(length(h) // 2)]),
+                                          lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+          FROM bytes, crc),
+        n AS (SELECT corpus, doc_id, bucket, sum(n) AS n FROM g JOIN b USING (feature) GROUP BY ALL),
+        c AS (SELECT bucket, coalesce(sum(n) FILTER (corpus), 0) AS s, coalesce(sum(n) FILTER (NOT corpus), 0) AS t FROM n GROUP BY bucket),
+        a AS (SELECT sum(s)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM c),
+        gain AS (
+          SELECT bucket, floor(1000.0::DOUBLE * ln((t::DOUBLE + 1.0::DOUBLE) * (s_all + 10000.0::DOUBLE) / ((s::DOUBLE + 1.0::DOUBLE) * (t_all + 10000.0::DOUBLE))))::BIGINT AS gain FROM c, a),
+        d AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM n JOIN gain USING (bucket) WHERE corpus GROUP BY doc_id),
+        e AS (
+          SELECT w.doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+          FROM w LEFT JOIN d USING (doc_id) WHERE corpus),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_words >= 20)
+        SELECT e.doc_id, e.n_features, e.weight, e.score, CASE WHEN r.rank <= (SELECT 25 * count(*) // 100 FROM r) THEN r.rank END AS rank
+        FROM e LEFT JOIN r USING (doc_id)""",
 }
