@@ -6,7 +6,9 @@ dictionary of long words, of identifiers and of the surroundings; the bytes that
 around it nor common names explain. A word
 counts on either side, and for all candidates of a block that only blanks and marks divide.
 Copies of the candidate are no part of its surroundings.
-Candidates that stay almost incompressible are reported as `novel`.
+Candidates that stay almost incompressible are reported as `novel`. The time for a text is in proportion to its
+length: of a very long candidate with many sensitive words in it, the parts behind them are tried at growing
+distances from its end.
 
 Defined results: a null text counts as empty and has no spans; repeated rows and null ids are rows
 like others; extra columns are kept by `scan`, and those named like its own outputs are replaced.
@@ -36,10 +38,9 @@ REACH = 48
 CANDIDATE, LEAST = re.compile(r"[A-Za-z0-9+/_=-]{12,}"), 12
 #: What may stand between candidates of one block, such as the lines of a key: no letter, no digit.
 GAP = re.compile(r"(?:\\[rnt]|[\W_])*")
-#: Characters on either side that count as surroundings.
-AROUND = 512
-#: A copy that the text itself calls an id, as no sensitive word does before it.
-CALLED_ID = re.compile(r"""(?<![\w.-])(?<!client.)id["']?[\x20\t]*[:=]?[\x20\t]*["']?\Z""", re.I | re.A)
+#: Characters on either side that count as surroundings, and from a candidate's end within which a secret may
+#: begin behind any sensitive word.
+AROUND, NEAR = 512, 512
 JOINTS = "+/_=-"
 #: Added bytes for each character, and altogether, from which a candidate is incompressible.
 NOVEL_RATE, NOVEL_BYTES = 0.6, 10
@@ -110,8 +111,9 @@ def copies(text: str, start: int, end: int) -> list[tuple[int, int]]:
     core = candidate.strip(JOINTS) or candidate
     parts = {core} | {p for p in candidate.split("=") if len(p) >= LEAST}
     found = []
-    for low, high, edge, far in ((max(0, start - AROUND - len(candidate) + 1), start, start - AROUND, start), (end, end + AROUND + len(candidate) - 1, end, end + AROUND)):
+    for edge, far in ((start - AROUND, start), (end, end + AROUND)):
         for part in parts:
+            low, high = (max(0, edge - len(part) + 1), far) if far == start else (edge, far + len(part) - 1)
             at = text.find(part, low, high)
             while at >= 0:
                 found.append((at, at + len(part)))
@@ -123,17 +125,11 @@ def copies(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found if b > start - AROUND and a < end + AROUND]
 
 
-def called_id(text: str, start: int) -> bool:
-    before = text[max(0, start - REACH - 16) : start]
-    return bool(CALLED_ID.search(before[-16:])) and not SENSITIVE.search(before)
-
-
 def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
-    """Before and after, with copies of the string blanked out: a secret must not explain itself.
-    A string that is called an id where it or a copy stands is explained by its copies."""
+    """Before and after, with copies of the string blanked out: a secret must not explain itself."""
     low, high = max(0, start - AROUND), end + AROUND
     others = copies(text, start, end)
-    if not others or any(called_id(text, a) for a in {start, *(a for a, _ in others)}):
+    if not others:
         return text[low:start], text[end:high]
     before, after = list(text[low:start]), list(text[end:high])
     for a, b in others:
@@ -162,6 +158,18 @@ def candidates(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, i
             yield start, end
 
 
+def tried(text: str, start: int, end: int) -> list[int]:
+    """Where a secret may begin in a candidate: at its start, or behind a sensitive word grown into it.
+
+    Beyond NEAR characters from the end, places are tried that are at least an eighth further from it than
+    the one before, so that all that is compressed for a candidate is a few times its length."""
+    behind, out = [m.end() for m in SENSITIVE.finditer(text, start, end) if end - m.end() >= LEAST], []
+    for at in reversed(behind):
+        if end - at <= NEAR or not out or (end - at) * 8 >= (end - out[-1]) * 9:
+            out.append(at)
+    return [start, *reversed(out)]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
@@ -178,8 +186,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
 
     def measure() -> None:
         for start, end in block:
-            # As a whole, or what follows a word grown into it.
-            for at in (start, *(m.end() for m in SENSITIVE.finditer(text, start, end) if end - m.end() >= LEAST)):
+            for at in tried(text, start, end):
                 if not overlaps(at, end):
                     before, after = surroundings(text, at, end)
                     if novelty.added(before, text[at:end], after) >= max(NOVEL_BYTES, NOVEL_RATE * (end - at)):
