@@ -19,10 +19,12 @@ an empty store that reads back as no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,10 @@ LEVEL = 3
 MOST_CACHED = 1_000_000
 #: Letters below are letters to every library, in either case.
 LATIN = "\u0100"
-#: Texts that words by themselves and the whole have to agree on.
-PROBES = (
-    "Hello hello HELLO world, world. (well-known) it's O'Neill's; a\u0301 é Éa ß Σς", "  two  blanks\nand\tmore\r\nlines ", "x1 12,345.67 #tag @name http://a.b/c?d=e", "漢字かな 한국어 Привет мир", "\x01 a\x01b \x01", "I\u0307 İ K \u3000 \x85 ٣",
-    "antidisestablishmentarianism internationalisation" * 3, "",
-)
+#: What a vocabulary file has to say for words between blanks to be encoded by themselves: text is composed, white
+#: space becomes blanks, case goes; a pre-token never crosses a blank; and a word's last token shows its end. Fixed values.
+NORMALISERS = ("NFC", "Replace", "Lowercase")
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARK, BETWEEN, AT_ONCE = "\x01", " \x01 ", 256
 
 INDEX = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "offset", "length", "n_tokens", "start")]))
@@ -53,12 +54,25 @@ INDEX_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_id", "offset",
 BLOCKS = "shard int, block int, dict_sha256 string, payload binary, `index` array<struct<doc_id: bigint, offset: bigint, length: bigint, n_tokens: bigint, start: bigint>>"
 
 
+def splits_at_blanks(layout: dict) -> bool:
+    """Whether a vocabulary file is of the one layout whose words may be encoded one by one."""
+    model, steps = layout["model"], (layout.get("normalizer") or {}).get("normalizers") or []
+    splits = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(c) for c in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and tuple(s["type"] for s in steps) == NORMALISERS and steps[1].get("pattern") == {"Regex": r"\s+"} and steps[1].get("content") == " "
+        and [s["type"] for s in splits] == ["Split", "ByteLevel"] and splits[0].get("pattern") == {"Regex": PRE_TOKENS} and splits[0].get("behavior") == "Removed" and bool(splits[0].get("invert"))
+        and not splits[1].get("add_prefix_space") and not splits[1].get("use_regex") and not layout.get("post_processor") and not layout.get("truncation") and not layout.get("padding")
+        and all(not t["normalized"] for t in layout["added_tokens"])
+    )
+
+
 class Words:
     """The tokenizers library over words between blanks, each distinct word encoded once.
 
     That is right where the vocabulary's pre-tokeniser never lets a token cross white space, drops case,
-    and tells words' ends; PROBES show whether it does, and with a vocabulary that doesn't, texts are
-    encoded whole. Special tokens' strings are ordinary text.
+    and tells words' ends, as its file says; with any other vocabulary, texts are encoded whole. So are texts that
+    hold the string of a special token, which the library takes for that token.
     """
 
     def __init__(self, path: str, kind: str) -> None:
@@ -67,21 +81,16 @@ class Words:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
         self.kind = np.dtype(kind)
         self.marks = {m: np.array(self.own.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in ".,;:!?)"}
         self.mark = (self.own.encode(MARK, add_special_tokens=False).ids or [-1])[0]
-        suffix = "</w>"
+        layout = json.loads(Path(path).read_text())
+        self.by_word, suffix = splits_at_blanks(layout), layout["model"].get("end_of_word_suffix") or "</w>"
+        self.added = tuple(t["content"] for t in layout["added_tokens"])
         self.ends = np.array([(self.own.id_to_token(i) or "").endswith(suffix) for i in range(self.own.get_vocab_size())])
         # Two generations: what was used since the last change is kept at the next one.
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
-        self.by_word = True
-        try:
-            self.by_word = self.serialised(list(PROBES), 1) == self.whole(list(PROBES), 1)
-        except (ValueError, KeyError):  # words' ends aren't where they should be
-            self.by_word = False
-        self.known, self.before = {"": b""}, {}
 
     def whole(self, texts: list[str], end: int) -> list[bytes]:
         coded = self.own.encode_batch_fast(texts, add_special_tokens=False)
@@ -129,6 +138,10 @@ class Words:
         """Each text's ids and the end id, as little-endian bytes."""
         if not self.by_word:
             return self.whole(texts, end)
+        if odd := [i for i, t in enumerate(texts) if any(a in t for a in self.added)]:
+            at, plain = set(odd), iter(self.serialised([t for t in texts if not any(a in t for a in self.added)], end))
+            whole = iter(self.whole([texts[i] for i in odd], end))
+            return [next(whole if i in at else plain) for i in range(len(texts))]
         known, before, final = self.known, self.before, np.array([end], self.kind).tobytes()
         rows, holes, new = [], [], {}
         for text in texts:

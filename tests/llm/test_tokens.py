@@ -50,7 +50,6 @@ def test_bpe_keeps_columns_and_decodes(odd):
 
 def test_store_equals_library(spark, odd, empty):
     own = Tokenizer.from_file(VOCABULARY)
-    own.encode_special_tokens = True
     path = shared_dir(spark)
     token_store.write(odd, path, VOCABULARY)
     rows = sorted(odd.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
@@ -69,7 +68,6 @@ def test_store_equals_library(spark, odd, empty):
 
 def test_words_by_stem_equal_library():
     own, words = Tokenizer.from_file(VOCABULARY), token_store.Words(VOCABULARY, "<u2")
-    own.encode_special_tokens = True
     random.seed(5)
     bits = ["Hello", "world", "WORLD", "Éa", "éa", ".", ",", "!?", "'s", "\"", "\x01", "\n", " ", "  ", "\t", "a\u0301", "I\u0307", "Σ", "<|endoftext|>", "x" * 70, "1", "٣", "\u3000", "\x85", "ß", "İ", "K", ")", ":"]
     texts = ["".join(random.choice(bits) for _ in range(random.randrange(0, 40))) for _ in range(4000)]
@@ -79,6 +77,14 @@ def test_words_by_stem_equal_library():
             assert np.frombuffer(raw, "<u2").tolist() == own.encode(t, add_special_tokens=False).ids + [1], t
 
 
+def test_special_tokens_as_the_library_takes_them():
+    words = token_store.Words(VOCABULARY, "<u2")
+    texts = ["a <|endoftext|> b", "plain", "", "<|startoftext|>", "a<|endoftext|>b<|ENDOFTEXT|> <|endoftext|", "plain again"]
+    got = [np.frombuffer(raw, "<u2").tolist() for raw in words.serialised(texts, 1)]
+    assert got[0] == [320, 49407, 321, 1] and got[3] == [49406, 1]
+    assert got == [Tokenizer.from_file(VOCABULARY).encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_chunks_in_rows_equal_library(spark):
     random.seed(9)
     parts = ["the ", "'ll", "'s", "\n", "  ", "a", "é", "漢", "👍", "1", "23", " ", "!?", "\t", "'re", "o" * 140, " " * 90]
