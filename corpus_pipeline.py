@@ -6,6 +6,12 @@ reads it, so that a lost executor costs a stage's tasks and never an earlier sta
 Texts without a letter are rejected by the first stage, since no language can be told; a document
 is never rejected for the language that it has. Where nothing could be learned about languages, the
 first stage rejects nothing.
+
+Defined results: a null or empty text has no letter; it counts as empty in every stage. A null doc_id and
+a null source are values like others; repeated rows are one document after the second stage. Of equal texts, and
+of near-duplicates, the stages keep the rows that their operators name. An empty table stays empty through all
+stages. Columns that documents don't have by contract, such as `score`, `kept` or `size`, keep
+their values up to the last stage, whatever the operators call their own.
 """
 
 from __future__ import annotations
@@ -25,8 +31,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     prepare(spark)
     learned = language.samples(docs, ~language.held_out(F.col("doc_id")))
-    known = language.identify(docs, learned)
-    return (known.filter(F.col("lang_pred") != language.UNDETERMINED) if learned else known).select(*docs.columns)
+    if not learned:
+        return docs
+    # A table's own columns of the prediction's names step aside for it.
+    own = {c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    known = language.identify(docs.withColumnsRenamed(own), learned)
+    return known.filter(F.col("lang_pred") != language.UNDETERMINED).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
