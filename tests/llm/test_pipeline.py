@@ -1,15 +1,19 @@
 from __future__ import annotations
 
+import hashlib
 import os
 import sys
 from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from orrery.llm import mixing  # noqa: E402
+
 from .test_exact_dedup_and_mixing import brute as exact_classes  # noqa: E402
 from .test_near_dedup import brute as near_classes  # noqa: E402
 from .test_tokens import reference  # noqa: E402
@@ -37,12 +41,35 @@ def test_stages_equal_brute_force(spark, docs, tmp_path):
     few = stage("near_duplicates")(spark, once, "")
     assert few.columns == docs.columns and sorted(r["doc_id"] for r in few.collect()) == sorted(set(classes.values()))
     mixed = stage("source_mix")(spark, few, "")
-    times = Counter(r["doc_id"] for r in mixed.collect())
+    order = [r["doc_id"] for r in mixed.collect()]
+    times = Counter(order)
+    # The curriculum's order, as the positions of the plan say.
+    plan = [(at, r["doc_id"]) for r in mixing.assign(few).collect() for at in r["positions"]]
+    assert Counter(d for _, d in plan) == times and len({at for at, _ in plan}) > 0.9 * len(plan)
+    due = {at: sorted(d for t, d in plan if t == at) for at, _ in plan}
+    start = 0
+    for at in sorted(due):
+        assert sorted(order[start : start + len(due[at])]) == due[at]
+        start += len(due[at])
     assert mixed.columns == docs.columns and set(times) <= set(classes.values()) and max(times.values()) <= 2
     own = reference()
     out = stage("byte_bpe")(spark, mixed, "").collect()
     assert Counter(r["doc_id"] for r in out) == times
-    assert all(r["n_tokens"] == len(own.encode_ordinary(rows[r["doc_id"]]["text"])) for r in out)
+    for r in out:
+        text = rows[r["doc_id"]]["text"]
+        ids = own.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_clashing_columns_keep_their_values(spark, odd):
+    names = ["score", "lang_pred", "kept", "class_id", "class_size", "text_key", "size", "taken", "row_key", "positions", "given", "fp", "part", "keep_id", "group_size"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in names))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, f(spark, docs, "")
+        assert docs.columns == before.columns, name
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in names), name
 
 
 def test_odd_and_empty_tables(spark, odd, empty):
