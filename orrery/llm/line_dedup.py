@@ -165,6 +165,11 @@ class LineIndex:
         half = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
         return keys.withColumn("shard", F.pmod(half, F.lit(shards)).cast("int"))
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Each shard's rows in one partition, its filter first. They are dealt by a hash of the shard: where a
+        join by the shard itself goes before, Spark would take that for the same and may split a skewed shard."""
+        return rows.repartition(partitions(self.spark), F.xxhash64("shard")).sortWithinPartitions("shard", "role")
+
     def change(self, changes: DataFrame, shards: int, version: int, path: str) -> None:
         """Writes the filters of the shards that the changes (key, docs, old) touch."""
         two = lambda c: F.least(F.col(c), F.lit(2))
@@ -218,8 +223,7 @@ class LineIndex:
             if shard is not None:
                 yield made()
 
-        dealt = rows.repartition(partitions(self.spark), "shard").sortWithinPartitions("shard", "role")
-        dealt.mapInArrow(built, FILTERS).write.mode("overwrite").parquet(path)
+        self.dealt(rows).mapInArrow(built, FILTERS).write.mode("overwrite").parquet(path)
 
     def through(self, keys: DataFrame, shards: int | None = None) -> DataFrame:
         """The rows, with entries: how often a filter has their key, or something like it (0, 1, 2 or more)."""
@@ -244,8 +248,7 @@ class LineIndex:
                         found = own.count(digests(part["key"].to_pylist())[:, 1]) if own is not None else np.zeros(high - low, np.int64)
                         yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(found.astype(np.int32))], names=[*names, "entries"])
 
-        dealt = filters.unionByName(rows).repartition(partitions(self.spark), "shard").sortWithinPartitions("shard", "role")
-        return dealt.mapInArrow(probed, f"{schema}, entries int")
+        return self.dealt(filters.unionByName(rows)).mapInArrow(probed, f"{schema}, entries int")
 
     def hot(self) -> dict[bytes, int | None]:
         """Owners of the keys that more than 1/HOT of all references go to: at most HOT keys."""
