@@ -11,7 +11,8 @@ for a symbol of all of them. Every text is read whole, in stretches of STRETCH s
 
 The sample is bounded: for each language, the first SAMPLE_DOCS labelled texts in a hashed order that
 have at most SAMPLE_CHARS characters, until SAMPLE_SYMBOLS are reached. Where a language has none so
-short, the first SAMPLE_CHARS characters of its longer texts, from their first letter on.
+short, the first SAMPLE_CHARS characters of its longer texts, from their first letter on. At most LANGUAGES are
+learned, and ALL_SYMBOLS bounds all samples together, and with them what the driver and each Python worker hold.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is any text when
 nothing could be learned. Rows with a null lang aren't learned from. Repeated rows and null ids are
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 from .common import bucket_of, only, prepare
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 64, 20_000, 1 << 16
+#: Languages that are learned, those with the most labelled rows, and symbols of all of them together: up to 32 have
+#: SAMPLE_SYMBOLS each, more share. An automaton takes about 160 bytes a symbol, in whatever alphabet.
+LANGUAGES, ALL_SYMBOLS = 512, 1 << 21
 #: Symbols of a language with a column of their own in its dense table, the commonest of its sample.
 LETTERS = 61
 STRETCH = 512
@@ -46,9 +50,15 @@ def samples(docs: DataFrame, learn: Column) -> Samples:
     prepare(docs.sparkSession)
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"\p{L}")).withColumn("long", F.length("text") > SAMPLE_CHARS)
     order = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
-    # Ids first, so that the sort carries no texts; then the texts of the few picked.
-    ids = rows.select("lang", "doc_id", "long", order[0].alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id"))).filter(F.col("n") <= SAMPLE_DOCS)
-    first = ids.collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
+    most = quota(len(counts))
+    named = docs.sparkSession.createDataFrame([(r["lang"],) for r in counts], "lang string")
+    # Ids first, so that the sort carries no texts; then the texts of the few that reach the bound.
+    ids = rows.select("lang", "doc_id", "long", order[0].alias("h"), F.least(F.length("text"), F.lit(SAMPLE_CHARS)).alias("size")).join(F.broadcast(named), "lang")
+    own = Window.partitionBy("lang").orderBy("long", "h", "doc_id")
+    ids = ids.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= SAMPLE_DOCS)
+    ids = ids.withColumn("before", F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = ids.filter(F.col("before") < most).collect()
     short = {r["lang"] for r in first if not r["long"]}
     picked = {(r["lang"], r["h"]): r["n"] for r in first if not r["long"] or r["lang"] not in short}
     hashes = docs.sparkSession.createDataFrame([(h,) for h in {h for _, h in picked}], "h long")
@@ -56,11 +66,16 @@ def samples(docs: DataFrame, learn: Column) -> Samples:
     found.sort(key=lambda r: (r["lang"], picked.get((r["lang"], r["h"]), math.inf)))
     out: dict[str, str] = {}
     for r in found:
-        if (r["lang"], r["h"]) in picked and len(out.get(r["lang"], "")) < SAMPLE_SYMBOLS:
-            out[r["lang"]] = f"{out.get(r['lang'], '')} {r['text']}"[: SAMPLE_SYMBOLS + SAMPLE_CHARS]
+        if (r["lang"], r["h"]) in picked and len(out.get(r["lang"], "")) < most:
+            out[r["lang"]] = f"{out.get(r['lang'], '')} {r['text']}"[: most + SAMPLE_CHARS]
     return tuple(sorted(out.items()))
 
 
+def quota(languages: int) -> int:
+    """Symbols of each language's sample."""
+    return min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, languages))
+
+
 def transitions(symbols: list[int]) -> list[dict[int, int]]:
     """Of the automaton of all substrings, by state: 1 is the start, 0 isn't used."""
     after, link, length = [{}, {}], [0, 0], [0, 0]
@@ -154,7 +169,7 @@ class Parser:
             self.symbol[ord(c)] = k + 2
         self.automata, self.cost = [], []
         for _, text in learned:
-            own = self.read(text)[:SAMPLE_SYMBOLS]
+            own = self.read(text)[: quota(len(learned))]
             self.automata.append(Automaton(own, len(letters) + 2))
             self.cost.append(math.log2(len(own) + 2))
 

@@ -107,6 +107,26 @@ def test_languages_of_many_scripts(spark):
     assert all(right[lang] >= 38 for lang in ranges)
 
 
+def test_two_hundred_languages_within_a_bound(spark):
+    rng = random.Random(9)
+    names = [f"l{i:03}" for i in range(200)]
+    words = {lang: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 7))) for _ in range(150)] for lang in names}
+    write = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, write(lang, 400), lang) for i, lang in enumerate(names * 12)]
+    learned = language.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    most = language.quota(200)
+    assert [lang for lang, _ in learned] == names and most < language.SAMPLE_SYMBOLS and language.quota(4) == language.SAMPLE_SYMBOLS
+    assert sum(len(text) for _, text in learned) < language.ALL_SYMBOLS + 200 * 3200
+    own = language.Parser(learned)
+    held = sum(a.table.nbytes + a.keys.nbytes + a.to.nbytes + a.column.nbytes for a in own.automata)
+    assert held < 600 << 20
+    assert [lang for lang, _ in own.predict([write(lang, 40) for lang in names[::7]])] == names[::7]
+    # Rows of languages with few labels go first.
+    few = spark.createDataFrame([*rows[:300], *((10_000 + i, "rare words here", f"x{i:04}") for i in range(600))], "doc_id long, text string, lang string")
+    kept = [lang for lang, _ in language.samples(few, F.lit(True))]
+    assert len(kept) == language.LANGUAGES and set(names) <= set(kept)
+
+
 def dense_fit(texts, names, pairs, rounds=300, rate=0.1):
     """The same model over dense matrices."""
     number = {w: i for i, w in enumerate(names)}
