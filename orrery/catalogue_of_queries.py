@@ -5,7 +5,7 @@ Numbers are rounded to six places, and a zero is added to them so that none is n
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from .functions import timeline as tl
 from .laws import catalogue as laws
 from .laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
 from .operators import catalog, determinism, envelopes, intervals, outcome, projection, protocol, schema, tree
-from .sources import builders, tables
-from .streaming import lease
+from .sources import builders, event_log, tables
+from .streaming import authority, lease, sessions
 from .streaming import outcome as streaming_outcome
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -491,6 +491,17 @@ def determinism_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return determinism.drift(rows, ["user_id", "event_type"], ["out"])
 
 
+@query("""
+    WITH e AS (SELECT event_id, user_id, event_type, value::INT % 3 AS out FROM events),
+    f AS (SELECT *, arg_min(out, event_id) OVER (PARTITION BY user_id, event_type) AS wanted FROM e)
+    SELECT user_id, event_type, min(event_id) AS first_drift FROM f WHERE out <> wanted GROUP BY user_id, event_type""")
+def drift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation that first differed, of each address that didn't repeat, told as it came in."""
+    rows = tables.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (F.rint("value").cast("int") % 3).alias("out"))
+    found = streamed(spark, rows, "event_id", lambda part: sessions.drifts(part, F.col("user_id"), ["event_type"], "event_id", ["out"]))
+    return found.select(F.col("root").cast("long").alias("user_id"), F.get_json_object("address", "$.event_type").alias("event_type"), F.col("seq").alias("first_drift"))
+
+
 @query()
 def token_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read(spark, sf_dir, "events")
@@ -526,7 +537,7 @@ def lease_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         revision.alias("revision_id"),
         F.col("event_id").alias("seq"),
         ask.alias("request"),
-        (F.col("event_id") * 1000).alias("at"),
+        (F.col("event_id") * 1000 + 1_000_000).alias("at"),
         "type",
         F.concat(F.lit("lease-"), revision, F.lit("-"), fence.cast("string")).alias("token"),
         fence.cast("long").alias("fence"),
@@ -534,9 +545,77 @@ def lease_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+SUCCESS_SQL = ", ".join(f"'{x}'" for x in outcome.SUCCESS)
+#: The same requests in SQL.
+REQUESTS_SQL = f"""
+    SELECT user_id || '-' || strftime(day, '%Y%m') || '-' || (dayofmonth(day) // 5) AS revision_id, event_id AS seq, event_id * 1000 + 1000000 AS t, event_id % 3 + 1 AS held, 'commit-' || event_id AS commit_id, type,
+           CASE WHEN type = 'neutral' THEN ['acquire', 'heartbeat', 'checkpoint', 'commit', 'release'][event_id % 5 + 1] ELSE 'event' END AS request
+    FROM (SELECT user_id, ts::DATE AS day, event_id, {KIND_SQL} AS type FROM events)"""
+
+
+def logged(spark: SparkSession, rows: DataFrame, at: str, commits: int = 3) -> Iterator[str]:
+    """The rows in an event log, a range of `at` more each time that its path is given."""
+    event_log.register(spark)
+    path = f"{tables.scratch(spark)}/log"
+    ends = rows.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    cuts = [None, *(ends["low"] + (ends["high"] - ends["low"]) * k // commits for k in range(1, commits)), None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = rows if low is None else rows.filter(F.col(at) > low)
+        part = part if high is None else part.filter(F.col(at) <= high)
+        part.write.format("event_log").mode("append").save(path)
+        yield path
+
+
+def streamed(spark: SparkSession, rows: DataFrame, at: str, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the rows has written after as many runs as there were commits, each of which went
+    on from the checkpoint of the one before."""
+    folder = tables.scratch(spark)
+    for path in logged(spark, rows, at):
+        made = stream(spark.readStream.format("event_log").load(path))
+        # Not availableNow, which for a Python source leaves out the last batch, the one that only moves timers.
+        going = made.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(processingTime="0 seconds").start(f"{folder}/out")
+        going.processAllAvailable()
+        going.stop()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out")
+
+
+@query(f"""
+    WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY seq) AS n FROM ({REQUESTS_SQL})),
+    r AS (
+      SELECT revision_id, 0::BIGINT AS n, NULL::VARCHAR AS neg, []::VARCHAR[] AS seen, 0::BIGINT AS fence, false AS live, 0::BIGINT AS ends_at, false AS done, NULL::VARCHAR AS kept, false AS void,
+             NULL::BIGINT AS lapsed, 0::BIGINT AS seq, '' AS request, '' AS status, '' AS reason, false AS granted FROM (SELECT DISTINCT revision_id FROM q)
+      UNION ALL
+      SELECT revision_id, n, neg, seen,
+             fence + (status = 'acquired')::INT, CASE WHEN status = 'acquired' THEN true WHEN status IN ('released', 'committed') OR (request = 'event' AND type IN ({NEGATIVE_SQL})) THEN false ELSE live END,
+             CASE WHEN status IN ('acquired', 'extended') THEN t + 60000 ELSE ends_at END, done OR status = 'committed', CASE WHEN status = 'committed' THEN commit_id ELSE kept END, void OR status = 'retract',
+             lapsed, seq, request, status,
+             CASE WHEN status IN ('extended', 'released', 'ignored') THEN '' WHEN status = 'stale' THEN 'stale-or-expired-lease' WHEN status = 'committed' THEN commit_id WHEN status = 'retract' THEN coalesce(kept, '') WHEN status = 'recorded' THEN type ELSE because END,
+             status = 'acquired'
+      FROM (
+        SELECT *, CASE
+                 WHEN request = 'event' THEN CASE WHEN type IN ({NEGATIVE_SQL}) AND done AND NOT void THEN 'retract' ELSE 'recorded' END
+                 WHEN request = 'acquire' THEN CASE WHEN neg IS NOT NULL THEN 'discarded' WHEN NOT save THEN 'waiting' WHEN done THEN 'completed' WHEN live THEN 'busy' ELSE 'acquired' END
+                 WHEN request = 'release' THEN CASE WHEN live AND held = fence THEN 'released' ELSE 'ignored' END
+                 WHEN NOT save THEN 'canceled' WHEN NOT (live AND held = fence) THEN 'stale'
+                 WHEN request = 'heartbeat' THEN 'extended' WHEN request = 'checkpoint' THEN 'active' ELSE 'committed' END AS status
+        FROM (
+          SELECT *, neg IS NULL AND best IS NOT NULL AND ready AS save,
+                 CASE WHEN neg IS NOT NULL THEN neg WHEN best IS NULL THEN 'no-success-signal' WHEN ready THEN best ELSE 'awaiting-compile-and-render' END AS because
+          FROM (
+            SELECT *, list_filter([{SUCCESS_SQL}], lambda x: list_contains(seen, x))[1] AS best, list_contains(seen, 'compile.succeeded') AND list_contains(seen, 'render.succeeded') AS ready
+            FROM (
+              SELECT r.revision_id, q.n, q.seq, q.t, q.request, q.type, q.held, q.commit_id, r.fence, r.ends_at, r.done, r.kept, r.void,
+                     coalesce(r.neg, CASE WHEN q.request = 'event' AND q.type IN ({NEGATIVE_SQL}) THEN q.type END) AS neg,
+                     CASE WHEN q.request = 'event' THEN list_append(r.seen, q.type) ELSE r.seen END AS seen,
+                     r.live AND r.ends_at > q.t AS live, CASE WHEN r.live AND r.ends_at <= q.t THEN r.ends_at END AS lapsed
+              FROM r JOIN q ON q.revision_id = r.revision_id AND q.n = r.n + 1))))),
+    ends AS (SELECT *, max(n) OVER (PARTITION BY revision_id) AS last, (SELECT max(t) FROM q) - 1500 AS clock FROM r)
+    SELECT revision_id, seq, request, status, reason, CASE WHEN granted THEN 'lease-' || revision_id || '-' || fence END AS token, fence FROM r WHERE n > 0
+    UNION ALL SELECT revision_id, lapsed, 'timer', 'expired', '', 'lease-' || revision_id || '-' || (fence - granted::INT), fence - granted::INT FROM r WHERE lapsed IS NOT NULL
+    UNION ALL SELECT revision_id, ends_at, 'timer', 'expired', '', 'lease-' || revision_id || '-' || fence, fence FROM ends WHERE n = last AND live AND ends_at <= clock""")
 def lease_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lease.run_batch(lease_requests(spark, sf_dir))
+    """Answers of the authority to a stream of requests, and leases that ran out, some of them with nothing to show it."""
+    return streamed(spark, lease_requests(spark, sf_dir), "at", lambda rows: authority.authority(rows, late="1500 milliseconds"))
 
 
 @query("""
@@ -545,13 +624,31 @@ def lease_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT *, CASE WHEN t - last >= 60000 THEN 'expired' WHEN answered_at IS NULL OR answered_at - t > 10000 THEN 'timeout' ELSE 'extended' END AS own FROM g)
     SELECT event_id, CASE WHEN coalesce(bool_or(own <> 'extended') OVER (PARTITION BY user_id, fence ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'lost' ELSE own END AS status FROM s""")
 def lease_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lease.watched(heartbeats(spark, sf_dir)).select("event_id", "status")
+
+
+def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("event_id") * 100
     beats = tables.read(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("revision_id"), (F.col("event_id") % 3).alias("fence"), at.alias("at"),
         F.when(F.col("event_id") % 101 != 0, at + F.col("event_id") % 97 * 120).alias("answered_at"),
     )
     first = beats.groupBy("revision_id", "fence").agg((F.min("at") - 1000).alias("granted_at"))
-    return lease.watched(beats.join(first, ["revision_id", "fence"])).select("event_id", "status")
+    return beats.join(first, ["revision_id", "fence"])
+
+
+@query("""
+    WITH b AS (SELECT user_id, event_id % 3 AS fence, event_id * 100 + 1000000 AS t, CASE WHEN event_id % 101 <> 0 THEN event_id * 100 + 1000000 + event_id % 97 * 120 END AS answered_at FROM events),
+    g AS (SELECT *, coalesce(lag(t) OVER w, t - 1000) AS last, lead(t) OVER w AS next FROM b WINDOW w AS (PARTITION BY user_id, fence ORDER BY t)),
+    s AS (SELECT *, CASE WHEN t - last >= 60000 THEN 'expired' WHEN answered_at IS NULL OR answered_at - t > 10000 THEN 'timeout' ELSE 'extended' END AS own FROM g),
+    a AS (SELECT *, CASE WHEN coalesce(bool_or(own <> 'extended') OVER (PARTITION BY user_id, fence ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'lost' ELSE own END AS status FROM s)
+    SELECT user_id::VARCHAR AS revision_id, fence::BIGINT AS fence, t AS at, status FROM a
+    UNION ALL SELECT user_id::VARCHAR, fence::BIGINT, t + 60000, 'lapsed' FROM a WHERE status = 'extended' AND (next - t >= 60000 OR (next IS NULL AND t + 60000 <= (SELECT max(t) FROM b) - 1050))""")
+def lease_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heartbeats as a stream: their statuses, and leases that lapsed when nothing arrived."""
+    later = {c: F.col(c) + 1_000_000 for c in ("at", "answered_at", "granted_at")}  # no row at the epoch, where watermarks start
+    rows = heartbeats(spark, sf_dir).drop("event_id").withColumns(later).withColumn("revision_id", F.col("revision_id").cast("string"))
+    return streamed(spark, rows, "at", lambda beats: authority.monitor(beats, late="1050 milliseconds"))
 
 
 @query("""
@@ -589,19 +686,42 @@ def publication_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol.handled(attempts).select("event_id", "outcome", "detail")
 
 
+def entered(spark: SparkSession, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The ledger of decisions about revisions after their events have come in as a stream, in ranges of event_id."""
+    folder = tables.scratch(spark)
+    for path in logged(spark, rows, "event_id"):
+        live = streaming_outcome.decisions(spark.readStream.format("event_log").load(path), keys, ["ts", "event_id"])
+        streaming_outcome.enter(live, keys, f"{folder}/ledger", f"{folder}/progress").awaitTermination()
+    return spark.read.format("decision_ledger").load(f"{folder}/ledger")
+
+
 @query(ORACLE_SQL["revision_outcome"])
 def revision_outcome_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last decision of each revision after all events have come in as a stream, file by file."""
-    schema = revisions(spark, sf_dir).schema
-    folder = tables.scratch(spark)
-    revisions(spark, sf_dir).repartition(4, "user_id").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    live = streaming_outcome.decisions(stream, ["user_id", "day"], ["ts", "event_id"])
-    write = lambda rows: rows.write.mode("append").parquet(f"{folder}/out")
-    streaming_outcome.upsert(live, ["user_id", "day"], write, f"{folder}/progress").awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out")
-    last = rows.groupBy("user_id", "day").agg(F.max_by(F.struct("action", "reason"), "batch").alias("last"))
-    return last.select("user_id", F.col("day").cast("string").alias("day"), "last.action", "last.reason")
+    """The decision of each revision after all events have come in as a stream."""
+    rows = revisions(spark, sf_dir).withColumn("day", F.col("day").cast("string"))
+    return entered(spark, rows, ["user_id", "day"]).filter("kind = 'decision'").select("user_id", "day", "action", "reason")
+
+
+@query(f"""
+    WITH e AS (SELECT user_id, event_id % 8 AS part, ts, event_id, {KIND_SQL} AS type FROM events),
+    c AS (SELECT min(event_id) + (max(event_id) - min(event_id)) // 3 AS one, min(event_id) + (max(event_id) - min(event_id)) * 2 // 3 AS two FROM e),
+    p AS (SELECT k, e.* FROM e, c, (VALUES (1), (2), (3)) AS v(k) WHERE k = 3 OR event_id <= CASE k WHEN 1 THEN one ELSE two END),
+    g AS (SELECT user_id, part, k, bool_or(type IN ({NEGATIVE_SQL})) AS negative, arg_min(type, (ts, event_id)) FILTER (type IN ({NEGATIVE_SQL})) AS neg,
+                 bool_or(type = 'compile.succeeded') AND bool_or(type = 'render.succeeded') AND bool_or(type IN ({SUCCESS_SQL})) AS ready FROM p GROUP BY user_id, part, k),
+    d AS (SELECT *, lag(ready AND NOT negative) OVER (PARTITION BY user_id, part ORDER BY k) AS saved FROM g)
+    SELECT user_id, part, neg AS reason FROM d WHERE saved AND negative""")
+def retractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions that a commit of events had saved and a later one discarded: each has to be taken back."""
+    rows = revisions(spark, sf_dir).withColumn("part", F.col("event_id") % 8)
+    return entered(spark, rows, ["user_id", "part"]).filter("kind = 'retraction'").select("user_id", "part", "reason")
+
+
+@query("""SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('view', 'click') AND event_id > 300 GROUP BY event_type""")
+def event_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log's events that meet conditions which are settled where its files are read."""
+    *_, path = logged(spark, tables.read(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id")
+    rows = spark.read.format("event_log").option("where", event_log.where(("event_type", "in", ["view", "click"]), ("event_id", ">", 300))).load(path)
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 #: Frames a second at which the laws are evaluated.

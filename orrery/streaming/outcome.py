@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import outcome
+from ..sources import ledger
 
 
 def decisions(events: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str = "type") -> DataFrame:
@@ -29,6 +30,18 @@ def upsert(stream: DataFrame, keys: Sequence[str], write: Callable[[DataFrame],
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def enter(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str, buckets: int = ledger.BUCKETS, **trigger) -> StreamingQuery:
+    """Merges decisions into a ledger, see sources.ledger, whose sources have to be registered: a batch that is run
+    again changes nothing, and a decision that is taken back leaves a retraction."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        merged = ledger.dealt(rows, list(keys), buckets).write.format("decision_ledger").mode("append")
+        merged.options(keys=",".join(keys), writer=checkpoint, batch=number).save(path)
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def windowed_counts(events: DataFrame, at: str, kind: str, length: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Events by kind in windows of event time; what is later than `late` no longer counts."""
     return events.withWatermark(at, late).groupBy(F.window(at, length), kind).count()
