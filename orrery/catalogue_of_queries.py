@@ -14,6 +14,7 @@ from .functions import geometry, noise, sheet, style, text
 from .functions import timeline as tl
 from .laws import catalogue as laws
 from .laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
+from .laws.terms import ARGUMENTS, with_arguments
 from .operators import catalog, determinism, envelopes, intervals, outcome, projection, protocol, schema, tree
 from .sources import builders, event_log, tables
 from .streaming import authority, lease, sessions
@@ -411,6 +412,29 @@ def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.subtree_sizes(nodes(spark, sf_dir))
 
 
+@query(f"""
+    WITH RECURSIVE n AS ({TREE_SQL}), t AS (
+      SELECT node_id, node_id AS top FROM n UNION ALL SELECT n.node_id, t.top FROM n JOIN t ON n.parent_id = t.node_id),
+    o AS (SELECT 'n' || (o_custkey % 25) AS upper, 'c' || o_custkey AS lower, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT upper, lower, o.n::BIGINT AS orders, EXISTS (SELECT 1 FROM t WHERE t.node_id = o.lower AND t.top = o.upper) AS contained FROM o""")
+def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of orders, and whether they are below the nation that their number names: pre-order ranges decide."""
+    pairs = tables.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+    name = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
+    pairs = pairs.select(name("n", F.col("o_custkey") % 25).alias("upper"), name("c", F.col("o_custkey")).alias("lower"), "orders")
+    return tree.contains(tree.toured(nodes(spark, sf_dir)), pairs)
+
+
+@query(f"""
+    WITH RECURSIVE n AS ({TREE_SQL}), v AS (SELECT n.node_id, n.parent_id, coalesce(c.cents, 0) AS cents FROM n LEFT JOIN (SELECT 'c' || c_custkey AS node_id, round(c_acctbal * 100)::BIGINT AS cents FROM customer) c USING (node_id)),
+    t AS (SELECT node_id, node_id AS top, cents FROM v UNION ALL SELECT v.node_id, t.top, v.cents FROM v JOIN t ON v.parent_id = t.node_id)
+    SELECT top AS node_id, sum(cents)::BIGINT AS total FROM t GROUP BY top""")
+def subtree_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all customers below each node of the tree have, in cents."""
+    cents = tables.read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    return tree.subtree_sums(tree.toured(nodes(spark, sf_dir).join(cents, "node_id", "left")), "cents")
+
+
 @query(f"""WITH n AS ({TREE_SQL}), m AS (SELECT * FROM n UNION ALL SELECT node_id, parent_id, ord + 1, backend, shown, start FROM n WHERE node_id IN ('n3', 'c5') UNION ALL SELECT 'x', 'y', 0, NULL, true, 0 UNION ALL SELECT 'z', 'z', 0, NULL, true, 0)
     SELECT node_id, 'duplicate' AS rule FROM m GROUP BY node_id HAVING count(*) > 1
     UNION ALL SELECT node_id, 'orphan' FROM m WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT node_id FROM m)
@@ -729,23 +753,82 @@ RATES = (24.0, 30.0, 60.0)
 CURVED = {"crt-glitch", "fight-zine", "impact", "media-montage", "neon-heart-pop", "rapid-photo", "turbulent-emulsion"}
 
 
+#: What owners give the laws, from events, in SQL that both engines read.
+GIVEN = {
+    "entrance": "20 + event_id % 30", "cut_frames": "10 + event_id % 20", "scale_from": "1 + event_id % 4 * 0.1", "scale_to": "1 + event_id % 3 * 0.05", "sources": "1 + event_id % 5", "strobe_ms": "50 + event_id % 200",
+    "letters": "3 + event_id % 8", "letter_index": "event_id % 7", "appear_frame": "event_id % 30", "disappear_frame": "event_id % 30 + event_id % 17", "text": "event_type || ' of user ' || user_id || ', ' || props",
+}
+
+
+def given(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({n: F.expr(x).cast(ARGUMENTS[n][0]) for n, x in GIVEN.items()})
+
+
+#: The same as columns of a query.
+GIVEN_SQL = ", ".join(f"{x} AS {n}" if n == "text" else f"({x})::DOUBLE AS {n}" for n, x in GIVEN.items())
+
+
 def law_query(name: str) -> None:
     """All laws of a family at the frames of events, one column for each channel."""
     channels = {f"{kind.split('.', 1)[1]}.{c}".replace("-", "_").replace("/", "_").replace(".", "__"): t for kind, f in laws.family(name).items() for c, t in f().items()}
-    text_like = {k for k, t in channels.items() if k.endswith(("__shadow", "__phase", "__fit", "__filters", "__operations"))}
+    text_like = {k for k, t in channels.items() if k.endswith(("__shadow", "__phase", "__fit", "__filters", "__operations", "__text", "__color"))}
     # Curves are solved to about 1e-5.
     scale = 1e4 if name in CURVED else 1e6
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         rate = F.element_at(F.array(*map(F.lit, RATES)), (F.col("event_id") % len(RATES) + 1).cast("int"))
-        rows = events(spark, sf_dir).select("event_id", "frame", rate.alias("fps"), (60.0 + F.col("event_id") % 5 * 60).alias("duration"))
+        rows = given(events(spark, sf_dir)).select("event_id", "frame", rate.alias("fps"), (60.0 + F.col("event_id") % 5 * 60).alias("duration"), *GIVEN)
         return rows.select("event_id", *((t.col if k in text_like else F.floor(t.col * scale + 0.5) / scale).alias(k) for k, t in channels.items()))
 
     f.__name__ = f"laws_{name.replace('-', '_')}"
     known = all(t.sql is not None for t in channels.values())
     outs = ", ".join(f"{t.sql} AS {k}" if k in text_like else f"floor({t.sql} * {scale!r}::DOUBLE + 0.5) / {scale!r}::DOUBLE AS {k}" for k, t in channels.items()) if known else ""
     rates = ", ".join(f"{r!r}::DOUBLE" for r in RATES)
-    query(f"SELECT event_id, {outs} FROM (SELECT event_id, frame, [{rates}][event_id % {len(RATES)} + 1] AS fps, (60.0 + event_id % 5 * 60)::DOUBLE AS duration FROM {FRAMES})" if known else None)(f)
+    query(f"SELECT event_id, {outs} FROM (SELECT event_id, frame, [{rates}][event_id % {len(RATES)} + 1] AS fps, (60.0 + event_id % 5 * 60)::DOUBLE AS duration, {GIVEN_SQL} FROM {FRAMES})" if known else None)(f)
+
+
+@query(f"""
+    WITH t(recipe, mode, rate, first) AS (VALUES {", ".join(f"('{k}', '{m}', {float(r)!r}::DOUBLE, {f})" for k, (m, r, f) in panels.TYPING.items())}),
+    e AS (SELECT event_id, frame, 24 + event_id % 3 * 6 AS fps, length({GIVEN['text']}) AS n, (list_sort([{", ".join(f"'{k}'" for k in panels.TYPING)}]) || ['no-such-recipe'])[event_id % {len(panels.TYPING) + 1} + 1] AS recipe FROM {FRAMES})
+    SELECT event_id, recipe, CASE mode
+             WHEN 'whole' THEN least(n, floor(n * greatest(0, least(1, (frame - first) / greatest(1, floor(fps * rate + 0.5))))))
+             WHEN 'second' THEN least(n, floor(greatest(0, frame - first) / fps * rate)) WHEN 'frame' THEN least(n, floor(greatest(0, frame - first) * rate)) END::INT AS visible,
+           mode IS NULL AS unknown
+    FROM e LEFT JOIN t USING (recipe)""")
+def typing_by_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters shown by a recipe that each row names, and the rows whose recipe there isn't."""
+    names = [*sorted(panels.TYPING), "no-such-recipe"]
+    rows = given(events(spark, sf_dir)).select("event_id", "frame", (24 + F.col("event_id") % 3 * 6).cast("double").alias("fps"), F.length("text").alias("n"), F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int")).alias("recipe"))
+    known, unknown = panels.with_typing(rows, panels.typing_recipes(spark))
+    shown = known.select("event_id", "recipe", panels.typed_by(F.col("typing"), F.col("frame"), F.col("fps"), F.col("n")).alias("visible"), F.lit(False).alias("unknown"))
+    return shown.unionByName(unknown.select("event_id", "recipe", F.lit(None).cast("int").alias("visible"), F.lit(True).alias("unknown")))
+
+
+BREAKPOINTS = {
+    "inputs": "[{i} % 7 + 0.0, {i} % 7 + 5.5, {i} % 7 + 9 - {i} % 11, 30.0, 30.5 + {i} % 13]", "outputs": "[{i} % 3 * 10.0, 50.0, 50.0, {i} % 19 - 9.0, 100.0]",
+    "left": "['extend', 'clamp', 'wrap', 'identity', 'none'][{i} % 5 + 1]", "right": "['clamp', 'wrap', 'identity', 'extend'][{i} % 4 + 1]",
+}
+
+
+@query(f"""
+    WITH v AS (SELECT event_id, value / 5 - 4 AS x, {BREAKPOINTS['inputs'].format(i='event_id')}::DOUBLE[] AS ins, {BREAKPOINTS['outputs'].format(i='event_id')}::DOUBLE[] AS outs,
+                      {BREAKPOINTS['left'].format(i='event_id')} AS lo, {BREAKPOINTS['right'].format(i='event_id')} AS hi FROM events),
+    r AS (SELECT *, ins[1] < ins[2] AND ins[2] < ins[3] AND ins[3] < ins[4] AND ins[4] < ins[5] AS rising FROM v),
+    k AS (SELECT *, CASE WHEN x <= ins[2] THEN 1 WHEN x <= ins[3] THEN 2 WHEN x <= ins[4] THEN 3 ELSE 4 END AS k FROM r),
+    s AS (SELECT event_id, x, rising, lo, ins[k] AS a, ins[k + 1] AS b, outs[k] AS p, outs[k + 1] AS q, CASE WHEN x < ins[k] THEN lo WHEN x > ins[k + 1] THEN hi END AS mode FROM k)
+    SELECT event_id, CASE WHEN NOT rising THEN 'increasing' WHEN lo = 'none' THEN 'edge' END AS problem,
+           round(CASE WHEN NOT rising OR lo = 'none' THEN NULL WHEN mode = 'identity' THEN x WHEN p = q THEN p
+                      ELSE p + (q - p) * (CASE mode WHEN 'clamp' THEN least(greatest(x, a), b) WHEN 'wrap' THEN (((x - a) % (b - a)) + (b - a)) % (b - a) + a ELSE x END - a) / (b - a) END, 6) + 0.0 AS y FROM s""")
+def interpolate_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interpolation by breakpoints and edge modes that each row brings along, and which rule those break."""
+    i = F.col("event_id")
+    ins = F.array(*((x).cast("double") for x in (i % 7, i % 7 + 5.5, i % 7 + 9 - i % 11, F.lit(30.0), 30.5 + i % 13)))
+    outs = F.array(*((x).cast("double") for x in (i % 3 * 10, F.lit(50.0), F.lit(50.0), i % 19 - 9, F.lit(100.0))))
+    mode = lambda names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    left, right = mode(("extend", "clamp", "wrap", "identity", "none")), mode(("clamp", "wrap", "identity", "extend"))
+    rows = tables.read(spark, sf_dir, "events").select("event_id", (F.col("value") / 5 - 4).alias("x"), ins.alias("ins"), outs.alias("outs"), left.alias("lo"), right.alias("hi"))
+    own = [F.col(c) for c in ("ins", "outs", "lo", "hi")]
+    return rows.select("event_id", tl.ladder_problem(*own).alias("problem"), r6(tl.interpolate_by(F.col("x"), *own)).alias("y"))
 
 
 for _family in sorted({k.split(".")[0] for k in laws.LAWS}):
@@ -926,4 +1009,5 @@ _hand = {f"{law}.{channel}".replace("-", "_").replace("/", "_").replace(".", "__
 def laws_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.element_at(F.array(*map(F.lit, RATES)), (F.col("event_id") % len(RATES) + 1).cast("int"))
     rows = events(spark, sf_dir).select("event_id", "frame", rate.alias("fps"), (60.0 + F.col("event_id") % 5 * 60).alias("duration"))
+    rows = with_arguments(rows)
     return rows.select("event_id", *((F.floor(laws.LAWS[law]()[channel].col * 1e6 + 0.5) / 1e6).alias(name) for name, (law, channel, _) in _hand.items()))

@@ -8,10 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import WORD_FRAMES, WORD_STEP, WORD_TAIL, reveal_words
 from ..functions.timeline import Spring
-from .terms import PI, T, absolute, back_out, bezier, clamp, cos, cubic_out, duration, ease_out, exp, fixed, floor, fps, frame, greatest, joined, least, lerp, ms, noise, pick, power, progress, rounded, sin, smooth, spring, term, through, when
+from .terms import PI, T, absolute, argument, back_out, bezier, clamp, cos, cubic_out, duration, ease_out, exp, fixed, floor, fps, frame, greatest, joined, least, lerp, ms, noise, pick, power, progress, rounded, sin, smooth, spring, term, through, when
 
 Channels = dict[str, T]
+#: What a unit with text shows.
+TEXT = argument("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZABCDEFGHIJKLMNOPQRSTUVWXYZABCDEFGH")
 LAWS: dict[str, Callable[[], Channels]] = {}
 
 
@@ -23,6 +29,11 @@ def law(kind: str) -> Callable[[Callable[[], Channels]], Callable[[], Channels]]
     return keep
 
 
+def unknown(attached: DataFrame) -> DataFrame:
+    """The rows (law) whose law isn't one of these: a violation each."""
+    return attached.filter(~F.coalesce(F.col("law").isin(sorted(LAWS)), F.lit(False)))
+
+
 def family(name: str) -> dict[str, Callable[[], Channels]]:
     return {k: f for k, f in LAWS.items() if k.startswith(f"{name}.")}
 
@@ -51,7 +62,10 @@ def _() -> Channels:
 @law("archival-dossier.carbon-copy-cadence")
 def _() -> Channels:
     ink = progress(frame, 0, 8)
-    return {"opacity": progress(frame, 0, 2), "letter_spacing": lerp(2.8, 0.7, ink), "blur": lerp(1.6, 0, ink)}
+    due = ", ".join(map(str, WORD_FRAMES))
+    sql = f"array_to_string(list_filter(list_filter(regexp_split_to_array({TEXT.sql}, '\\s+'), lambda w: w <> ''), lambda w, i: frame >= coalesce([{due}][i], {WORD_TAIL} + (i - 1 - {len(WORD_FRAMES)}) * {WORD_STEP})), ' ')"
+    shown = T(lambda: reveal_words(TEXT.col, frame.col), sql)
+    return {"opacity": progress(frame, 0, 2), "letter_spacing": lerp(2.8, 0.7, ink), "blur": lerp(1.6, 0, ink), "text": shown}
 
 
 # retro-ritual
@@ -119,8 +133,9 @@ def _() -> Channels:
     return {"opacity": seen, "scale_x": lerp(1.04, 1, seen), "x": lerp(34, 0, seen), "blur": lerp(8, 0, seen), "brightness": lerp(1.85, 1, seen), "contrast": lerp(1.32, 1, seen), "saturate": lerp(0.55, 1, seen)}
 
 
-# media-montage, over an entrance of ENTRANCE frames and cuts of CUT frames
-ENTRANCE, CUT = 36.0, 20.0
+# media-montage: frames of the entrance and of a cut, scales at its ends, and a strobe's sources and milliseconds
+ENTRANCE, CUT, SCALE_FROM, SCALE_TO = argument("entrance", 36), argument("cut_frames", 20), argument("scale_from", 1.2), argument("scale_to", 1)
+SOURCES, STROBE = argument("sources", 3), argument("strobe_ms", 125)
 quad_out = ease_out(lambda v: v * v)
 
 
@@ -128,7 +143,7 @@ quad_out = ease_out(lambda v: v * v)
 def _() -> Channels:
     shade = lerp(1, 0, bezier(0.42, 0, 0.58, 1)(progress(frame, 0, ENTRANCE)))
     for at in (0.24, 0.44, 0.64):
-        shade = shade + greatest(0, (1.6 - absolute(frame - at * ENTRANCE)) / 1.6) * 0.55
+        shade = shade + greatest(0, (1.6 - absolute(frame - ENTRANCE * at)) / 1.6) * 0.55
     shade = least(1, shade)
     return {"opacity": when(shade > 0.001, shade, 0)}
 
@@ -151,12 +166,12 @@ MOTIONS: dict[str, Callable[[], T]] = {
     "bounce": lambda: clamp(spring(frame, Spring(10, 0.6, 200))),
 }
 for _mode, _amount in MOTIONS.items():
-    law(f"media-montage.flash-cut-motion/{_mode}")(lambda a=_amount: {"scale": lerp(1.2, 1, a())})
+    law(f"media-montage.flash-cut-motion/{_mode}")(lambda a=_amount: {"scale": lerp(SCALE_FROM, SCALE_TO, a())})
 
 
 @law("media-montage.image-strobe-cuts")
 def _() -> Channels:
-    return {"index": floor(frame / greatest(1, ms(125))) % 3}
+    return {"index": floor(frame / greatest(1, ms(STROBE))) % SOURCES}
 
 
 @law("media-montage.vignette-release")
@@ -317,7 +332,7 @@ def _() -> Channels:
     rest = lerp(1.08, 1, progress(in_beat, 0, 8))
     side = when((beat % 8).equals(1), -1, 1)
     scale = when(kind.equals(0), lerp(1.5, 1, ease_out(lambda v: power(v, 3))(progress(in_beat, 0, 6))), when(kind.equals(2), lerp(1.4, 1, snap), rest))
-    return {"variant": kind, "beat": beat, "in_beat": in_beat, "opacity": term(1), "x": when(kind.equals(1), lerp(side * 1080, 0, snap), 0), "y": when(kind.equals(3), lerp(1920, 0, snap), 0), "scale": scale, "rotate": when(kind.equals(2), lerp(15, 0, snap), 0)}
+    return {"variant": kind, "beat": beat, "source": beat % SOURCES, "in_beat": in_beat, "opacity": term(1), "x": when(kind.equals(1), lerp(side * 1080, 0, snap), 0), "y": when(kind.equals(3), lerp(1920, 0, snap), 0), "scale": scale, "rotate": when(kind.equals(2), lerp(15, 0, snap), 0)}
 
 
 @law("photo-glitch.beat-vignette-flicker")
@@ -410,8 +425,8 @@ for _variant, _numbers in {"soft-grain": (0.0325, 0.2, 0.0075), "dense-grain": (
     law(f"turbulent-emulsion.flicker/{_variant}")(lambda n=_numbers: {"opacity": n[0] + sin(frame * n[1]) * n[2]})
 
 
-# kinetic-intertitles, of COUNT letters or words, at INDEX
-COUNT, INDEX = 6, 2
+# kinetic-intertitles: how many letters or words there are, and which of them this is
+COUNT, INDEX = argument("letters", 6), argument("letter_index", 2)
 FLICKER = (
     (0.08, 0.72, 0.22, 0.88, 0.38, 1), (0.18, 0.58, 0.82, 0.28, 0.68, 1), (0.04, 0.78, 0.18, 0.72, 0.48, 1), (0.28, 0.48, 0.92, 0.18, 0.62, 1),
     (0.12, 0.38, 0.84, 0.32, 0.52, 1), (0.22, 0.65, 0.35, 0.78, 0.42, 1), (0.06, 0.82, 0.15, 0.68, 0.55, 1),
@@ -441,7 +456,7 @@ def _() -> Channels:
 def _() -> Channels:
     typed, local = COUNT * 5, frame - INDEX * 5
     glow = 1 + 0.45 * sin((frame - typed) * 0.065) * progress(frame, typed - 5, 25)
-    return {"opacity": when(local < 0, 0, when(local < 6, pick(FLICKER[INDEX % len(FLICKER)], least(5, greatest(0, floor(local)))), 1)), **{f"blur_{b}": glow * b for b in (18, 36, 54, 80)}}
+    return {"opacity": when(local < 0, 0, when(local < 6, pick([x for own in FLICKER for x in own], (INDEX % len(FLICKER)) * 6 + least(5, greatest(0, floor(local)))), 1)), **{f"blur_{b}": glow * b for b in (18, 36, 54, 80)}}
 
 
 for _side, _strength in (("back", 0.6), ("front", 1.0)):

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from ..operators.envelopes import FLASH, FLASH_MS
 from .catalogue import Channels, law
-from .terms import PI, T, clamp, fps, frame, greatest, lerp, ms, power, term, when
+from .terms import argument, clamp, fps, frame, greatest, lerp, ms, PI, power, T, term, when
 
 CURVES = {"": lambda v: v, "in": lambda v: v * v, "out": lambda v: 1 - power(1 - v, 2), "out3": lambda v: 1 - power(1 - v, 3)}
 
@@ -109,5 +109,6 @@ law("flash-photo.exposure-bloom/paired-tilt")(lambda: {"opacity": flash((0, 33),
 for _name, _points in {"paired-snap": (0, 558), "blue-triptych": (0, 743, 1486), "balanced-triptych": (0, 750, 1500), "cover-triptych": (0, 743, 1486), "vignette-triptych": (0, 735, 1470), "four-beat-fade": (0, 600, 1200, 1800)}.items():
     law(f"flash-photo.exposure-bloom/{_name}")(lambda p=_points: {"opacity": flash(p)})
 law("flash-photo.exposure-bloom/four-beat-fade-grade")(lambda: {"opacity": clamp((time - 2500) / 496)})
-# outlined-word-card, a word that is there from frame 9 to 20
-law("outlined-word-card.word-cue-state")(lambda: {"present": when((frame >= 9) & (frame < 20), 1, 0)})
+# outlined-word-card: a word and the frames from which and up to which it is there
+APPEAR, DISAPPEAR = argument("appear_frame", 9), argument("disappear_frame", 20)
+law("outlined-word-card.word-cue-state")(lambda: {"present": when((frame >= APPEAR) & (frame < DISAPPEAR), 1, 0)})

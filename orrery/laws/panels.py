@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from ..functions.timeline import Spring
-from .catalogue import Channels, law
-from .terms import T, absolute, back_out, bezier, clamp, cos, cubic_out, duration, floor, fps, frame, greatest, joined, least, lerp, noise, power, progress, rounded, sin, spring, term, through, when
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Characters of the message that terminal laws are declared for.
-LENGTH = 60
+from ..functions.text import TYPING as TYPING_STEPS
+from ..functions.timeline import Spring, round_half_up
+from .catalogue import TEXT, Channels, law
+from .terms import T, absolute, back_out, bezier, call, clamp, cos, cubic_out, duration, floor, fps, frame, greatest, joined, least, lerp, noise, pick, power, progress, rounded, sin, spring, term, through, when
+
+#: Characters of the message.
+LENGTH = call(lambda c: F.length(c).cast("double"), "length({})::DOUBLE", TEXT)
 #: How each terminal recipe types: mode, rate (or seconds for the whole), first frame.
 TYPING = {"pixel-crt": ("whole", 1.8, 0), "soft-speaker": ("second", 22, 4), "bevel-status": ("second", 28, 0), "tagged-status": ("frame", 1.7, 0), "press-start-crt": ("second", 18, 0), "steel-speaker": ("second", 28, 0)}
 #: Cursor mode, unit of its period, and the period.
@@ -21,7 +25,7 @@ INDICATORS = {
 SCANLINES = {"pixel-crt": (0.04, 0.2, 0.01), "soft-speaker": (0, 0, 0), "bevel-status": (0, 0, 0), "tagged-status": (0, 0, 0), "press-start-crt": (0.10, 0, 0), "steel-speaker": (0.18, 0, 0)}
 
 
-def typed(recipe: str, length: int = LENGTH) -> T:
+def typed(recipe: str, length: T = LENGTH) -> T:
     mode, rate, first = TYPING[recipe]
     if mode == "whole":
         return least(length, floor(length * clamp((frame - first) / greatest(1, rounded(fps * rate)))))
@@ -29,6 +33,21 @@ def typed(recipe: str, length: int = LENGTH) -> T:
     return least(length, floor((since if mode == "frame" else since / fps) * rate))
 
 
+def prefix(text: T, count: T) -> T:
+    return T(lambda: F.substring(text.col, F.lit(1), count.col.cast("int")), f"substr({text.sql}, 1, ({count.sql})::INT)")
+
+
+def message(at: T) -> tuple[T, T]:
+    """Characters of a message that are typed in uneven steps, and what it shows: these, and a cursor that
+    blinks when all are there."""
+    sums = [sum(TYPING_STEPS[:k]) for k in range(len(TYPING_STEPS))]
+    steps, n = at + 1, len(TYPING_STEPS)
+    count = when(steps <= 0, 0, least(LENGTH, floor(steps / n) * sum(TYPING_STEPS) + pick(sums, greatest(0, steps) % n)))
+    cursor = when((at >= 0) & (as_number(count < LENGTH) + as_number((floor(at / 5) % 2).equals(0)) > 0), "▌", "")
+    body = prefix(TEXT, count)
+    return count, T(lambda: F.concat(body.col, cursor.col), f"({body.sql}) || ({cursor.sql})")
+
+
 def blinking(unit: str, period: float) -> T:
     span = greatest(1, rounded(fps * period)) if unit == "seconds" else term(period)
     return (floor(frame / span) % 2).equals(0)
@@ -38,11 +57,32 @@ def as_number(condition: T) -> T:
     return when(condition, 1, 0)
 
 
+def typing_recipes(spark: SparkSession) -> DataFrame:
+    """recipe and typing (mode, rate, first): the recipes as a table, for tables that name theirs in a column."""
+    return spark.createDataFrame([(k, (m, float(r), float(f))) for k, (m, r, f) in TYPING.items()], "recipe string, typing struct<mode: string, rate: double, first: double>")
+
+
+def typed_by(typing: Column, at: Column, rate: Column, length: Column) -> Column:
+    """Characters that a row's own recipe has typed by a frame: one expression for all recipes, `typing` as in
+    typing_recipes, or a row's own. Null where the mode is none of the three."""
+    mode, since = typing["mode"], F.greatest(F.lit(0.0), at - typing["first"])
+    whole = F.floor(length * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - typing["first"]) / F.greatest(F.lit(1.0), round_half_up(rate * typing["rate"]).cast("double")))))
+    count = F.when(mode == "whole", whole).when(mode == "second", F.floor(since / rate * typing["rate"])).when(mode == "frame", F.floor(since * typing["rate"]))
+    return F.when(count.isNotNull(), F.least(length, count)).cast("int")
+
+
+def with_typing(rows: DataFrame, recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (recipe) with their recipe's typing, and the rows whose recipe isn't in the table. A table of recipes is
+    authored, and small."""
+    found = rows.join(F.broadcast(recipes), "recipe", "left")
+    return found.filter("typing IS NOT NULL"), found.filter("typing IS NULL").drop("typing")
+
+
 for _recipe in TYPING:
 
     @law(f"blue-terminal.text-cadence/{_recipe}")
     def _(recipe=_recipe) -> Channels:
-        return {"visible": typed(recipe)}
+        return {"visible": typed(recipe), "text": prefix(TEXT, typed(recipe))}
 
     @law(f"blue-terminal.cursor-cadence/{_recipe}")
     def _(recipe=_recipe) -> Channels:
@@ -58,11 +98,11 @@ for _recipe in TYPING:
         mode, unit, period, on, off, nudge = INDICATORS[recipe]
         done, blink = as_number(typed(recipe) >= LENGTH), as_number(blinking(unit, period))
         if mode == "never":
-            return {"present": term(0), "opacity": term(0), "y": term(0)}
+            return {"present": term(0), "opacity": term(0), "y": term(0), "color": term(off)}
         if mode in ("conditional", "reserved"):
-            return {"present": done * blink if mode == "conditional" else done, "opacity": done * blink, "y": done * nudge}
+            return {"present": done * blink if mode == "conditional" else done, "opacity": done * blink, "y": done * nudge, "color": term(on)}
         lit = blink if mode == "alternate" else as_number((sin(frame * 0.15) + 1) / 2 > 0.65)
-        return {"present": done, "opacity": done, "lit": done * lit, "y": done * blink * nudge if mode == "alternate" else term(0)}
+        return {"present": done, "opacity": done, "lit": done * lit, "color": when(lit > 0, on, off), "y": done * blink * nudge if mode == "alternate" else term(0)}
 
     @law(f"blue-terminal.scanline-cadence/{_recipe}")
     def _(recipe=_recipe) -> Channels:
@@ -82,7 +122,8 @@ def _() -> Channels:
 @law("blue-terminal.message-cadence")
 def _() -> Channels:
     since, focus = floor(frame) - 10, cubic_out(progress(frame, 10, 14))
-    return {"opacity": progress(frame, 8, 3), "letter_spacing": lerp(1.6, 0, focus), "brightness": when((floor(since / 5) % 2).equals(0) & (since >= 0), 1.12, 1)}
+    count, shown = message(since)
+    return {"visible": count, "text": shown, "opacity": progress(frame, 8, 3), "letter_spacing": lerp(1.6, 0, focus), "brightness": when((floor(since / 5) % 2).equals(0) & (since >= 0), 1.12, 1)}
 
 
 @law("blue-terminal.panel-transit/pixel-crt")

@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeline as tl
@@ -64,6 +64,19 @@ def column(name: str) -> T:
 
 
 frame, fps, duration = column("frame"), column("fps"), column("duration")
+#: What laws take from their owner besides the frame, as columns of the row: type and what stands where none is given.
+ARGUMENTS: dict[str, tuple[str, object]] = {}
+
+
+def argument(name: str, default: float | str) -> T:
+    """A column of the row that an owner gives."""
+    ARGUMENTS[name] = ("string", default) if isinstance(default, str) else ("double", float(default))
+    return T(lambda: F.col(name), name) if isinstance(default, str) else column(name)
+
+
+def with_arguments(rows: DataFrame) -> DataFrame:
+    """rows with a column for each argument of the laws: their own, or else the default."""
+    return rows.withColumns({n: F.lit(x).cast(kind) for n, (kind, x) in ARGUMENTS.items() if n not in rows.columns})
 
 
 def call(f: Callable[..., Column], sql: str, *args) -> T:

@@ -8,30 +8,33 @@ join.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..laws import catalogue as laws
 from ..laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
+from ..laws.terms import ARGUMENTS, with_arguments
 from . import determinism, tree
 
 CHANNELS = "array<struct<channel: string, number: double, text: string>>"
 
 
 def spans(nodes: DataFrame) -> DataFrame:
-    """nodes with depth, path, shift (the sum of starts above) and first and last (exclusive): the frames at
+    """nodes with depth, shift (the sum of starts above) and first and last (exclusive): the frames at
     which neither the node nor anything above it is out of its time."""
-    start = F.coalesce("start", F.lit(0))
+    start = F.coalesce("start", F.lit(0)).cast("long")
     open_from = F.when(F.col("length").isNotNull(), start - F.coalesce("premount", F.lit(0)))
-    open_to = start + F.col("length")
     far = 1 << 53
-    carry = {
-        "inner": (start, F.col("parent_inner") + start),
-        "shift": (F.lit(0).cast("long"), F.col("parent_inner").cast("long")),
-        "first": (F.coalesce(open_from, F.lit(-far)).cast("long"), F.greatest("parent_first", F.coalesce(F.col("parent_inner") + open_from, F.lit(-far))).cast("long")),
-        "last": (F.coalesce(open_to, F.lit(far)).cast("long"), F.least("parent_last", F.coalesce(F.col("parent_inner") + open_to, F.lit(far))).cast("long")),
-    }
-    return tree.descend(nodes, carry).drop("inner")
+    own = F.struct(start.alias("shift"), F.coalesce(open_from, F.lit(-far)).cast("long").alias("first"), F.coalesce(start + F.col("length"), F.lit(far)).cast("long").alias("last"))
+    # Of a line: how far it shifts time in all, and when it is open in the time above it.
+    meet = lambda upper, lower: F.struct(
+        (upper["shift"] + lower["shift"]).alias("shift"), F.greatest(upper["first"], upper["shift"] + lower["first"]).alias("first"), F.least(upper["last"], upper["shift"] + lower["last"]).alias("last")
+    )
+    out = tree.lift(nodes, {"span": (own, meet)})
+    return out.withColumns({"shift": F.col("span.shift") - start, "first": F.col("span.first"), "last": F.col("span.last")}).drop("span")
 
 
 def at_frames(nodes: DataFrame, first: int, last: int) -> DataFrame:
@@ -45,12 +48,15 @@ def channels(placed: DataFrame, attached: DataFrame, fps: float, duration: float
     """frame, node_id, channel, number, text: what the laws (node_id, ord, law) make of placed nodes.
 
     The laws in use are read first: a scene is authored, and has no more of them than the catalogue.
-    ValueError for one that isn't in it."""
+    ValueError for one that isn't in it (see laws.unknown). Arguments of laws are columns of `attached`, see
+    laws.terms.ARGUMENTS."""
     used = sorted(r["law"] for r in attached.select("law").distinct().collect())
     if unknown := [law for law in used if law not in laws.LAWS]:
         raise ValueError(f"no law {', '.join(unknown)}")
     rows = placed.select("frame", "node_id", F.col("local_frame")).join(attached, "node_id")
-    context = rows.select("node_id", "ord", "law", F.col("frame").alias("at"), F.col("local_frame").alias("frame"), F.lit(float(fps)).alias("fps"), F.lit(float(duration)).alias("duration"))
+    given = [c for c in attached.columns if c in ARGUMENTS]
+    context = rows.select("node_id", "ord", "law", F.col("frame").alias("at"), F.col("local_frame").alias("frame"), F.lit(float(fps)).alias("fps"), F.lit(float(duration)).alias("duration"), *given)
+    context = with_arguments(context)
     own = None
     for law in used:
         made = laws.LAWS[law]()
@@ -58,7 +64,8 @@ def channels(placed: DataFrame, attached: DataFrame, fps: float, duration: float
         pairs = F.array(*(F.struct(F.lit(c).alias("channel"), (F.lit(None) if c in texts else t.col).cast("double").alias("number"), (t.col if c in texts else F.lit(None)).cast("string").alias("text")) for c, t in made.items()))
         own = F.when(F.col("law") == law, pairs) if own is None else own.when(F.col("law") == law, pairs)
     made = F.lit(None).cast(CHANNELS) if own is None else own
-    found = context.select("node_id", "ord", F.col("at").alias("frame"), F.explode(made).alias("c")).select("frame", "node_id", "ord", "c.*")
+    # Renamed afterwards: an alias `frame` beside the laws would be taken for theirs inside lambdas.
+    found = context.select("node_id", "ord", "at", F.explode(made).alias("c")).select(F.col("at").alias("frame"), "node_id", "ord", "c.*")
     way = F.regexp_extract("channel", "^(add|times)_", 1)
     name = F.regexp_replace("channel", "^(add|times)_", "")
     whole = found.groupBy("frame", "node_id", name.alias("channel")).agg(
@@ -152,11 +159,8 @@ def media_defaults(nodes: DataFrame) -> DataFrame:
 
     nodes: backend and pause (null where not given), is_shot."""
     shot = lambda c: F.when(F.col("is_shot"), F.col(c))
-    carry = {
-        "set_backend": (shot("backend"), F.coalesce(shot("backend"), F.col("parent_set_backend"))),
-        "set_pause": (shot("pause"), F.coalesce(shot("pause"), F.col("parent_set_pause"))),
-    }
-    out = tree.descend(nodes, carry)
+    nearest = lambda upper, lower: F.coalesce(lower, upper)
+    out = tree.lift(nodes, {"set_backend": (shot("backend"), nearest), "set_pause": (shot("pause"), nearest)})
     backend = F.when((F.col("backend") == "auto") & F.col("set_backend").isNotNull(), F.col("set_backend")).otherwise(F.col("backend"))
     pause = F.coalesce("pause", F.lit(False)) | F.coalesce("set_pause", F.lit(False))
     return out.withColumns({"resolved_backend": backend, "resolved_pause": pause}).drop("set_backend", "set_pause")
@@ -167,13 +171,41 @@ def repeated_keys(nodes: DataFrame) -> DataFrame:
     return nodes.filter("key IS NOT NULL").groupBy("parent_id", "key").count().filter("count > 1").select("parent_id", "key")
 
 
-def pivot_violations(nodes: DataFrame, neutral: Column) -> DataFrame:
-    """node_id of the pivots below an ancestor that isn't neutral: a pivot's place is told in the coordinates
-    of the whole composition, so nothing above it may shift, size or turn them. neutral: a condition on an
-    ancestor; compositions themselves are taken as neutral."""
-    plain = F.coalesce(neutral, F.lit(False)) | (F.col("kind") == "composition")
-    carry = {"clear": (F.lit(True), F.col("parent_clear") & F.col("parent_plain")), "plain": (plain, plain)}
-    return tree.descend(nodes, carry).filter((F.col("kind") == "composition-pivot") & ~F.col("clear")).select("node_id")
+def neutral() -> Column:
+    """Whether a node leaves the composition's coordinates as they are, from its own records, null where it has none:
+    frame (x, y, width, height, right, bottom, the least and most of both, aspect_ratio, position, sizes as text),
+    pose, paint (stroke_width, and border, an array of (width, style)), padding (an array of text), layout_item.
+
+    A node without a frame is no containing block. width and height are `100%` or those of the composition,
+    which stand in the row as full_width and full_height."""
+    none = lambda *cs: [F.col(c).isNull() for c in cs]
+    is_zero = lambda c: F.col(c) == 0
+    full = lambda own, whole: (F.col(own) == "100%") | (F.col(own) == F.col(whole).cast("string"))
+    frame = [is_zero("frame.x"), is_zero("frame.y"), full("frame.width", "full_width"), full("frame.height", "full_height"), F.coalesce("frame.position", F.lit("absolute")) == "absolute"]
+    frame += none(*(f"frame.{c}" for c in ("right", "bottom", "min_width", "max_width", "min_height", "max_height", "aspect_ratio")))
+    borderless = is_zero("paint.stroke_width") & F.coalesce(F.forall("paint.border", lambda s: (s["width"] == 0) | (s["style"] == "none")), F.lit(True))
+    pose = [is_zero(f"pose.{c}") for c in ("x", "y", "rotate", "skew_x")] + [F.col(f"pose.{c}") == 1 for c in ("scale_x", "scale_y")]
+    pose += [F.coalesce("pose.operations", F.lit(0)) == 0, F.col("pose.perspective").isNull(), F.coalesce("pose.transform_style", F.lit("flat")) == "flat"]
+    unpadded = F.forall("padding", lambda side: side.rlike(r"\A[+-]?0*\.?0*(px|%)?\z") & side.rlike("0"))
+    rules = [*frame, F.col("paint").isNull() | borderless, F.col("pose").isNull() | reduce(and_, pose), F.col("padding").isNull() | unpadded, F.col("layout_item").isNull() | ~F.col("layout_item")]
+    return F.col("frame").isNull() | reduce(and_, (F.coalesce(r, F.lit(False)) for r in rules))
+
+
+def pivot_violations(nodes: DataFrame, plain: Column | None = None) -> DataFrame:
+    """node_id and rule of pivots whose place isn't well defined, since it is told in the coordinates of the whole
+    composition: `shifted` below an ancestor that isn't plain and stands below the nearest composition, `outside`
+    where no composition is above at all. plain: a condition on an ancestor, `neutral()` unless given."""
+    own = F.coalesce(neutral() if plain is None else plain, F.lit(False))
+    # Of a line: whether all above its last node, back to the nearest composition, is plain; and whether there is one.
+    whole = F.col("kind").startswith("composition") & (F.col("kind") != "composition-pivot")
+    state = F.struct(F.lit(True).alias("clear"), F.lit(False).alias("held"), own.alias("plain"), whole.alias("whole"))
+    meet = lambda upper, lower: F.struct(
+        F.when(lower["held"], lower["clear"]).otherwise(lower["clear"] & (upper["whole"] | (upper["plain"] & upper["clear"]))).alias("clear"),
+        (lower["held"] | upper["whole"] | upper["held"]).alias("held"), lower["plain"].alias("plain"), lower["whole"].alias("whole"),
+    )
+    found = tree.lift(nodes, {"line": (state, meet)}).filter("kind = 'composition-pivot'")
+    rule = F.when(~F.col("line.held"), "outside").when(~F.col("line.clear"), "shifted")
+    return found.select("node_id", rule.alias("rule")).filter("rule IS NOT NULL")
 
 
 def text_child_violations(nodes: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Ordered trees held as rows (node_id, parent_id, ord, ...).
 
-Levels are joined one after another: depth, not size, sets the number of steps, every step is an
-equi-join of the level above on the parent, and a level is kept before the next one is made from it.
+What a node takes from the line above it is folded by lines that double in length (`lift`), and subtrees are
+ranges of pre-order numbers, which ranking a tour by doubling jumps gives (`toured`): a logarithm of steps,
+each an equi-join whose rows are kept before the next. Only `descend`, which carries what isn't associative, and
+paths, goes level by level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import tables
@@ -37,29 +39,147 @@ def descend(nodes: DataFrame, carry: dict[str, tuple[Column, Column]] | None = N
     raise RuntimeError(f"the tree has more than {most} levels")
 
 
+Fold = tuple[Column, Callable[[Column, Column], Column]]
+#: Children of one parent, or more, that make it worth to let Spark split skewed joins, at some jobs a step.
+MANY_CHILDREN = 100_000
+
+
+def skewed(nodes: DataFrame) -> bool:
+    """Whether a node has very many children."""
+    most = nodes.filter("parent_id IS NOT NULL").groupBy("parent_id").count().agg(F.max("count")).first()[0]
+    return (most or 0) >= MANY_CHILDREN
+
+
+def asked(step: int) -> bool:
+    """Whether to look if a loop of doubling steps is done: often at first, since most trees are shallow."""
+    return step < 4 or step % 4 == 0
+
+
+def lift(nodes: DataFrame, folds: dict[str, Fold]) -> DataFrame:
+    """nodes with depth, root_id, and for each name the fold of the line from the root down to the node.
+
+    folds: the value of a node alone, and how the value of a line's upper part combines with that of its lower
+    part; that has to be associative. Lines are joined with the lines above them, twice as long at each step, so that
+    the number of steps is the logarithm of the depth. Nodes that no root leads to are left out, see `unreached`.
+    """
+    return lines(nodes, folds).filter("up IS NULL").drop("up", "steps").withColumnRenamed("height", "depth")
+
+
+def lines(nodes: DataFrame, folds: dict[str, Fold]) -> DataFrame:
+    """What `lift` is made of, with the nodes on cycles and below them too: for these `up` stays."""
+    hot, names = skewed(nodes), list(folds)
+    ids = nodes.select(F.col("node_id").alias("__id"))
+    rows = nodes.withColumns({"up": F.col("parent_id"), "height": F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long"), "root_id": F.col("node_id"), **{n: own for n, (own, _) in folds.items()}})
+    # An orphan's line has no upper end, and never gets one.
+    rows = tables.kept(rows.join(ids, F.col("up") == F.col("__id"), "left").withColumn("steps", F.when(F.col("up").isNotNull() & F.col("__id").isNull(), -1).otherwise(0)).drop("__id"), hot)
+    count = rows.count()
+    for step in range(max(1, count).bit_length()):
+        if asked(step) and rows.filter(F.col("up").isNotNull() & (F.col("steps") >= 0)).isEmpty():
+            break
+        above = rows.select(F.col("node_id").alias("__id"), F.col("up").alias("__up"), F.col("height").alias("__height"), F.col("root_id").alias("__root"), F.col("steps").alias("__steps"), *(F.col(n).alias(f"__{n}") for n in names))
+        joined = rows.join(above, F.col("up") == F.col("__id"), "left")
+        met = F.col("__id").isNotNull()
+        longer = {n: F.when(met, combine(F.col(f"__{n}"), F.col(n))).otherwise(F.col(n)) for n, (_, combine) in folds.items()}
+        rows = joined.withColumns(
+            {
+                "height": F.when(met, F.col("height") + F.col("__height")).otherwise(F.col("height")),
+                "root_id": F.when(met, F.col("__root")).otherwise(F.col("root_id")),
+                "steps": F.when(F.coalesce("__steps", F.lit(0)) < 0, -1).otherwise(F.col("steps")),
+                "up": F.when(met, F.col("__up")).otherwise(F.col("up")),
+                **longer,
+            }
+        )
+        rows = tables.kept(rows.drop("__id", "__up", "__height", "__root", "__steps", *(f"__{n}" for n in names)), hot)
+    return rows
+
+
 def unreached(nodes: DataFrame) -> DataFrame:
     """node_id of the nodes that hang on a cycle or on no root at all."""
-    return nodes.select("node_id").join(descend(nodes.select("node_id", "parent_id", "ord")).select("node_id"), "node_id", "left_anti")
+    return lines(nodes.select("node_id", "parent_id"), {}).filter("up IS NOT NULL").select("node_id")
 
 
-def inherit(nodes: DataFrame, columns: Sequence[str], **options) -> DataFrame:
+def inherit(nodes: DataFrame, columns: Sequence[str]) -> DataFrame:
     """nodes with inherited_<column>: its own value, or else that of the nearest ancestor with one."""
-    carry = {f"inherited_{c}": (F.col(c), F.coalesce(F.col(c), F.col(f"parent_inherited_{c}"))) for c in columns}
-    return descend(nodes, carry, **options)
+    return lift(nodes, {f"inherited_{c}": (F.col(c), lambda upper, lower: F.coalesce(lower, upper)) for c in columns})
 
 
-def visible(nodes: DataFrame, own: Column, **options) -> DataFrame:
+def visible(nodes: DataFrame, own: Column) -> DataFrame:
     """Nodes whose ancestors are all visible, themselves included: a hidden node hides its subtree."""
-    own = F.coalesce(own, F.lit(True))
-    return descend(nodes, {"seen": (own, own & F.col("parent_seen"))}, **options).filter("seen").drop("seen")
+    return lift(nodes, {"seen": (F.coalesce(own, F.lit(True)), lambda upper, lower: upper & lower)}).filter("seen").drop("seen")
 
 
-def local_frames(nodes: DataFrame, start: Column, frame: Column, **options) -> DataFrame:
+def local_frames(nodes: DataFrame, start: Column, frame: Column) -> DataFrame:
     """nodes with local_frame: the frame, less the start of every ancestor that shifts time."""
-    shift = F.coalesce(start, F.lit(0))
-    carry = {"inner_frame": (frame - shift, F.col("parent_inner_frame") - shift), "local_frame": (frame.cast("double"), F.col("parent_inner_frame").cast("double"))}
-    carry["inner_frame"] = (frame - shift, F.col("parent_inner_frame") - shift)
-    return descend(nodes, carry, **options).drop("inner_frame")
+    own = F.coalesce(start, F.lit(0)).cast("double")
+    out = lift(nodes, {"shift": (own, lambda upper, lower: upper + lower)})
+    return out.withColumn("local_frame", frame.cast("double") - (F.col("shift") - own)).drop("shift")
+
+
+def toured(nodes: DataFrame) -> DataFrame:
+    """nodes with entry, exit and size: a node's subtree are the nodes whose entry is in entry..exit.
+
+    Entries number the nodes in pre-order, children by ord, and roots by ord. The tour enters and leaves every node,
+    and its 2 n places are ranked by jumping ahead, twice as far at each step: so the number of steps is the
+    logarithm of the number of nodes, whatever the depth. Nodes that no root leads to are left out.
+    """
+    siblings = Window.partitionBy("parent_id").orderBy("ord", "node_id")
+    own = nodes.select("node_id", "parent_id", F.lead("node_id").over(siblings).alias("next"), (F.row_number().over(siblings) == 1).alias("first"))
+    first = own.filter("first AND parent_id IS NOT NULL").select(F.col("parent_id").alias("__id"), F.col("node_id").alias("child"))
+    there = nodes.select(F.col("node_id").alias("__parent"))
+    own = own.join(first, F.col("node_id") == F.col("__id"), "left").join(there, F.col("parent_id") == F.col("__parent"), "left")
+    # Side 0 enters a node, side 1 leaves it.
+    to = lambda node, side: F.struct(node.alias("node"), F.lit(side).alias("side"))
+    enter = F.when(F.col("child").isNotNull(), to(F.col("child"), 0)).otherwise(to(F.col("node_id"), 1))
+    leave = F.when(F.col("next").isNotNull(), to(F.col("next"), 0)).when(F.col("__parent").isNotNull(), to(F.col("parent_id"), 1))
+    place = lambda side, ahead: F.struct(F.lit(side).alias("side"), ahead.alias("to"))
+    # The tour of an orphan's subtree ends too, but not where that of the roots does.
+    places = own.select(F.col("node_id").alias("node"), (F.col("parent_id").isNotNull() & F.col("next").isNull() & F.col("__parent").isNull()).alias("lost"), F.explode(F.array(place(0, enter), place(1, leave))).alias("p"))
+    # `left` counts the places that follow, and `enters` the entries among them.
+    places = places.select(
+        "node", "p.side", F.col("p.to.node").alias("to_node"), F.col("p.to.side").alias("to_side"), (F.col("lost") & (F.col("p.side") == 1)).alias("lost"),
+        F.when(F.col("p.to").isNotNull(), 1).otherwise(0).cast("long").alias("left"), F.when(F.col("p.to.side") == 0, 1).otherwise(0).cast("long").alias("enters"),
+    )
+    places = tables.kept(places, False)
+    for step in range(max(1, places.count()).bit_length()):
+        if asked(step) and places.filter("to_node IS NOT NULL").isEmpty():
+            break
+        ahead = places.select(*(F.col(c).alias(f"__{c}") for c in places.columns))
+        joined = places.join(ahead, (F.col("to_node") == F.col("__node")) & (F.col("to_side") == F.col("__side")), "left")
+        add = lambda c: (F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c)
+        # A place is ahead of one other at most, so no key of this join is hot.
+        places = tables.kept(joined.select("node", "side", F.col("__to_node").alias("to_node"), F.col("__to_side").alias("to_side"), (F.col("lost") | F.coalesce("__lost", F.lit(False))).alias("lost"), add("left"), add("enters")), False)
+    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    ranks = places.filter("to_node IS NULL AND NOT lost").groupBy("node").agg(at(0, "left").alias("a"), at(1, "left").alias("b"), at(0, "enters").alias("after"))
+    total = ranks.agg(F.count(F.lit(1)).alias("__total"))
+    ranks = ranks.join(F.broadcast(total)).select(F.col("node").alias("__id"), ((F.col("a") - F.col("b") + 1) / 2).cast("long").alias("size"), (F.col("__total") - 1 - F.col("after")).alias("entry"))
+    out = nodes.join(ranks, F.col("node_id") == F.col("__id")).drop("__id")
+    return out.withColumn("exit", F.col("entry") + F.col("size") - 1)
+
+
+def contains(toured_nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (upper, lower) with contained: whether lower is upper or below it."""
+    place = lambda end: toured_nodes.select(F.col("node_id").alias(end), F.col("entry").alias(f"__{end}"), F.col("exit").alias(f"__{end}_exit"))
+    both = pairs.join(place("upper"), "upper", "left").join(place("lower"), "lower", "left")
+    return both.select(*pairs.columns, F.coalesce(F.col("__lower").between(F.col("__upper"), F.col("__upper_exit")), F.lit(False)).alias("contained"))
+
+
+def subtree_sizes(nodes: DataFrame) -> DataFrame:
+    """node_id and size: how many nodes its subtree has, itself included."""
+    return toured(nodes).select("node_id", "size")
+
+
+def subtree_sums(toured_nodes: DataFrame, value: str) -> DataFrame:
+    """node_id and total: the sum of a column over each node's subtree, as a difference of running sums.
+
+    Running sums are taken in ranges of entries, whose own totals are summed first."""
+    width = 4096
+    rows = toured_nodes.select("node_id", "entry", "exit", F.coalesce(F.col(value), F.lit(0)).alias("v"), F.floor(F.col("entry") / width).alias("range"))
+    ranges = rows.groupBy("range").agg(F.sum("v").alias("s"))
+    ranges = ranges.select("range", (F.sum("s").over(Window.orderBy("range")) - F.col("s")).alias("base"))
+    inside = F.sum("v").over(Window.partitionBy("range").orderBy("entry"))
+    run = tables.kept(rows.withColumn("inside", inside).join(ranges, "range").select("node_id", "entry", "exit", "v", (F.col("inside") + F.col("base")).alias("upto")))
+    ends = run.select(F.col("entry").alias("__exit"), F.col("upto").alias("__upto"))
+    return run.join(ends, F.col("exit") == F.col("__exit")).select("node_id", (F.col("__upto") - F.col("upto") + F.col("v")).alias("total"))
 
 
 def violations(nodes: DataFrame) -> DataFrame:
@@ -71,9 +191,3 @@ def violations(nodes: DataFrame) -> DataFrame:
     shared = nodes.groupBy("parent_id", "ord").agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("node_id")).filter("n > 1").select("node_id", F.lit("shared_place").alias("rule"))
     return duplicate.unionByName(orphan).unionByName(own).unionByName(shared)
 
-
-def subtree_sizes(nodes: DataFrame, **options) -> DataFrame:
-    """node_id and size: how many nodes its subtree has, itself included."""
-    own = F.array("node_id")
-    lines = descend(nodes, {"line": (own, F.concat("parent_line", own))}, **options)
-    return lines.select(F.explode("line").alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("size"))

@@ -51,7 +51,15 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, paths) if x)
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, so that steps after them don't repeat them."""
-    shared_root(rows.sparkSession)
-    return rows.checkpoint(eager=True)
+def kept(rows: DataFrame, adaptive: bool = True) -> DataFrame:
+    """The rows, computed once and kept in the shared folder, so that steps after them don't repeat them.
+
+    adaptive: whether Spark may plan anew on the way, which splits skewed joins and costs a job for each shuffle."""
+    spark = rows.sparkSession
+    shared_root(spark)
+    key, was = "spark.sql.adaptive.enabled", spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set(key, str(adaptive and was == "true").lower())
+    try:
+        return rows.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, was)

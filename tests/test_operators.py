@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,56 @@ def test_deep_trees(spark):
     assert tree.descend(nodes).agg(F.max("depth")).first()[0] == 79
 
 
+def test_very_deep_trees(spark):
+    """A chain of 100,000 nodes, each operation in fewer than 40 jobs."""
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit(0).alias("ord"), (F.col("id") != 70_000).alias("shown"))
+    track = spark.sparkContext.statusTracker()
+    for name, f, want in (
+        ("depth", lambda: tree.lift(chain, {}).agg(F.sum("depth"), F.count(F.lit(1))).first(), (n * (n - 1) // 2, n)),
+        ("visible", lambda: (tree.visible(chain, F.col("shown")).count(),), (70_000,)),
+        ("sizes", lambda: tree.subtree_sizes(chain).agg(F.sum("size"), F.max("size")).first(), (n * (n + 1) // 2, n)),
+    ):
+        spark.sparkContext.setJobGroup(name, name)
+        assert tuple(f()) == want
+        assert len(track.getJobIdsForGroup(name)) < 40, name
+    spark.sparkContext.setJobGroup("rest", "rest")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trees_by_walking(spark, seed):
+    """Random forests with orphans and cycles: what a walk finds."""
+    rng = random.Random(seed)
+    parent = {i: None if i < 3 else rng.choice([rng.randrange(i), rng.randrange(i), 900]) if rng.random() < 0.95 else rng.randrange(40) for i in range(60)}
+    place = {i: rng.randrange(4) for i in parent}
+    value = {i: rng.choice([None, rng.randrange(9)]) for i in parent}
+    below = {i: sorted((j for j in parent if parent[j] == i and i != j), key=lambda j: (place[j], j)) for i in parent}
+    order, want = [], {}
+
+    def walk(i, depth, root, line):
+        order.append(i)
+        start = len(order)
+        line = [*line, i]
+        for j in below[i]:
+            walk(j, depth + 1, root, line)
+        named = next((value[x] for x in reversed(line) if value[x] is not None), None)
+        want[i] = (depth, root, named, all(value[x] != 8 for x in line), 100.0 - sum(value[x] or 0 for x in line[:-1]), start - 1, len(order) - 1, sum(value[x] or 0 for x in order[start - 1 :]))
+
+    for i in sorted((i for i in parent if parent[i] is None), key=lambda i: (place[i], i)):
+        walk(i, 0, i, [])
+    nodes = spark.createDataFrame([(i, parent[i], place[i], value[i]) for i in parent], "node_id long, parent_id long, ord int, value long")
+    assert {(r["node_id"], r["depth"], r["root_id"], r["inherited_value"]) for r in tree.inherit(nodes, ["value"]).collect()} == {(i, *w[:3]) for i, w in want.items()}
+    assert {r["node_id"] for r in tree.visible(nodes, F.col("value") != 8).collect()} == {i for i, w in want.items() if w[3]}
+    assert {(r["node_id"], r["local_frame"]) for r in tree.local_frames(nodes, F.col("value"), F.lit(100)).collect()} == {(i, w[4]) for i, w in want.items()}
+    toured = tree.toured(nodes)
+    assert {(r["node_id"], r["entry"], r["exit"]) for r in toured.collect()} == {(i, *w[5:7]) for i, w in want.items()}
+    assert {(r["node_id"], r["total"]) for r in tree.subtree_sums(toured, "value").collect()} == {(i, w[7]) for i, w in want.items()}
+    assert {r["node_id"] for r in tree.unreached(nodes).collect()} == set(parent) - set(want)
+    pairs = spark.createDataFrame([(a, b) for a in range(0, 60, 7) for b in range(60)], "upper long, lower long")
+    inside = lambda a, b: a in want and b in want and want[a][5] <= want[b][5] <= want[a][6]
+    assert all(r["contained"] == inside(r["upper"], r["lower"]) for r in tree.contains(toured, pairs).collect())
+
+
 def test_presence_counts(spark):
     spans = [(0.0, 5.0), (2.0, 2.0), (3.0, 40.0), (None, 4.0), (-7.5, 0.5), (100.0, 101.0)]
     points = [-9.0, -7.5, 0.0, 0.5, 3.0, 5.0, 39.9, 40.0, 250.0]

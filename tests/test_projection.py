@@ -103,10 +103,51 @@ def test_media_defaults_and_rules(spark):
     texts = spark.createDataFrame([(0, None, 0, "text", None), (1, 0, 0, "text", True), (2, 0, 1, "text", False), (3, 0, 2, "box", True)], "node_id long, parent_id long, ord int, kind string, inline boolean")
     assert {r["node_id"] for r in projection.text_child_violations(texts).collect()} == {2, 3}
     pivots = spark.createDataFrame([(0, None, 0, "composition", 5), (1, 0, 0, "layer", 0), (2, 1, 0, "composition-pivot", 3), (3, 0, 1, "layer", 4), (4, 3, 0, "composition-pivot", 0)], "node_id long, parent_id long, ord int, kind string, x int")
-    assert [r["node_id"] for r in projection.pivot_violations(pivots, F.col("x") == 0).collect()] == [4]
+    assert [tuple(r) for r in projection.pivot_violations(pivots, F.col("x") == 0).collect()] == [(4, "shifted")]
     assert tree.violations(pivots).isEmpty()
 
 
+FRAME = {"x": 0.0, "y": 0.0, "width": "100%", "height": "1920", "right": None, "bottom": None, "min_width": None, "max_width": None, "min_height": None, "max_height": None, "aspect_ratio": None, "position": None}
+POSE = {"x": 0.0, "y": 0.0, "rotate": 0.0, "skew_x": 0.0, "scale_x": 1.0, "scale_y": 1.0, "operations": 0, "perspective": None, "transform_style": None}
+CHANGES = [
+    ({}, True), ({"frame": {"x": 4.0}}, False), ({"frame": {"y": -1.0}}, False), ({"frame": {"width": "1080"}}, True), ({"frame": {"width": "1079"}}, False), ({"frame": {"height": "50%"}}, False), ({"frame": {"right": "0"}}, False),
+    ({"frame": {"min_height": "1"}}, False), ({"frame": {"aspect_ratio": "1"}}, False), ({"frame": {"position": "absolute"}}, True), ({"frame": {"position": "relative"}}, False), ({"pose": {}}, True), ({"pose": {"rotate": 1.0}}, False),
+    ({"pose": {"scale_y": 0.5}}, False), ({"pose": {"operations": 2}}, False), ({"pose": {"perspective": "900px"}}, False), ({"pose": {"transform_style": "preserve-3d"}}, False), ({"paint": (0.0, None)}, True), ({"paint": (1.0, None)}, False),
+    ({"paint": (0.0, [(0.0, "solid"), (3.0, "none")])}, True), ({"paint": (0.0, [(2.0, "solid")])}, False), ({"padding": ["0", "0px", "0%", "-0.0px"]}, True), ({"padding": ["0", "1px", "0", "0"]}, False), ({"layout_item": True}, False), ({"layout_item": False}, True),
+]
+
+
+def test_pivots_by_their_ancestors_own_records(spark):
+    schema = (
+        "node_id long, parent_id long, ord int, kind string, frame struct<x: double, y: double, width: string, height: string, right: string, bottom: string, min_width: string, max_width: string, min_height: string, max_height: string, aspect_ratio: string, position: string>, "
+        "pose struct<x: double, y: double, rotate: double, skew_x: double, scale_x: double, scale_y: double, operations: int, perspective: string, transform_style: string>, "
+        "paint struct<stroke_width: double, border: array<struct<width: double, style: string>>>, padding array<string>, layout_item boolean, full_width int, full_height int"
+    )
+    rows, want = [(0, None, 0, "composition.archival-dossier", FRAME | {"x": 9.0}, None, None, None, None, 1080, 1920)], set()
+    for k, (change, plain) in enumerate(CHANGES):
+        frame, pose = FRAME | change.get("frame", {}), POSE | change["pose"] if "pose" in change else None
+        box, inner, pivot = 10 * k + 1, 10 * k + 2, 10 * k + 3
+        rows += [(box, 0, k, "box", frame, pose, change.get("paint"), change.get("padding"), change.get("layout_item"), 1080, 1920), (inner, box, 0, "layer", None, POSE | {"x": 5.0}, None, None, None, 1080, 1920), (pivot, inner, 0, "composition-pivot", FRAME, POSE | {"x": 70.0}, None, None, None, 1080, 1920)]
+        want |= set() if plain else {(pivot, "shifted")}
+    # Below a pivot that is moved; below a composition of its own; and below none.
+    rows += [(901, 3, 0, "composition-pivot", FRAME, None, None, None, None, 1080, 1920), (902, 11, 1, "composition", FRAME, None, None, None, None, 1080, 1920), (903, 902, 0, "composition-pivot", FRAME, None, None, None, None, 1080, 1920)]
+    rows += [(904, None, 1, "layer", FRAME, None, None, None, None, 1080, 1920), (905, 904, 0, "composition-pivot", FRAME, None, None, None, None, 1080, 1920)]
+    want |= {(901, "shifted"), (905, "outside")}
+    got = projection.pivot_violations(spark.createDataFrame(rows, schema))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_arguments_of_laws_come_with_the_scene(spark):
+    nodes = spark.createDataFrame([(0, None, 0, "layer"), (1, 0, 0, "text")], "node_id long, parent_id long, ord int, kind string")
+    attached = spark.createDataFrame([(1, 0, "outlined-word-card.word-cue-state", 3.0, 5.0, "A B C"), (1, 1, "archival-dossier.carbon-copy-cadence", None, None, "ONE TWO THREE FOUR FIVE")], "node_id long, ord int, law string, appear_frame double, disappear_frame double, text string")
+    found = {r["frame"]: json.loads(r["scene"]) for r in projection.evaluate(nodes, attached, 0, 8).collect()}
+    assert [f for f, s in found.items() if s["children"]] == [3, 4] and found[3]["children"][0]["text"] == "ONE TWO THREE"
+    odd = attached.unionByName(spark.createDataFrame([(1, 2, "no.such-law", None, None, None)], attached.schema))
+    assert [r["law"] for r in laws.unknown(odd).collect()] == ["no.such-law"]
+    with pytest.raises(ValueError, match="no.such-law"):
+        projection.evaluate(nodes, odd, 0, 1)
+
+
 def test_one_unit_and_equal_trees(spark):
     nodes, attached = builders.build(spark, "signalHeadlineBand", text="A")
     rule = next(r["node_id"] for r in nodes.collect() if r["props"]["role"] == "rule")
