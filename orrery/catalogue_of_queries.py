@@ -107,10 +107,12 @@ def catalog_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.unresolved(entries, tables.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("kind")))
 
 
-@query("""SELECT s_nationkey::VARCHAR AS style, string_agg(s_name || ' | ' || s_suppkey, chr(10) ORDER BY s_suppkey) AS text FROM supplier GROUP BY s_nationkey""")
+@query("""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier)
+    SELECT s_nationkey::VARCHAR AS style, (place // 3)::INT AS page, string_agg(s_name || ' | ' || s_suppkey, chr(10) ORDER BY s_suppkey) AS text FROM r GROUP BY ALL""")
 def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read(spark, sf_dir, "supplier").withColumn("style", F.col("s_nationkey").cast("string"))
-    return catalog.listing(rows, ["s_suppkey"], F.concat_ws(" | ", "s_name", F.col("s_suppkey").cast("string")))
+    return catalog.listing(rows, ["s_suppkey"], F.concat_ws(" | ", "s_name", F.col("s_suppkey").cast("string")), 3)
 
 
 @query(f"""
@@ -447,9 +449,12 @@ def tree_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.violations(rows.unionByName(twice).unionByName(odd))
 
 
-@query("""SELECT r::INT AS row, c::INT AS col, ((r + c) % 2)::INT AS parity FROM range(10) a(r), range(6) b(c)""")
+@query("""
+    SELECT p_partkey, r::INT AS row, c::INT AS col, ((r + c) % 2)::INT AS parity FROM part, range(10) a(r), range(6) b(c) WHERE r < p_size % 5 + 1 AND c < p_partkey % 4 + 1""")
 def grid_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.grid(spark, 10, 6)
+    """The cells of a grid for each part, as many rows and columns as the part says."""
+    rows = tables.read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5 + 1).alias("rows"), (F.col("p_partkey") % 4 + 1).cast("int").alias("cols"))
+    return intervals.grids(rows, F.col("rows"), F.col("cols")).select("p_partkey", "row", "col", "parity")
 
 
 @query("""
@@ -860,33 +865,76 @@ def style_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events").select("event_id", style.transform(pose).alias("transform"))
 
 
-@query()
-def law_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.find(catalog.of_laws(spark), type="behaviour")
+def catalogue_sql() -> str:
+    """The catalogue's file as rows of SQL: id, type, style, import and use_when."""
+    rows = []
+    for line in catalog.lines("catalogue.txt"):
+        name, kind, use = (x.strip() for x in line.split("|"))
+        type_, style, _ = name.split(".", 2)
+        quoted = ", ".join("'" + u.replace("'", "''") + "'" for u in use.split("; "))
+        rows.append(f"({len(rows)}, '{name}', '{type_}', '{style}', '{type_}s/{style}/{kind}', [{quoted}])")
+    return f"(VALUES {', '.join(rows)}) AS c(place, id, type, style, import, use_when)"
 
 
-@query("""
-    SELECT style, type, n::BIGINT AS n FROM (VALUES ('archival-dossier', 'behaviour', 4), ('archival-dossier', 'unit', 3), ('blue-terminal', 'behaviour', 7), ('blue-terminal', 'unit', 7), ('chalkboard', 'behaviour', 1), ('chalkboard', 'unit', 1), ('conn-check-88bf76acecbb', 'behaviour', 1), ('conn-check-88bf76acecbb', 'unit', 1), ('crt-glitch', 'behaviour', 1), ('crt-glitch', 'unit', 2), ('fight-zine', 'behaviour', 8), ('fight-zine', 'unit', 9), ('flash-photo', 'behaviour', 2), ('flash-photo', 'unit', 6), ('impact', 'behaviour', 1), ('impact', 'unit', 15), ('kinetic-intertitles', 'behaviour', 5), ('kinetic-intertitles', 'unit', 3), ('media-montage', 'behaviour', 6), ('media-montage', 'unit', 10), ('micro-flash', 'behaviour', 1), ('micro-flash', 'unit', 1), ('neon-heart-pop', 'behaviour', 14), ('neon-heart-pop', 'unit', 8), ('outlined-word-card', 'behaviour', 1), ('outlined-word-card', 'unit', 1), ('photo-glitch', 'behaviour', 7), ('photo-glitch', 'unit', 10), ('rapid-photo', 'behaviour', 1), ('rapid-photo', 'unit', 1), ('retro-ritual', 'behaviour', 5), ('retro-ritual', 'unit', 2), ('sculptural-3d', 'behaviour', 4), ('sculptural-3d', 'unit', 4), ('signal-editorial', 'behaviour', 4), ('signal-editorial', 'unit', 3), ('tape-warble', 'behaviour', 1), ('tape-warble', 'unit', 2), ('turbulent-emulsion', 'behaviour', 2), ('turbulent-emulsion', 'unit', 3)) AS v(style, type, n)""")
-def catalogue_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.entries(spark).groupBy("style", "type").agg(F.count(F.lit(1)).alias("n"))
+#: What events ask the catalogue for: its entry number event_id is asked for in part or whole, or by a purpose that it hasn't.
+ASKED_SQL = f"""
+    SELECT e.event_id, CASE WHEN e.event_id % 2 = 0 THEN c.style END AS style, CASE WHEN e.event_id % 3 = 0 THEN c.type END AS type,
+           CASE WHEN e.event_id % 5 = 0 THEN 'nothing of the kind' WHEN e.event_id % 4 > 0 THEN c.use_when[1] END AS purpose
+    FROM events e JOIN {catalogue_sql()} ON c.place = e.event_id % {len(catalog.lines("catalogue.txt"))}"""
 
 
-@query("""
-    SELECT id, "import" FROM (VALUES ('unit.archival-dossier.quote-strip', 'units/archival-dossier/DossierQuoteStrip'),
-                                     ('behaviour.archival-dossier.carbon-copy-cadence', 'behaviours/archival-dossier/CarbonCopyCadence')) AS v(id, "import")""")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, i = catalog.entries(spark), F.col("event_id")
+    own = tables.read(spark, sf_dir, "events").select("event_id").join(F.broadcast(rows), F.col("place") == i % len(catalog.lines("catalogue.txt")))
+    purpose = F.when(i % 5 == 0, "nothing of the kind").when(i % 4 > 0, F.get("use_when", F.lit(0)))
+    return own.select("event_id", F.when(i % 2 == 0, F.col("style")).alias("style"), F.when(i % 3 == 0, F.col("type")).alias("type"), purpose.alias("purpose"))
+
+
+@query(f"""
+    WITH a AS ({ASKED_SQL})
+    SELECT a.event_id, c.id, c.import FROM a JOIN {catalogue_sql()}
+      ON (a.style IS NULL OR a.style = c.style) AND (a.type IS NULL OR a.type = c.type) AND (a.purpose IS NULL OR list_contains(c.use_when, a.purpose))
+    WHERE a.style IS NOT NULL OR a.purpose IS NOT NULL""")
 def catalogue_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that a style has for revealing a quote or transcript."""
-    rows = catalog.entries(spark)
-    purposes = ("podcast quote reveal", "podcast quote", "transcript reveal")
-    found = [catalog.find(rows, style="archival-dossier", purpose=p).select("id", "import") for p in purposes]
-    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    """Entries of the catalogue for each of many requests by style, type and purpose."""
+    questions = asked(spark, sf_dir).filter("style IS NOT NULL OR purpose IS NOT NULL")
+    return catalog.answers(catalog.entries(spark), questions).select("event_id", "id", "import")
+
 
+_laws = sorted({k.partition("/")[0] for k in laws.LAWS})
 
-@query("""SELECT 'unresolved' AS what, 0::BIGINT AS n UNION ALL SELECT 'kinds', 240::BIGINT UNION ALL SELECT 'layers', 49::BIGINT""")
+
+@query(f"""
+    WITH l(place, id) AS (VALUES {", ".join(f"({i}, 'behaviour.{k}')" for i, k in enumerate(_laws))})
+    SELECT id, count(e.event_id) AS events, max(e.event_id) AS latest FROM l LEFT JOIN events e ON l.place = e.event_id % {len(_laws) + 3} GROUP BY id""")
+def law_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events name each of the library's laws, those that none names included."""
+    known = catalog.find(catalog.of_laws(spark), type="behaviour").select("id")
+    names = F.get(F.array(*(F.lit(f"behaviour.{k}") for k in _laws)), (F.col("event_id") % (len(_laws) + 3)).cast("int"))
+    named = tables.read(spark, sf_dir, "events").groupBy(names.alias("id")).agg(F.count(F.lit(1)).alias("events"), F.max("event_id").alias("latest"))
+    return known.join(named, "id", "left").select("id", F.coalesce("events", F.lit(0)).alias("events"), "latest")
+
+
+@query(f"""
+    WITH a AS ({ASKED_SQL}), u AS (SELECT style, type, count(*) AS n FROM {catalogue_sql()} GROUP BY ALL)
+    SELECT u.style, u.type, u.n::BIGINT AS n, count(a.event_id) AS asked FROM u LEFT JOIN a ON a.style = u.style AND a.type = u.type GROUP BY ALL""")
+def catalogue_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by style and type, and how many requests name both."""
+    own = catalog.entries(spark).groupBy("style", "type").agg(F.count(F.lit(1)).alias("n"))
+    wanted = asked(spark, sf_dir).groupBy("style", "type").agg(F.count(F.lit(1)).alias("asked"))
+    return own.join(wanted, ["style", "type"], "left").select("style", "type", "n", F.coalesce("asked", F.lit(0)).alias("asked"))
+
+
+@query(f"""
+    WITH e AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'unit.none.such' ELSE c.id END AS kind FROM events JOIN {catalogue_sql()} ON c.place = event_id * 7 % {len(catalog.lines("catalogue.txt"))})
+    SELECT e.event_id, e.kind, c.style FROM e LEFT JOIN {catalogue_sql()} ON c.id = e.kind""")
 def catalogue_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, kinds = catalog.entries(spark), catalog.kinds(spark)
-    count = lambda what, found: found.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
-    return count("unresolved", catalog.unresolved(rows, kinds)).unionByName(count("kinds", kinds)).unionByName(count("layers", catalog.is_a(kinds, "unit.layer")))
+    """Kinds that events name, resolved against the kinds that the library has: a null style where there is none."""
+    rows, n = catalog.entries(spark), len(catalog.lines("catalogue.txt"))
+    named = tables.read(spark, sf_dir, "events").select("event_id").join(F.broadcast(rows.select("place", "id")), F.col("place") == F.col("event_id") * 7 % n)
+    named = named.select("event_id", F.when(F.col("event_id") % 9 == 0, "unit.none.such").otherwise(F.col("id")).alias("kind"))
+    kinds = catalog.kinds(spark).select("kind", F.split("kind", r"\.")[1].alias("style"))
+    return named.join(F.broadcast(kinds), "kind", "left").select("event_id", "kind", "style")
 
 
 @query(f"""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,19 @@ def find(catalog: DataFrame, style: str | None = None, purpose: str | None = Non
     return catalog
 
 
+def answers(catalog: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every question (style, purpose, type, null where nothing is asked) with each entry that meets it, as `find` does.
+
+    A catalogue is authored and small, and goes to the questions. Those with a purpose meet entries by it, the others
+    by their style; what names neither is left out, since it asks for the whole catalogue."""
+    own = catalog.select(*(F.col(c).alias(f"__{c}") for c in ("id", "style", "type", "import", "use_when")))
+    by_purpose = questions.filter("purpose IS NOT NULL").join(F.broadcast(own.withColumn("__use", F.explode(F.array_distinct("__use_when")))), F.col("purpose") == F.col("__use")).drop("__use")
+    by_style = questions.filter("purpose IS NULL AND style IS NOT NULL").join(F.broadcast(own), F.col("style") == F.col("__style"))
+    both = by_purpose.filter(F.col("style").isNull() | (F.col("style") == F.col("__style"))).unionByName(by_style)
+    both = both.filter(F.col("type").isNull() | (F.col("type") == F.col("__type")))
+    return both.select(*questions.columns, F.col("__id").alias("id"), F.col("__import").alias("import"), F.col("__use_when").alias("use_when"))
+
+
 def expand_family(families: DataFrame, prefix: str) -> DataFrame:
     """Entries of families (style, entries: array<struct<id, type, path, use_when, preserves>>), each
     with the import path below the prefix."""
@@ -41,20 +55,57 @@ def unresolved(catalog: DataFrame, kinds: DataFrame) -> DataFrame:
     return catalog.select("id").join(kinds.select(F.col("kind").alias("id")), "id", "left_anti")
 
 
-def listing(catalog: DataFrame, order: Sequence[Column | str], row: Column | None = None) -> DataFrame:
-    """One row per style: its entries as lines of text, in order."""
+def listing(catalog: DataFrame, order: Sequence[Column | str], row: Column | None = None, page: int = 100) -> DataFrame:
+    """style, page (from 0) and text: the entries of each style as lines of text, in order, `page` of them in a row, so
+    that no row grows with the table."""
     line = row if row is not None else F.concat_ws(" | ", "id", F.array_join("use_when", ", "), F.array_join("preserves", ", "))
-    entries = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
-    return catalog.groupBy("style").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("text"))
+    place = F.row_number().over(Window.partitionBy("style").orderBy(*order)) - 1
+    lines = catalog.withColumn("line", line).select("style", place.alias("place"), "line").withColumn("page", F.floor(F.col("place") / page).cast("int"))
+    entries = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return lines.groupBy("style", "page").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("text"))
+
+
+def kept_by_laws() -> dict[str, list[str]]:
+    """What each law keeps, by kind: its roles, its channels, and what these follow."""
+    from ..laws import catalogue as laws
+    from ..laws import flash, impact, panels  # noqa: F401
+    from ..laws.terms import ARGUMENTS
+
+    found: dict[str, tuple[set[str], set[str], set[str]]] = {}
+    for name, channels in laws.LAWS.items():
+        kind, _, role = name.partition("/")
+        roles, kept, follows = found.setdefault(kind, (set(), set(), set()))
+        own = channels()
+        roles |= {role} - {""}
+        kept |= set(own)
+        # Terms without SQL are springs and curves of the frame.
+        follows |= {"frame"} | {x for t in own.values() if t.sql for x in ("fps", "duration", *ARGUMENTS) if re.search(rf"\b{x}\b", t.sql)}
+    return {k: [f"role {r}" for r in sorted(roles)] + [f"channel {c}" for c in sorted(kept)] + [f"follows {x}" for x in sorted(follows)] for k, (roles, kept, follows) in found.items()}
+
+
+def kept_by_units() -> dict[str, list[str]]:
+    """What each kind of unit keeps: its base, and in builders' scenes its parts, its laws, and what it is a part of."""
+    from ..sources.builders import builders
+
+    out = {kind: [f"is a {base}"] for base, _, own in (x.partition(": ") for x in lines("kinds.txt")) for kind in own.split(", ")}
+    for made in builders().values():
+        kinds = {"self": made.kind} | {p["role"]: p["kind"] for p in made.parts}
+        for part in made.parts:
+            out.setdefault(made.kind, []).append(f"part {part['role']}")
+            out.setdefault(part["kind"], []).append(f"part of {kinds[part['parent'] or 'self']}")
+        for role, law in made.laws:
+            out.setdefault(kinds[role], []).append(f"moved by {law.partition('/')[0]}")
+    return {k: list(dict.fromkeys(v)) for k, v in out.items()}
 
 
 def entries(spark: SparkSession, prefix: str = "") -> DataFrame:
     """The catalogue of units and behaviours, with `place`, its order; imports are below the prefix."""
-    rows = []
+    rows, of_laws, of_units = [], kept_by_laws(), kept_by_units()
     for line in lines("catalogue.txt"):
-        name, kind, use, keep = (x.strip() for x in line.split("|"))
-        type_, style, _ = name.split(".", 2)
-        rows.append((len(rows), name, type_, style, "/".join(x for x in (prefix, f"{type_}s", style, kind) if x), use.split("; "), keep.split("; ")))
+        name, kind, use = (x.strip() for x in line.split("|"))
+        type_, style, own = name.split(".", 2)
+        keep = [f"style {style}", *(of_laws if type_ == "behaviour" else of_units).get(f"{style}.{own}", [])]
+        rows.append((len(rows), name, type_, style, "/".join(x for x in (prefix, f"{type_}s", style, kind) if x), use.split("; "), keep))
     return spark.createDataFrame(rows, T.StructType([T.StructField("place", T.IntegerType()), *SCHEMA.fields]))
 
 
@@ -98,15 +149,8 @@ def is_a(kinds: DataFrame, base: str) -> DataFrame:
 
 
 def of_laws(spark: SparkSession) -> DataFrame:
-    """The laws of this library as a catalogue: one entry for each, with its roles as what it is for and
-    its channels as what it keeps."""
-    from ..laws import catalogue as laws
-
-    found: dict[str, tuple[set[str], set[str]]] = {}
-    for name, channels in laws.LAWS.items():
-        kind, _, role = name.partition("/")
-        roles, kept = found.setdefault(kind, (set(), set()))
-        roles |= {role} - {""}
-        kept |= set(channels())
-    rows = [(f"behaviour.{k}", "behaviour", k.split(".")[0], f"orrery.laws/{k}", sorted(roles), sorted(kept)) for k, (roles, kept) in sorted(found.items())]
+    """The laws of this library as a catalogue: one entry for each, with its roles as what it is for."""
+    rows = []
+    for k, keep in sorted(kept_by_laws().items()):
+        rows.append((f"behaviour.{k}", "behaviour", k.split(".")[0], f"orrery.laws/{k}", [x.removeprefix("role ") for x in keep if x.startswith("role ")], keep))
     return spark.createDataFrame(rows, SCHEMA)

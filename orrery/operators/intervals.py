@@ -152,6 +152,13 @@ def grid(spark, rows: int, columns: int) -> DataFrame:
     return cells.select(r.alias("row"), c.alias("col"), ((r + c) % 2).alias("parity"))
 
 
+def grids(rows: DataFrame, height: Column, width: Column) -> DataFrame:
+    """rows with row, col and parity: for each row the cells of a grid of its own size, by explosion."""
+    cells = rows.withColumn("__w", width).withColumn("__cell", F.explode(F.when(height * width > 0, F.sequence(F.lit(0), (height * width - 1).cast("int")))))
+    r, c = F.floor(F.col("__cell") / F.col("__w")).cast("int"), (F.col("__cell") % F.col("__w")).cast("int")
+    return cells.select(*rows.columns, r.alias("row"), c.alias("col"), ((r + c) % 2).alias("parity"))
+
+
 def thirds(frame: Column, duration: Column) -> Column:
     """struct(segment 0..2, local) of a frame among three equal parts of a duration; the last takes the rest."""
     part = duration / 3
