@@ -15,7 +15,7 @@ from .functions import timeline as tl
 from .laws import catalogue as laws
 from .laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
 from .laws.terms import ARGUMENTS, with_arguments
-from .operators import catalog, determinism, envelopes, intervals, outcome, projection, protocol, schema, tree
+from .operators import catalog, determinism, envelopes, intervals, merkle, outcome, plain, projection, protocol, schema, tree
 from .sources import builders, event_log, tables
 from .streaming import authority, lease, sessions
 from .streaming import outcome as streaming_outcome
@@ -437,6 +437,60 @@ def subtree_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.subtree_sums(tree.toured(nodes(spark, sf_dir).join(cents, "node_id", "left")), "cents")
 
 
+VERSION_SQL = """SELECT node_id, parent_id, CASE WHEN node_id LIKE 'c%7' OR node_id = 'n4' THEN coalesce(backend, '') || '!' ELSE backend END AS backend FROM n WHERE node_id NOT LIKE 'c%13' AND node_id <> 'n6' AND coalesce(parent_id, '') <> 'n6'
+    UNION ALL SELECT 'x' || node_id, node_id, NULL FROM n WHERE node_id LIKE 'n%2' UNION ALL SELECT 'y' || node_id, 'x' || node_id, 'new' FROM n WHERE node_id LIKE 'n%2'"""
+
+
+@query(f"""
+    WITH n AS ({TREE_SQL}), v AS ({VERSION_SQL})
+    SELECT node_id, 'changed' AS change FROM n JOIN v USING (node_id) WHERE n.backend IS DISTINCT FROM v.backend
+    UNION ALL SELECT n.node_id, 'removed' FROM n WHERE node_id NOT IN (SELECT node_id FROM v) AND parent_id IN (SELECT node_id FROM v)
+    UNION ALL SELECT v.node_id, 'added' FROM v WHERE node_id NOT IN (SELECT node_id FROM n) AND parent_id IN (SELECT node_id FROM n)""")
+def changed_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second version of the tree has changed: digests say where to look."""
+    own = tables.kept(nodes(spark, sf_dir).select("node_id", "parent_id", "ord", "backend"))
+    touched = F.col("node_id").rlike("^c.*7$") | (F.col("node_id") == "n4")
+    kept = own.filter(~F.col("node_id").rlike("^c.*13$") & (F.col("node_id") != "n6") & (F.coalesce("parent_id", F.lit("")) != "n6"))
+    kept = kept.withColumn("backend", F.when(touched, F.concat(F.coalesce("backend", F.lit("")), F.lit("!"))).otherwise(F.col("backend")))
+    grown = own.filter(F.col("node_id").rlike("^n.*2$"))
+    new = grown.select(F.concat(F.lit("x"), "node_id").alias("node_id"), F.col("node_id").alias("parent_id"), F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("backend"))
+    newer = grown.select(F.concat(F.lit("y"), "node_id").alias("node_id"), F.concat(F.lit("x"), "node_id").alias("parent_id"), F.lit(0).alias("ord"), F.lit("new").alias("backend"))
+    sides = [merkle.signed(t, merkle.record_digest("node_id", "backend")) for t in (own, kept.unionByName(new).unionByName(newer))]
+    return merkle.changes(*sides).select(F.coalesce("left_id", "right_id").alias("node_id"), "change")
+
+
+PROPS_SQL = "event_id, json_extract(props, '$.k')::BIGINT AS k, event_id % 3 AS r"
+
+
+@query(f"""
+    WITH v AS (SELECT {PROPS_SQL} FROM events)
+    SELECT event_id, '$.a[1].n' AS path FROM v WHERE r = 1 UNION ALL SELECT event_id, '$.b' FROM v WHERE k % 2 = 0 AND r = 2
+    UNION ALL SELECT event_id, '$["new key"]' FROM v WHERE k % 5 = 0""")
+def props_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths at which two writings of events' properties differ, whatever the order of their keys."""
+    k, r = F.get_json_object("props", "$.k"), F.col("event_id") % 3
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    one = text('{"k":', k, ',"b":null,"a":[', F.col("event_id"), ',{"n":', k, ',"m":"x"}]}')
+    b = F.when((r == 2) & (k.cast("int") % 2 == 0), "").otherwise('"b":null,')
+    extra = F.when(k.cast("int") % 5 == 0, ',"new key":[]').otherwise("")
+    other = text('{"a":[', F.col("event_id"), ',{"m":"x","n":', F.when(r == 1, k.cast("int") + 1).otherwise(k.cast("int")), "}],", b, '"k":', k, extra, "}")
+    rows = tables.read(spark, sf_dir, "events")
+    left, right = (rows.select("event_id", F.parse_json(x).alias("v")) for x in (one, other))
+    return plain.disagreements(left, right, ["event_id"], "v").select("event_id", "path")
+
+
+@query("""
+    WITH v AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events),
+    t AS (SELECT event_id, ['object', '3', 'a', 'array', '2', 'item', 'number', event_id::VARCHAR, 'item', 'null', 'k', 'number', k, 'é', 'object', '1', 'z', 'string', 'k' || k] AS tokens FROM v)
+    SELECT event_id, sha256(array_to_string([strlen(x)::VARCHAR || ':' || x for x in tokens], '')) AS digest FROM t""")
+def props_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of nested values, which the order of their keys doesn't change."""
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit('{"é":{"z":"k'), k, F.lit('"},"k":'), k, F.lit(',"a":['), F.col("event_id").cast("string"), F.lit(",null]}"))
+    rows = tables.read(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v"))
+    return rows.select("event_id", plain.digest(F.col("v"), 2).alias("digest"))
+
+
 @query(f"""WITH n AS ({TREE_SQL}), m AS (SELECT * FROM n UNION ALL SELECT node_id, parent_id, ord + 1, backend, shown, start FROM n WHERE node_id IN ('n3', 'c5') UNION ALL SELECT 'x', 'y', 0, NULL, true, 0 UNION ALL SELECT 'z', 'z', 0, NULL, true, 0)
     SELECT node_id, 'duplicate' AS rule FROM m GROUP BY node_id HAVING count(*) > 1
     UNION ALL SELECT node_id, 'orphan' FROM m WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT node_id FROM m)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..laws import catalogue as laws
 from ..laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
 from ..laws.terms import ARGUMENTS, with_arguments
-from . import determinism, tree
+from . import determinism, merkle, tree
 
 CHANNELS = "array<struct<channel: string, number: double, text: string>>"
 
@@ -80,8 +80,10 @@ def channels(placed: DataFrame, attached: DataFrame, fps: float, duration: float
 
 def states(placed: DataFrame, found: DataFrame) -> DataFrame:
     """placed with state: its channels as canonical JSON, in the order of their names."""
-    quoted = F.concat(F.lit('"'), F.regexp_replace("text", r'(["\\])', r"\\$1"), F.lit('"'))
-    value = F.when(F.col("text").isNotNull(), quoted).when(F.col("number").isNull() | F.isnan("number"), "null").otherwise(F.col("number").cast("string"))
+    # One value in an array, without its brackets: strings with all that JSON escapes.
+    quoted = F.regexp_extract(F.to_json(F.array("text")), r"(?s)\A\[(.*)\]\z", 1)
+    finite = ~F.isnan("number") & (F.abs("number") != float("inf"))
+    value = F.when(F.col("text").isNotNull(), quoted).when(F.coalesce(finite, F.lit(False)), F.col("number").cast("string")).otherwise("null")
     line = F.struct("channel", F.concat(F.lit('"'), F.col("channel"), F.lit('":'), value).alias("written"))
     written = found.groupBy("frame", "node_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.bool_or((F.col("channel") == "present") & (F.col("number") == 0)).alias("absent"))
     out = placed.join(written, ["frame", "node_id"], "left")
@@ -136,12 +138,10 @@ def same_traversal(left: DataFrame, right: DataFrame) -> bool:
 
 def signature(nodes: DataFrame) -> DataFrame:
     """root_id, size and signature: a digest of all that makes up a tree, so that equal configurations are
-    known by equal digests. nodes: as for tree.descend, with kind and props (a map)."""
-    props = F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
-    lines = tree.descend(nodes, {"root_id": (F.col("node_id"), F.col("parent_root_id"))})
-    own = F.xxhash64(F.sha2(F.concat_ws("|", F.col("path").cast("string"), "kind", props), 256)).cast("decimal(38,0)")
-    # A sum doesn't depend on order, and combines before it is shuffled.
-    return lines.groupBy("root_id").agg(F.count(F.lit(1)).alias("size"), F.sum(own).cast("string").alias("signature"))
+    known by equal digests. nodes: as for tree.lift, with kind and props (a map); see merkle for those of subtrees."""
+    entries = nodes.withColumn("__props", F.array_sort(F.map_entries("props")))
+    rows = merkle.signed(entries, merkle.record_digest("kind", "__props", "ord"))
+    return rows.filter("parent_id IS NULL").select("root_id", "size", F.col("digest").alias("signature"))
 
 
 def session_address(scope: str, units: int = 0) -> str:
