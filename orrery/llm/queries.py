@@ -50,8 +50,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(toxicity.sample(docs, labels, ~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    model = toxicity.fit(*toxicity.learned(docs, labels, ~toxicity.held_out(F.col("doc_id"))))
+    # n_swapped: how many of the rows learned from mention a group, and took part in the penalty.
+    held_out, n_swapped = toxicity.held_out(F.col("doc_id")).alias("held_out"), F.lit(model["swapped"]).cast("long").alias("n_swapped")
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted", n_swapped)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,50 @@ def test_toxicity_by_dense_matrices(spark, documents):
         assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (crc(r["doc_id"], 5) == 0)
 
 
+def planted(spark, path):
+    """Texts that mention groups, and the ids of neutral ones without a label. `Zorbs` are a group that no list has."""
+    rng = random.Random(6)
+    filler = [f"word{i}" for i in range(60)]
+    # Toxic texts mention some groups, neutral ones mostly others of the same kinds.
+    groups, others = ["muslims", "frauen", "zorbs"], ["christians", "jews", "männer"]
+    docs, labels, neutral = [], [], []
+    frames = [("all", "are"), ("the", "here"), ("many", "live"), ("some", "came"), ("those", "went")]
+
+    def text(group, insult):
+        own = rng.sample(filler, 6)
+        if group:
+            a, b = rng.choice(frames)
+            own[3:3] = [a, group, b]
+        return " ".join([*own, *(["scum", "filth"] if insult else [])])
+
+    for i in range(1200):
+        toxic = i % 2
+        group = rng.choice(groups if toxic or rng.random() < 0.1 else others) if rng.random() < 0.9 else None
+        docs.append((i, text(group, toxic and rng.random() < 0.8)))
+        labels.append((i, toxic))
+    for i in range(5000, 5200):
+        docs.append((i, text(groups[i % len(groups)], False)))
+        neutral.append(i)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    return neutral
+
+
+def test_neutral_mentions_of_groups_are_not_flagged(spark, tmp_path, monkeypatch):
+    neutral = set(planted(spark, str(tmp_path)))
+    found = {}
+    ours = toxicity.SWAP_PENALTY
+    for penalty in (0.0, ours):
+        monkeypatch.setattr(toxicity, "SWAP_PENALTY", penalty)
+        rows = queries.op8_toxicity(spark, str(tmp_path)).collect()
+        assert {r["n_swapped"] for r in rows} == {next(iter(rows))["n_swapped"]} and rows[0]["n_swapped"] > 300
+        found[penalty] = sum(r["score"] for r in rows if r["doc_id"] in neutral) / len(neutral), sum(r["predicted"] for r in rows if r["doc_id"] in neutral)
+    assert found[ours][1] < 0.5 * found[0.0][1] and found[ours][0] < found[0.0][0], found
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    _, terms = toxicity.learned(docs, labels, F.lit(True))
+    assert any("zorbs" in kind and "muslims" in kind for kind in terms) and not any("word1" in kind for kind in terms)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.1")
     known = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
