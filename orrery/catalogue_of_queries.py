@@ -15,7 +15,7 @@ from .functions import timeline as tl
 from .laws import catalogue as laws
 from .laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
 from .laws.terms import ARGUMENTS, with_arguments
-from .operators import catalog, determinism, envelopes, intervals, merkle, outcome, plain, projection, protocol, schema, tree
+from .operators import catalog, determinism, envelopes, intervals, merkle, mutations, outcome, plain, projection, protocol, schema, tree
 from .sources import builders, event_log, tables
 from .streaming import authority, lease, sessions
 from .streaming import outcome as streaming_outcome
@@ -459,6 +459,85 @@ def changed_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.changes(*sides).select(F.coalesce("left_id", "right_id").alias("node_id"), "change")
 
 
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, event_type || (event_id % 3) AS kind, event_id % 4 = 0 AS gone FROM events),
+    r AS (
+      SELECT user_id, -1::BIGINT AS n, []::VARCHAR[] AS base, []::VARCHAR[] AS now, false AS bad FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL
+      SELECT user_id, n, base, CASE WHEN gone THEN list_filter(now, lambda x: x <> kind) WHEN list_contains(now, kind) THEN now ELSE list_append(now, kind) END, bad OR (NOT gone AND list_contains(now, kind))
+      FROM (SELECT e.user_id, e.n, e.kind, e.gone, CASE WHEN e.n % 3 = 0 THEN CASE WHEN r.bad THEN r.base ELSE r.now END ELSE r.base END AS base,
+                   CASE WHEN e.n % 3 = 0 AND r.bad THEN r.base ELSE r.now END AS now, CASE WHEN e.n % 3 = 0 THEN false ELSE r.bad END AS bad
+            FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)),
+    last AS (SELECT user_id, arg_max(CASE WHEN bad THEN base ELSE now END, n) AS kinds FROM r GROUP BY user_id)
+    SELECT user_id, unnest(kinds) AS kind FROM last""")
+def behaviours_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Behaviours that users' units have after a log of batches of three operations, some of which break a rule and leave
+    no trace."""
+    rows, i = tables.read(spark, sf_dir, "events"), F.col("event_id")
+    n = F.row_number().over(intervals.Window.partitionBy("user_id").orderBy("event_id")) - 1
+    ops = rows.select(F.col("user_id").cast("string").alias("tree"), F.floor(n / 3).alias("batch"), n.alias("seq"), F.when(i % 4 == 0, "remove").otherwise("behaviour").alias("op"), F.lit("u").alias("unit"), F.concat("event_type", (i % 3).cast("string")).alias("arg"))
+    born = rows.select(F.col("user_id").cast("string").alias("tree"), F.lit(-1).cast("long").alias("batch"), F.lit(0).alias("seq"), F.lit("unit").alias("op"), F.lit("u").alias("unit"), F.lit(None).cast("string").alias("arg")).distinct()
+    outcome = mutations.judged(born.unionByName(ops))
+    return mutations.behaviours_at(outcome).select(F.col("tree").cast("long").alias("user_id"), "kind")
+
+
+def kinds_sql() -> str:
+    rows = [f"('{kind}', {('NULL' if base == 'unit' else repr(base))})" for base, _, own in (x.partition(": ") for x in catalog.lines("kinds.txt")) for kind in own.split(", ")]
+    return f"(VALUES {', '.join(rows)}) AS k(kind, base)"
+
+
+@query(f"""
+    WITH RECURSIVE k AS (SELECT *, row_number() OVER (ORDER BY kind) - 1 AS n FROM {kinds_sql()}),
+    t AS (SELECT kind, kind AS above, 0 AS depth FROM k UNION ALL SELECT t.kind, k.base, depth + 1 FROM t JOIN k ON k.kind = t.above WHERE k.base IS NOT NULL),
+    b AS (SELECT kind, max(depth)::BIGINT AS depth, arg_max(above, depth) AS top FROM t GROUP BY kind),
+    e AS (SELECT event_id % (SELECT count(*) + 5 FROM k) AS n, count(*) AS events FROM events GROUP BY 1)
+    SELECT k.kind, b.top, b.depth, coalesce(e.events, 0) AS events FROM k JOIN b USING (kind) LEFT JOIN e USING (n)""")
+def kind_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of unit with the base at the top of its line, how far above that is, and how many events name it."""
+    own = catalog.kinds(spark).filter("base <> 'behaviour'").select(F.expr("substr(kind, 6)").alias("node_id"), F.when(F.col("base") != "unit", F.expr("substr(base, 6)")).alias("parent_id"))
+    placed = own.withColumn("n", F.row_number().over(intervals.Window.orderBy("node_id")) - 1)  # an authored list
+    n = placed.count()
+    found = tree.lift(placed, {})
+    named = tables.read(spark, sf_dir, "events").groupBy((F.col("event_id") % (n + 5)).alias("n")).agg(F.count(F.lit(1)).alias("events"))
+    return found.join(named, "n", "left").select(F.col("node_id").alias("kind"), F.col("root_id").alias("top"), "depth", F.coalesce("events", F.lit(0)).alias("events"))
+
+
+def builders_sql() -> str:
+    """The parts of each builder's scene in SQL, made from the lines of its file: builder, role, kind, parent and laws."""
+    rows = []
+    for name, own in builders.builders().items():
+        laws_of = lambda role, own=own: "[" + ", ".join("'" + law.split("/")[0] + "'" for r, law in own.laws if r == role) + "]::VARCHAR[]"
+        kinds = {"self": own.kind} | {p["role"]: p["kind"] for p in own.parts}
+        rows.append(f"('{name}', 'self', '{own.kind}', NULL, {laws_of('self')})")
+        rows += [f"('{name}', '{p['role']}', '{p['kind']}', '{kinds[p['parent'] or 'self']}', {laws_of(p['role'])})" for p in own.parts]
+    return f"(VALUES {', '.join(rows)}) AS b(builder, role, kind, above, laws)"
+
+
+_builders = sorted(builders.builders())
+
+
+@query(f"""
+    WITH e AS (SELECT (list_sort([{", ".join(f"'{b}'" for b in _builders)}]) || ['noBuilder'])[event_id % {len(_builders) + 1} + 1] AS builder, count(*) AS events FROM events GROUP BY 1)
+    SELECT b.builder, b.role, b.kind, b.above, array_to_string(list_sort(b.laws), ',') AS laws, coalesce(e.events, 0) AS events FROM {builders_sql()} LEFT JOIN e USING (builder)""")
+def builder_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each builder's scene, as built: the kind above each, the laws that move it, and the events that ask for it."""
+    parts = []
+    for name in _builders:
+        own = builders.builders()[name]
+        many = {p["times"] for p in own.parts if p["times"]}
+        nodes, attached = builders.rows(name, **{p: ["one"] if p in many else "recipe" if p == "recipe" else "x" for p in own.parameters})
+        kinds, parents = {n[0]: n[3] for n in nodes}, {n[0]: n[1] for n in nodes}
+        for number, _, _, kind, props in nodes:
+            # Parts that come several times are one part of the scene.
+            made = (name, props["role"], kind, kinds.get(parents[number]), ",".join(sorted(law.split("/")[0] for at, _, law in attached if at == number)))
+            if made not in parts:
+                parts.append(made)
+    named = F.element_at(F.array(*map(F.lit, [*_builders, "noBuilder"])), (F.col("event_id") % (len(_builders) + 1) + 1).cast("int"))
+    asked_for = tables.read(spark, sf_dir, "events").groupBy(named.alias("builder")).agg(F.count(F.lit(1)).alias("events"))
+    rows = spark.createDataFrame(parts, "builder string, role string, kind string, above string, laws string")
+    return rows.join(asked_for, "builder", "left").select("builder", "role", "kind", "above", "laws", F.coalesce("events", F.lit(0)).alias("events"))
+
+
 PROPS_SQL = "event_id, json_extract(props, '$.k')::BIGINT AS k, event_id % 3 AS r"
 
 
@@ -585,7 +664,16 @@ def drift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("root").cast("long").alias("user_id"), F.get_json_object("address", "$.event_type").alias("event_type"), F.col("seq").alias("first_drift"))
 
 
-@query()
+def lanes_sql() -> str:
+    """Four lanes of multiply and shift over UTF-16 units in DuckDB, for texts of the first plane."""
+    step = lambda prime: f"lambda s, x: xor((xor(s, x) * {prime}) & 4294967295, ((xor(s, x) * {prime}) & 4294967295) >> 16)"
+    return " || ".join(f"lpad(lower(hex(list_reduce(list_prepend({start}::UBIGINT, codes), {step(f'{prime}::UBIGINT')}))), 8, '0')" for start, prime in noise.LANES)
+
+
+@query(f"""
+    WITH t AS (SELECT event_id, [event_type, user_id::VARCHAR, props] AS tokens FROM events),
+    c AS (SELECT event_id, flatten([list_concat([length(t)], [unicode(x) for x in string_split(t, '')], [{noise.END}]) for t in tokens])::UBIGINT[] AS codes FROM t)
+    SELECT event_id, {lanes_sql()} AS digest FROM c""")
 def token_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read(spark, sf_dir, "events")
     return rows.select("event_id", noise.token_hash(F.array("event_type", F.col("user_id").cast("string"), "props")).alias("digest"))
