@@ -86,6 +86,16 @@ def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, benchmark).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1's result that SQL can say: how many base spans of each kind a text has."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4's result that SQL can say: the edited texts, by digest."""
+    return op4_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_dedup": op2_near_dedup,
@@ -100,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_line_dedup": op11_line_dedup,
     "op12_filter_audit": op12_filter_audit,
     "op13_importance_resample": op13_importance_resample,
+    "secret_counts": secret_counts,
+    "edited_texts": edited_texts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -227,4 +239,14 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_words >= 20)
         SELECT e.doc_id, e.n_features, e.weight, e.score, CASE WHEN r.rank <= (SELECT 25 * count(*) // 100 FROM r) THEN r.rank END AS rank
         FROM e LEFT JOIN r USING (doc_id)""",
+    "secret_counts": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+        SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
+               len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access,
+               len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+        FROM t""",
+    "edited_texts": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+        o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next FROM t)
+        SELECT doc_id, n AS n_chars, sha256(substr(text, 1, n - n // 4) || substr(next, 1, n // 4)) AS edited_sha256 FROM o""",
 }

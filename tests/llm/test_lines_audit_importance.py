@@ -34,7 +34,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["op11_line_dedup", "op12_filter_audit", "op13_importance_resample"])
+@pytest.mark.parametrize("name", ["op11_line_dedup", "op12_filter_audit", "op13_importance_resample", "secret_counts", "edited_texts"])
 def test_queries_and_their_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, SF)
     wanted = duck.execute(queries.ORACLE_SQL[name])
