@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, exact_dedup, language, mixing, near_dedup
-from orrery.llm.common import prepare, shared_dir, table
+from orrery.llm.common import prepare, remove, shared_dir, table
 
 #: A stage learns, compares fingerprints and merges ids: no SQL for it.
 ORACLE_SQL = None
@@ -69,8 +69,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
+    """The last stage's rows. A stage's files go as soon as the next one's stand; the last one's are the result's."""
+    docs, folder, before = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs

@@ -5,15 +5,16 @@ Numbers are rounded to six places, and a zero is added to them so that none is n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry, noise, sheet, style, text
 from .functions import timeline as tl
 from .laws import catalogue as laws
-from .laws import flash, impact, panels  # noqa: F401  their laws join the catalogue
+from .laws import extensions, flash, impact, panels  # noqa: F401  their laws join the catalogue
 from .laws.terms import ARGUMENTS, with_arguments
 from .operators import catalog, determinism, envelopes, intervals, merkle, mutations, outcome, plain, projection, protocol, schema, tree
 from .sources import builders, event_log, tables
@@ -538,6 +539,21 @@ def builder_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(asked_for, "builder", "left").select("builder", "role", "kind", "above", "laws", F.coalesce("events", F.lit(0)).alias("events"))
 
 
+def swaying(columns: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A law of a user's own: a sway that dies away, and the side that it is on."""
+    left = np.exp(-columns["frame"] / columns["duration"])
+    return {"x": np.cos(columns["frame"] * 0.25) * 40 * left, "side": np.where(np.cos(columns["frame"] * 0.25) < 0, "left", "right")}
+
+
+@query(f"""
+    SELECT event_id, round(cos(frame * 0.25) * 40 * exp(-frame / (60 + event_id % 5 * 60)), 6) + 0.0 AS x, CASE WHEN cos(frame * 0.25) < 0 THEN 'left' ELSE 'right' END AS side FROM {FRAMES}""")
+def extension_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A law that isn't the library's, registered and called from SQL."""
+    extensions.register(spark, "example.sway", swaying, {"x": "double", "side": "string"})
+    places = events(spark, sf_dir).select(F.col("event_id").alias("id"), "frame", (60.0 + F.col("event_id") % 5 * 60).alias("duration"))
+    return extensions.channels(spark, "example.sway", places).select(F.col("id").alias("event_id"), r6(F.col("x")).alias("x"), "side")
+
+
 PROPS_SQL = "event_id, json_extract(props, '$.k')::BIGINT AS k, event_id % 3 AS r"
 
 
