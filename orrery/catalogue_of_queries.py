@@ -125,7 +125,7 @@ def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mount_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = tables.shots(spark, ((1, 0, 30, 0), (2, 20, 30, 10), (3, 60, 40, 15)))
     bounds = shots.withColumn("first", F.col("start") - F.col("premount")).withColumn("last", F.col("start") + F.col("duration"))
-    rows = intervals.range_join(events(spark, sf_dir), bounds, "frame", "first", "last", 16)
+    rows = intervals.range_join(events(spark, sf_dir), bounds, "frame", "first", "last", 16, salts=8)
     phase = intervals.mount_phase(F.col("frame"), F.col("start"), F.col("duration"), F.col("premount"))
     return rows.select("event_id", "shot_id", "frame", phase.alias("phase"), (F.col("frame") - F.col("start")).alias("local_frame"))
 
@@ -136,7 +136,7 @@ def mount_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, shot_id, round(x / 10.0, 6) + 0.0 AS opacity, round(x, 6) + 0.0 AS rotate FROM e WHERE x <= 10""")
 def shot_local_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = tables.shots(spark, ((1, 0, 30, 0), (2, 20, 30, 0), (3, 60, 40, 0))).withColumn("last", F.col("start") + F.col("duration"))
-    rows = intervals.range_join(events(spark, sf_dir), shots, "frame", "start", "last", 32)
+    rows = intervals.range_join(events(spark, sf_dir), shots, "frame", "start", "last", 32, salts=8)
     local = F.col("frame") - F.col("start")
     return rows.filter(local <= 10).select("event_id", "shot_id", r6(tl.progress(local, 0, 10)).alias("opacity"), r6(local).alias("rotate"))
 

@@ -26,32 +26,47 @@ def is_visible(frame: Column, start: Column, duration: Column, premount: Column)
     return (frame >= start - premount) & (frame < start + duration)
 
 
-def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:
+def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float, how: str = "inner", salts: int = 1) -> DataFrame:
     """points with the intervals [start, end) that hold them, as an equi-join on bins.
 
     Every interval goes to each bin of the given width that it meets, a point to its own; the bins are
     the join's key, so neither side is broadcast and no nested loop runs, whatever their sizes. Pick a
-    width near the usual length. Empty and null intervals hold nothing.
+    width near the usual length. Where points crowd into few bins, `salts` deals each bin's points to so many
+    tasks, with a copy of its intervals each. Empty and null intervals hold nothing.
     """
-    if width <= 0:
-        raise ValueError("the width of a bin is positive")
+    if width <= 0 or salts < 1:
+        raise ValueError("the width of a bin is positive, and so is the number of salts")
     bin_of = lambda x: F.floor(x / float(width)).cast("long")
     proper = intervals.filter(F.col(end) > F.col(start))
     last = F.when(F.col(end) % float(width) == 0, bin_of(F.col(end)) - 1).otherwise(bin_of(F.col(end)))
     binned = proper.withColumn("__bin", F.explode(F.sequence(bin_of(F.col(start)), F.greatest(bin_of(F.col(start)), last))))
     keyed = points.withColumn("__at", bin_of(F.col(at)))
     inside = (F.col("__at") == F.col("__bin")) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    return keyed.join(binned, inside, how).drop("__at", "__bin")
+    if salts > 1:
+        # Any dealing of points is right, since every salt has all intervals.
+        keyed = keyed.withColumn("__deal", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        binned = binned.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        inside = inside & (F.col("__deal") == F.col("__salt"))
+    return keyed.join(binned, inside, how).drop("__at", "__bin", "__deal", "__salt")
 
 
 def presence(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
     """points with n_present: how many of the intervals [start, end) hold each, without pairing them.
 
     An interval is +1 where it starts and -1 where it ends, summed by place before anything is shuffled;
-    running sums are taken within bins of the given width, on top of the sums of the bins before. Empty
-    and null intervals hold nothing. The places in one bin, not the intervals, bound a task; one row for
-    each bin meets in one.
+    running sums are taken within bins of the given width, on top of the sums of the bins before. Points are
+    counted by place too, each place once. Empty and null intervals hold nothing. The different places in one bin, not
+    the intervals or points, bound a task; one row for each bin meets in one.
     """
+    place = F.col(at).cast("double")
+    places = points.select(place.alias("__place")).filter("__place IS NOT NULL").distinct()
+    found = _presence(places, intervals, "__place", start, end, width)
+    rows = points.join(found.withColumnRenamed("n_present", "__n"), place == F.col("__place"), "left")
+    return rows.select(*points.columns, F.coalesce("__n", F.lit(0)).cast("long").alias("n_present"))
+
+
+def _presence(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
+    """The same for points of which each place has one."""
     bin_of = lambda x: F.floor(x / float(width)).cast("long")
     proper = intervals.filter(F.col(end) > F.col(start))
     steps = proper.select(F.explode(F.array(F.struct(F.col(start).cast("double").alias("x"), F.lit(1).alias("d")), F.struct(F.col(end).cast("double").alias("x"), F.lit(-1).alias("d")))).alias("s"))

@@ -158,6 +158,21 @@ def test_trees_by_walking(spark, seed):
     assert all(r["contained"] == inside(r["upper"], r["lower"]) for r in tree.contains(toured, pairs).collect())
 
 
+@pytest.mark.parametrize("salts", [1, 5])
+def test_range_join_by_pairs(spark, salts):
+    rng = random.Random(salts)
+    spans = [(i, rng.choice([None, float(rng.randrange(40))]), rng.choice([None, float(rng.randrange(60))])) for i in range(50)]
+    points = [(i, rng.choice([None, rng.randrange(60) / 2, 7.0])) for i in range(200)]
+    left, right = spark.createDataFrame(points, "p long, x double"), spark.createDataFrame(spans, "s long, a double, b double")
+    want = sorted((p, s) for p, x in points for s, a, b in spans if None not in (x, a, b) and a <= x < b)
+    assert sorted((r["p"], r["s"]) for r in intervals.range_join(left, right, "x", "a", "b", 8, salts=salts).collect()) == want
+    alone = {p for p, _ in points} - {p for p, _ in want}
+    outer = intervals.range_join(left, right, "x", "a", "b", 8, "left", salts)
+    assert outer.columns == ["p", "x", "s", "a", "b"] and {r["p"] for r in outer.filter("s IS NULL").collect()} == alone
+    counts = {p: sum(q == p for q, _ in want) for p, _ in points}
+    assert {r["p"]: r["n_present"] for r in intervals.presence(left, right, "x", "a", "b", 8).collect()} == counts
+
+
 def test_presence_counts(spark):
     spans = [(0.0, 5.0), (2.0, 2.0), (3.0, 40.0), (None, 4.0), (-7.5, 0.5), (100.0, 101.0)]
     points = [-9.0, -7.5, 0.0, 0.5, 3.0, 5.0, 39.9, 40.0, 250.0]
