@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -177,7 +178,12 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, terms: Terms = ID
     found = rows.mapInArrow(batches(read), "doc_id long, toxic int, words string, places array<string>").collect()
     counts = Counter(p for r in found for p in r["places"])
     known = {p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:PLACES]}
-    texts = sorted((str(r["doc_id"]), set(r["words"].split()), r["toxic"]) for r in found)
+    # One object for each different word, and no row longer than it is needed: the driver holds thousands of texts' words.
+    texts = []
+    while found:
+        r = found.pop()
+        texts.append((str(r["doc_id"]), set(map(sys.intern, r["words"].split())), r["toxic"]))
+    texts.sort()
     return texts, joined(rows, terms, known) if known else terms
 
 
