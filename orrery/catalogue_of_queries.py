@@ -15,7 +15,7 @@ from .functions import geometry, noise, sheet, style, text
 from .functions import timeline as tl
 from .laws import catalogue as laws
 from .laws import extensions, flash, impact, panels  # noqa: F401  their laws join the catalogue
-from .laws.terms import ARGUMENTS, with_arguments
+from .laws.terms import ARGUMENTS
 from .operators import catalog, determinism, envelopes, intervals, merkle, mutations, outcome, plain, projection, protocol, schema, tree
 from .sources import builders, event_log, tables
 from .streaming import authority, lease, sessions
@@ -1206,14 +1206,64 @@ BY_HAND = {
         "opacity": "CASE WHEN frame / fps * 1000 >= 743 AND frame / fps * 1000 < 1486 THEN 1 ELSE 0 END", "frame_x": "-180 + (-60 + 120 * least(1, greatest(0, (frame / fps * 1000 - 743) / 743)))", "contrast": "1.2", "saturate": "1.3",
     },
 }
+_half, _fade = "floor(fps * 0.5 + 0.5)", "least(1.0, greatest(0.0, (frame - (duration - floor(fps * 0.5 + 0.5))) / floor(fps * 0.5 + 0.5)))"
+_open = "(1 - power(1 - least(1.0, greatest(0.0, frame / entrance)), 2))"
+_ms = lambda x: f"floor({x} / 1000.0 * fps + 0.5)"
+_hits = [f"(frame - {_ms(h)})" for h in (0, 150, 300, 450, 600)]
+_shake = lambda f, turn, far, step: " + ".join(f"CASE WHEN {e} >= 0 AND {e} < {_ms(100)} THEN {f}(({e} + {k * step}) * {turn}) * {far} * (1 - {e} / {_ms(100)}) ELSE 0 END" for k, e in enumerate(_hits))
+_pop = "floor(fps * 0.3 + 0.5)"
+BY_HAND |= {
+    "archival-dossier.carbon-copy-cadence": {"opacity": _passed(0, 2), "letter_spacing": f"2.8 - 2.1 * {_passed(0, 8)}", "blur": f"1.6 - 1.6 * {_passed(0, 8)}"},
+    "signal-editorial.scene-reveal": {"opacity": _out3(_passed(8, 6)), "scale_x": f"1.04 - 0.04 * {_out3(_passed(8, 6))}", "x": f"34 - 34 * {_out3(_passed(8, 6))}", "brightness": f"1.85 - 0.85 * {_out3(_passed(8, 6))}"},
+    "blue-terminal.scanline-cadence/pixel-crt": {"opacity": "0.04 + sin(frame * 0.2) * 0.01"},
+    "blue-terminal.text-cadence/soft-speaker": {"visible": "least(length(text), floor(greatest(0, frame - 4) / fps * 22))"},
+    "blue-terminal.text-cadence/pixel-crt": {"visible": "floor(length(text) * least(1.0, greatest(0.0, frame / floor(fps * 1.8 + 0.5))))"},
+    "blue-terminal.cursor-cadence/bevel-status": {"present": "CASE WHEN floor(greatest(0, frame) / fps * 28) < length(text) THEN 1 ELSE 0 END", "opacity": "0"},
+    "blue-terminal.indicator-cadence/tagged-status": {"present": "CASE WHEN floor(greatest(0, frame) * 1.7) >= length(text) THEN 1 ELSE 0 END"},
+    "blue-terminal.message-cadence": {"opacity": _passed(8, 3), "letter_spacing": f"1.6 - 1.6 * {_out3(_passed(10, 14))}"},
+    "turbulent-emulsion.flicker/soft-grain": {"opacity": "0.0325 + sin(frame * 0.2) * 0.0075"},
+    "turbulent-emulsion.flicker/cue-2": {"present": "CASE WHEN frame >= 34 THEN 1 ELSE 0 END"},
+    "turbulent-emulsion.drift/film-grain": {"fine_seed": "(frame * 7 + 3) % 9973", "dust_seed": "(((frame * 7 + 3) % 9973) * 3 + 17) % 9973"},
+    "turbulent-emulsion.drift/soft-grain": {"seed": "frame % 991 + 1"},
+    "outlined-word-card.word-cue-state": {"present": "CASE WHEN frame >= appear_frame AND frame < disappear_frame THEN 1 ELSE 0 END"},
+    "media-montage.image-strobe-cuts": {"index": f"floor(frame / greatest(1, {_ms('strobe_ms')})) % sources"},
+    "media-montage.flash-cut-motion/hard": {"scale": "CASE WHEN frame = 0 THEN scale_from ELSE scale_to END"},
+    "media-montage.vignette-release": {"inner": f"0.06 + 0.56 * {_open}", "edge_opacity": f"0.92 - 0.92 * {_open}", "opacity": f"CASE WHEN 0.92 - 0.92 * {_open} > 0.001 THEN 1 ELSE 0 END"},
+    "media-montage.first-clip-grade-reveal": {"saturate": f"0.35 + 0.65 * {_open}", "contrast": f"1.55 - 0.55 * {_open}"},
+    "photo-glitch.panel-ken-burns/0": {"scale": "1 + 0.18 * least(1.0, frame / duration)", "x": "-12 * least(1.0, frame / duration)", "y": "-18 * least(1.0, frame / duration)"},
+    "photo-glitch.beat-photo-cadence": {"beat": "floor(frame / 22.3)", "variant": "floor(frame / 22.3) % 4", "source": "floor(frame / 22.3) % sources", "opacity": "1"},
+    "photo-glitch.masked-panel-reveal/1": {"opacity": _passed(10, 4)},
+    "photo-glitch.perspective-card-drop/2": {"opacity": _passed(30, 6)},
+    "kinetic-intertitles.impact-letter-cadence/scanline-row": {"opacity": f"1 - {_fade}", "brightness": "1 + 0.05 * sin(frame * pi() * 16 / fps)"},
+    "kinetic-intertitles.impact-scanline-sweep": {"y": f"-12 + 120 * {_passed('(letters * 5 + 12)', 22)}", "present": "CASE WHEN frame > letters * 5 + 12 THEN 1 ELSE 0 END"},
+    "kinetic-intertitles.progress-trace": {"y": "64 + 80 * least(1.0, greatest(0.0, (frame - (floor(fps * 0.6 + 0.5) + floor(fps * 0.06 + 0.5) + floor(fps * 0.38 + 0.5))) / floor(fps * 0.65 + 0.5)))"},
+    "kinetic-intertitles.shimmer-sweep": {"x": "-280 + 560 * least(1.0, greatest(0.0, (frame - (floor(fps * 0.6 + 0.5) + floor(fps * 0.08 + 0.5))) / floor(fps * 1.05 + 0.5)))"},
+    "kinetic-intertitles.split-word-cadence/shimmer": {"opacity": f"{_out3('least(1.0, frame / floor(fps * 0.6 + 0.5))')} * (1 - power({_fade}, 3))"},
+    "neon-heart-pop.orbit-heart-burst": {"rotate_y": "frame / fps * 360"},
+    "neon-heart-pop.spinning-heart-burst": {"rotate_y": "frame / fps * 360"},
+    "neon-heart-pop.orbit-particle-cadence": {"x": "cos(frame / fps * 4 * pi() + pi() / 2) * 140", "y": "sin(frame / fps * 4 * pi() + pi() / 2) * 140"},
+    "neon-heart-pop.heart-constellation-twinkle": {"opacity": "0.2 + 0.8 * (sin((frame + 7) / fps * pi() * 2) + 1) / 2"},
+    "neon-heart-pop.orbit-caption-reveal": {"opacity": f"CASE WHEN frame / fps * 1000 >= 350 THEN least(1.0, greatest(0.0, (frame - {_ms(350)}) / ({_ms(550)} - {_ms(350)}))) ELSE 0 END"},
+    "neon-heart-pop.five-hit-camera-shake": {"x": _shake("sin", 5.7, 34, 13), "y": _shake("cos", 6.3, 34, 7), "rotate": _shake("sin", 7.1, 1.4, 5)},
+    "neon-heart-pop.five-hit-exposure-burst": {"opacity": "greatest(0, " + ", ".join(f"CASE WHEN {e} < 0 THEN 0 WHEN {e} <= 1 THEN 0.85 + 0.05 * {e} WHEN {e} <= 5 THEN 0.9 * (1 - ({e} - 1) / 4) ELSE 0 END" for e in _hits) + ")"},
+    "neon-heart-pop.five-hit-photo-slam/2": {"present": f"CASE WHEN frame >= {_ms(300)} THEN 1 ELSE 0 END"},
+    "neon-heart-pop.dual-line-glitch-cadence/rule": {"opacity": f"least(1.0, greatest(0.0, (frame - {_ms(250)}) / {_ms(150)}))"},
+    "neon-heart-pop.split-nameplate-cadence/label-stage": {"opacity": f"0.7 * least(1.0, greatest(0.0, (frame - {_ms(400)}) / ({_ms(500)} - {_ms(400)})))"},
+    "neon-heart-pop.chroma-stack-pop": {"scale": f"CASE WHEN frame <= {_pop} * 0.6 THEN 1.08 * {_out3(f'(frame / ({_pop} * 0.6))')} ELSE 1.08 - 0.08 * {_out3(f'((least(frame, {_pop}) - {_pop} * 0.6) / ({_pop} * 0.4))')} END"},
+    "neon-heart-pop.chroma-pop-settle": {"opacity": _passed(0, 3), "blur": f"3 - 3 * {_passed(0, 8)}", "x": "CASE WHEN frame > 18 THEN sin(floor((frame - 18) / 2) * 1.7) * 1.5 ELSE 0 END"},
+    "fight-zine.title-cadence/grid": {"opacity": f"0.05 * {_passed(0, 8)}"},
+    "fight-zine.chart-cadence/plot": {"opacity": _passed(0, 10), "x": "sin(frame * 0.5) * 1.2", "y": "cos(frame * 0.43) * 1.2"},
+    "fight-zine.ranking-table-cadence/score-1": {"score": f"floor(101 + 5 * {_out3(_passed(26, 10))} + 0.5)"},
+    "fight-zine.marker-scrawl-trace/title-border": {"trace": _passed(2, 26), "bucket": "floor(frame / 2)"},
+    "sculptural-3d.heart-pulse-orbit/slow-pulse": {"y": "sin(frame * 0.034) * 15", "turn": "frame * 0.0065", "orbit_frame": "frame"},
+}
 _hand = {f"{law}.{channel}".replace("-", "_").replace("/", "_").replace(".", "__"): (law, channel, sql) for law, channels in BY_HAND.items() for channel, sql in channels.items()}
 
 
 @query(f"""
     SELECT event_id, {", ".join(f"floor(({sql}) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS {name}" for name, (_, _, sql) in _hand.items())}
-    FROM (SELECT event_id, frame, [{", ".join(f"{r!r}::DOUBLE" for r in RATES)}][event_id % {len(RATES)} + 1] AS fps, (60.0 + event_id % 5 * 60)::DOUBLE AS duration FROM {FRAMES})""")
+    FROM (SELECT event_id, frame, [{", ".join(f"{r!r}::DOUBLE" for r in RATES)}][event_id % {len(RATES)} + 1] AS fps, (60.0 + event_id % 5 * 60)::DOUBLE AS duration, {GIVEN_SQL} FROM {FRAMES})""")
 def laws_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.element_at(F.array(*map(F.lit, RATES)), (F.col("event_id") % len(RATES) + 1).cast("int"))
-    rows = events(spark, sf_dir).select("event_id", "frame", rate.alias("fps"), (60.0 + F.col("event_id") % 5 * 60).alias("duration"))
-    rows = with_arguments(rows)
+    rows = given(events(spark, sf_dir)).select("event_id", "frame", rate.alias("fps"), (60.0 + F.col("event_id") % 5 * 60).alias("duration"), *GIVEN)
     return rows.select("event_id", *((F.floor(laws.LAWS[law]()[channel].col * 1e6 + 0.5) / 1e6).alias(name) for name, (law, channel, _) in _hand.items()))
