@@ -11,6 +11,8 @@ deep.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,17 @@ def levels(text: Column) -> Column:
     return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: expressions inside lambdas are computed again for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kind_of(value: Column) -> Column:
     """null, boolean, string, number, array, object, or other (binary, times), which is no plain data."""
-    name = F.schema_of_variant(value)
+    return bound(F.schema_of_variant(value), lambda name: _kind(value, name))
+
+
+def _kind(value: Column, name: Column) -> Column:
     number = name.startswith(NUMBERS[0])
     for n in NUMBERS[1:]:
         number = number | name.startswith(n)
@@ -66,10 +76,18 @@ def scalar(value: Column, kind: Column) -> Column:
 
 def tokens(value: Column, depth: int) -> Column:
     """What a value feeds into a hash: array<string>, as functions.noise.record_tokens does for typed records."""
-    kind = kind_of(value)
+    return bound(opened(value), lambda o: _tokens(o["value"], o["kind"], o["held"], o["listed"], depth))
+
+
+def opened(value: Column) -> Column:
+    """A value with its kind, and its members or items if it has any."""
+    parts = lambda kind: F.struct(value.alias("value"), kind.alias("kind"), F.when(kind == "object", members(value)).alias("held"), F.when(kind == "array", items(value)).alias("listed"))
+    return bound(kind_of(value), parts)
+
+
+def _tokens(value: Column, kind: Column, held: Column, listed: Column, depth: int) -> Column:
     if depth <= 0:
         return scalar(value, kind)
-    held, listed = members(value), items(value)
     fields = F.flatten(F.transform(in_order(F.map_keys(held)), lambda k: F.concat(F.array(k), tokens(F.element_at(held, k), depth - 1))))
     parts = F.flatten(F.transform(listed, lambda x: F.concat(F.array(F.lit("item")), tokens(x, depth - 1))))
     size = lambda c: F.size(c).cast("string")
