@@ -435,7 +435,7 @@ def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subtree_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all customers below each node of the tree have, in cents."""
     cents = tables.read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
-    return tree.subtree_sums(tree.toured(nodes(spark, sf_dir).join(cents, "node_id", "left")), "cents")
+    return tree.subtree_sums(tree.toured(nodes(spark, sf_dir).join(cents.hint("merge"), "node_id", "left")), "cents")
 
 
 VERSION_SQL = """SELECT node_id, parent_id, CASE WHEN node_id LIKE 'c%7' OR node_id = 'n4' THEN coalesce(backend, '') || '!' ELSE backend END AS backend FROM n WHERE node_id NOT LIKE 'c%13' AND node_id <> 'n6' AND coalesce(parent_id, '') <> 'n6'

@@ -1,8 +1,8 @@
 """Ordered trees held as rows (node_id, parent_id, ord, ...).
 
-What a node takes from the line above it is folded by lines that double in length (`lift`), and subtrees are
-ranges of pre-order numbers, which ranking a tour by doubling jumps gives (`toured`): a logarithm of steps,
-each an equi-join whose rows are kept before the next. Only `descend`, which carries what isn't associative, and
+What a node takes from the line above it is folded by lines that double in length (`lift`), what it takes from below is
+summed by jumps that do (`sized`), and subtrees are ranges of pre-order numbers, which both give (`toured`): as many steps
+as the logarithm of the depth, each of equi-joins whose rows are kept before the next. Only `descend`, which carries what isn't associative, and
 paths, goes level by level.
 """
 
@@ -50,6 +50,26 @@ def skewed(nodes: DataFrame) -> bool:
     return (most or 0) >= MANY_CHILDREN
 
 
+#: Rows that a side of a join may have for it to be sent to all tasks: some MB.
+FEW = 50_000
+
+
+def matched(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", few: bool = False) -> DataFrame:
+    """A join that sends the right side to all tasks if its rows are known to be few, and never by a guess of Spark's:
+    sizes of files say little about rows whose keys are made from them."""
+    return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
+
+
+def inner_or_parent() -> Column:
+    """The node whose sums give a node's place: itself where it has children, and else its parent."""
+    return F.when(F.col("__kids").isNotNull(), F.col("node_id")).otherwise(F.col("parent_id"))
+
+
+def spread(going: Column) -> Column:
+    """0 for a row that looks for another, and else a number of many, so that rows that look for none share no task."""
+    return F.when(going, 0).otherwise(1 + F.pmod(F.hash("node_id"), F.lit(4096)))
+
+
 def asked(step: int) -> bool:
     """Whether to look if a loop of doubling steps is done: often at first, since most trees are shallow."""
     return step < 4 or step % 4 == 0
@@ -68,16 +88,18 @@ def lift(nodes: DataFrame, folds: dict[str, Fold]) -> DataFrame:
 def lines(nodes: DataFrame, folds: dict[str, Fold]) -> DataFrame:
     """What `lift` is made of, with the nodes on cycles and below them too: for these `up` stays."""
     hot, names = skewed(nodes), list(folds)
-    ids = nodes.select(F.col("node_id").alias("__id"))
+    ids = nodes.select(F.col("node_id").alias("__id"), F.lit(0).alias("__spread"))
     rows = nodes.withColumns({"up": F.col("parent_id"), "height": F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long"), "root_id": F.col("node_id"), **{n: own for n, (own, _) in folds.items()}})
     # An orphan's line has no upper end, and never gets one.
-    rows = tables.kept(rows.join(ids, F.col("up") == F.col("__id"), "left").withColumn("steps", F.when(F.col("up").isNotNull() & F.col("__id").isNull(), -1).otherwise(0)).drop("__id"), hot)
+    rows = tables.kept(matched(rows, ids, (F.col("up") == F.col("__id")) & (spread(F.col("up").isNotNull()) == F.col("__spread")), "left").withColumn("steps", F.when(F.col("up").isNotNull() & F.col("__id").isNull(), -1).otherwise(0)).drop("__id", "__spread"), hot)
     count = rows.count()
+    few = count <= FEW
     for step in range(max(1, count).bit_length()):
         if asked(step) and rows.filter(F.col("up").isNotNull() & (F.col("steps") >= 0)).isEmpty():
             break
-        above = rows.select(F.col("node_id").alias("__id"), F.col("up").alias("__up"), F.col("height").alias("__height"), F.col("root_id").alias("__root"), F.col("steps").alias("__steps"), *(F.col(n).alias(f"__{n}") for n in names))
-        joined = rows.join(above, F.col("up") == F.col("__id"), "left")
+        above = rows.select(F.col("node_id").alias("__id"), F.lit(0).alias("__spread"), F.col("up").alias("__up"), F.col("height").alias("__height"), F.col("root_id").alias("__root"), F.col("steps").alias("__steps"), *(F.col(n).alias(f"__{n}") for n in names))
+        going = F.col("up").isNotNull() & (F.col("steps") >= 0)
+        joined = matched(rows, above, (F.col("up") == F.col("__id")) & (spread(going) == F.col("__spread")), "left", few)
         met = F.col("__id").isNotNull()
         longer = {n: F.when(met, combine(F.col(f"__{n}"), F.col(n))).otherwise(F.col(n)) for n, (_, combine) in folds.items()}
         rows = joined.withColumns(
@@ -89,7 +111,7 @@ def lines(nodes: DataFrame, folds: dict[str, Fold]) -> DataFrame:
                 **longer,
             }
         )
-        rows = tables.kept(rows.drop("__id", "__up", "__height", "__root", "__steps", *(f"__{n}" for n in names)), hot)
+        rows = tables.kept(rows.drop("__id", "__spread", "__up", "__height", "__root", "__steps", *(f"__{n}" for n in names)), hot)
     return rows
 
 
@@ -115,57 +137,68 @@ def local_frames(nodes: DataFrame, start: Column, frame: Column) -> DataFrame:
     return out.withColumn("local_frame", frame.cast("double") - (F.col("shift") - own)).drop("shift")
 
 
+def sized(nodes: DataFrame) -> DataFrame:
+    """nodes with size: how many nodes a node's subtree has, itself included; and __kids, null for a leaf.
+
+    Only nodes with children take part in the steps: a node's sum goes to its ancestor, twice as far up at each step, so
+    that the number of steps is the logarithm of the depth. Nodes that no root leads to are left out.
+    """
+    kids = nodes.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("__id")).agg(F.count(F.lit(1)).alias("__kids"))
+    rows = tables.kept(matched(nodes, kids, F.col("node_id") == F.col("__id"), "left").drop("__id"))
+    # A subtree's nodes, less its top, are the children of its nodes.
+    inner = rows.filter("__kids IS NOT NULL").select("node_id", F.col("parent_id").alias("up"), F.col("__kids").alias("below"), F.lit(False).alias("lost"))
+    count = inner.count()
+    few, hot = count <= FEW, skewed(inner.withColumnRenamed("up", "parent_id"))
+    inner = inner.coalesce(1) if few else inner
+    for step in range(max(1, count).bit_length()):
+        going = inner.filter("up IS NOT NULL")
+        if asked(step) and going.isEmpty():
+            break
+        above = inner.select(F.col("node_id").alias("__id"), F.col("up").alias("__up"), F.col("lost").alias("__lost"), F.lit(0).alias("__spread"))
+        ahead = matched(inner, above, (F.col("up") == F.col("__id")) & (spread(F.col("up").isNotNull()) == F.col("__spread")), "left", few)
+        # What hangs on a node that isn't there is lost.
+        lost = F.when(F.col("up").isNotNull(), F.coalesce("__lost", F.lit(True))).otherwise(F.col("lost"))
+        ahead = ahead.select("node_id", F.col("__up").alias("up"), "below", lost.alias("lost"))
+        sums = going.groupBy(F.col("up").alias("__id")).agg(F.sum("below").alias("__below"))
+        summed = matched(ahead, sums, F.col("node_id") == F.col("__id"), "left", few).select("node_id", "up", (F.col("below") + F.coalesce("__below", F.lit(0))).alias("below"), "lost")
+        inner = tables.kept(summed.coalesce(1) if few else summed, hot)
+    reached = inner.filter("up IS NULL AND NOT lost").select(F.col("node_id").alias("__id"), (F.col("below") + 1).alias("__size"))
+    tops = rows.filter("__kids IS NULL AND parent_id IS NULL").withColumn("size", F.lit(1).cast("long"))
+    # A leaf is reached if its parent is.
+    others = matched(rows.filter("__kids IS NOT NULL OR parent_id IS NOT NULL"), reached, inner_or_parent() == F.col("__id"), "inner", few)
+    return others.select(*rows.columns, F.when(F.col("__kids").isNotNull(), F.col("__size")).otherwise(1).cast("long").alias("size")).unionByName(tops)
+
+
 def toured(nodes: DataFrame) -> DataFrame:
     """nodes with entry, exit and size: a node's subtree are the nodes whose entry is in entry..exit.
 
-    Entries number the nodes in pre-order, children by ord, and roots by ord. The tour enters and leaves every node,
-    and its 2 n places are ranked by jumping ahead, twice as far at each step: so the number of steps is the
-    logarithm of the number of nodes, whatever the depth. Nodes that no root leads to are left out.
+    Entries number the nodes in pre-order, children by ord, and roots by ord: a node's entry is the sum, down the line to
+    it, of what comes before each node among its siblings. Nodes that no root leads to are left out.
     """
     siblings = Window.partitionBy("parent_id").orderBy("ord", "node_id")
-    own = nodes.select("node_id", "parent_id", F.lead("node_id").over(siblings).alias("next"), (F.row_number().over(siblings) == 1).alias("first"))
-    first = own.filter("first AND parent_id IS NOT NULL").select(F.col("parent_id").alias("__id"), F.col("node_id").alias("child"))
-    there = nodes.select(F.col("node_id").alias("__parent"))
-    own = own.join(first, F.col("node_id") == F.col("__id"), "left").join(there, F.col("parent_id") == F.col("__parent"), "left")
-    # Side 0 enters a node, side 1 leaves it.
-    to = lambda node, side: F.struct(node.alias("node"), F.lit(side).alias("side"))
-    enter = F.when(F.col("child").isNotNull(), to(F.col("child"), 0)).otherwise(to(F.col("node_id"), 1))
-    leave = F.when(F.col("next").isNotNull(), to(F.col("next"), 0)).when(F.col("__parent").isNotNull(), to(F.col("parent_id"), 1))
-    place = lambda side, ahead: F.struct(F.lit(side).alias("side"), ahead.alias("to"))
-    # The tour of an orphan's subtree ends too, but not where that of the roots does.
-    places = own.select(F.col("node_id").alias("node"), (F.col("parent_id").isNotNull() & F.col("next").isNull() & F.col("__parent").isNull()).alias("lost"), F.explode(F.array(place(0, enter), place(1, leave))).alias("p"))
-    # `left` counts the places that follow, and `enters` the entries among them.
-    places = places.select(
-        "node", "p.side", F.col("p.to.node").alias("to_node"), F.col("p.to.side").alias("to_side"), (F.col("lost") & (F.col("p.side") == 1)).alias("lost"),
-        F.when(F.col("p.to").isNotNull(), 1).otherwise(0).cast("long").alias("left"), F.when(F.col("p.to.side") == 0, 1).otherwise(0).cast("long").alias("enters"),
-    )
-    places = tables.kept(places, False)
-    for step in range(max(1, places.count()).bit_length()):
-        if asked(step) and places.filter("to_node IS NOT NULL").isEmpty():
-            break
-        ahead = places.select(*(F.col(c).alias(f"__{c}") for c in places.columns))
-        joined = places.join(ahead, (F.col("to_node") == F.col("__node")) & (F.col("to_side") == F.col("__side")), "left")
-        add = lambda c: (F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c)
-        # A place is ahead of one other at most, so no key of this join is hot.
-        places = tables.kept(joined.select("node", "side", F.col("__to_node").alias("to_node"), F.col("__to_side").alias("to_side"), (F.col("lost") | F.coalesce("__lost", F.lit(False))).alias("lost"), add("left"), add("enters")), False)
-    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    ranks = places.filter("to_node IS NULL AND NOT lost").groupBy("node").agg(at(0, "left").alias("a"), at(1, "left").alias("b"), at(0, "enters").alias("after"))
-    total = ranks.agg(F.count(F.lit(1)).alias("__total"))
-    ranks = ranks.join(F.broadcast(total)).select(F.col("node").alias("__id"), ((F.col("a") - F.col("b") + 1) / 2).cast("long").alias("size"), (F.col("__total") - 1 - F.col("after")).alias("entry"))
-    out = nodes.join(ranks, F.col("node_id") == F.col("__id")).drop("__id")
+    before = F.coalesce(F.sum("size").over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = tables.kept(sized(nodes).withColumn("__before", before + F.when(F.col("parent_id").isNull(), 0).otherwise(1)))
+    inner = rows.filter("__kids IS NOT NULL").select("node_id", "parent_id", "__before")
+    few = inner.count() <= FEW
+    entries = lines(inner.coalesce(1) if few else inner, {"entry": (F.col("__before"), lambda upper, lower: upper + lower)}).select(F.col("node_id").alias("__id"), F.col("entry").alias("__entry"))
+    entries = tables.kept(entries.coalesce(1)) if few else entries
+    tops = rows.filter("__kids IS NULL AND parent_id IS NULL").withColumn("entry", F.col("__before"))
+    others = matched(rows.filter("__kids IS NOT NULL OR parent_id IS NOT NULL"), entries, inner_or_parent() == F.col("__id"), "inner", few)
+    others = others.withColumn("entry", F.col("__entry") + F.when(F.col("__kids").isNull(), F.col("__before")).otherwise(0))
+    out = others.drop("__id", "__entry").unionByName(tops).drop("__kids", "__before")
     return out.withColumn("exit", F.col("entry") + F.col("size") - 1)
 
 
 def contains(toured_nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (upper, lower) with contained: whether lower is upper or below it."""
     place = lambda end: toured_nodes.select(F.col("node_id").alias(end), F.col("entry").alias(f"__{end}"), F.col("exit").alias(f"__{end}_exit"))
-    both = pairs.join(place("upper"), "upper", "left").join(place("lower"), "lower", "left")
+    both = pairs.join(place("upper").hint("merge"), "upper", "left").join(place("lower").hint("merge"), "lower", "left")
     return both.select(*pairs.columns, F.coalesce(F.col("__lower").between(F.col("__upper"), F.col("__upper_exit")), F.lit(False)).alias("contained"))
 
 
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
     """node_id and size: how many nodes its subtree has, itself included."""
-    return toured(nodes).select("node_id", "size")
+    return sized(nodes.select("node_id", "parent_id")).select("node_id", "size")
 
 
 def subtree_sums(toured_nodes: DataFrame, value: str) -> DataFrame:
@@ -177,9 +210,9 @@ def subtree_sums(toured_nodes: DataFrame, value: str) -> DataFrame:
     ranges = rows.groupBy("range").agg(F.sum("v").alias("s"))
     ranges = ranges.select("range", (F.sum("s").over(Window.orderBy("range")) - F.col("s")).alias("base"))
     inside = F.sum("v").over(Window.partitionBy("range").orderBy("entry"))
-    run = tables.kept(rows.withColumn("inside", inside).join(ranges, "range").select("node_id", "entry", "exit", "v", (F.col("inside") + F.col("base")).alias("upto")))
+    run = tables.kept(rows.withColumn("inside", inside).join(ranges.hint("merge"), "range").select("node_id", "entry", "exit", "v", (F.col("inside") + F.col("base")).alias("upto")))
     ends = run.select(F.col("entry").alias("__exit"), F.col("upto").alias("__upto"))
-    return run.join(ends, F.col("exit") == F.col("__exit")).select("node_id", (F.col("__upto") - F.col("upto") + F.col("v")).alias("total"))
+    return matched(run, ends, F.col("exit") == F.col("__exit")).select("node_id", (F.col("__upto") - F.col("upto") + F.col("v")).alias("total"))
 
 
 def violations(nodes: DataFrame) -> DataFrame:

@@ -124,6 +124,21 @@ def test_very_deep_trees(spark):
     spark.sparkContext.setJobGroup("rest", "rest")
 
 
+def test_wide_trees_are_not_sent_about(spark):
+    """A wide tree takes as many steps as its depth asks for, and no table of the tree's size goes to all tasks by a guess."""
+    n = 5000
+    wide = spark.range(n).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.when(F.col("id") < 20, 0).otherwise(F.col("id") % 19 + 1)).cast("long").alias("parent_id"), F.col("id").alias("ord"), F.lit(1).alias("v"))
+    track = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("wide", "wide")
+    sizes = tree.subtree_sizes(wide)
+    assert {r["node_id"]: r["size"] for r in sizes.filter("node_id < 20").collect()} == {0: n} | {i: 1 + sum(j % 19 + 1 == i for j in range(20, n)) for i in range(1, 20)}
+    assert len(track.getJobIdsForGroup("wide")) < 25
+    spark.sparkContext.setJobGroup("rest", "rest")
+    sums = tree.subtree_sums(tree.toured(wide), "v")
+    assert "Broadcast" not in sums._jdf.queryExecution().executedPlan().toString()
+    assert sums.join(sizes, "node_id").filter("total <> size").isEmpty() and sums.count() == n
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_trees_by_walking(spark, seed):
     """Random forests with orphans and cycles: what a walk finds."""
