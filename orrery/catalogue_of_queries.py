@@ -692,7 +692,7 @@ def lanes_sql() -> str:
     SELECT event_id, {lanes_sql()} AS digest FROM c""")
 def token_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read(spark, sf_dir, "events")
-    return rows.select("event_id", noise.token_hash(F.array("event_type", F.col("user_id").cast("string"), "props")).alias("digest"))
+    return rows.select("event_id", noise.batch_hash(F.array("event_type", F.col("user_id").cast("string"), "props")).alias("digest"))
 
 
 @query("""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import tables
 from .timeline import col
 
 M32 = 0xFFFFFFFF
@@ -56,6 +60,8 @@ def mulberry(seed: Column, index: Column) -> Column:
 #: Starting states and multipliers of the four lanes, and the code that ends a token. Fixed values.
 LANES = ((0x811C9DC5, 0x01000193), (0x9E3779B9, 0x27D4EB2F), (0x85EBCA6B, 0x165667B1), (0xC2B2AE35, 0x85EBCA77))
 END = 0x10FFFF
+#: As few lists as this are faster one by one.
+ALONE = 8
 
 
 def utf16_units(text: Column) -> Column:
@@ -71,17 +77,74 @@ def token_codes(text: Column) -> Column:
 
 
 def token_hash(tokens: Column) -> Column:
-    """32 hexadecimal digits for an array of strings: four lanes of multiply and shift."""
-    codes = F.flatten(F.transform(tokens, token_codes))
+    """32 hexadecimal digits for an array of strings: four lanes of multiply and shift. For whole tables see `batch_hash`."""
 
-    def lane(start: int, prime: int) -> Column:
+    def lane(codes: Column, start: int, prime: int) -> Column:
         def mix(state: Column, code: Column) -> Column:
             x = multiply32(low32(state.bitwiseXOR(code)), prime)
             return x.bitwiseXOR(F.shiftrightunsigned(x, 16))
 
         return F.lpad(F.lower(F.hex(F.aggregate(codes, F.lit(start).cast("long"), mix))), 8, "0")
 
-    return F.concat(*(lane(s, p) for s, p in LANES))
+    # In a lambda, so that the lanes share one list of codes.
+    codes = F.array(F.flatten(F.transform(tokens, token_codes)))
+    return F.get(F.transform(codes, lambda c: F.concat(*(lane(c, s, p) for s, p in LANES))), F.lit(0))
+
+
+def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-16 code units of all texts in a row, and how many each has."""
+    units = np.frombuffer("".join(texts).encode("utf-16-le"), "<u2").astype(np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    if sizes.sum() != len(units):
+        sizes = np.fromiter((len(t.encode("utf-16-le")) // 2 for t in texts), np.int64, len(texts))
+    return units, sizes
+
+
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What tokens feed into the hash, their length, units and the end, and where each token's codes begin."""
+    units, sizes = units_of(texts)
+    starts = np.concatenate(([0], np.cumsum(sizes + 2)))
+    codes, inside = np.empty(starts[-1], np.uint32), np.ones(starts[-1], bool)
+    codes[starts[:-1]], codes[starts[1:] - 1] = sizes, END
+    inside[starts[:-1]] = inside[starts[1:] - 1] = False
+    codes[inside] = units
+    return codes, starts
+
+
+def hashes(tokens: pa.Array) -> pa.Array:
+    """Hashes of lists of tokens: a place of all lists at once, and those longer than nearly all others one by one."""
+    codes, starts = codes_of(tokens.flatten().fill_null("").to_pylist())
+    ends = np.concatenate(([0], np.cumsum(np.asarray(tokens.value_lengths().fill_null(0), np.int64))))
+    first, last = starts[ends[:-1]], starts[ends[1:]]
+    longest = np.argsort(first - last, kind="stable")
+    first, size = first[longest], (last - first)[longest]
+    state = np.repeat(np.array([[s] for s, _ in LANES], np.uint64), len(size), axis=1)
+    primes = np.array([[p] for _, p in LANES], np.uint64)
+    going, at = int(np.count_nonzero(size)), 0
+    while going > ALONE:
+        x = (state[:, :going] ^ codes[first[:going] + at]) * primes & np.uint64(M32)
+        state[:, :going] = x ^ x >> np.uint64(16)
+        at += 1
+        going -= int(np.searchsorted(size[:going][::-1], at, side="right"))
+    for row in range(going):
+        own = codes[first[row] + at : first[row] + size[row]].tolist()
+        for lane, (_, prime) in enumerate(LANES):
+            x = int(state[lane, row])
+            for code in own:
+                x = (x ^ code) * prime & M32
+                x ^= x >> 16
+            state[lane, row] = x
+    out = np.empty((len(size), len(LANES)), ">u4")
+    out[longest] = state.T
+    text = out.tobytes().hex()
+    digests = pa.array([text[i : i + 32] for i in range(0, len(text), 32)], pa.string())
+    return pc.if_else(tokens.is_valid(), digests, pa.scalar(None, pa.string())) if tokens.null_count else digests
+
+
+def batch_hash(tokens: Column) -> Column:
+    """The digits of `token_hash` for tokens that take no lambdas to make, many rows at once: over Arrow batches."""
+    tables.importable(SparkSession.active())
+    return F.arrow_udf(hashes, "string")(tokens)
 
 
 def number_key(x: Column) -> Column:

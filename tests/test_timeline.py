@@ -112,6 +112,15 @@ def test_token_hash(spark):
         assert value(spark, noise.token_hash(F.array(*map(F.lit, tokens)))) == token_hash(tokens)
 
 
+def test_token_hashes_of_many_lists_at_once(spark):
+    """Lists of all lengths, also none and null, in one batch, which Arrow carries."""
+    lists = [["é👍" * (i % 7), str(i)] * (i % 4) + ["x" * (i * i % 90)] * (i % 3) for i in range(200)] + [["y" * 3000], [], [""], None, [None]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, t array<string>").coalesce(1)
+    hashed = rows.select("i", noise.batch_hash(F.col("t")).alias("h"))
+    assert "ArrowEvalPython" in hashed._jdf.queryExecution().executedPlan().toString()
+    assert [r["h"] for r in hashed.orderBy("i").collect()] == [None if t is None else token_hash([x or "" for x in t]) for t in lists]
+
+
 def test_number_keys_tell_zeros_apart(spark):
     assert values(spark, [0.0, -0.0, 3, 2.5, math.nan, math.inf, -math.inf], noise.number_key) == ["0", "-0", "3", "2.5", "NaN", "+Infinity", "-Infinity"]
 
