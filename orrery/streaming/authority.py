@@ -13,14 +13,11 @@ clock, and state may be forgotten after a silence. State needs the RocksDB store
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from ..operators.outcome import COMPILED, NEGATIVE, RENDERED, SUCCESS
 from ..sources import tables
 from . import lease as rules
 
@@ -36,37 +33,38 @@ def store(spark: SparkSession) -> None:
     spark.conf.set(STORE, ROCKS)
 
 
-def rows_of(parts: Iterator[pd.DataFrame], *order: str) -> list[dict[str, Any]]:
-    found = [p for p in parts if len(p)]
-    if not found:
-        return []
-    rows = pd.concat(found).sort_values(list(order), kind="stable").to_dict("records")
-    return [{k: None if v is None or v != v else v for k, v in r.items()} for r in rows]
+def rows_of(rows: Iterator[Row], *order: str) -> list[Row]:
+    """A key's rows in order, nulls last."""
+    return sorted(rows, key=lambda r: tuple((r[c] is None, 0 if r[c] is None else r[c]) for c in order))
 
 
-def framed(rows: list[tuple], schema: str) -> Iterator[pd.DataFrame]:
-    if rows:
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+def framed(rows: list[tuple], schema: str) -> Iterator[Row]:
+    """Rows of a schema."""
+    made = Row(*(c.split()[0] for c in schema.split(", ")))
+    return (made(*r) for r in rows)
 
 
 class Timed(StatefulProcessor):
-    """One timer for each key."""
+    """One value and one timer for each key. The value says when the timer is due, and is read and written once for all
+    rows of a micro-batch, since each look at the state is a message to Spark and back."""
 
     handle: StatefulProcessorHandle
+    kept: str
 
     def __init__(self, lease: int, forget: int | None = None) -> None:
         self.lease, self.forget = lease, forget
 
-    def until(self, at: int | None) -> None:
-        """Moves the key's timer there, or takes it away."""
-        for t in list(self.handle.listTimers()):
-            if t != at:
-                self.handle.deleteTimer(t)
-        if at is not None:
-            self.handle.registerTimer(int(at))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.own = handle.getValueState("own", self.kept, self.forget)
 
-    def value(self, name: str, schema: str) -> Any:
-        return self.handle.getValueState(name, schema, self.forget)
+    def until(self, before: int | None, at: int | None) -> None:
+        """Moves the key's timer, or takes it away."""
+        if before != at:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if at is not None:
+                self.handle.registerTimer(at)
 
     def close(self) -> None:
         pass
@@ -76,18 +74,14 @@ class Monitor(Timed):
     """Statuses of heartbeats: `extended`; `timeout` if the answer came late or never; `expired` for a beat after the
     lease's end, and `lost` for all after either; and `lapsed` at the end of a lease that nothing extended."""
 
+    kept = "until long, lost boolean, lapsed boolean, due long"
+
     def __init__(self, lease: int, timeout: int, forget: int | None = None) -> None:
         super().__init__(lease, forget)
         self.timeout = timeout
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.end = self.value("end", "until long")
-        self.fate = self.value("fate", "lost boolean, lapsed boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        lost, lapsed = self.fate.get() if self.fate.exists() else (False, False)
-        end = self.end.get()[0] if self.end.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        end, lost, lapsed, due = self.own.get() or (None, False, False, None)
         out = []
         for r in rows_of(rows, "at", "answered_at"):
             at, answered = int(r["at"]), r["answered_at"]
@@ -104,43 +98,35 @@ class Monitor(Timed):
                 status, end = "extended", at + self.lease
             out.append((*key, at, status))
         if end is not None:
-            self.end.update((end,))
-            self.fate.update((lost, lapsed))
-            self.until(None if lost or lapsed else end)
+            later = None if lost or lapsed else end
+            self.until(due, later)
+            self.own.update((end, lost, lapsed, later))
         yield from framed(out, STATUSES)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        lost, lapsed = self.fate.get() if self.fate.exists() else (True, True)
-        if not lost and not lapsed:
-            self.fate.update((False, True))
-            yield from framed([(*key, self.end.get()[0], "lapsed")], STATUSES)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        end, lost, _, due = self.own.get() or (None, False, False, None)
+        # A timer of state that has been forgotten says nothing.
+        if due is not None and due == expiredTimerInfo.getExpiryTimeInMs():
+            self.own.update((end, lost, True, None))
+            yield from framed([(*key, end, "lapsed")], STATUSES)
 
 
 class Authority(Timed):
     """Answers to requests, by the rules of `lease.apply`; and `expired` when a lease runs out that was neither
     released nor used up."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # Each name of an event that counts, with its place; of a negative one the first stands.
-        self.seen = handle.getMapState("seen", "name string", "seq long", self.forget)
-        self.holder = self.value("holder", "fence long, token string, expires_at long")
-        self.memory = self.value("memory", "completed boolean, persisted string, invalidated boolean, retraction string")
-
-    def record(self) -> rules.Record:
-        names = sorted((place[0], name[0]) for name, place in self.seen.iterator())
-        negative = next((n for _, n in names if n in NEGATIVE), None)
-        out = rules.Record(negative=negative, seen=[n for _, n in names if n not in NEGATIVE])
-        if self.holder.exists():
-            out.fence, out.token, out.expires_at = self.holder.get()
-        if self.memory.exists():
-            out.completed, out.commit, out.invalidated, out.retraction = self.memory.get()
-        return out
-
-    def keep(self, record: rules.Record) -> None:
-        self.holder.update((record.fence, record.token, record.expires_at))
-        self.memory.update((record.completed, record.commit, record.invalidated, record.retraction))
-        self.until(record.expires_at if record.token else None)
+    kept = "negative string, seen string, fence long, token string, expires_at long, completed boolean, persisted string, invalidated boolean, retraction string, due long"
+
+    def record(self) -> tuple[rules.Record, int | None]:
+        """The key's record, and when its timer is due."""
+        found = self.own.get()
+        if found is None:
+            return rules.Record(), None
+        negative, seen, *rest, due = found
+        return rules.Record(negative, seen.split(",") if seen else [], *rest), due
+
+    def keep(self, r: rules.Record, due: int | None) -> None:
+        self.own.update((r.negative, ",".join(r.seen), r.fence, r.token, r.expires_at, r.completed, r.commit, r.invalidated, r.retraction, due))
 
     def over(self, record: rules.Record, key: tuple, now: int | None) -> list[tuple]:
         """The row that says that the lease has run out by now, which also takes it away."""
@@ -149,24 +135,25 @@ class Authority(Timed):
         token, record.token = record.token, None
         return [(key[0], record.expires_at, "timer", "expired", "", token, record.fence)]
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        record, out = self.record(), []
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        (record, due), out = self.record(), []
         for r in rows_of(rows, "at", "seq"):
+            request = r.asDict()
             out += self.over(record, key, int(r["at"]))
-            name = r["type"]
-            if r["request"] == "event" and name in (*NEGATIVE, *SUCCESS, COMPILED, RENDERED) and not self.seen.containsKey((name,)):
-                self.seen.updateValue((name,), (int(r["seq"]),))
-            a = rules.apply(record, key[0], r, self.lease)
+            a = rules.apply(record, key[0], request, self.lease)
             out.append((key[0], int(r["seq"]), r["request"], a["status"], a["reason"], a["token"], a["fence"]))
-        self.keep(record)
+        later = record.expires_at if record.token else None
+        self.until(due, later)
+        self.keep(record, later)
         yield from framed(out, ANSWERS)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        record = self.record()
-        out = self.over(record, key, expiredTimerInfo.getExpiryTimeInMs())
-        if out:
-            self.keep(record)
-        yield from framed(out, ANSWERS)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        record, due = self.record()
+        # A timer of state that has been forgotten says nothing.
+        if due is not None and due == expiredTimerInfo.getExpiryTimeInMs():
+            out = self.over(record, key, due)
+            self.keep(record, None)
+            yield from framed(out, ANSWERS)
 
 
 def run(rows: DataFrame, keys: list[str], processor: Timed, schema: str, late: str | None) -> DataFrame:
@@ -175,7 +162,7 @@ def run(rows: DataFrame, keys: list[str], processor: Timed, schema: str, late: s
     mode = "ProcessingTime" if late is None else "EventTime"
     if late is not None:
         rows = rows.withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", late)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", mode)
+    return rows.groupBy(*keys).transformWithState(processor, schema, "Append", mode)
 
 
 def monitor(beats: DataFrame, lease: int = rules.LEASE, timeout: int = rules.HEARTBEAT_TIMEOUT, late: str | None = "1 second", forget: int | None = None) -> DataFrame:

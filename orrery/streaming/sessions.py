@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -23,12 +22,12 @@ class Verifier(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.known = handle.getMapState("known", "address string", "fingerprint string, told boolean", self.forget)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out, seen = [], {}
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        out, seen, changed = [], {}, {}
         for r in rows_of(rows, "seq"):
             address = r["address"]
             if address not in seen:
-                seen[address] = self.known.getValue((address,)) if self.known.containsKey((address,)) else None
+                seen[address] = self.known.getValue((address,))
             before = seen[address]
             if before is None:
                 seen[address] = (r["fingerprint"], False)
@@ -37,7 +36,9 @@ class Verifier(StatefulProcessor):
                 seen[address] = (before[0], True)
             else:
                 continue
-            self.known.updateValue((address,), seen[address])
+            changed[address] = seen[address]
+        for address, now in changed.items():
+            self.known.updateValue((address,), now)
         yield from framed(out, DRIFTS)
 
     def close(self) -> None:
@@ -55,4 +56,4 @@ def drifts(evaluations: DataFrame, root: Column, address: Sequence[str], seq: st
     forget: milliseconds of silence after which an address may start anew."""
     store(evaluations.sparkSession)
     rows = evaluations.select(root.cast("string").alias("root"), F.to_json(F.struct(*address), {"ignoreNullFields": "false"}).alias("address"), F.col(seq).cast("long").alias("seq"), fingerprint(*output).alias("fingerprint"))
-    return rows.groupBy("root").transformWithStateInPandas(Verifier(forget), DRIFTS, "Append", "None" if forget is None else "ProcessingTime")
+    return rows.groupBy("root").transformWithState(Verifier(forget), DRIFTS, "Append", "None" if forget is None else "ProcessingTime")
