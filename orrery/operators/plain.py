@@ -22,14 +22,23 @@ NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
 def depth_of(rows: DataFrame, *columns: str) -> int:
-    """Levels of objects and arrays, at most, in these columns."""
-    found = rows.agg(*(F.max(levels(F.to_json(c))) for c in columns)).first()
-    return max((x or 0 for x in found), default=0)
+    """Levels of objects and arrays, at most, in these columns: of each nesting of brackets, found once."""
+    nestings = rows.select(F.explode(F.array(*(brackets(F.to_json(c)) for c in columns))).alias("b")).distinct()
+    return nestings.agg(F.max(nested(F.col("b")))).first()[0] or 0
+
+
+def brackets(text: Column) -> Column:
+    """The brackets of JSON text, those inside strings aside."""
+    return F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]+", "")
 
 
 def levels(text: Column) -> Column:
     """How deep brackets nest in JSON text, those inside strings aside."""
-    marks = F.split(F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", ""), "")
+    return nested(brackets(text))
+
+
+def nested(text: Column) -> Column:
+    marks = F.split(text, "")
     step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"))
     return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
 
@@ -105,30 +114,37 @@ def digest(value: Column, depth: int) -> Column:
     return F.sha2(F.array_join(F.transform(tokens(value, depth), lambda t: F.concat(F.octet_length(t).cast("string"), F.lit(":"), t)), "").cast("binary"), 256)
 
 
-def leaves(value: Column, depth: int, path: Column | None = None) -> Column:
+def leaves(value: Column, depth: int, path: Column | None = None, ordered: bool = True) -> Column:
     """array<struct<path, value>>: every scalar and every empty container of a value. Paths are `$`, `$.key` with a plain
-    key, `$["key"]` (as JSON text) with any other, and `$[0]`."""
-    path = F.lit("$") if path is None else path
-    kind = kind_of(value)
+    key, `$["key"]` (as JSON text) with any other, and `$[0]`.
+
+    ordered: whether keys are taken in order, which what looks leaves up by path doesn't need."""
+    at = F.struct(opened(value).alias("o"), (F.lit("$") if path is None else path).alias("path"))
+    return bound(at, lambda s: _leaves(s["o"]["value"], s["o"]["kind"], s["o"]["held"], s["o"]["listed"], s["path"], depth, ordered))
+
+
+def _leaves(value: Column, kind: Column, held: Column, listed: Column, path: Column, depth: int, ordered: bool) -> Column:
     leaf = lambda shown: F.array(F.struct(path.alias("path"), shown.alias("value")))
     # A string's own text may look like anything; tokens are told apart by their tags.
     alone = leaf(F.array_join(scalar(value, kind), " "))
     if depth <= 0:
         return alone
-    held, listed = members(value), items(value)
     quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)\A\[(.*)\]\z", 1)
     step = lambda k: F.when(k.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z"), F.concat(path, F.lit("."), k)).otherwise(F.concat(path, F.lit("["), quoted(k), F.lit("]")))
-    below = F.flatten(F.transform(in_order(F.map_keys(held)), lambda k: leaves(F.element_at(held, k), depth - 1, step(k))))
-    inside = F.flatten(F.transform(listed, lambda x, i: leaves(x, depth - 1, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+    if ordered:
+        below = F.flatten(F.transform(in_order(F.map_keys(held)), lambda k: leaves(F.element_at(held, k), depth - 1, step(k))))
+    else:
+        below = F.flatten(F.transform(F.map_entries(held), lambda e: leaves(e["value"], depth - 1, step(e["key"]), False)))
+    inside = F.flatten(F.transform(listed, lambda x, i: leaves(x, depth - 1, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), ordered)))
     return F.when(kind == "object", F.when(F.size(held) == 0, leaf(F.lit("object"))).otherwise(below)).when(kind == "array", F.when(F.size(listed) == 0, leaf(F.lit("array"))).otherwise(inside)).otherwise(alone)
 
 
 def differences(left: Column, right: Column, depth: int) -> Column:
     """array<string>: the paths at which two values differ, in order; of a path that only one of them has, that path."""
-    as_map = lambda v: F.map_from_entries(leaves(v, depth))
+    as_map = lambda v: F.map_from_entries(leaves(v, depth, ordered=False))
     both = F.struct(as_map(left).alias("l"), as_map(right).alias("r"))
     differ = lambda s: F.array_sort(F.filter(F.array_union(F.map_keys(s["l"]), F.map_keys(s["r"])), lambda p: ~F.element_at(s["l"], p).eqNullSafe(F.element_at(s["r"], p))))
-    return F.get(F.transform(F.array(both), differ), F.lit(0))
+    return bound(both, differ)
 
 
 def disagreements(left: DataFrame, right: DataFrame, key: list[str], column: str) -> DataFrame:

@@ -5,24 +5,27 @@
     spark.read.format("decision_ledger").load(path)
 
 (A stream in update mode hands its micro-batches over, since Spark doesn't let Python sinks take that mode themselves; one
-in append mode may write to the format directly.)
+in append mode may write to the format directly; Spark sorts no stream, so a task of it holds its micro-batch's rows.)
 
 Rows are (keys, action, reason). The ledger has one row of kind `decision` for each key, the latest, and where
 a revision that was saved is discarded later, one of kind `retraction` too, which stays: what was published
 has to be taken back. A reader finds the merged rows and has nothing to aggregate.
 
-The ledger is dealt to buckets by key, one file each. A task merges the buckets whose rows it gets, all rows of
-a bucket having to come to one task (`dealt` sees to that), and writes new files; the driver's commit
+The ledger is dealt to buckets by key, one file each, in the order of keys. A task merges the buckets whose rows it gets, all
+rows of a bucket having to come to one task and in that order (`dealt` sees to that), with what the files hold, both as they
+come, so that it holds no bucket whole, and writes new files; the driver's commit
 puts them in place of the old ones, all at once. A task that fails leaves files that nobody names, which abort
 removes. A micro-batch that comes again is known by its writer and number, and changes nothing.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import batched, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,8 @@ from .event_log import done, path_of, scanned
 from .journal import Journal
 
 BUCKETS = 16
+#: The column by which rows of a bucket are in order: their keys as text.
+PLACE = "__place"
 #: What the ledger adds to a decision's columns.
 ADDED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("commit", T.LongType())])
 
@@ -50,13 +55,14 @@ class Merged(api.WriterCommitMessage):
 
 
 def dealt(decisions: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """The rows with their bucket, each bucket in one task."""
-    bucket = F.pmod(F.crc32(F.to_json(F.struct(*(F.col(k).cast("string") for k in keys)), {"ignoreNullFields": "false"}).cast("binary")), F.lit(buckets)).cast("int")
-    return decisions.withColumn("bucket", bucket).repartition(buckets, "bucket")
+    """The rows with their bucket and place, each bucket in one task and in order."""
+    place = F.to_json(F.struct(*(F.col(k).cast("string") for k in keys)), {"ignoreNullFields": "false"})
+    rows = decisions.withColumn(PLACE, place).withColumn("bucket", F.pmod(F.crc32(F.col(PLACE).cast("binary")), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+    return rows if decisions.isStreaming else rows.sortWithinPartitions("bucket", PLACE)
 
 
 def whole(schema: T.StructType) -> T.StructType:
-    return T.StructType([f for f in schema.fields if f.name not in ("bucket", *ADDED.names)] + ADDED.fields)
+    return T.StructType([f for f in schema.fields if f.name not in ("bucket", PLACE, *ADDED.names)] + ADDED.fields)
 
 
 def state(journal: Journal) -> dict:
@@ -65,37 +71,54 @@ def state(journal: Journal) -> dict:
     return journal.commit_of(last) if last else {"files": {}, "schema": None}
 
 
+OUT_OF_ORDER = "rows of one bucket came to several tasks, or out of order: see dealt"
+
+
+def in_order(rows: Iterator[dict]) -> Iterator[dict]:
+    """The rows, checked as they come."""
+    last = ""
+    for r in rows:
+        if r[PLACE] is None or r[PLACE] < last:
+            raise ValueError(OUT_OF_ORDER)
+        last = r[PLACE]
+        yield r
+
+
 class Merge(api.DataSourceArrowWriter):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.path, self.writer, self.batch = path_of(options), options.get("writer", ""), int(options.get("batch", -1))
         self.keys = [k.strip() for k in options.get("keys", "").split(",") if k.strip()]
-        if not self.keys or {"bucket", "action", "reason", *self.keys} - set(schema.names):
+        if not self.keys or {"bucket", PLACE, "action", "reason", *self.keys} - set(schema.names):
             raise ValueError("a ledger needs keys, and rows with bucket, action and reason")
-        self.kind, self.schema = whole(schema).json(), to_arrow_schema(whole(schema))
+        self.kind, self.schema = whole(schema).json(), to_arrow_schema(whole(schema)).append(pa.field(PLACE, pa.string()))
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Merged:
-        journal, new = Journal(self.path), defaultdict(list)
-        for batch in iterator:
-            for row in batch.to_pylist():
-                new[row.pop("bucket")].append(row)
+    def write(self, iterator: Iterator[pa.RecordBatch], ordered: bool = True) -> Merged:
+        journal, rows = Journal(self.path), (r for b in iterator for r in b.to_pylist())
         files, number = state(journal)["files"], journal.last() + 1
         out = Merged()
-        for bucket, rows in new.items():
-            old = [r for b in scanned(journal, files[str(bucket)], self.schema, None) for r in b.to_pylist()] if str(bucket) in files else []
-            merged = self.merged(old, rows, number)
-            out.files[bucket], _ = journal.stage(pa.Table.from_pylist(merged, self.schema).to_batches(), self.schema)
+        for bucket, new in groupby(rows if ordered else sorted(rows, key=itemgetter("bucket", PLACE)), itemgetter("bucket")):
+            if bucket in out.files:
+                raise ValueError(OUT_OF_ORDER)
+            old = (r for b in scanned(journal, files[str(bucket)], self.schema, None) for r in b.to_pylist()) if str(bucket) in files else iter(())
+            merged = self.merged(in_order(old), in_order(new), number)
+            out.files[bucket], _ = journal.stage((pa.RecordBatch.from_pylist(list(part), self.schema) for part in batched(merged, 1 << 13)), self.schema)
         return out
 
-    def merged(self, old: list[dict], new: list[dict], number: int) -> list[dict]:
-        """The rows of a bucket after a commit of this number; one decision a key is in `new`."""
-        rows = {(r["kind"], *(r[k] for k in self.keys)): r for r in old}
-        for r in new:
-            key = tuple(r[k] for k in self.keys)
-            was = rows.get(("decision", *key))
-            if was and was["action"] == "save" and r["action"] == "discard":
-                rows.setdefault(("retraction", *key), r | {"kind": "retraction", "commit": number})
-            rows[("decision", *key)] = r | {"kind": "decision", "commit": number}
-        return list(rows.values())
+    def merged(self, old: Iterator[dict], new: Iterator[dict], number: int) -> Iterator[dict]:
+        """The rows of a bucket after a commit of this number, in order; one decision a key is in `new`."""
+        fresh = (r | {"kind": None} for r in new)
+        # Of rows of one place the old ones come first.
+        for _, same in groupby(heapq.merge(old, fresh, key=itemgetter(PLACE)), itemgetter(PLACE)):
+            own: dict[str, dict] = {}
+            for r in same:
+                if r["kind"]:
+                    own[r["kind"]] = r
+                    continue
+                was = own.get("decision")
+                if was and was["action"] == "save" and r["action"] == "discard":
+                    own.setdefault("retraction", r | {"kind": "retraction", "commit": number})
+                own["decision"] = r | {"kind": "decision", "commit": number}
+            yield from own.values()
 
     def commit(self, messages: list[Merged | None]) -> None:
         journal, own = Journal(self.path), [m for m in messages if m]
@@ -123,7 +146,7 @@ class MergeStream(api.DataSourceStreamArrowWriter):
         self.own = own
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Merged:
-        return self.own.write(iterator)
+        return self.own.write(iterator, ordered=False)
 
     def commit(self, messages: list[Merged | None], batchId: int) -> None:  # noqa: N803
         self.own.batch = batchId
