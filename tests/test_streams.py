@@ -140,7 +140,7 @@ def test_a_ledger_merges_by_key_and_batch(spark, path):
         spark.createDataFrame([entry(1, "wait")], "key long, action string, reason string").write.format("decision_ledger").mode("append").save(path)
 
 
-def test_a_merge_holds_no_bucket_whole():
+def test_a_merge_holds_no_bucket_whole(spark):
     """Rows of a bucket without end come out merged as they come in."""
     kind = T.StructType.fromDDL("bucket int, __place string, key long, action string, reason string")
     merge = ledger.Merge(kind, {"path": "/nowhere", "keys": "key"})
