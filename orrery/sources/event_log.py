@@ -69,8 +69,10 @@ def path_of(options: dict) -> str:
 
 
 def scanned(journal: Journal, file: str, schema: pa.Schema, condition: ds.Expression | None) -> Iterator[pa.RecordBatch]:
+    """The rows of a file, read as they are asked for: Arrow's own threads would read a whole file ahead of a slow taker."""
     data = ds.dataset(journal.at("data", file), schema=schema, filesystem=journal.fs, format="parquet")
-    return (b for b in data.to_batches(columns=schema.names, filter=condition, batch_size=1 << 14) if b.num_rows)
+    ahead = {"batch_readahead": 0, "fragment_readahead": 0, "use_threads": False, "fragment_scan_options": ds.ParquetFragmentScanOptions(pre_buffer=False)}
+    return (b for b in data.to_batches(columns=schema.names, filter=condition, batch_size=1 << 14, **ahead) if b.num_rows)
 
 
 class Scan(api.DataSourceReader):

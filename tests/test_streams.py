@@ -5,8 +5,10 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import time
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -149,6 +151,21 @@ def test_a_merge_holds_no_bucket_whole(spark):
     assert [(r["key"], r["kind"], r["action"], r["commit"]) for r in got] == [(0, "decision", "discard", 2), (0, "retraction", "discard", 2), (2, "decision", "save", 1), (3, "decision", "discard", 2), (4, "decision", "save", 1), (6, "decision", "discard", 2)]
 
 
+def test_a_file_is_read_as_its_rows_are_asked_for(path):
+    """However slowly rows are taken, no more than a few of 64 row groups are in memory."""
+    schema, n = pa.schema([("key", pa.int64()), ("place", pa.string())]), 1 << 13
+    part = lambda i: pa.RecordBatch.from_pydict({"key": list(range(i, i + n)), "place": [f"{k:080d}" for k in range(i, i + n)]}, schema)
+    own = journal.Journal(path)
+    name, total = own.stage((part(i * n) for i in range(64)), schema)
+    before, held, rows = pa.total_allocated_bytes(), 0, []
+    for batch in event_log.scanned(own, name, schema, None):
+        if len(rows) < 4 * n:
+            time.sleep(0.2)
+        held = max(held, pa.total_allocated_bytes() - before)
+        rows += batch["key"].to_pylist()
+    assert rows == list(range(total)) and held < 16 * part(0).nbytes
+
+
 def test_a_failed_merge_leaves_the_ledger_as_it_was(spark, path):
     merge(spark, path, [entry(i, "save") for i in range(20)], 0)
     before = book(spark, path)
